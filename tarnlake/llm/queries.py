@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding
+from . import jpeg, langid, mixing, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,10 +32,22 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(jpeg.media_column(_read(spark, sf_dir, "documents")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    names, prototypes = langid.fit(docs.filter(~langid.held_out()))
+    return langid.classify(docs, names, prototypes, keep=["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_binary": op1_pack_binary,
     "op3_mix_curriculum": op3_mix_curriculum,
+    "op7_jpeg_thumbnails": op7_jpeg_thumbnails,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
