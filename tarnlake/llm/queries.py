@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, langid, mixing, packing, sharding
+from . import jpeg, langid, minhash, mixing, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.media_column(_read(spark, sf_dir, "documents")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     names, prototypes = langid.fit(docs.filter(~langid.held_out()))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_curriculum": op3_mix_curriculum,
     "op7_jpeg_thumbnails": op7_jpeg_thumbnails,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
 }
 

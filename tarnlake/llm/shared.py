@@ -30,3 +30,24 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table."""
     shared_dir(spark)
     return df.checkpoint()
+
+
+#: A key is hot if it holds more than this share of the rows; so at most 200 keys are.
+HOT_SHARE = 200
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str, rows: int, how: str = "left") -> DataFrame:
+    """Join ``big`` to ``small`` (one row per key; ``count`` holds the key's rows in ``big``) without meeting hot keys in one task.
+
+    Keys with more than one 200th of the ``rows`` are at most 200 rows of ``small`` and are broadcast; the others shuffle.
+    ``how`` is ``inner`` or ``left``; null keys match nothing.
+    """
+    from pyspark.sql import functions as F
+
+    extra = [c for c in small.columns if c not in keys and c != count]
+    hot = small.filter(F.col(count) * HOT_SHARE > rows).select(*keys, F.struct(*extra).alias("__hot"))
+    cold = small.filter(F.col(count) * HOT_SHARE <= rows).select(*keys, *extra)
+    marked = big.join(F.broadcast(hot), keys, "left")
+    one = marked.filter("__hot IS NOT NULL").select(*big.columns, "__hot.*")
+    two = marked.filter("__hot IS NULL").drop("__hot").join(cold, keys, how).select(*big.columns, *extra)
+    return one.unionByName(two)
