@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, langid, minhash, mixing, packing, sharding
+from . import jpeg, langid, linededup, minhash, mixing, packing, pii, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), emit_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), "a key for these queries")
+
+
 def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(spark, _read(spark, sf_dir, "documents"))
     first = plan.select("doc_id", "size", "source_size", "target", "taken", F.get("uses", F.lit(0))["position"].alias("position"), F.transform("uses", lambda u: u["position"]).alias("positions"))
@@ -32,6 +36,11 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its site."""
+    return linededup.drop_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "lines", "dropped", "text")
+
+
 def op7_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.media_column(_read(spark, sf_dir, "documents")))
 
@@ -48,11 +57,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_binary": op1_pack_binary,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_mix_curriculum": op3_mix_curriculum,
+    "op6_line_dedup": op6_line_dedup,
     "op7_jpeg_thumbnails": op7_jpeg_thumbnails,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": linededup.OP6_SQL}
