@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, langid, linededup, minhash, mixing, packing, pii, sharding
+from . import ann, jpeg, langid, linededup, minhash, mixing, packing, pii, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(spark, vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source stands for its site."""
     return linededup.drop_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "lines", "dropped", "text")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_binary": op1_pack_binary,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_mix_curriculum": op3_mix_curriculum,
+    "op5_learned_partitions": op5_learned_partitions,
     "op6_line_dedup": op6_line_dedup,
     "op7_jpeg_thumbnails": op7_jpeg_thumbnails,
     "op8_shuffle_shards": op8_shuffle_shards,
