@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jpeg, langid, linededup, minhash, mixing, packing, pii, sharding
+from . import ann, jpeg, langid, linededup, minhash, mixing, packing, pii, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    archive = warc.write(spark, pages)
+    return warc.read(spark, archive, pages.select("url", "page_id"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return ann.search(spark, vectors, vectors.filter("vec_id % 20 = 0"))
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_binary": op1_pack_binary,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_mix_curriculum": op3_mix_curriculum,
+    "op4_warc_index": op4_warc_index,
     "op5_learned_partitions": op5_learned_partitions,
     "op6_line_dedup": op6_line_dedup,
     "op7_jpeg_thumbnails": op7_jpeg_thumbnails,
@@ -72,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": linededup.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_index": warc.OP4_SQL, "op6_line_dedup": linededup.OP6_SQL}
