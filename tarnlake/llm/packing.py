@@ -15,11 +15,13 @@ shuffled, so neither hot keys nor groups of copies matter, and a lost task is re
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 LONGEST = 2048
 END_ID = 1
 #: Chunks and word pieces that a worker remembers at most before it starts afresh.
-MEMO_ENTRIES = 300_000
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
-_VISIBLE = re.compile(r"[\x21-\x7e]+\Z")
+MEMO_ENTRIES = 1_000_000
+#: The tokenizer's own word pattern, for lower-case text of Latin-1 (fixed values: its letters and numbers).
+_PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+_VISIBLE = re.compile("[\x21-\x7e\xa1-\xff]+\\Z")
 
 
 class ChunkTokenizer:
@@ -45,19 +48,23 @@ class ChunkTokenizer:
         self.pieces.normalizer = None
         self.pieces.pre_tokenizer = WhitespaceSplit()
         self.limit = memo_entries
+        shown = {b: b for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+        self.shown = shown | {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)} | {0x20: 0x20}
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _encode_words(self, words: list[str]) -> None:
-        """Remember the ids of normalised word pieces that are visible ASCII only."""
+        """Remember the ids of lower-case word pieces; bytes stand for themselves as the vocabulary's own characters."""
         step = 256
-        lines = [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+        lines = [" ".join(words[i : i + step]).encode("utf-8").decode("latin-1").translate(self.shown) for i in range(0, len(words), step)]
         for k, enc in enumerate(self.pieces.encode_batch(lines, add_special_tokens=False)):
-            held: list[list[int]] = [[] for _ in words[k * step : (k + 1) * step]]
-            for at, i in zip(enc.word_ids, enc.ids, strict=True):
-                held[at].append(i)
-            for w, ids in zip(words[k * step : (k + 1) * step], held, strict=True):
-                self.words[w] = b"".join(i.to_bytes(4, "little") for i in ids)
+            held = words[k * step : (k + 1) * step]
+            ids = np.array(enc.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(enc.word_ids, minlength=len(held)))).tolist()
+            at = 0
+            for w, end in zip(held, ends, strict=True):
+                self.words[w] = ids[at:end]
+                at = end
 
     def _learn(self, missing: set[bytes]) -> None:
         plain: list[tuple[bytes, list[str]]] = []
@@ -65,16 +72,18 @@ class ChunkTokenizer:
         wanted: set[str] = set()
         for chunk in missing:
             text = chunk.decode("utf-8")
-            if text.isascii() and "<|" not in text and _VISIBLE.match(text):
+            if _VISIBLE.match(text) and "<|" not in text:
                 parts = _PLAIN.findall(text.lower())
                 plain.append((chunk, parts))
-                wanted.update(w for w in parts if w not in self.words)
+                wanted.update(parts)
             else:
                 other.append(chunk)
+        wanted.difference_update(self.words)
         if wanted:
             self._encode_words(list(wanted))
+        words, chunks = self.words, self.chunks
         for chunk, parts in plain:
-            self.chunks[chunk] = b"".join([self.words[w] for w in parts])
+            chunks[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
         if other:
             self._learn_other(other)
 
@@ -104,20 +113,24 @@ class ChunkTokenizer:
             for (chunk, _), ids in zip(group, held, strict=True):
                 self.chunks[chunk] = b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            parts = text.encode("utf-8").split() if text else []
-            memo = self.chunks
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """For each text its ids; a null text has none. Give it blocks of texts: unknown chunks are learnt once a block."""
+        split = [t.encode("utf-8").split() if t else [] for t in texts]
+        memo = self.chunks
+        if len(memo) > self.limit or len(self.words) > self.limit:
+            memo.clear()
+            self.words.clear()
+        missing = set().union(*split)
+        missing.difference_update(memo)
+        if missing:
+            held = gc.isenabled()
+            gc.disable()  # no cycles arise here, and many small objects would set the collector off again and again
             try:
-                yield b"".join(map(memo.__getitem__, parts))
-                continue
-            except KeyError:
-                pass
-            if len(memo) > self.limit or len(self.words) > self.limit:
-                memo.clear()
-                self.words.clear()
-            self._learn({p for p in parts if p not in memo})
-            yield b"".join(map(memo.__getitem__, parts))
+                self._learn(missing)
+            finally:
+                if held:
+                    gc.enable()
+        return [b"".join(map(memo.__getitem__, parts)) for parts in split]
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
