@@ -1,12 +1,55 @@
-"""A training corpus in five stages, each of which writes a table that the next one reads."""
+"""A training corpus in five stages, each of which writes a table that the next one reads.
+
+Language identification drops texts without a letter; line deduplication takes boilerplate lines out per source and drops texts that
+held nothing else; near-duplicate detection keeps one document of each group; mixing takes sources to their target
+words, repeating or leaving out documents; packing cuts what is left into power-of-two pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnlake.llm import langid, linededup, minhash, mixing, packing
 from tarnlake.llm.shared import written
 
-STAGES: list = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what has no language: null texts and texts without a letter."""
+    names, prototypes = langid.fit(docs.filter(~langid.held_out()))
+    return langid.classify(docs, names, prototypes).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose their source's boilerplate lines; a text of nothing else goes."""
+    out = linededup.drop_boilerplate(docs).filter("dropped = 0 OR dropped < lines")
+    return out.withColumn("n_chars", F.when(F.col("dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_copies(spark, docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each use of a document, in training order; the last use of a source may be cut to its target."""
+    uses = mixing.mix(spark, docs)
+    return uses.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their token ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("line dedup", drop_lines),
+    ("minhash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 #: Language identification and tokenising have no SQL form; the tests hold the run against a plain version.
 ORACLE_SQL = None
