@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Knots (time, factor) of the curricula that sources follow in turn: early, even, late. A factor scales the weight.
 CURRICULA = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
 #: Rows that share a source and a hash bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def _literal(curricula: Sequence) -> Column:
