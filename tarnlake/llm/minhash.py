@@ -7,11 +7,12 @@ with a probability equal to their similarity, and agreement concentrates like in
 miss a pair at similarity 0.85 with probability below 1e-6.
 
 Equal sets are found by their digest first and take part once. Sets that share a band are candidates; every link
-is confirmed on the full sets. A bucket is not expanded into its pairs at once: its members are compared with one
-member of it, linked ones are merged, and this repeats with other members while many pairs lie across components. The
-pairs that remain (in one bucket, in different components, sizes that allow a link, not yet compared) are then all
-compared, so no candidate is lost; only pairs known to be connected are spared. Connected components are labelled by
-minimum label with pointer jumping; every table of a round is written to the shared folder.
+is confirmed on the full sets. Pairs are never written out: candidates that hang together through shared bands form a
+family, and a task compares a whole family at a time by counting common shingles through an inverted list, returning the few
+links that connect it. A family of too many shingles for one task is compared bucket by bucket instead, and a bucket
+that is still too large in pairs of blocks, so every candidate pair meets somewhere. Within a group a set is compared with
+all others; what is left when all sets not yet compared lie in one component needs no comparison. Components are
+labelled by minimum label with pointer jumping; every table of a round is written to the shared folder.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; with fewer than five words the
 whole sequence is the one shingle; rows that share a ``doc_id`` count as one document; rows with a null ``doc_id``
@@ -35,10 +36,10 @@ SHINGLE = 5
 BINS = 256
 BAND_ROWS = 7
 BANDS = BINS // BAND_ROWS
-#: Rounds of comparing with one member of each bucket before the remaining pairs are compared.
-STAR_ROUNDS = 3
-#: Star rounds go on while the pairs across components outnumber the bucket members by this factor.
-PAIRS_PER_MEMBER = 2
+#: A task compares sets of about this many shingles together.
+GROUP_SHINGLES = 3_000_000
+#: Up to this many candidates (tens of MB) are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_CANDIDATES = 500_000
 WORD_MEMO = 500_000
 
 _U = np.uint64
@@ -134,28 +135,54 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have ``100 * intersection >= percent * union``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def connecting_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) whose components are those of all links among ``sets``."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
+    _, which, df = np.unique(flat, return_inverse=True, return_counts=True)
+    often = df > 1  # a shingle of one set alone is common to no pair
+    posted = owner[np.argsort(which, kind="stable")]
+    ends = np.cumsum(df)
+    begins = ends - df
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    mine = [(w := which[at[i] : at[i + 1]])[often[w]] for i in range(n)]
+    # no link without enough shingles that others have
+    waiting = np.array([100 * len(m) >= percent * k for m, k in zip(mine, sizes, strict=True)])
+    label, found = np.arange(n), []
+    while waiting.any():
+        left = np.flatnonzero(waiting)
+        names, count = np.unique(label[left], return_counts=True)
+        if len(names) == 1:
+            break
+        outside = left[label[left] != names[count.argmax()]]
+        i = int(outside[0])
+        waiting[i] = False
+        common = np.bincount(np.concatenate([posted[begins[w] : ends[w]] for w in mine[i]]), minlength=n)
+        linked = np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common))
+        for j in linked:
+            if label[j] != label[i]:
+                found.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _linked(percent: int):
+    """Grouped form: texts of one group in, connecting links out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words = _Words()
+        ids, sets = [], []
+        for rep, text in zip(table.column("rep").to_pylist(), table.column("text").to_pylist(), strict=True):
+            s = shingles(text, words)
+            if len(s):
+                ids.append(rep)
+                sets.append(s)
+        links = connecting_links(sets, percent) if sets else []
+        links = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links if ids[i] != ids[j]]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, mine = _Words(), None, None
-        for batch in batches:
-            a, b = [], []
-            for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != last:
-                    last, mine = s, shingles(s, words)
-                other = shingles(t, words)
-                both = np.concatenate((mine, other))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -178,41 +205,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     rows = feats.count()
     # equal sets: the smallest doc_id stands for all
     groups = written(spark, feats.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
-    reps = feats.join(groups.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b", "doc_id"])
-    keys = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared_bands = keys.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("head"), F.min_by("n", "rep").alias("head_n")).filter("size > 1")
-    members = written(spark, join_counted(keys, shared_bands, ["band"], "size", rows * BANDS, "inner"), "members")
-
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pairs = written(spark, members.filter(F.col("rep") != F.col("head")).filter(fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    tested = pairs
-    links = written(spark, verified(pairs, docs, percent), "links")
-    label = components(spark, links)
-    for k in range(STAR_ROUNDS + 1):
-        placed = members.select("band", "rep", "n").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        # buckets that still hold several components
-        parts = placed.groupBy("band", "label").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "n"), F.xxhash64(F.lit(k), "rep")).alias("one"))
-        open_buckets = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.min_by("one", F.xxhash64(F.lit(k), "label")).alias("head"), F.min_by("label", F.xxhash64(F.lit(k), "label")).alias("head_label")).filter("parts > 1")
-        open_buckets = written(spark, open_buckets, "open")
-        size = open_buckets.agg(F.sum("size").alias("members"), F.sum((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("pairs")).first()
-        if not size.members:
-            break
-        last = k == STAR_ROUNDS or size.pairs <= PAIRS_PER_MEMBER * size.members
-        held = join_counted(placed, open_buckets.select("band", "size", "head", "head_label"), ["band"], "size", rows * BANDS, "inner")
-        if last:
-            x = held.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = held.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            found = x.join(y, "band").filter("a < b AND la <> lb").filter(fits(F.col("na"), F.col("nb"))).select("a", "b")
-        else:
-            found = held.filter("label <> head_label").filter(fits(F.col("n"), F.col("head.n"))).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
-        new = written(spark, found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(new)
-        more = written(spark, verified(new, docs, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(spark, links)
-        if last:
-            break
+    keys = feats.join(groups.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    shared_bands = keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(spark, join_counted(keys, shared_bands, ["band"], "size", rows * BANDS, "inner").distinct(), "members")
+    heads = members.groupBy("band").agg(F.min("rep").alias("head"))
+    family = components(spark, members.join(heads, "band").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+    # what is compared together: a family, or its buckets if it is too large, in blocks if those are
+    placed = members.join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
+    weight = placed.select("family", "rep", "n").distinct().groupBy("family").agg(F.sum("n").alias("weight"))
+    placed = placed.join(weight, "family").withColumn("unit", F.when(F.col("weight") <= GROUP_SHINGLES, F.concat(F.lit("f"), F.col("family"))).otherwise(F.concat(F.lit("b"), F.col("band")))).select("unit", "rep", "n").distinct()
+    blocks = placed.groupBy("unit").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks"))
+    placed = placed.join(blocks, "unit").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j"))))
+    placed = written(spark, placed.select("unit", "rep", other.alias("pair")).select("unit", "pair.i", "pair.j", "rep"), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    asked = F.broadcast(placed) if placed.count() <= BROADCAST_CANDIDATES else placed
+    links = texts.join(asked, "rep").groupBy("unit", "i", "j").applyInArrow(_linked(percent), "a long, b long")
+    label = components(spark, links.distinct())
     placed = groups.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", "copies", F.coalesce("label", "rep").alias("label"))
     named = join_counted(feats.select("doc_id", "n_shingles", "set_a", "set_b"), placed, ["set_a", "set_b"], "copies", rows)
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("label"))
