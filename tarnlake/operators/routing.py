@@ -70,7 +70,7 @@ def follow_up_allowed(adjacent_run: bool) -> Column:
 def synthesis_status(branches: DataFrame) -> DataFrame:
     """DC-07: ``query_id, branch, status, docs, prompt`` to one status: partial dominates, asking back counts only without documents."""
     one = branches.groupBy("query_id").agg(F.sum("docs").alias("docs"), F.bool_or(F.col("status") == "partial").alias("partial"), F.bool_or(F.col("status") == "answerable").alias("good"), F.bool_or(F.col("status") == "needs_scope_selection").alias("scope"), F.bool_or(F.col("status") == "needs_clarification").alias("ask"), F.bool_and(F.col("status") == "answerable").alias("all_good"))
-    out = F.when((F.col("docs") > 0) & (F.col("partial") | ~F.col("all_good")), "partial").when(F.col("docs") > 0, "answerable").when("scope", "needs_scope_selection").when("ask", "needs_clarification").otherwise("no_knowledge")
+    out = F.when((F.col("docs") > 0) & (F.col("partial") | ~F.col("all_good")), "partial").when(F.col("docs") > 0, "answerable").when(F.col("scope"), "needs_scope_selection").when(F.col("ask"), "needs_clarification").otherwise("no_knowledge")
     return one.select("query_id", "docs", out.alias("status"))
 
 
