@@ -35,11 +35,11 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-03, SRC-04: documents of native types below a folder, and what is refused with its reason instead of being skipped in silence."""
+    """SRC-03, SRC-04: documents of native types below a folder, and what is refused with its reason instead of being skipped in silence. Empty files hold no document; the scan leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("file_path"), "content", "length")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("file_path"), "content")
     typed = files.withColumn("file_type", file_type(F.col("filename")))
-    reason = F.when(F.col("file_type") == "Unsupported", "unsupported type").when(~F.col("file_type").isin(*NATIVE), "needs a converter").when(F.col("length") == 0, "empty file").when((F.col("file_type") != "HTML") & ~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
+    reason = F.when(F.col("file_type") == "Unsupported", "unsupported type").when(~F.col("file_type").isin(*NATIVE), "needs a converter").when((F.col("file_type") != "HTML") & ~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
     marked = typed.withColumn("reason", reason)
     good = marked.filter("reason IS NULL")
     text = F.when(F.col("file_type") == "HTML", _html_text(F.col("content"))).otherwise(F.regexp_replace(F.col("content").cast("string"), "\\A\ufeff", ""))

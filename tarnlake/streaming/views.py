@@ -31,7 +31,7 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> D
 
 
 def step_clock(steps: DataFrame) -> DataFrame:
-    """SM-01: per request the time since its first step and since the last one, kept in keyed state for an hour."""
+    """SM-01: per request the time since its first step and since the last one, kept in keyed state until an hour of event time passes without a step."""
 
     def clock(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,10 +48,10 @@ def step_clock(steps: DataFrame) -> DataFrame:
                 last = now
             yield pd.DataFrame(out, columns=["request_id", "seq", "elapsed_ms", "stage_elapsed_ms"])
         state.update((first, last))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
 
     kind = dict(steps.dtypes)["request_id"]
-    return steps.groupBy("request_id").applyInPandasWithState(clock, f"request_id {kind}, seq long, elapsed_ms long, stage_elapsed_ms long", "first long, last long", "append", "ProcessingTimeTimeout")
+    return steps.withWatermark("ts", "10 minutes").groupBy("request_id").applyInPandasWithState(clock, f"request_id {kind}, seq long, elapsed_ms long, stage_elapsed_ms long", "first long, last long", "append", "EventTimeTimeout")
 
 
 def job_states(events: DataFrame) -> DataFrame:
