@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 DIMENSIONS = 1024
 SYMBOLS = 40
 TRAIN_ROWS = 20_000
@@ -49,7 +51,7 @@ class Profiler:
         self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
         self.table = symbol_table()
         self.row = np.full(SYMBOLS**3, -1, np.int32)
-        self.matrix = np.zeros((1024, dimensions), np.float32)
+        self.matrix = np.zeros((1024, dimensions), np.int8)
         self.known = 0
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -78,7 +80,7 @@ class Profiler:
         if len(new):
             need = self.known + len(new)
             if need > len(self.matrix):
-                grown = np.zeros((max(need, 2 * len(self.matrix)), self.matrix.shape[1]), np.float32)
+                grown = np.zeros((max(need, 2 * len(self.matrix)), self.matrix.shape[1]), np.int8)
                 grown[: self.known] = self.matrix[: self.known]
                 self.matrix = grown
             self.matrix[self.known : need] = self.first[new // SYMBOLS**2] * self.second[new // SYMBOLS % SYMBOLS] * self.third[new % SYMBOLS]
@@ -98,7 +100,7 @@ class Profiler:
         for k, (which, n) in enumerate(counted):
             block[k, place[which]] = n
         rows = self._rows(every)
-        return block @ self.matrix[rows]
+        return block @ self.matrix[rows].astype(np.float32)
 
 
 def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS, seed: int = 5) -> tuple[list[str], np.ndarray]:
@@ -155,7 +157,7 @@ def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray, *, keep:
                 score += s
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    return inner.mapInArrow(run, ", ".join(x for x in (kinds, "lang_pred string, score double") if x))
+    return inner.mapInArrow(released(run), ", ".join(x for x in (kinds, "lang_pred string, score double") if x))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -30,17 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_counted, written
+from .shared import give_back, join_counted, released, written
 
 SHINGLE = 5
 BINS = 256
 BAND_ROWS = 7
 BANDS = BINS // BAND_ROWS
 #: A task compares sets of about this many shingles together.
-GROUP_SHINGLES = 3_000_000
+GROUP_SHINGLES = 1_500_000
 #: Up to this many candidates (tens of MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_CANDIDATES = 500_000
-WORD_MEMO = 500_000
+WORD_MEMO = 250_000
 
 _U = np.uint64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -132,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def connecting_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -180,6 +180,9 @@ def _linked(percent: int):
                 sets.append(s)
         links = connecting_links(sets, percent) if sets else []
         links = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links if ids[i] != ids[j]]
+        if sum(map(len, sets)) > GROUP_SHINGLES // 4:
+            sets.clear()
+            give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run

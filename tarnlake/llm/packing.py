@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 LONGEST = 2048
 END_ID = 1
 #: Chunks and word pieces that a worker remembers at most before it starts afresh.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 #: The tokenizer's own word pattern, for lower-case text of Latin-1 (fixed values: its letters and numbers).
 _PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _VISIBLE = re.compile("[\x21-\x7e\xa1-\xff]+\\Z")
@@ -184,4 +186,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema).withColumn("sequence_id", F.monotonically_increasing_id())
+    return docs.select("doc_id", "text").mapInArrow(released(cut), schema).withColumn("sequence_id", F.monotonically_increasing_id())
