@@ -40,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # a smaller memo than alone: workers of the stages before still hold memory
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_entries=150_000)
 
 
 STAGES = [
