@@ -31,7 +31,7 @@ KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 CENTURIES = {"19": (92, 397), "20": (75, 487)}
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)"
-PHONE = r"(?<![\d+])(?:(?:\+?1[ .\-]?)?(?:\([1-9]\d{2}\) ?|[1-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}|\+1[1-9]\d{2}[2-9]\d{6}|\+[2-9]\d{0,2}(?:[ .\-/]?\(?\d{2,4}\)?){2,4})(?!\d)"
+PHONE = r"(?<![\d+])(?:(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])[2-9]\d{2}[ .\-]\d{4}|\+1\d{3}[2-9]\d{6}|\+[2-9]\d{0,2}(?:[ .\-/]?\(?\d{2,4}\)?){2,4})(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])"
 DATE = r"(?<![\d./\-])(?:(?:19|20)\d{2}-\d{2}-\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2}|\d{2}/\d{2}/(?:19|20)\d{2})(?![\d/\-]|\.\d)"
@@ -111,7 +111,7 @@ def _card(x: Column, key: str) -> Column:
 def _phone(x: Column, key: str) -> Column:
     def change(d: Column) -> Column:
         n = F.right(d, F.lit(10))
-        local = _let(feistel(F.substring(n, 1, 3).cast("long") - 100, (F.substring(n, 4, 3).cast("long") - 200) * 10_000 + F.substring(n, 7, 4).cast("long"), 900, 8_000_000, key, "phone"), lambda s: F.concat((s["a"] + 100).cast("string"), (F.floor(s["b"] / 10_000) + 200).cast("string"), _pad(s["b"] % 10_000, 4)))
+        local = _let(feistel(F.substring(n, 1, 3).cast("long"), (F.substring(n, 4, 3).cast("long") - 200) * 10_000 + F.substring(n, 7, 4).cast("long"), 1000, 8_000_000, key, "phone"), lambda s: F.concat(_pad(s["a"], 3), (F.floor(s["b"] / 10_000) + 200).cast("string"), _pad(s["b"] % 10_000, 4)))
         ours = ~x.rlike(r"\A\+[2-9]") & (F.length(d) <= 11)
         abroad = F.when(F.length(d).between(8, 15), F.concat(F.substring(d, 1, 3), _by_length(F.substr(d, F.lit(4), F.length(d) - 3), key, "abroad", range(5, 13))))
         return F.when(ours, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), local)).otherwise(abroad)
