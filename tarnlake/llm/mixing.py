@@ -94,7 +94,7 @@ def mix_plan(spark: SparkSession, docs: DataFrame, *, weights: Sequence[float] =
     def use(k: Column) -> Column:
         at = k * F.col("source_size") + F.col("begin")
         words = F.greatest(F.least(F.col("size"), F.col("goal") - at), F.lit(0))
-        return F.struct(k.cast("int").alias("pass"), words.cast("long").alias("words"), time_at(at / F.col("goal"), segments).alias("position"))
+        return F.struct(k.cast("int").alias("pass"), words.cast("long").alias("words"), time_at(F.coalesce(F.try_divide(at, F.col("goal")), F.lit(0.0)), segments).alias("position"))
 
     passes = F.sequence(F.lit(0), F.lit(max(0, int(-(-cap // 1)) - 1)))
     out = out.withColumn("begin", begin).withColumn("goal", goal)
