@@ -119,11 +119,11 @@ def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, dimensions: int =
                 counted = [(c, lang) for t, lang in zip(texts.slice(at, _BLOCK).to_pylist(), langs.slice(at, _BLOCK).to_pylist(), strict=True) if (c := profiler.counts(t))]
                 if counted:
                     for v, (_, lang) in zip(profiler.bundle([c for c, _ in counted]).astype(np.float64), counted, strict=True):
-                        sums[lang] = sums.get(lang, 0) + v
+                        sums[lang] = sums.get(lang, 0) + v / max(np.linalg.norm(v), 1e-9)  # a long text weighs no more than others
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(v) for v in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
     total: dict[str, np.ndarray] = {}
-    for lang, bundle in labelled.select("text", "lang").repartition(32).mapInArrow(part, "lang string, bundle array<double>").collect():  # 32 rows a language at most
+    for lang, bundle in labelled.select("text", "lang").repartition(32).mapInArrow(released(part), "lang string, bundle array<double>").collect():  # 32 rows a language at most
         total[lang] = total.get(lang, 0) + np.array(bundle)
     names = sorted(total)
     return names, np.array([total[k] / max(np.linalg.norm(total[k]), 1e-9) for k in names], np.float32).reshape(len(names), dimensions)
