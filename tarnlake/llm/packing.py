@@ -32,6 +32,8 @@ LONGEST = 2048
 END_ID = 1
 #: Chunks and word pieces that a worker remembers at most before it starts afresh.
 MEMO_ENTRIES = 600_000
+#: Texts cut at a time.
+BLOCK_ROWS = 128
 #: The tokenizer's own word pattern, for lower-case text of Latin-1 (fixed values: its letters and numbers).
 _PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _VISIBLE = re.compile("[\x21-\x7e\xa1-\xff]+\\Z")
@@ -45,21 +47,26 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.whole = Tokenizer.from_file(path)
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.normalizer = None
-        self.pieces.pre_tokenizer = WhitespaceSplit()
+        # one vocabulary serves both ways of reading: whole text, and word pieces already normalised and cut
+        self.model = Tokenizer.from_file(path)
+        self.ways = {"whole": (self.model.normalizer, self.model.pre_tokenizer), "pieces": (None, WhitespaceSplit())}
         self.limit = memo_entries
         shown = {b: b for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
         self.shown = shown | {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)} | {0x20: 0x20}
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _encode(self, way: str, lines: list[str]) -> Iterator:
+        """Encodings of ``lines``, a few at a time: each holds far more than its ids."""
+        self.model.normalizer, self.model.pre_tokenizer = self.ways[way]
+        for at in range(0, len(lines), 8):
+            yield from self.model.encode_batch(lines[at : at + 8], add_special_tokens=False)
+
     def _encode_words(self, words: list[str]) -> None:
         """Remember the ids of lower-case word pieces; bytes stand for themselves as the vocabulary's own characters."""
         step = 256
         lines = [" ".join(words[i : i + step]).encode("utf-8").decode("latin-1").translate(self.shown) for i in range(0, len(words), step)]
-        for k, enc in enumerate(self.pieces.encode_batch(lines, add_special_tokens=False)):
+        for k, enc in enumerate(self._encode("pieces", lines)):
             held = words[k * step : (k + 1) * step]
             ids = np.array(enc.ids, "<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(enc.word_ids, minlength=len(held)))).tolist()
@@ -93,15 +100,14 @@ class ChunkTokenizer:
         """Chunks beyond visible ASCII: the tokenizer normalises and cuts many at once, joined by line ends."""
         texts = [c.decode("utf-8") for c in chunks]
         simple = [t.isalpha() or not any(x.isspace() or "<" == x for x in t) for t in texts]
-        for chunk, text, ok in zip(chunks, texts, simple, strict=True):
-            if not ok:
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-                self.chunks[chunk] = b"".join(i.to_bytes(4, "little") for i in ids)
+        odd = [(c, t) for c, t, ok in zip(chunks, texts, simple, strict=True) if not ok]
+        for (chunk, _), enc in zip(odd, self._encode("whole", [t for _, t in odd]), strict=True):
+            self.chunks[chunk] = b"".join(i.to_bytes(4, "little") for i in enc.ids)
         rest = [(c, t) for c, t, ok in zip(chunks, texts, simple, strict=True) if ok]
         step = 256
         groups = [rest[i : i + step] for i in range(0, len(rest), step)]
         joined = ["\n".join(t for _, t in g) for g in groups]
-        for group, enc, line in zip(groups, self.whole.encode_batch(joined, add_special_tokens=False), joined, strict=True):
+        for group, enc, line in zip(groups, self._encode("whole", joined), joined, strict=True):
             starts, at = [], 0
             for _, t in group:
                 starts.append(at)
@@ -160,8 +166,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = ChunkTokenizer(tokenizer_path, memo_entries)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
                 row, start, length, crc, total = [], [], [], [], []
                 held = []
                 for k, ids in enumerate(tok.encode(part.column(1).to_pylist())):
