@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from tarnlake.llm import langid, linededup, minhash, mixing, packing
 from tarnlake.llm.shared import written
 
+#: Boilerplate is a line on over this share of a source's documents, or on so many of them. A source holds far more than one site's
+#: pages, so the share is lower than op6's.
+LINE_RATIO = 0.01
+LINE_PAGES = 1000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts and texts without a letter."""
@@ -22,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their source's boilerplate lines; a text of nothing else goes."""
-    out = linededup.drop_boilerplate(docs).filter("dropped = 0 OR dropped < lines")
+    out = linededup.drop_boilerplate(docs, ratio=LINE_RATIO, most_pages=LINE_PAGES).filter("dropped = 0 OR dropped < lines")
     return out.withColumn("n_chars", F.when(F.col("dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -1,12 +1,13 @@
 """Line deduplication by site-relative frequency.
 
 Rows are grouped by site (the host of a page, or a document's source). For each line the share of the site's pages
-that contain it is taken; lines above a boilerplate ratio are dropped from every page of that site. A line is known by
+that contain it is taken; lines above a boilerplate ratio are dropped from every page of that site, and with
+``most_pages`` so are lines on that many pages, however large the site. A line is known by
 its text without blanks at either end; blank lines are neither counted nor dropped. A page counts once for a line
 however often it repeats it. Lines on fewer than ``min_pages`` pages of the site stay, since a share says little there.
 
 Only (site, line hash) pairs are shuffled to be counted, summed up before the shuffle. A site's dropped lines are few:
-at most lines per page / ratio. They come back to the pages as one array per site; sites with many pages are
+at most lines per page / ratio, besides those on ``most_pages`` pages. They come back to the pages as one array per site; sites with many pages are
 broadcast (at most 200), the others joined.
 
 Defined cases: null sites form one site; a null text stays null with no lines, an empty one stays empty; a page whose
@@ -34,7 +35,7 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
 
 
-def drop_boilerplate(df: DataFrame, *, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, *, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most_pages: int | None = None) -> DataFrame:
     """``df`` with ``text`` rid of boilerplate lines, and ``lines, dropped long``: how many it had and lost."""
     columns = [c for c in df.columns if c not in ("lines", "dropped")]
     skey = F.when(F.col(site).isNotNull(), F.concat(F.lit("a"), F.col(site).cast("string"))).otherwise("b")
@@ -42,7 +43,10 @@ def drop_boilerplate(df: DataFrame, *, site: str = "source", text: str = "text",
     totals = pages.groupBy("__site").agg(F.count("*").alias("__pages"))
     own = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: _line(x) != ""), lambda x: F.xxhash64(_line(x))))
     counts = pages.select("__site", F.explode(own).alias("line")).groupBy("__site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    common = counts.join(totals, "__site").filter(F.col("n") > ratio * F.col("__pages")).groupBy("__site").agg(F.collect_list("line").alias("__lines"), F.first("__pages").alias("__pages"))
+    often = F.col("n") > ratio * F.col("__pages")
+    if most_pages is not None:
+        often |= F.col("n") >= most_pages
+    common = counts.join(totals, "__site").filter(often).groupBy("__site").agg(F.collect_list("line").alias("__lines"), F.first("__pages").alias("__pages"))
     joined = join_counted(pages, common, ["__site"], "__pages", df.count())
     split = F.split(text, "\n")
     blank = F.size(F.filter(split, lambda x: _line(x) == ""))

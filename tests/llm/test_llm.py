@@ -267,6 +267,13 @@ def test_lines(spark):
     assert [r.h for r in hosts.collect()] == ["a.com", "", None]
 
 
+def test_lines_of_many_pages(spark):
+    rows = [(i, f"own {i}" + "\nmany" * (i < 40) + "\nfew" * (i < 39), "s") for i in range(1000)]
+    out = {r.doc_id: r for r in linededup.drop_boilerplate(documents(spark, rows), most_pages=40).collect()}
+    assert out[3].text == "own 3\nfew" and sum(r.dropped for r in out.values()) == 40
+    assert sum(r.dropped for r in linededup.drop_boilerplate(documents(spark, rows)).collect()) == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_twins(spark, name):
     c = duckdb.connect()

@@ -68,3 +68,10 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_lines_of_a_large_source(spark):
+    rows = [(i, f"own {i}" + "\nfooter" * (i < 15), "en", "s", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    assert len(out) == 1000 and all(r.text == f"own {i}" for i, r in out.items())
