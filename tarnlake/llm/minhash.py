@@ -3,8 +3,9 @@
 A document's set holds its distinct five-word shingles as 64-bit hashes. The sketch has 256 bins. In round i each
 element is placed in one bin with a hashed value; a bin keeps the smallest (round, value). Rounds go on until every
 bin is filled; those from 256 on aim at one bin each, so every bin fills whatever the size of the set. Two sets agree in a bin
-with a probability equal to their similarity, and agreement concentrates like independent draws. 36 bands of 7 bins
-miss a pair at similarity 0.85 with probability below 1e-6.
+with a probability equal to their similarity, and agreement concentrates like independent draws. The bands follow from
+the threshold: as many bins a band as still miss a pair at the threshold with probability below 1e-6 (at 0.85
+36 bands of 7, at 0.8 51 of 5). Below 0.06 even bands of one bin miss more.
 
 Equal sets are found by their digest first and take part once. Sets that share a band are candidates; every link
 is confirmed on the full sets. Pairs are never written out: candidates that hang together through shared bands form a
@@ -34,8 +35,8 @@ from .shared import give_back, join_counted, released, written
 
 SHINGLE = 5
 BINS = 256
-BAND_ROWS = 7
-BANDS = BINS // BAND_ROWS
+#: Probability to miss a pair at the threshold.
+MISSED = 1e-6
 #: A task compares sets of about this many shingles together.
 GROUP_SHINGLES = 1_500_000
 #: Up to this many candidates (tens of MB) are broadcast to fetch their texts; more are joined by a shuffle.
@@ -45,7 +46,7 @@ WORD_MEMO = 250_000
 _U = np.uint64
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 _ROUNDS = np.random.default_rng(3).integers(1, 2**63, 2 * BINS, dtype=np.uint64)
-_BAND_WEIGHTS = np.random.default_rng(4).integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) | _U(1)
+_BAND_WEIGHTS = np.random.default_rng(4).integers(1, 2**63, BINS, dtype=np.uint64) | _U(1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _U(56)
 _LOW = _U((1 << 46) - 1)
 
@@ -104,14 +105,21 @@ def sketch(elements: np.ndarray, *, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; equal keys mean equal bins there."""
-    mixed = mix(values[: BANDS * BAND_ROWS]).reshape(BANDS, BAND_ROWS)
-    return mix((mixed * _BAND_WEIGHTS).sum(axis=1, dtype=np.uint64))
+def band_rows(percent: int) -> int:
+    """Bins a band: the most with which a pair at ``percent`` similarity is missed with a probability below ``MISSED``."""
+    return next((r for r in range(BINS, 1, -1) if (1 - (percent / 100) ** r) ** (BINS // r) < MISSED), 1)
 
 
-def features(docs: DataFrame) -> DataFrame:
+def bands(values: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` bins; equal keys mean equal bins there."""
+    n = BINS // rows
+    mixed = mix(values[: n * rows]) * _BAND_WEIGHTS[: n * rows]
+    return mix(mixed.reshape(n, rows).sum(axis=1, dtype=np.uint64))
+
+
+def features(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, bands``: size, digest and band keys of each document's set."""
+    width = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -126,8 +134,8 @@ def features(docs: DataFrame) -> DataFrame:
                     a.append(int.from_bytes(digest[:8], "little", signed=True))
                     b.append(int.from_bytes(digest[8:], "little", signed=True))
                     if len(s):
-                        keys.append(bands(sketch(s)))
-                    ends.append(len(keys) * BANDS)
+                        keys.append(bands(sketch(s), width))
+                    ends.append(len(keys) * (BINS // width))
                 flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
@@ -204,13 +212,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; links at ``percent`` similarity or more."""
-    feats = written(spark, features(docs), "features")
+    feats = written(spark, features(docs, percent), "features")
     rows = feats.count()
     # equal sets: the smallest doc_id stands for all
     groups = written(spark, feats.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
     keys = feats.join(groups.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared_bands = keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(spark, join_counted(keys, shared_bands, ["band"], "size", rows * BANDS, "inner").distinct(), "members")
+    members = written(spark, join_counted(keys, shared_bands, ["band"], "size", rows * (BINS // band_rows(percent)), "inner").distinct(), "members")
     heads = members.groupBy("band").agg(F.min("rep").alias("head"))
     family = components(spark, members.join(heads, "band").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
     # what is compared together: a family, or its buckets if it is too large, in blocks if those are

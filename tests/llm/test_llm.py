@@ -455,6 +455,23 @@ def test_near_duplicates(spark, monkeypatch, group):
     assert len(out) == len(texts) + 2 and minhash.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_bands_follow_the_threshold(spark):
+    assert [minhash.band_rows(p) for p in (100, 85, 80, 50)] == [256, 7, 5, 2]
+    for p in (6, 30, 50, 80, 85, 99):
+        r = minhash.band_rows(p)
+        assert (1 - (p / 100) ** r) ** (minhash.BINS // r) < 1e-6
+    rng = np.random.default_rng(6)
+    pairs = {}
+    for i in range(40):  # 60 of 120 shingles are common
+        common = [f"c{i}x{k}" for k in range(64)]
+        for j in range(2):
+            pairs[2 * i + j] = " ".join(common + [f"o{i}x{j}x{k}" for k in rng.integers(0, 10**9, 30)])
+    want = plain_components(pairs, 50)
+    assert sum(i != c for i, (_, c) in want.items()) == 40
+    df = spark.createDataFrame(list(pairs.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, df, percent=50).collect()} == want
+
+
 def test_connecting_links():
     rng = np.random.default_rng(8)
     words = minhash._Words()
