@@ -225,6 +225,12 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.html_sections(spark.createDataFrame(LINEAR, "page_id int, text string, title string")).select("page_id", "page_number", "section")
 
 
+@query("html_page_sections")
+def html_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-15 over all pages; linearising has no SQL form."""
+    return chunking.html_sections(chunking.linearised(table(spark, sf_dir, "pages"))).select("page_id", "page_number", "section")
+
+
 @query("fact_preservation", r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), 'https?://[^ \n\t]+|[0-9]+(?:[.,:][0-9]+)*%?') AS a, regexp_extract_all(lower(regexp_replace(text, '[0-9]{3}', 'x')), 'https?://[^ \n\t]+|[0-9]+(?:[.,:][0-9]+)*%?') AS b FROM documents),
 s AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(a) AS x FROM t) GROUP BY ALL), r AS (SELECT doc_id, x, count(*) AS m FROM (SELECT doc_id, unnest(b) AS x FROM t) GROUP BY ALL)
