@@ -1,12 +1,13 @@
 """A training corpus in five stages, each of which writes a table that the next one reads.
 
-Language identification drops texts without a letter; line deduplication takes boilerplate lines out per source and drops texts that
+Language identification drops texts without a letter and long ones in no learned language; line deduplication takes boilerplate lines out per source and drops texts that
 held nothing else; near-duplicate detection keeps one document of each group; mixing takes sources to their target
 words, repeating or leaving out documents; packing cuts what is left into power-of-two pieces.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,23 @@ from tarnlake.llm.shared import written
 LINE_RATIO = 0.01
 LINE_PAGES = 1000
 
+#: A text of so many characters whose best cosine is below this is in no learned language. The cosine of unrelated vectors of 1024
+#: signs strays by 1/32, so this is three times that; in shorter texts it says too little.
+LEAST_SCORE = 0.094
+SCORED_CHARS = 100
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts and texts without a letter."""
+    """Rejects what has no language: null texts, texts without a letter and long ones unlike every learned language.
+
+    Where nothing was learned, every text with a letter stays.
+    """
     names, prototypes = langid.fit(docs.filter(~langid.held_out()))
-    return langid.classify(docs, names, prototypes).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    least = LEAST_SCORE if names else 0.0
+    if not names:  # one language unlike every text: a letter decides
+        names, prototypes = ["any"], np.zeros((1, langid.DIMENSIONS), np.float32)
+    like = (F.col("score") >= least) | (F.length("text") < SCORED_CHARS)
+    return langid.classify(docs, names, prototypes).filter((F.col("lang_pred") != langid.UNKNOWN) & like).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -75,3 +76,14 @@ def test_lines_of_a_large_source(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
     assert len(out) == 1000 and all(r.text == f"own {i}" for i, r in out.items())
+
+
+def test_language_stage(spark):
+    rng = np.random.default_rng(3)
+    make = lambda pool: "".join(rng.choice(list(pool), 400))
+    rows = [(i, make("abcde  "), "x", "s", 1) for i in range(50)] + [(100 + i, make("qzжщю  "), None, "s", 1) for i in range(20)] + [(200, "qz", None, "s", 1), (201, "12 ☃", "x", "s", 1), (202, None, "x", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept >= {*range(50), 200} and not kept & {201, 202} and len(kept & set(range(100, 120))) <= 4
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, none, SF).collect()} == {i for i, *_ in rows} - {201, 202}
