@@ -6,8 +6,9 @@ bundles its labelled texts. A text gets the language whose prototype has the lar
 
 Letters are folded to lower case; letters beyond a-z share a few vectors by code point; runs of other characters count
 as one gap. A text is counted per distinct trigram first, so bundling is one matrix product for a block of texts.
-Prototypes are fitted on at most about ``train_rows`` labelled texts (whole ones), picked by a seeded hash; the rest
-of the work is one pass without a shuffle.
+Prototypes are fitted on about ``train_rows`` labelled texts (whole ones), shared out evenly among the languages; a rare one
+gives all it has, and none is asked for less than ``LEAST_ROWS``, so that many languages may exceed the bound by that
+number each. A seeded hash picks the texts; the rest of the work is one pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing labelled
 exists; equal cosines fall to the smaller language name; repeated rows are judged alike; an empty table gives no rows;
@@ -28,6 +29,8 @@ from .shared import released
 DIMENSIONS = 1024
 SYMBOLS = 40
 TRAIN_ROWS = 20_000
+#: Texts that a language gives at least, if it has so many.
+LEAST_ROWS = 20
 UNKNOWN = "und"
 _BLOCK = 64
 
@@ -106,10 +109,16 @@ class Profiler:
 def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS, seed: int = 5) -> tuple[list[str], np.ndarray]:
     """Language names in order and their prototypes, from ``doc_id, text, lang`` rows; about ``train_rows`` are used."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    n = labelled.count()
-    if n > train_rows:
-        span = 1 << 30
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(span)) < int(span * train_rows / n))
+    sizes = sorted((r["count"], r.lang) for r in labelled.groupBy("lang").count().collect())  # a row for each language
+    if sum(n for n, _ in sizes) > train_rows:
+        span, left = 1 << 30, train_rows
+        below = []
+        for k, (n, lang) in enumerate(sizes):
+            share = left / (len(sizes) - k)
+            left -= min(n, share)
+            below.append((lang, int(span * min(1.0, max(share, LEAST_ROWS) / n))))
+        rates = labelled.sparkSession.createDataFrame(below, "lang string, below long")
+        labelled = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(span)) < F.col("below"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, sums = Profiler(dimensions, seed), {}

@@ -526,3 +526,9 @@ def test_bound_on_training_rows(spark):
     docs = sf(spark)
     names, prototypes = langid.fit(docs, train_rows=100)
     assert len(names) == 4 and np.allclose(np.linalg.norm(prototypes, axis=1), 1, atol=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "abc abd", "x" if i % 2 else "y") for i in range(3000)] + [(5000 + i, "zzz zyz", "z") for i in range(4)]
+    names, _ = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=100)
+    assert names == ["x", "y", "z"]
