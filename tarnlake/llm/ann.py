@@ -6,6 +6,11 @@ the share of a vector's neighbours in each part. It routes every row of the tabl
 each query to as many of its most probable parts as reach a probability mass, where candidates are ranked by their
 exact inner product in double precision.
 
+Where lengths differ, routing sees candidates with one more component, sqrt(longest^2 - length^2), and queries with 0
+there: all candidates are then equally long and the largest inner product is the largest cosine. The network learns
+from the sample in both roles. About one in ``LONG_SHARE`` candidates, the longest, form a further part that every query
+visits; "longest" above is that of the others. Vectors of one length are routed as they are.
+
 The sample bounds the model (``fit_rows``, a few MB, sent with the tasks); every row is indexed. A part of more than
 ``block_rows`` rows is split into blocks by a hash, so parts that hold many equal vectors spread over tasks; each block
 returns its best candidates and a last step merges them. With ``COPIES`` above 1 rows go to several parts; the merge
@@ -37,6 +42,7 @@ EPOCHS = 30
 MASS = 0.95
 LEAST_PROBES = 4
 COPIES = 1
+LONG_SHARE = 16
 BLOCK_ROWS = 20_000
 
 
@@ -62,11 +68,17 @@ class Router:
         return np.round(e / e.sum(axis=1, keepdims=True), 9)
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """Indices of each row's ``k`` largest inner products among the others."""
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Candidates with the component that makes all as long as the longest, whose square is given."""
+    return np.hstack([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1, keepdims=True), 0))])
+
+
+def neighbour_graph(x: np.ndarray, k: int, asks: np.ndarray | None = None) -> np.ndarray:
+    """Indices of each row's ``k`` largest inner products (those of its form in ``asks``) among the others."""
+    asks = x if asks is None else asks
     out = np.empty((len(x), k), np.int64)
     for a in range(0, len(x), 1000):
-        s = x[a : a + 1000] @ x.T
+        s = asks[a : a + 1000] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
         out[a : a + 1000] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
@@ -136,14 +148,18 @@ def train(x: np.ndarray, shares: np.ndarray, hidden: int = HIDDEN, epochs: int =
     return Router(*p)
 
 
-def fit_router(sample: np.ndarray, rows: int, *, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> Router:
-    """Graph, parts and network from a sample of a table of ``rows`` vectors."""
+def fit_router(sample: np.ndarray, rows: int, *, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS, longest: float | None = None) -> Router:
+    """Graph, parts and network from a sample of a table of ``rows`` vectors, lifted where the ``longest`` square is given."""
     x = np.unique(sample, axis=0)  # equal vectors would only see each other
+    asks = None
+    if longest is not None:
+        asks = np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30), np.zeros((len(x), 1))])
+        x = lifted(x, longest)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     parts = max(1, min(-(-rows // part_rows), most_parts, len(x) // 32))
     k = min(NEIGHBOURS, len(x) - 1)
     if parts < 2 or k < 1:
-        d = sample.shape[1]
+        d = x.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = neighbour_graph(x, k)
     label = balanced_parts(x, graph, parts)
@@ -151,7 +167,12 @@ def fit_router(sample: np.ndarray, rows: int, *, part_rows: int = PART_ROWS, mos
     np.add.at(shares, (np.arange(len(x)), label), 1.0)
     for j in range(k):
         np.add.at(shares, (np.arange(len(x)), label[graph[:, j]]), 1.0)
-    return train(x, shares / (k + 1))
+    if asks is None:
+        return train(x, shares / (k + 1))
+    near = np.zeros((len(x), parts))
+    for place in neighbour_graph(x, k, asks).T:
+        np.add.at(near, (np.arange(len(x)), label[place]), 1.0)
+    return train(np.vstack([x, asks]), np.vstack([shares / (k + 1), near / k]))
 
 
 def usable(vector: Column) -> Column:
@@ -186,22 +207,36 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: in
     sample = [r.v for r in rows.filter(mark < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30)) + 1).limit(2 * fit_rows).collect()]
     width = max((lengths := [len(v) for v in sample]), key=lengths.count, default=1)
     x = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width)
-    router = fit_router(x, n) if len(x) else Router(np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    square = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
+    least, most = rows.filter(F.size("v") == width).select(F.min(square), F.max(square)).first()
+    longest = None
+    if len(x) and most - least > 1e-5 * most and np.isfinite(most):
+        lengths = (x * x).sum(axis=1)
+        longest = float(np.quantile(lengths, 1 - 1 / LONG_SHARE))
+        x = x[lengths <= longest]
+    router = fit_router(x, n, longest=longest) if len(x) else Router(np.zeros((width + (longest is not None), 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     parts = router.w2.shape[1]
     fit = lambda df: good(df).filter(F.size("v") == width)
 
     def route(asking: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _batches(batches):
-                p = router.probabilities(_matrix(b.column(1), width))
+                m = _matrix(b.column(1), width)
+                if longest is not None:
+                    m = np.hstack([m, np.zeros((len(m), 1))]) if asking else lifted(m, longest)
+                p = router.probabilities(m)
                 order = np.argsort(-p, axis=1, kind="stable")
                 if asking:
                     before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
                     take = (before < mass) | (np.arange(parts) < LEAST_PROBES)
                 else:
                     take = np.broadcast_to(np.arange(parts) < COPIES, order.shape)
-                row, place = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))], ["id", "v", "part"])
+                part = np.where(take, order, -1)
+                if longest is not None:
+                    far = np.full((len(m), 1), True) if asking else (m[:, :width] ** 2).sum(axis=1, keepdims=True) > longest
+                    part = np.hstack([part if asking else np.where(far, -1, part), np.where(far, parts, -1)])
+                row, place = np.nonzero(part >= 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(part[row, place].astype(np.int32))], ["id", "v", "part"])
 
         return run
 

@@ -254,6 +254,21 @@ def test_neighbours_odd_cases(spark):
     assert ann.search(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_mixed_norm(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 16)) * 0.6
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = (x * rng.lognormal(0, 0.7, (4000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.search(spark, df, df.filter("vec_id % 20 = 0")).collect():
+        got[r.query_id].append(r.vec_id)
+        assert math.isclose(r.score, float(x[r.query_id].astype(float) @ x[r.vec_id].astype(float)), rel_tol=1e-9, abs_tol=1e-9)
+    recall = np.mean([len(set(got[i]) & set(w)) / 20 for i, w in brute(np.arange(4000), x.astype(np.float64), 20).items()])
+    assert recall >= 0.95, recall
+
+
 # 6. lines
 
 
