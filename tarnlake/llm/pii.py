@@ -31,7 +31,10 @@ KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 CENTURIES = {"19": (92, 397), "20": (75, 487)}
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)"
-PHONE = r"(?<![\d+])(?:(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])[2-9]\d{2}[ .\-]\d{4}|\+1\d{3}[2-9]\d{6}|\+[2-9]\d{0,2}(?:[ .\-/]?\(?\d{2,4}\)?){2,4})(?!\d)"
+#: Java's look behind takes no repeated group.
+_DIGIT = r"[ .\-/()]{0,3}\d"
+#: The look behind holds a number to 15 digits, so that one with another number after it still matches.
+PHONE = r"(?<![\d+])(?:(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])[2-9]\d{2}[ .\-]\d{4}|\+1\d{3}[2-9]\d{6}|\+[2-9]\d{0,2}(?:[ .\-/]?\(?\d{2,4}\)?){2,4}" + f"(?<!\\+{_DIGIT * 16}{f'(?:{_DIGIT})?' * 3})" + r")(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])"
 DATE = r"(?<![\d./\-])(?:(?:19|20)\d{2}-\d{2}-\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2}|\d{2}/\d{2}/(?:19|20)\d{2})(?![\d/\-]|\.\d)"

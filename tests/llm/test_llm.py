@@ -113,6 +113,13 @@ def test_pseudonyms_keep_format(spark):
     assert other.text != out[0].text and pii.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_pseudonyms_of_numbers_before_others(spark):
+    texts = ["+44 20 7946 0958 2023", "+44 (20) 7946 0958 2023.", "+4420794609582023", "+49 30 123456"]
+    a, b, c, d = (r.text for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), "key").orderBy("doc_id").collect())
+    assert "7946 0958" not in a and a.startswith("+44 ") and a.endswith(" 2023") and len(a) == len(texts[0])
+    assert "7946 0958" not in b and b.endswith(" 2023.") and c == texts[2] and d != texts[3]
+
+
 def test_pseudonyms_leave_clean_texts(spark):
     import re
 
