@@ -1,16 +1,20 @@
 """Packing by power-of-two decomposition.
 
 Each document's token ids (with an end-of-text id) are cut into pieces whose lengths are powers of two: as many of
-the longest length as fit, then the binary digits of the remainder, longest first. Pieces of equal length form a
-bucket, and a training batch is drawn from one bucket, so no sequence crosses documents and none holds padding.
+the longest length as fit, then the binary digits of the remainder, longest first. Pieces of equal length are gathered
+in a bucket, and a training batch is drawn from one bucket, so no sequence crosses documents and none holds padding.
+
+A bucket is spread over cells by a hash of (document, start, checksum), about ``cell_rows`` pieces each: one shuffle
+brings a cell's pieces together, where they stand in the order of that hash. The sequence id counts them there and
+names bucket and cell, so it does not depend on how the table was partitioned.
 
 Tokenising dominates the cost. The vocabulary drops white space and joins nothing across it, so the ids of a text are
-the ids of its white-space separated chunks, one after the other. Each worker keeps a bounded memo from chunk to ids;
-chunks it has not seen go to the tokenizer in batches.
+the ids of its white-space separated chunks, one after the other. Each worker keeps a memo from chunk to ids, bounded
+by bytes, from task to task; chunks it has not seen go to the tokenizer in batches.
 
 Defined cases: a null or empty text gives the end id alone (one piece of length 1); repeated rows are packed each for
-itself; a null ``doc_id`` stays null; an empty table gives no rows; other columns of the input are ignored. Nothing is
-shuffled, so neither hot keys nor groups of copies matter, and a lost task is redone from its own file split.
+itself, and those equal in id and text meet in one cell; a null ``doc_id`` stays null; an empty table gives no rows;
+other columns of the input are ignored. A hot source or a group of copies under ids of their own is spread like any other rows.
 """
 
 from __future__ import annotations
@@ -23,15 +27,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import released
+from .shared import give_back
 
 LONGEST = 2048
 END_ID = 1
-#: Chunks and word pieces that a worker remembers at most before it starts afresh.
-MEMO_ENTRIES = 600_000
+#: Bytes that a worker's memo of chunks and word pieces takes, about, before it starts afresh.
+MEMO_BYTES = 200 << 20
+#: What an entry takes besides its characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 180
+#: A chunk of more bytes than this is not remembered: it will hardly come again.
+LONGEST_CHUNK = 64
+#: Pieces of a bucket that are gathered in one cell, about: layouts alone, and with their ids.
+CELL_ROWS = 20_000
+CELL_ROWS_WITH_IDS = 1_000
 #: Texts cut at a time.
 BLOCK_ROWS = 128
 #: The tokenizer's own word pattern, for lower-case text of Latin-1 (fixed values: its letters and numbers).
@@ -42,7 +53,7 @@ _VISIBLE = re.compile("[\x21-\x7e\xa1-\xff]+\\Z")
 class ChunkTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes, equal to ``encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -50,7 +61,7 @@ class ChunkTokenizer:
         # one vocabulary serves both ways of reading: whole text, and word pieces already normalised and cut
         self.model = Tokenizer.from_file(path)
         self.ways = {"whole": (self.model.normalizer, self.model.pre_tokenizer), "pieces": (None, WhitespaceSplit())}
-        self.limit = memo_entries
+        self.limit, self.held = memo_bytes, 0
         shown = {b: b for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
         self.shown = shown | {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)} | {0x20: 0x20}
         self.chunks: dict[bytes, bytes] = {}
@@ -73,6 +84,7 @@ class ChunkTokenizer:
             at = 0
             for w, end in zip(held, ends, strict=True):
                 self.words[w] = ids[at:end]
+                self.held += ENTRY_BYTES + len(w) + end - at
                 at = end
 
     def _learn(self, missing: set[bytes]) -> None:
@@ -125,9 +137,10 @@ class ChunkTokenizer:
         """For each text its ids; a null text has none. Give it blocks of texts: unknown chunks are learnt once a block."""
         split = [t.encode("utf-8").split() if t else [] for t in texts]
         memo = self.chunks
-        if len(memo) > self.limit or len(self.words) > self.limit:
+        if self.held > self.limit:
             memo.clear()
             self.words.clear()
+            self.held = 0
         missing = set().union(*split)
         missing.difference_update(memo)
         if missing:
@@ -138,7 +151,26 @@ class ChunkTokenizer:
             finally:
                 if held:
                     gc.enable()
-        return [b"".join(map(memo.__getitem__, parts)) for parts in split]
+        out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
+        for chunk in missing:
+            if len(chunk) > LONGEST_CHUNK:
+                del memo[chunk]
+            else:
+                self.held += ENTRY_BYTES + len(chunk) + len(memo[chunk])
+        return out
+
+
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def worker_tokenizer(path: str, memo_bytes: int) -> ChunkTokenizer:
+    """This worker's tokenizer for a vocabulary, kept from task to task."""
+    found = _TOKENIZERS.get(path)
+    if found is None:
+        _TOKENIZERS.clear()
+        found = _TOKENIZERS[path] = ChunkTokenizer(path, memo_bytes)
+    found.limit = memo_bytes
+    return found
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -152,19 +184,13 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id: int = END_ID, emit_ids: bool = True, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, bucket, offset[, ids], sequence_id``.
-
-    ``bucket`` is the base-two logarithm of the length; each piece is a sequence of its own. ``longest`` must be a
-    power of two. ``emit_ids=False`` leaves the id arrays out for callers that want the layout and checksums alone.
-    """
-    if longest < 1 or longest & (longest - 1):
-        raise ValueError("longest must be a power of two")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, bucket int, offset long" + ", ids array<int>" * emit_ids
+def pieces(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id: int = END_ID, emit_ids: bool = True, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """One row per piece, where its document lies: ``doc_id, start, length, ids_crc32, doc_tokens, bucket[, ids]``."""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * emit_ids
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(tokenizer_path, memo_entries)
+        tok = worker_tokenizer(tokenizer_path, memo_bytes)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
@@ -181,8 +207,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id
                         crc.append(zlib.crc32(view[4 * begin : 4 * (begin + size)]))
                         total.append(n)
                         begin += size
-                cols = [part.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array([x.bit_length() - 1 for x in length], pa.int32()), pa.array([0] * len(row), pa.int64())]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "offset"]
+                cols = [part.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array([x.bit_length() - 1 for x in length], pa.int32())]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"]
                 if emit_ids:
                     flat = pa.Array.from_buffers(pa.int32(), sum(length), [None, pa.py_buffer(b"".join(held))])
                     ends = [0]
@@ -191,5 +217,32 @@ def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
+
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+
+
+def gather(cut: DataFrame, cells: int, *, seed: int = 13) -> DataFrame:
+    """Pieces brought together by bucket, in ``cells`` cells each, with ``sequence_id`` and ``offset`` (0)."""
+    key = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")
+    placed = cut.withColumn("__key", key).withColumn("__cell", F.pmod("__key", F.lit(cells)))
+    place = F.row_number().over(Window.partitionBy("bucket", "__cell").orderBy("__key", "doc_id", "start")).cast("long") - 1
+    sequence = (place * cells + F.col("__cell")) * 64 + F.col("bucket")
+    return placed.withColumn("sequence_id", sequence).withColumn("offset", F.lit(0).cast("long")).drop("__key", "__cell")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = LONGEST, end_id: int = END_ID, emit_ids: bool = True, memo_bytes: int = MEMO_BYTES, cell_rows: int | None = None) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, bucket[, ids], sequence_id, offset``, gathered by bucket.
+
+    ``bucket`` is the base-two logarithm of the length; each piece is a sequence of its own. ``longest`` must be a
+    power of two. ``emit_ids=False`` leaves the id arrays out for callers that want the layout and checksums alone.
+    """
+    if longest < 1 or longest & (longest - 1):
+        raise ValueError("longest must be a power of two")
+    cells = max(1, -(-docs.count() // (cell_rows or (CELL_ROWS_WITH_IDS if emit_ids else CELL_ROWS))))
+    return gather(pieces(docs, tokenizer_path, longest=longest, end_id=end_id, emit_ids=emit_ids, memo_bytes=memo_bytes), cells)
+
 
-    return docs.select("doc_id", "text").mapInArrow(released(cut), schema).withColumn("sequence_id", F.monotonically_increasing_id())
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """A folder per bucket: all files of a folder hold sequences of one length."""
+    packed.write.partitionBy("bucket").parquet(path)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Folders written by this process, oldest first.
+_WRITTEN: list[str] = []
 
 
 def released(run: Callable) -> Callable:
@@ -35,23 +41,83 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where one machine is all there is."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed by :func:`scratch`, :func:`remove` or when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of :func:`new_folder`, by the file system that Spark has for them."""
+    sc = spark.sparkContext
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders written inside go at the end, but for those that the caller takes out of the list given."""
+    before = set(_WRITTEN)
+    spared: list[str] = []
+    try:
+        yield spared
+    finally:
+        remove(spark, [p for p in _WRITTEN if p not in before and p not in spared])
+
+
+@atexit.register
+def _leave_nothing() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        try:
+            remove(spark, list(_WRITTEN))
+        except Exception:  # noqa: BLE001  the session has gone before
+            pass
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: cuts lineage, keeps column pruning."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def sums_before(totals: DataFrame, key: str, value: str, *, span: int = 4096) -> DataFrame:
+    """``totals`` (one row per whole-number ``key``) with ``before``: the sum of ``value`` over all smaller keys.
+
+    Sums of ``span`` keys are added up first, so that no task sorts more than ``span`` rows or a row per ``span`` keys.
+    """
+    cells = totals.withColumn("__cell", F.floor(F.col(key) / span))
+    over = cells.groupBy("__cell").agg(F.sum(value).alias("__all"))
+    over = over.select("__cell", (F.sum("__all").over(Window.orderBy("__cell")) - F.col("__all")).alias("__earlier"))
+    inside = F.sum(value).over(Window.partitionBy("__cell").orderBy(key)) - F.col(value)
+    return cells.withColumn("before", inside).join(over, "__cell").withColumn("before", F.col("before") + F.col("__earlier")).drop("__cell", "__earlier")
+
+
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table."""
     shared_dir(spark)
@@ -68,8 +134,6 @@ def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str,
     Keys with more than one 200th of the ``rows`` are at most 200 rows of ``small`` and are broadcast; the others shuffle.
     ``how`` is ``inner`` or ``left``; null keys match nothing.
     """
-    from pyspark.sql import functions as F
-
     extra = [c for c in small.columns if c not in keys and c != count]
     hot = small.filter(F.col(count) * HOT_SHARE > rows).select(*keys, F.struct(*extra).alias("__hot"))
     cold = small.filter(F.col(count) * HOT_SHARE <= rows).select(*keys, *extra)

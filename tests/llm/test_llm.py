@@ -44,7 +44,7 @@ def sf(spark):
 
 
 def test_tokenizer_is_exact():
-    tok, own = Tokenizer.from_file(VOCABULARY), packing.ChunkTokenizer(VOCABULARY, memo_entries=50)
+    tok, own = Tokenizer.from_file(VOCABULARY), packing.ChunkTokenizer(VOCABULARY, memo_bytes=20_000)
     pool = [chr(i) for i in range(256)] + list("漢ßσΣ١٢👨‍'stre<|>endoftext \ń")
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(pool, rng.integers(1, 60))) for _ in range(3000)] + ["<|endoftext|> a<|endoftext|>b", "½ªº²x 10µm l’été", "ﬁ ǅ İ", ""]
@@ -80,6 +80,35 @@ def test_packing(spark):
         packing.pack(docs, VOCABULARY, longest=1000)
 
 
+def test_packing_by_bucket(spark, tmp_path):
+    docs = documents(spark, [(i, "word " * (i % 40), "s") for i in range(300)])
+    key = lambda df: sorted((r.sequence_id, r.doc_id, r.start, r.length, r.bucket) for r in df.collect())
+    out = packing.pack(docs, VOCABULARY, cell_rows=50, longest=8)
+    assert key(out) == key(packing.pack(docs.repartition(7), VOCABULARY, cell_rows=50, longest=8))
+    assert len({r[0] for r in key(out)}) == len(key(out)) and all(r[0] % 64 == r[4] for r in key(out))
+    place = out.withColumn("p", F.spark_partition_id()).collect()
+    cells = defaultdict(set)
+    for r in place:
+        cells[r.bucket, r.sequence_id // 64 % 6].add(r.p)
+    assert all(len(p) == 1 for p in cells.values())
+    packing.write_buckets(out, f"{tmp_path}/b")
+    assert {(r.bucket, r.length) for r in spark.read.parquet(f"{tmp_path}/b").select("bucket", "length").distinct().collect()} == {(k, 1 << k) for k in range(4)}
+
+
+def test_packing_of_a_whole_table(spark):
+    tok = Tokenizer.from_file(VOCABULARY)
+    got = defaultdict(list)
+    for r in QUERIES["op1_pack_binary"](spark, SF).collect():
+        got[r.doc_id].append(r)
+    docs = sf(spark).collect()
+    assert set(got) == {r.doc_id for r in docs}
+    for d in docs:
+        ids = np.array(tok.encode(d.text or "", add_special_tokens=False).ids + [1], "<u4")
+        rows = sorted(got[d.doc_id], key=lambda r: r.start)
+        assert [r.length for r in rows] == packing.piece_lengths(len(ids)) and all(r.doc_tokens == len(ids) and r.offset == 0 for r in rows)
+        assert [(r.start, r.ids_crc32) for r in rows] == [(a := sum(x.length for x in rows[:k]), zlib.crc32(ids[a : a + r.length].tobytes())) for k, r in enumerate(rows)]
+
+
 # 2. pseudonyms
 
 
