@@ -3,6 +3,12 @@
 Language identification drops texts without a letter and long ones in no learned language; line deduplication takes boilerplate lines out per source and drops texts that
 held nothing else; near-duplicate detection keeps one document of each group; mixing takes sources to their target
 words, repeating or leaving out documents; packing cuts what is left into power-of-two pieces.
+
+Defined cases: null and empty texts and texts without a letter go in the first stage; a null ``doc_id`` is a document of its own
+to near-duplicate detection and stays, rows that share a ``doc_id`` are one document there and all stay or go together; null
+sources are one source to line deduplication and to mixing; repeated rows are exact copies, of which those under one ``doc_id`` stay;
+a null ``lang`` teaches nothing; very long texts are one row in every stage; extra columns travel along up to packing, but those
+that an operator adds (``lines, dropped, lang_pred, score, size, position`` ...) are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import langid, linededup, minhash, mixing, packing
-from tarnlake.llm.shared import written
+from tarnlake.llm.shared import new_folder, remove, scratch
 
 #: Boilerplate is a line on over this share of a source's documents, or on so many of them. A source holds far more than one site's
 #: pages, so the share is lower than op6's.
@@ -59,7 +65,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # a smaller memo than alone: workers of the stages before still hold memory
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_entries=60_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_bytes=24 << 20)
 
 
 STAGES = [
@@ -75,9 +81,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(spark, docs, name.replace(" ", "-"))
-    return docs
+    """The packed corpus. A stage's own tables, and the one it read, go when its result has been written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as spared:
+            out = stage(spark, docs, sf_dir)
+            before, path = path, new_folder(spark, name.replace(" ", "-"))
+            spared.append(path)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, [before])
+    return STAGES[-1][1](spark, docs, sf_dir)
