@@ -2,20 +2,22 @@ r"""Personal data replaced by format-preserving pseudonyms.
 
 Found and validated: payment cards (13 to 19 digits with a right check digit, in one run or in groups), North American
 and international telephone numbers, IPv4 addresses, social security numbers, calendar dates of 1900 to 2099, and
-e-mail addresses. What fails validation stays as it is.
+e-mail addresses. What fails validation stays as it is. A host name is read up to ``LABELS`` labels and a top level;
+every repetition of a group in the patterns is bounded, so that no text is too long for them.
 
 A number is split in two parts over Z_m x Z_n and goes through a Feistel network: in turn each part is shifted by a
 keyed hash of the other, modulo its own size. Every round can be undone, so this is a permutation of exactly the valid
 values: a card keeps its length, first digit and separators and gets its check digit anew; a telephone number keeps
-country code and shape; a date keeps its century and layout. Permutations depend on the key and the kind of number
-only, so equal values stay equal across documents and different ones different. E-mail addresses, whose alphabet
-has no fixed size, get letters and digits from a keyed hash in the same shape; their domain stays.
+country code and shape; a date keeps its century and layout; a social security number moves among all valid ones, area
+included. Permutations depend on the key and the kind of number only, so equal values stay equal across documents and
+different numbers and dates different. E-mail addresses, whose alphabet has no fixed size, get letters and digits from
+a keyed hash in the same shape; their domain stays. Equal ones stay equal, but two short ones may meet.
 
 The main path is built-in column functions: matches are cut out, replaced and put back between the pieces around them.
 Nothing is shuffled.
 
 Defined cases: null texts stay null, texts without a match are returned as they are; very long texts are one row;
-repeated rows are treated alike; an empty table gives no rows; other columns stay, those named ``pii_*`` are replaced.
+repeated rows are treated alike; an empty table gives no rows; other columns stay, those named ``pii_<kind>`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +27,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ip", "ssn", "date")
 #: Days of the two centuries as products of two factors, for an exact two-part domain.
 CENTURIES = {"19": (92, 397), "20": (75, 487)}
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
+#: Labels of a host name that are read before its top level, at most.
+LABELS = 10
+#: A label begins and ends with a letter or digit; each is taken whole or not at all.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:(?!-)[A-Za-z0-9\-]{1,63}+(?<!-)\.){1," + str(LABELS) + r"}[A-Za-z]{2,24}"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)"
 #: Java's look behind takes no repeated group.
 _DIGIT = r"[ .\-/()]{0,3}\d"
@@ -131,8 +138,16 @@ def _ip(x: Column, key: str) -> Column:
 
 
 def _ssn(x: Column, key: str) -> Column:
-    s = feistel(F.substring(x, 5, 2).cast("long") - 1, F.substring(x, 8, 4).cast("long") - 1, 99, 9999, key, "ssn")
-    return _let(s, lambda s: F.concat(F.substring(x, 1, 4), _pad(s["a"] + 1, 2), F.lit("-"), _pad(s["b"] + 1, 4)))
+    """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+    area = F.substring(x, 1, 3).cast("long")
+    place = area - F.when(area > 666, 2).otherwise(1)
+    s = feistel(place * 99 + F.substring(x, 5, 2).cast("long") - 1, F.substring(x, 8, 4).cast("long") - 1, 898 * 99, 9999, key, "ssn")
+
+    def shown(s: Column) -> Column:
+        at = F.floor(s["a"] / 99)
+        return F.concat(_pad(at + F.when(at >= 665, 2).otherwise(1), 3), F.lit("-"), _pad(s["a"] % 99 + 1, 2), F.lit("-"), _pad(s["b"] + 1, 4))
+
+    return _let(s, shown)
 
 
 def _date(x: Column, key: str) -> Column:
@@ -181,11 +196,12 @@ def pseudonym(x: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     """``df`` with pseudonyms in ``text``, and ``pii_<kind> int``: how many values of each kind were replaced."""
     names = [f"pii_{k}" for k in KINDS]
+    new = unused(df, "new")
     found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = df.drop(*names).withColumn("__new", F.transform(found, lambda x: pseudonym(x, key)))
+    out = df.drop(*names).withColumn(new, F.transform(found, lambda x: pseudonym(x, key)))
     around = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(around, F.concat(F.transform("__new", lambda s: s["value"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    out = out.withColumn(text, F.when(F.size("__new") > 0, joined).otherwise(F.col(text)))
+    joined = F.array_join(F.zip_with(around, F.concat(F.transform(new, lambda s: s["value"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    out = out.withColumn(text, F.when(F.size(new) > 0, joined).otherwise(F.col(text)))
     for k, n in zip(KINDS, names, strict=True):
-        out = out.withColumn(n, F.when(F.size("__new") > 0, F.size(F.array_remove(F.transform("__new", lambda s: F.coalesce(s["kind"] == F.lit(k), F.lit(False))), False))).otherwise(0))
-    return out.drop("__new")
+        out = out.withColumn(n, F.when(F.size(new) > 0, F.size(F.array_remove(F.transform(new, lambda s: F.coalesce(s["kind"] == F.lit(k), F.lit(False))), False))).otherwise(0))
+    return out.drop(new)
