@@ -1,13 +1,18 @@
 """WARC archives with a two-level capture index.
 
-Writing: each page becomes a record of a gzip member of its own; members are gathered into archive segments of a few
-MB. Of pages with equal payloads of at least ``REVISIT_BYTES`` that with the smallest id is stored in full, the others
-refer to it. Segments are rows of a Parquet table in the shared folder, as executors reach other stores through Spark only.
+Writing: each page becomes a record of a gzip member of its own; members follow one another in archive files of up to
+``SEGMENT_BYTES`` in the shared folder, each file written by one attempt of one task under a name of its own. Of pages with
+equal payloads of at least ``REVISIT_BYTES`` that with the smallest id is stored in full, the others refer to it.
 
 Index: captures sorted by their URL key (host reversed, then path) are cut into blocks of lines, each compressed; the
 sparse directory holds every block's first key. A lookup searches the directory by bisection, then the block, then
-reads the byte range of the segment. The directory is sent to the tasks if it has at most ``DIRECTORY_ROWS`` rows
-(a few MB); a longer one is searched by bisection of every n-th row and a sorted merge within the slots between them.
+reads the byte range of the file. Only what is asked travels: keys go to blocks and ranges to readers, which open the
+file, jump to the range and read it; the archives themselves are never shuffled. The directory is sent to the tasks if
+it has at most ``DIRECTORY_ROWS`` rows (a few MB); of a longer one every n-th row is, and the slots between them are
+searched by a sorted merge.
+
+Files are opened through the file systems that Arrow knows (local and mounted folders, HDFS, S3, GCS); a shared folder
+in another store is refused with an error when the archive is written.
 
 Defined cases: a null html is an empty payload; a null url gets the key of an empty host; a null page id is written as
 empty, stays null and is never referred to; repeated rows are records each, all found again, and equal ids with equal
@@ -18,22 +23,25 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linededup import host
-from .shared import join_counted, written
+from .shared import join_counted, new_folder, written
 
 REVISIT_BYTES = 100
-SEGMENT_BYTES = 4 << 20
-SEGMENT_RECORDS = 2_000
+SEGMENT_BYTES = 256 << 20
+#: Ranges that begin in the same stretch of a file are read by one task.
+READ_BYTES = 8 << 20
 BLOCK_LINES = 300
 DIRECTORY_ROWS = 50_000
 #: The tables have no capture time.
@@ -43,9 +51,9 @@ _LEVEL = 4
 
 @dataclass(frozen=True)
 class Archive:
-    #: segment string, data binary, entries array<struct<key, page, at, size>>
-    segments: DataFrame
-    #: block string, first_key string, first_page long, data binary; sorted as the blocks' names are
+    #: folder of the archive files, as a URI
+    folder: str
+    #: block string, first_key string, first_page long, data binary; blocks sort as ``<part>-<number>``
     blocks: DataFrame
 
 
@@ -98,39 +106,49 @@ def write(spark: SparkSession, pages: DataFrame) -> Archive:
     marked = join_counted(captures, groups, ["digest"], "copies", pages.count())
     marked = marked.select("page_id", "url", "html", "key", "digest", F.when(F.coalesce(F.col("page_id") != F.col("original"), F.col("original").isNotNull()), F.col("original")).alias("refers_to"))
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held: list[bytes] = []
-        entries: list[dict] = []
-        size = done = 0
-
-        def segment() -> pa.RecordBatch:
-            kind = pa.list_(pa.struct([("key", pa.string()), ("page", pa.int64()), ("at", pa.int64()), ("size", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{done:08d}"]), pa.array([b"".join(held)], pa.binary()), pa.array([entries], kind)], ["segment", "data", "entries"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for page, url, html, key, digest, other in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
-                    member = record("" if page is None else str(page), url or "", (html or "").encode("utf-8"), digest, None if other is None else str(other))
-                    entries.append({"key": key, "page": page, "at": size, "size": len(member)})
-                    held.append(member)
-                    size += len(member)
-                    if size >= SEGMENT_BYTES or len(held) >= SEGMENT_RECORDS:
-                        yield segment()
-                        held, entries, size, done = [], [], 0, done + 1
-        if held:
-            yield segment()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_folder(spark, "archives"))
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    store_of(folder)  # an unknown store fails here rather than in every task
 
-    segments = written(spark, marked.mapInArrow(store, "segment string, data binary, entries array<struct<key: string, page: bigint, at: bigint, size: bigint>>"), "segments")
-    return Archive(segments, _index(spark, segments))
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = store_of(folder)
+        files.create_dir(path, recursive=True)
+        name, out, size = "", None, 0
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 200):
+                    some = batch.slice(first, 200)
+                    entries: tuple[list, list, list] = ([], [], [])
+                    for page, url, html, digest, other in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                        if out is None or size >= SEGMENT_BYTES:
+                            if out is not None:
+                                out.close()
+                            name, size = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.warc.gz", 0
+                            out = files.open_output_stream(f"{path}/{name}", compression=None)
+                        member = record("" if page is None else str(page), url or "", (html or "").encode("utf-8"), digest, None if other is None else str(other))
+                        for column, value in zip(entries, (name, size, len(member)), strict=True):
+                            column.append(value)
+                        out.write(member)
+                        size += len(member)
+                    yield pa.RecordBatch.from_arrays([some.column("key"), some.column("page_id"), pa.array(entries[0], pa.string()), pa.array(entries[1], pa.int64()), pa.array(entries[2], pa.int64())], ["key", "page", "segment", "at", "size"])
+        finally:
+            if out is not None:
+                out.close()
+
+    lines = written(spark, marked.mapInArrow(store, "key string, page long, segment string, at long, size long"), "captures")
+    return Archive(folder, _index(spark, lines))
+
+
+def store_of(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder's URI and the path there."""
+    return pyarrow.fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
 def _sort_page(page: int | None) -> int:
     return -(2**63) if page is None else page
 
 
-def _index(spark: SparkSession, segments: DataFrame) -> DataFrame:
-    lines = segments.select("segment", F.explode("entries").alias("e")).select("e.key", F.col("e.page").alias("page"), "segment", "e.at", "e.size")
+def _index(spark: SparkSession, lines: DataFrame) -> DataFrame:
     ordered = lines.repartitionByRange("key", "page").sortWithinPartitions("key", "page")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +174,6 @@ def _blocks_of(spark: SparkSession, archive: Archive, asked: DataFrame, most: in
     """``asked`` (key, page) with every ``block`` that may hold it."""
     directory = archive.blocks.select("first_key", "first_page", "block")
     n = directory.count()
-    order = F.row_number().over(Window.orderBy("block")) - 1
     if n <= most:
         rows = directory.orderBy("block").collect()
         firsts, names = [(r.first_key.encode(), r.first_page) for r in rows], [r.block for r in rows]
@@ -172,17 +189,19 @@ def _blocks_of(spark: SparkSession, archive: Archive, asked: DataFrame, most: in
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns), pa.array(block, pa.string())], ["key", "page", "block"])
 
         return asked.mapInArrow(bisect, "key string, page long, block string")
+    # a part's blocks are numbered from 0: every step-th one tops a slot, which its part and number name
     step = -(-n // most)
-    numbered = written(spark, directory.withColumn("n", order), "directory")
-    tops = numbered.filter(F.col("n") % step == 0).orderBy("block").collect()
-    firsts = [(r.first_key.encode(), r.first_page) for r in tops]
+    part, number = (F.split("block", "-")[k].cast("long") for k in (0, 1))
+    placed = directory.withColumn("slot", part * (1 << 34) + F.floor(number / step))
+    tops = placed.filter(number % step == 0).orderBy("block").collect()
+    firsts, slots = [(r.first_key.encode(), r.first_page) for r in tops], [r.slot for r in tops]
 
     def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [max(0, bisect_left(firsts, (key.encode(), page)) - 1) for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            found = [slots[max(0, bisect_left(firsts, (key.encode(), page)) - 1)] for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], ["key", "page", "slot"])
 
-    own = numbered.select(F.col("first_key").alias("key"), F.col("first_page").alias("page"), F.floor(F.col("n") / step).alias("slot"), "block")
+    own = placed.select(F.col("first_key").alias("key"), F.col("first_page").alias("page"), "slot", "block")
     both = own.withColumn("ask", F.lit(1)).unionByName(asked.mapInArrow(slot, "key string, page long, slot long").withColumn("block", F.lit(None).cast("string")).withColumn("ask", F.lit(0)))
     before = F.last("block", ignorenulls=True).over(Window.partitionBy("slot").orderBy("key", "page", "ask").rowsBetween(Window.unboundedPreceding, -1))
     # the last block that begins before the key, and all that begin with it
@@ -214,23 +233,41 @@ def locate(spark: SparkSession, archive: Archive, asked: DataFrame, *, directory
 
 def read(spark: SparkSession, archive: Archive, asked: DataFrame, *, payloads: bool = True, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
     """Records of the captures asked for (``url, page_id``): ``page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]``."""
-    ranges = locate(spark, archive, asked, directory_rows=directory_rows).groupBy("segment").agg(F.collect_list(F.struct("at", "size")).alias("ranges"))
+    ranges = locate(spark, archive, asked, directory_rows=directory_rows).groupBy("segment", F.floor(F.col("at") / READ_BYTES).alias("stretch")).agg(F.collect_list(F.struct("at", "size")).alias("ranges"))
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
+    folder = archive.folder
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = store_of(folder)
         for batch in batches:
             for k in range(batch.num_rows):
-                data = memoryview(batch.column(0)[k].as_buffer())
-                spans = batch.column(1)[k].as_py()
-                for a in range(0, len(spans), 500):
-                    got = [parse(bytes(data[s["at"] : s["at"] + s["size"]])) for s in spans[a : a + 500]]
-                    cols = [pa.array([int(r["page"]) if r["page"] else None for r in got], pa.int64()), pa.array([r["url"] for r in got], pa.string()), pa.array([r["bytes"] for r in got], pa.int64()), pa.array([r["digest"] for r in got], pa.string()), pa.array([r["kind"] for r in got], pa.string()), pa.array([int(r["refers_to"]) if r["refers_to"] else None for r in got], pa.int64())]
-                    if payloads:
-                        cols.append(pa.array([r["payload"] for r in got], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                spans = sorted((s["at"], s["size"]) for s in batch.column(1)[k].as_py())
+                with files.open_input_file(f"{path}/{batch.column(0)[k].as_py()}") as file:
+                    for a in range(0, len(spans), 500):
+                        got = []
+                        for run in _adjoining(spans[a : a + 500]):
+                            begin = run[0][0]
+                            data = file.read_at(run[-1][0] + run[-1][1] - begin, begin)
+                            got += [parse(data[at - begin : at - begin + size]) for at, size in run]
+                        cols = [pa.array([int(r["page"]) if r["page"] else None for r in got], pa.int64()), pa.array([r["url"] for r in got], pa.string()), pa.array([r["bytes"] for r in got], pa.int64()), pa.array([r["digest"] for r in got], pa.string()), pa.array([r["kind"] for r in got], pa.string()), pa.array([int(r["refers_to"]) if r["refers_to"] else None for r in got], pa.int64())]
+                        if payloads:
+                            cols.append(pa.array([r["payload"] for r in got], pa.binary()))
+                        yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return archive.segments.select("segment", "data").join(ranges, "segment").select("data", "ranges").mapInArrow(fetch, schema)
+    return ranges.select("segment", "ranges").mapInArrow(fetch, schema)
+
+
+def _adjoining(spans: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Sorted ranges in runs without a gap, which one read takes, of about ``READ_BYTES`` at most."""
+    run: list[tuple[int, int]] = []
+    for at, size in spans:
+        if run and (at > run[-1][0] + run[-1][1] or at + size - run[0][0] > READ_BYTES):
+            yield run
+            run = []
+        run.append((at, size))
+    if run:
+        yield run
 
 
 OP4_SQL = f"""

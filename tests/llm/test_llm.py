@@ -326,7 +326,8 @@ def test_warc(spark):
 
 def test_warc_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
-    monkeypatch.setattr(warc, "SEGMENT_RECORDS", 4)
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 900)
+    monkeypatch.setattr(warc, "READ_BYTES", 400)
     df = spark.createDataFrame([(i, f"http://h{i % 4}.org/{i // 8}", f"page {i}") for i in range(64)], "page_id long, url string, html string")
     archive = warc.write(spark, df)
     for most in (100, 3):
