@@ -35,7 +35,7 @@ from .shared import give_back
 LONGEST = 2048
 END_ID = 1
 #: Bytes that a worker's memo of chunks and word pieces takes, about, before it starts afresh.
-MEMO_BYTES = 200 << 20
+MEMO_BYTES = 300 << 20
 #: What an entry takes besides its characters and ids: two objects and a place in the table.
 ENTRY_BYTES = 180
 #: A chunk of more bytes than this is not remembered: it will hardly come again.
@@ -92,6 +92,11 @@ class ChunkTokenizer:
         other: list[bytes] = []
         wanted: set[str] = set()
         for chunk in missing:
+            if chunk.isalpha():  # letters a to z in either case: one piece
+                word = chunk.lower().decode("ascii")
+                plain.append((chunk, [word]))
+                wanted.add(word)
+                continue
             text = chunk.decode("utf-8")
             if _VISIBLE.match(text) and "<|" not in text:
                 parts = _PLAIN.findall(text.lower())
@@ -99,7 +104,7 @@ class ChunkTokenizer:
                 wanted.update(parts)
             else:
                 other.append(chunk)
-        wanted.difference_update(self.words)
+        wanted = wanted.difference(self.words)  # looks its members up; difference_update would walk the memo
         if wanted:
             self._encode_words(list(wanted))
         words, chunks = self.words, self.chunks
@@ -141,8 +146,7 @@ class ChunkTokenizer:
             memo.clear()
             self.words.clear()
             self.held = 0
-        missing = set().union(*split)
-        missing.difference_update(memo)
+        missing = set().union(*split).difference(memo)
         if missing:
             held = gc.isenabled()
             gc.disable()  # no cycles arise here, and many small objects would set the collector off again and again
