@@ -1,29 +1,36 @@
 """Line deduplication by site-relative frequency.
 
-Rows are grouped by site (the host of a page, or a document's source). For each line the share of the site's pages
-that contain it is taken; lines above a boilerplate ratio are dropped from every page of that site, and with
-``most_pages`` so are lines on that many pages, however large the site. A line is known by
-its text without blanks at either end; blank lines are neither counted nor dropped. A page counts once for a line
-however often it repeats it. Lines on fewer than ``min_pages`` pages of the site stay, since a share says little there.
+Rows are grouped by site (the host of a page, or what stands for it). For each line the pages of the site that contain
+it are counted and divided by the site's page total; lines above a boilerplate ratio are dropped from every page of
+that site. A page is no evidence against its own lines, and few pages prove little: the share is that of the site's
+other pages, to which ``prior_pages`` pages without the line are added, (n - 1) / (pages - 1 + prior_pages). The rule is
+the same at every size. With ``most_pages`` lines on that many pages go too, however large the site. A line is known
+by its text without blanks at either end; blank lines are neither counted nor dropped. A page counts once for a line
+however often it repeats it.
 
 Only (site, line hash) pairs are shuffled to be counted, summed up before the shuffle. A site's dropped lines are few:
-at most lines per page / ratio, besides those on ``most_pages`` pages. They come back to the pages as one array per site; sites with many pages are
-broadcast (at most 200), the others joined.
+at most lines per page / ratio, besides those on ``most_pages`` pages. They come back to the pages as one array per
+site; arrays of sites with over a 200th of all pages are broadcast if they are small together and dealt to salted parts of
+the site's pages if not, the others are joined by site. Lines are compared by 64-bit hashes.
 
-Defined cases: null sites form one site; a null text stays null with no lines, an empty one stays empty; a page whose
-every line goes has an empty text; repeated rows count each; lines at exactly the ratio stay; an empty table gives no
-rows; other columns are kept and those named ``lines, dropped`` replaced.
+Defined cases: null sites form one site; a null text stays null with no lines, an empty one stays empty; a very long
+text is one row; a page whose every line goes has an empty text; repeated rows count each; lines at exactly the ratio
+stay; an empty table gives no rows; other columns are kept whatever their names, those named ``lines, dropped`` replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_counted
+from .shared import join_counted, written
 
 RATIO = 0.1
-MIN_PAGES = 10
+PRIOR_PAGES = 10
+#: What has no text to be read, elements that begin a line, and other markup (fixed patterns, alike in RE2 and Java).
+UNREAD = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+MARKUP = r"<[^>]*>"
 
 
 def _line(x: Column) -> Column:
@@ -35,50 +42,60 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
 
 
-def drop_boilerplate(df: DataFrame, *, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most_pages: int | None = None) -> DataFrame:
+def html_lines(html: Column) -> Column:
+    """Text of a page with a line for each block; character references stay as they are."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNREAD, ""), BLOCK, "\n"), MARKUP, "")
+
+
+def drop_boilerplate(spark: SparkSession, df: DataFrame, *, site: str | Column = "source", text: str = "text", ratio: float = RATIO, prior_pages: float = PRIOR_PAGES, most_pages: int | None = None) -> DataFrame:
     """``df`` with ``text`` rid of boilerplate lines, and ``lines, dropped long``: how many it had and lost."""
     columns = [c for c in df.columns if c not in ("lines", "dropped")]
-    skey = F.when(F.col(site).isNotNull(), F.concat(F.lit("a"), F.col(site).cast("string"))).otherwise("b")
-    pages = df.select(*[F.col(f"`{c}`") for c in columns], skey.alias("__site"))
-    totals = pages.groupBy("__site").agg(F.count("*").alias("__pages"))
-    own = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: _line(x) != ""), lambda x: F.xxhash64(_line(x))))
-    counts = pages.select("__site", F.explode(own).alias("line")).groupBy("__site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    often = F.col("n") > ratio * F.col("__pages")
+    where = (F.col(f"`{site}`") if isinstance(site, str) else site).cast("string")
+    skey = F.when(where.isNotNull(), F.concat(F.lit("a"), where)).otherwise("b")
+    pages = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"), skey.alias("site"))
+    split = F.split("text", "\n")
+    full = F.filter(split, lambda x: _line(x) != "")
+    own = F.array_distinct(F.transform(full, lambda x: F.xxhash64(_line(x))))
+    totals = pages.groupBy("site").agg(F.count("*").alias("pages"))
+    counts = pages.select("site", F.explode(own).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).filter("n > 1")
+    often = F.col("n") - 1 > ratio * (F.col("pages") - 1 + prior_pages)
     if most_pages is not None:
         often |= F.col("n") >= most_pages
-    common = counts.join(totals, "__site").filter(often).groupBy("__site").agg(F.collect_list("line").alias("__lines"), F.first("__pages").alias("__pages"))
-    joined = join_counted(pages, common, ["__site"], "__pages", df.count())
-    split = F.split(text, "\n")
-    blank = F.size(F.filter(split, lambda x: _line(x) == ""))
-    kept = F.filter(split, lambda x: (_line(x) == "") | ~F.array_contains("__lines", F.xxhash64(_line(x))))
-    out = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split) - blank).cast("long")
-    dropped = F.when(F.col("__kept").isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long")
+    common = written(spark, counts.join(totals, "site").filter(often).groupBy("site").agg(F.collect_list("line").alias("gone"), F.first("pages").alias("pages")), "boilerplate")
+    joined = join_counted(pages, common, ["site"], "pages", df.count(), width=8 * F.size("gone"))
+    kept = F.filter(split, lambda x: (_line(x) == "") | ~F.array_contains("gone", F.xxhash64(_line(x))))
+    out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(full)).cast("long")
+    dropped = F.when(F.col("kept").isNull(), 0).otherwise(F.size(split) - F.size("kept")).cast("long")
     out = out.withColumn("lines", lines).withColumn("dropped", dropped)
     # a text that loses all its lines is empty, whatever blank lines stay
-    rest = F.when(F.col("dropped") == 0, F.col(text)).when(F.col("dropped") == F.col("lines"), "").otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn(text, rest).select(*[F.col(f"`{c}`") for c in columns], "lines", "dropped")
+    rest = F.when(F.col("dropped") == 0, F.col("text")).when(F.col("dropped") == F.col("lines"), "").otherwise(F.array_join("kept", "\n"))
+    return out.select(*[(rest if c == text else F.col("row").getField(c)).alias(c) for c in columns], "lines", "dropped")
 
 
 OP6_SQL = f"""
-WITH split AS (
-  SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+WITH read AS (
+  SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1) AS host,
+    regexp_replace(regexp_replace(regexp_replace(html, '{UNREAD}', '', 'g'), '{BLOCK}', chr(10), 'g'), '{MARKUP}', '', 'g') AS text
+  FROM pages
+), split AS (
+  SELECT page_id, host, text, string_split(text, chr(10)) AS ls FROM read
 ), totals AS (
-  SELECT source, count(*) AS pages FROM documents GROUP BY source
+  SELECT host, count(*) AS pages FROM read GROUP BY host
 ), counted AS (
-  SELECT source, line, count(*) AS n FROM (
-    SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM split
-  ) GROUP BY source, line
+  SELECT host, line, count(*) AS n FROM (
+    SELECT host, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM split
+  ) GROUP BY host, line
 ), common AS (
-  SELECT c.source, list(c.line) AS gone FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.n >= {MIN_PAGES} AND c.n > {RATIO} * t.pages GROUP BY c.source
+  SELECT c.host, list(c.line) AS gone FROM counted c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host
+  WHERE (c.n - 1)::DOUBLE > {RATIO}::DOUBLE * (t.pages - 1 + {PRIOR_PAGES}) GROUP BY c.host
 ), marked AS (
-  SELECT s.doc_id, s.text, s.ls,
+  SELECT s.page_id, s.host, s.text, s.ls,
     list_filter(s.ls, lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '') AS held,
     list_filter(s.ls, lambda x: trim(x, chr(32) || chr(9) || chr(13)) = '' OR c.gone IS NULL OR NOT list_contains(c.gone, trim(x, chr(32) || chr(9) || chr(13)))) AS kept
-  FROM split s LEFT JOIN common c ON s.source IS NOT DISTINCT FROM c.source
+  FROM split s LEFT JOIN common c ON s.host IS NOT DISTINCT FROM c.host
 )
-SELECT doc_id, coalesce(len(held), 0)::BIGINT AS lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS dropped,
+SELECT page_id, host, coalesce(len(held), 0)::BIGINT AS lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS dropped,
   CASE WHEN text IS NULL OR len(ls) = len(kept) THEN text WHEN len(ls) - len(kept) = len(held) THEN '' ELSE array_to_string(kept, chr(10)) END AS text
 FROM marked
 """

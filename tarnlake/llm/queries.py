@@ -48,8 +48,9 @@ def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's source stands for its site."""
-    return linededup.drop_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "lines", "dropped", "text")
+    """Text lines of all pages, by the host of their URL."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", linededup.host(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    return linededup.drop_boilerplate(spark, pages, site="host").select("page_id", "host", "lines", "dropped", "text")
 
 
 def op7_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders written by this process, oldest first.
@@ -128,16 +128,30 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
 HOT_SHARE = 200
 
 
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str, rows: int, how: str = "left") -> DataFrame:
+#: Bytes of hot rows that are broadcast at most; more are joined with salted keys instead.
+HOT_BYTES = 8 << 20
+SALTS = 64
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str, rows: int, how: str = "left", width: Column | None = None) -> DataFrame:
     """Join ``big`` to ``small`` (one row per key; ``count`` holds the key's rows in ``big``) without meeting hot keys in one task.
 
     Keys with more than one 200th of the ``rows`` are at most 200 rows of ``small`` and are broadcast; the others shuffle.
-    ``how`` is ``inner`` or ``left``; null keys match nothing.
+    Where rows of ``small`` have no fixed size, ``width`` gives their bytes: hot rows of more than ``HOT_BYTES`` together are
+    copied under ``SALTS`` salts instead and meet a part of the hot rows of ``big`` each.
+    ``how`` is ``inner`` or ``left``; null keys match nothing. Neither side may have columns that begin with ``__hot``.
     """
     extra = [c for c in small.columns if c not in keys and c != count]
-    hot = small.filter(F.col(count) * HOT_SHARE > rows).select(*keys, F.struct(*extra).alias("__hot"))
-    cold = small.filter(F.col(count) * HOT_SHARE <= rows).select(*keys, *extra)
-    marked = big.join(F.broadcast(hot), keys, "left")
-    one = marked.filter("__hot IS NOT NULL").select(*big.columns, "__hot.*")
+    is_hot = F.col(count) * HOT_SHARE > rows
+    hot = small.filter(is_hot).select(*keys, F.struct(*extra).alias("__hot"))
+    cold = small.filter(~is_hot).select(*keys, *extra)
+    if width is not None and (small.filter(is_hot).agg(F.sum(width)).first()[0] or 0) > HOT_BYTES:
+        marked = big.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+        salted = marked.filter("__hot").withColumn("__hotsalt", F.floor(F.rand(7) * SALTS).cast("int"))
+        copies = hot.withColumn("__hotsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        one = salted.drop("__hot").join(copies, [*keys, "__hotsalt"]).select(*big.columns, "__hot.*")
+    else:
+        marked = big.join(F.broadcast(hot), keys, "left")
+        one = marked.filter("__hot IS NOT NULL").select(*big.columns, "__hot.*")
     two = marked.filter("__hot IS NULL").drop("__hot").join(cold, keys, how).select(*big.columns, *extra)
     return one.unionByName(two)

@@ -390,20 +390,40 @@ def test_neighbours_of_mixed_norm(spark):
 
 
 def test_lines(spark):
-    rows = [(i, f"Top \n own {i}\n\n{'rare' if i < 9 else 'x' + str(i)}\nTop", "s") for i in range(30)] + [(100, "Top", "t"), (101, "  Top", "s"), (102, None, "s"), (103, "", "s"), (104, "Top", None)]
-    out = {r.doc_id: r for r in linededup.drop_boilerplate(documents(spark, rows)).collect()}
-    assert out[3].text == " own 3\n\nrare" and (out[3].lines, out[3].dropped) == (4, 2) and out[3].source == "s"
-    assert out[100].text == "Top" and out[101].text == "" and out[102].text is None and out[103].text == "" and out[104].text == "Top"
-    assert len(out) == len(rows) and linededup.drop_boilerplate(documents(spark, rows).limit(0)).count() == 0
+    rows = [(i, f"Top \n own {i}\n\n{'rare' if i < 4 else 'x' + str(i)}\nTop", "s") for i in range(30)] + [(100, "Top", "t"), (101, "  Top", "s"), (102, None, "s"), (103, "", "s"), (104, "Top", None), (105, "l " * 500_000 + "\nTop", "s")]
+    docs = documents(spark, rows).withColumn("site", F.lit("clash")).withColumn("row", F.lit("clash")).withColumn("__site", F.lit("clash")).withColumn("gone", F.create_map(F.lit("a"), F.lit(1)))
+    found = linededup.drop_boilerplate(spark, docs)
+    out = {r.doc_id: r for r in found.collect()}
+    assert out[3].text == " own 3\n\nrare" and (out[3].lines, out[3].dropped) == (4, 2) and out[3].source == "s" and out[3]["__site"] == out[3].site == "clash"
+    assert out[100].text == "Top" and out[101].text == "" and out[102].text is None and out[103].text == "" and out[104].text == "Top" and out[105].text == "l " * 500_000
+    assert set(found.columns) == {*docs.columns, "lines"} and len(out) == len(rows) and linededup.drop_boilerplate(spark, docs.limit(0)).count() == 0
     hosts = spark.createDataFrame([("HTTP://u:p@A.com:8/x",), ("no url",), (None,)], "u string").select(linededup.host(F.col("u")).alias("h"))
     assert [r.h for r in hosts.collect()] == ["a.com", "", None]
+    html = "<html><head><script>a < b\n</script><style>p{}</style></head><body><!-- x --><nav><a href='/'>Home</a></nav><P class=x>One <b>two</b><br>three</p></body>"
+    lines = spark.createDataFrame([(html,), (None,)], "h string").select(linededup.html_lines(F.col("h")).alias("t")).collect()
+    assert [x for x in lines[0].t.split("\n") if x] == ["Home", "One two", "three"] and lines[1].t is None
+
+
+def test_lines_of_small_sites(spark):
+    rows = [(10 * k + i, f"own {k} {i}\nmenu", f"s{k}") for k in range(1, 6) for i in range(k)] + [(900, "own", "u"), (901, "own", "u")]
+    out = {r.doc_id: r for r in linededup.drop_boilerplate(spark, documents(spark, rows)).collect()}
+    assert {i // 10 for i, r in out.items() if r.dropped} == {3, 4, 5} and all(r.text.startswith("own") for r in out.values())
 
 
 def test_lines_of_many_pages(spark):
     rows = [(i, f"own {i}" + "\nmany" * (i < 40) + "\nfew" * (i < 39), "s") for i in range(1000)]
-    out = {r.doc_id: r for r in linededup.drop_boilerplate(documents(spark, rows), most_pages=40).collect()}
+    out = {r.doc_id: r for r in linededup.drop_boilerplate(spark, documents(spark, rows), most_pages=40).collect()}
     assert out[3].text == "own 3\nfew" and sum(r.dropped for r in out.values()) == 40
-    assert sum(r.dropped for r in linededup.drop_boilerplate(documents(spark, rows)).collect()) == 0
+    assert sum(r.dropped for r in linededup.drop_boilerplate(spark, documents(spark, rows)).collect()) == 0
+
+
+def test_many_lines_of_hot_sites(spark, monkeypatch):
+    from tarnlake.llm import shared
+
+    rows = [(i, "\n".join(["menu", f"own {i}", *(f"foot {k}" for k in range(i % 40))]), "s") for i in range(300)]
+    want = sorted((r.doc_id, r.text) for r in linededup.drop_boilerplate(spark, documents(spark, rows)).collect())
+    monkeypatch.setattr(shared, "HOT_BYTES", 10)
+    assert sorted((r.doc_id, r.text) for r in linededup.drop_boilerplate(spark, documents(spark, rows)).collect()) == want
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -36,7 +36,7 @@ def test_stages(spark):
     for r in rows[1]:
         for line in {x.strip(" \t\r") for x in r.text.split("\n")} - {""}:
             having[r.source, line] += 1
-    gone = {k for k, n in having.items() if n >= 10 and n > 0.1 * pages[k[0]]}
+    gone = {k for k, n in having.items() if n - 1 > 0.005 * (pages[k[0]] + 1799)}
     for i, r in tables[1].items():
         kept = [x for x in r.text.split("\n") if (r.source, x.strip(" \t\r")) not in gone]
         if any(x.strip(" \t\r") for x in kept) or r.text == "\n".join(kept):
