@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from tarnlake.llm import langid, linededup, minhash, mixing, packing
 from tarnlake.llm.shared import new_folder, remove, scratch
 
-#: Boilerplate is a line on over this share of a source's documents, or on so many of them. A source holds far more than one site's
-#: pages, so the share is lower than op6's.
-LINE_RATIO = 0.01
+#: A document's source stands for its site, as documents have no URL. Boilerplate is a line on over this share of a source's other
+#: documents, counting so many more without it, or on ``LINE_PAGES``. A source holds far more than one site's pages, so the share is
+#: lower than op6's and more evidence is asked for (11 documents of a small source).
+LINE_RATIO = 0.005
+LINE_PRIOR = 1800
 LINE_PAGES = 1000
 
 #: A text of so many characters whose best cosine is below this is in no learned language. The cosine of unrelated vectors of 1024
@@ -46,7 +48,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their source's boilerplate lines; a text of nothing else goes."""
-    out = linededup.drop_boilerplate(docs, ratio=LINE_RATIO, most_pages=LINE_PAGES).filter("dropped = 0 OR dropped < lines")
+    out = linededup.drop_boilerplate(spark, docs, ratio=LINE_RATIO, prior_pages=LINE_PRIOR, most_pages=LINE_PAGES).filter("dropped = 0 OR dropped < lines")
     return out.withColumn("n_chars", F.when(F.col("dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
