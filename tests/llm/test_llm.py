@@ -560,6 +560,23 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/shards").groupBy("shard").count().count() == 8
 
 
+def test_shards_of_odd_columns(spark):
+    docs = documents(spark, odd_rows()).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("nested", F.array(F.struct(F.create_map(F.lit(1), F.lit("x")).alias("k"))))
+    docs = docs.withColumn("wide", F.when(F.col("doc_id") == 3, F.lit("w" * 100_000))).withColumn("row", F.lit("clash")).withColumn("bucket", F.lit("clash"))
+    first = sharding.external_shuffle(spark, docs, shards=3, bucket_bytes=2000)
+    assert first.columns == [*docs.drop("shard").columns, "shard", "slot"]
+    key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", str(r.m), r.wide or "", r.shard, r.slot) for r in df.collect())
+    assert key(first) == key(sharding.external_shuffle(spark, docs.repartition(5), shards=3, bucket_bytes=2000)) and len(key(first)) == len(odd_rows())
+
+
+def test_shards_of_a_whole_table(spark):
+    rows = QUERIES["op8_shuffle_shards"](spark, SF).collect()
+    docs = {r.doc_id: r.text for r in sf(spark).collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs.items()}
+    assert sorted((r.slot, r.shard) for r in rows) == [divmod(k, 8) for k in range(len(docs))]
+    assert rows != sorted(rows, key=lambda r: r.doc_id)
+
+
 # 9. near duplicates
 
 
