@@ -10,10 +10,12 @@ the threshold: as many bins a band as still miss a pair at the threshold with pr
 Equal sets are found by their digest first and take part once. Sets that share a band are candidates; every link
 is confirmed on the full sets. Pairs are never written out: candidates that hang together through shared bands form a
 family, and a task compares a whole family at a time by counting common shingles through an inverted list, returning the few
-links that connect it. A family of too many shingles for one task is compared bucket by bucket instead, and a bucket
-that is still too large in pairs of blocks, so every candidate pair meets somewhere. Within a group a set is compared with
-all others; what is left when all sets not yet compared lie in one component needs no comparison. Components are
-labelled by minimum label with pointer jumping; every table of a round is written to the shared folder.
+links that connect it. Of a family of too many shingles for one task, blocks of members are compared with its smallest
+member first, in one pass; those linked to it are in one component and need no comparison among themselves. Each other
+member is then compared with all that share a band with it, blocks of such members with blocks of a bucket. Within a
+group a set is compared with all others; what is left when all sets not yet compared lie in one component needs no
+comparison. Components are labelled by minimum label with pointer jumping; every table of a round is written to the
+shared folder. Joins by band, family, block and label send keys with over a 200th of the rows by broadcast (at most 200).
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; with fewer than five words the
 whole sequence is the one shingle; rows that share a ``doc_id`` count as one document; rows with a null ``doc_id``
@@ -143,8 +145,8 @@ def features(docs: DataFrame, percent: int = 85) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def connecting_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (places in ``sets``) whose components are those of all links among ``sets``."""
+def connecting_links(sets: list[np.ndarray], percent: int, tied: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) whose components are those of all links among ``sets``; ``tied`` sets are connected already."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -158,6 +160,8 @@ def connecting_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, in
     # no link without enough shingles that others have
     waiting = np.array([100 * len(m) >= percent * k for m, k in zip(mine, sizes, strict=True)])
     label, found = np.arange(n), []
+    if tied is not None and any(tied):
+        label[np.array(tied)] = tied.index(True)
     while waiting.any():
         left = np.flatnonzero(waiting)
         names, count = np.unique(label[left], return_counts=True)
@@ -180,34 +184,90 @@ def _linked(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         words = _Words()
-        ids, sets = [], []
-        for rep, text in zip(table.column("rep").to_pylist(), table.column("text").to_pylist(), strict=True):
+        ids, sets, ties = [], [], []
+        for rep, text, tied in zip(table.column("rep").to_pylist(), table.column("text").to_pylist(), table.column("tied").to_pylist(), strict=True):
             s = shingles(text, words)
             if len(s):
                 ids.append(rep)
                 sets.append(s)
-        links = connecting_links(sets, percent) if sets else []
-        links = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links if ids[i] != ids[j]]
-        if sum(map(len, sets)) > GROUP_SHINGLES // 4:
-            sets.clear()
-            give_back()
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+                ties.append(tied)
+        links = connecting_links(sets, percent, ties) if sets else []
+        return _links([(ids[i], ids[j]) for i, j in links], sets)
 
     return run
 
 
+def _linked_to_first(percent: int):
+    """Grouped form: texts of one block and the family's smallest member in, links to that member out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words = _Words()
+        first = table.column("family")[0].as_py()
+        ids, sets = table.column("rep").to_pylist(), [shingles(t, words) for t in table.column("text").to_pylist()]
+        head = sets[ids.index(first)]
+        links = []
+        for rep, s in zip(ids, sets, strict=True):
+            common = len(np.intersect1d(head, s, assume_unique=True)) if rep != first else 0
+            if common and 100 * common >= percent * (len(head) + len(s) - common):
+                links.append((first, rep))
+        return _links(links, sets)
+
+    return run
+
+
+def _links(links: list[tuple[int, int]], sets: list[np.ndarray]) -> pa.Table:
+    if sum(map(len, sets)) > GROUP_SHINGLES // 4:
+        sets.clear()
+        give_back()
+    links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``node, label`` of every node in ``edges`` (a, b): the smallest node reachable."""
     both = written(spark, edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = written(spark, both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    ends = both.count()
+    labels = written(spark, both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"), F.count("*").alias("degree")), "labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), F.col("label").alias("was"))
-        up = lower.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        labels = written(spark, lower.join(up, "low").select("node", F.least("low", "up").alias("label"), "was"), "labels")
+        # the least label next to a node; a node with many neighbours is sent to them
+        near = join_counted(both, labels.select(F.col("node").alias("other"), "label", "degree"), ["other"], "degree", ends, "inner").groupBy("node").agg(F.min("label").alias("near"))
+        lower = written(spark, labels.join(near, "node").select("node", F.least("label", "near").alias("low"), F.col("label").alias("was"), "degree"), "lower")
+        # and the label that its label has by now
+        under = lower.groupBy("low").agg(F.count("*").alias("under"))
+        up = under.join(lower.select(F.col("node").alias("low"), F.col("low").alias("up")), "low")
+        labels = written(spark, join_counted(lower, up, ["low"], "under", nodes, "inner").select("node", F.least("low", "up").alias("label"), "was", "degree"), "labels")
         if labels.filter("label <> was").isEmpty():
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        labels = labels.drop("was")
+
+
+def _fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` rows with the text of their ``rep``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_CANDIDATES else asked, "rep")
+
+
+def _links_of_large(spark: SparkSession, docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Connecting links of the families in ``reps`` (rep, n, family, weight), each too large for a task."""
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("weight") / GROUP_SHINGLES)).cast("int")
+    placed = reps.select("family", block.alias("i"), "rep")
+    heads = placed.select("family", "i").distinct().select("family", "i", F.col("family").alias("rep"))
+    asked = written(spark, placed.union(heads).distinct(), "first-candidates")
+    stars = written(spark, _fetched(docs, asked).groupBy("family", "i").applyInArrow(_linked_to_first(percent), "a long, b long"), "first-links").distinct()
+    known = stars.select(F.col("b").alias("rep")).union(reps.select(F.col("family").alias("rep")).distinct()).withColumn("tied", F.lit(True))
+    # what is not linked to the first member meets all that share a band with it
+    marked = written(spark, reps.select("rep", "n").join(known, "rep", "left").select("rep", "n", F.coalesce("tied", F.lit(False)).alias("tied")), "tied")
+    held = written(spark, members.select("band", "rep").join(marked, "rep"), "large-members")
+    loose = F.when(~F.col("tied"), F.col("n"))
+    need = held.groupBy("band").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(loose) / GROUP_SHINGLES).cast("int").alias("loose")).filter("loose > 0 AND size > 1")
+    dealt = join_counted(held, written(spark, need, "large-bands"), ["band"], "size", held.count(), "inner")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    among = dealt.select("band", place("blocks").alias("i"), every("loose").alias("j"), "rep", "tied")
+    asking = dealt.filter("NOT tied").select("band", every("blocks").alias("i"), place("loose").alias("j"), "rep", "tied")
+    groups = written(spark, among.union(asking).distinct(), "large-candidates")
+    return stars.union(_fetched(docs, groups).groupBy("band", "i", "j").applyInArrow(_linked(percent), "a long, b long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -217,21 +277,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     # equal sets: the smallest doc_id stands for all
     groups = written(spark, feats.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
     keys = feats.join(groups.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared_bands = keys.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    shared_bands = keys.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("head")).filter("size > 1")
     members = written(spark, join_counted(keys, shared_bands, ["band"], "size", rows * (BINS // band_rows(percent)), "inner").distinct(), "members")
-    heads = members.groupBy("band").agg(F.min("rep").alias("head"))
-    family = components(spark, members.join(heads, "band").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
-    # what is compared together: a family, or its buckets if it is too large, in blocks if those are
-    placed = members.join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep")
-    weight = placed.select("family", "rep", "n").distinct().groupBy("family").agg(F.sum("n").alias("weight"))
-    placed = placed.join(weight, "family").withColumn("unit", F.when(F.col("weight") <= GROUP_SHINGLES, F.concat(F.lit("f"), F.col("family"))).otherwise(F.concat(F.lit("b"), F.col("band")))).select("unit", "rep", "n").distinct()
-    blocks = placed.groupBy("unit").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks"))
-    placed = placed.join(blocks, "unit").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j"))))
-    placed = written(spark, placed.select("unit", "rep", other.alias("pair")).select("unit", "pair.i", "pair.j", "rep"), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    asked = F.broadcast(placed) if placed.count() <= BROADCAST_CANDIDATES else placed
-    links = texts.join(asked, "rep").groupBy("unit", "i", "j").applyInArrow(_linked(percent), "a long, b long")
+    family = components(spark, members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    reps = written(spark, members.select("rep", "n").distinct().join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep"), "reps")
+    weight = written(spark, reps.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "families")
+    reps = written(spark, join_counted(reps, weight, ["family"], "size", reps.count(), "inner"), "weighed")
+    small = reps.filter(F.col("weight") <= GROUP_SHINGLES).select("family", "rep", F.lit(False).alias("tied"))
+    links = _fetched(docs, small).groupBy("family").applyInArrow(_linked(percent), "a long, b long")
+    large = reps.filter(F.col("weight") > GROUP_SHINGLES)
+    if not large.isEmpty():
+        links = links.union(_links_of_large(spark, docs, large, members, percent))
     label = components(spark, links.distinct())
     placed = groups.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", "copies", F.coalesce("label", "rep").alias("label"))
     named = join_counted(feats.select("doc_id", "n_shingles", "set_a", "set_b"), placed, ["set_a", "set_b"], "copies", rows)
