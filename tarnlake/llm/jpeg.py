@@ -10,8 +10,12 @@ the thumbnail gives the bytes back without loss. Codes take 15 bits less the mag
 which makes two bytes per block that never hold 0xFF. A payload is cut into frames of at most 64 x 8191 blocks,
 one JPEG after the other.
 
+The media column is written to a table in the shared folder and read back before it is decoded. Columns of codes are
+regular, so they take about as much there, under Zstandard, as the texts did.
+
 Defined cases: a null text is empty; an empty one is stored as 64 zero bytes; length is not bounded; equal texts give
-equal values; repeated rows and empty tables pass through; nothing is shuffled.
+equal values; repeated rows and empty tables pass through; other columns stay, those named ``n_bytes, media`` are
+replaced; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import new_folder
 
 WIDTH = 64
 MOST_ROWS = 8191
@@ -305,19 +312,28 @@ def decode(media: bytes, tables: _Tables) -> tuple[bytes, str]:
     return b"".join(samples), ",".join(features)
 
 
-def media_column(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's payload as JPEG."""
+def media_column(docs: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, <keep>, n_bytes, media``: each text's payload as JPEG."""
+    held = docs.select("text", "doc_id", *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "n_bytes", "media")])
+    names = held.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                media = [encode(payload_of(t)) for t in texts]
-                size = [len((t or "").encode("utf-8")) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                payloads = [payload_of(t) for t in part.column(0).to_pylist()]
+                size = pa.array([len((t or "").encode("utf-8")) for t in part.column(0).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], size, pa.array([encode(p) for p in payloads], pa.binary())], [*names, "n_bytes", "media"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[1:])
+    return held.mapInArrow(run, f"{kinds}, n_bytes long, media binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
+def stored(spark: SparkSession, media: DataFrame) -> DataFrame:
+    """The media table written to the shared folder and read back."""
+    path = new_folder(spark, "media")
+    media.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(media.schema).parquet(path)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -341,4 +357,4 @@ def media_features(media: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return media.mapInArrow(run, f"doc_id {dict(media.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {dict(media.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

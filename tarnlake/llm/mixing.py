@@ -103,11 +103,14 @@ def mix_plan(spark: SparkSession, docs: DataFrame, *, weights: Sequence[float] =
 
 
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The mixed stream: a row for each use of a document, sorted by training ``position``; a cut use has its words only."""
+    """The mixed stream: a row for each use of a document, sorted by training ``position``; a cut use ends after its last word."""
     columns = [c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken", "uses", "pass", "words", "position")]
     plan = mix_plan(spark, docs, keep=columns, **how)
     uses = plan.select("doc_id", *columns, "size", F.explode("uses").alias("use"))
     whole = F.col("use.words") >= F.col("size")
-    cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("use.words").cast("int")), " ")
+    # the text up to the end of its last word taken, with its own white space: what a split that stops there leaves goes
+    n = F.col("use.words").cast("int") + F.when(F.col("text").rlike(r"\A[\x20\x09-\x0D]"), 2).otherwise(1)
+    rest = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", n), -1)
+    cut = F.regexp_replace(F.left("text", F.length("text") - F.length(rest)), r"[\x20\x09-\x0D]+\z", "")
     uses = uses.withColumn("text", F.when(whole, F.col("text")).otherwise(cut)).select(*docs.select("doc_id", *columns).columns, F.col("use.pass").alias("pass"), F.col("use.words").alias("words"), F.col("use.position").alias("position"))
     return uses.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -54,7 +54,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jpeg_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.media_features(jpeg.media_column(_read(spark, sf_dir, "documents")))
+    return jpeg.media_features(jpeg.stored(spark, jpeg.media_column(_read(spark, sf_dir, "documents"))))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

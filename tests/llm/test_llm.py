@@ -292,6 +292,32 @@ def test_mixing_odd_cases(spark):
     assert all(r.taken == 0 for r in only)
 
 
+def test_mixing_cuts_at_words(spark):
+    text = " \n one two\n\tthree  four\r\n five "
+    rows = [(1, text, "a"), (2, "x " * 10, "b"), (3, "y " * 10, "c")]
+    for budget in (0.4, 0.7, 0.9, 1.1):
+        out = [r for r in mixing.mix(spark, documents(spark, rows), budget=budget).collect() if r.doc_id == 1]
+        for r in out:
+            assert text.startswith(r.text) and len(r.text.split()) == r.words and (r.text == text or not r.text[-1].isspace())
+
+
+def test_mixing_of_a_whole_table(spark):
+    import re
+
+    plan = {r.doc_id: r for r in QUERIES["op3_mix_curriculum"](spark, SF).collect()}
+    docs = sf(spark).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for d in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", d.text or ""))
+        assert plan[d.doc_id].size == n and plan[d.doc_id].taken <= 2 * n
+        sizes[d.source] += n
+        taken[d.source] += plan[d.doc_id].taken
+    target = plain_targets(sizes)
+    for d in docs:
+        assert plan[d.doc_id].source_size == sizes[d.source] and math.isclose(plan[d.doc_id].target, target[d.source], rel_tol=1e-9)
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in sizes) and len(plan) == len(docs)
+
+
 def test_curriculum_inverts_demand(spark):
     knots = ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0))
     rows = spark.range(101).select((F.col("id") / 100).alias("y"), mixing.time_at(F.col("id") / 100, F.element_at(mixing._literal([knots]), 1)).alias("t")).collect()
@@ -538,6 +564,20 @@ def test_media(spark):
     assert len(out) == 10 and len({(r.feature, r.media_sha256) for r in out if r.doc_id in (1, 5)}) == 1
     assert len(next(r.feature for r in out if r.doc_id == 7).split(",")) == 2
     assert jpeg.media_features(jpeg.media_column(docs.limit(0))).count() == 0
+    kept = jpeg.stored(spark, jpeg.media_column(docs.withColumn("media", F.lit("clash")).withColumn("m", F.create_map(F.lit("a"), F.lit(1))), keep=["media", "m", "shard"]))
+    assert kept.columns == ["doc_id", "m", "shard", "n_bytes", "media"] and kept.filter("m['a'] = 1 AND shard = 'clash'").count() == 10
+    assert sorted(jpeg.media_features(kept).collect(), key=repr) == sorted(out, key=repr)
+
+
+def test_media_of_a_whole_table(spark):
+    rows = {r.doc_id: r for r in QUERIES["op7_jpeg_thumbnails"](spark, SF).collect()}
+    docs = sf(spark).collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        payload = jpeg.payload_of(d.text)
+        media = jpeg.encode(payload)
+        r = rows[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len((d.text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
 
 
 # 8. shards
