@@ -11,15 +11,17 @@ there: all candidates are then equally long and the largest inner product is the
 from the sample in both roles. About one in ``LONG_SHARE`` candidates, the longest, form a further part that every query
 visits; "longest" above is that of the others. Vectors of one length are routed as they are.
 
-The sample bounds the model (``fit_rows``, a few MB, sent with the tasks); every row is indexed. A part of more than
-``block_rows`` rows is split into blocks by a hash, so parts that hold many equal vectors spread over tasks; each block
-returns its best candidates and a last step merges them. With ``COPIES`` above 1 rows go to several parts; the merge
-keeps one of each.
+The sample bounds the model (a few MB, sent with the tasks); every row is indexed. It grows with the square root of the
+table from ``FIT_ROWS`` to ``MOST_FIT_ROWS``, which the driver holds, and the number of parts with the table, as long as
+the sample has ``SAMPLE_OF_PART`` rows for each. Routed rows and queries are written to the shared folder once. A part of
+more than ``block_rows`` rows is split into blocks by a hash, so parts that hold many equal vectors spread over tasks;
+each block returns its best candidates and a last step merges them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no part;
 equal scores go to the smaller id; with fewer candidates than asked for, all are returned; repeated ids count as one
-candidate each with their best score; empty tables give no rows; other columns are ignored. Vectors need one common
-length; those of another length than most in the sample take no part.
+candidate each with their best score; empty tables give no rows; other columns are ignored. Inner products exist
+between vectors of one length: those of another length than most in the sample are compared, all with all, with those
+of their own length.
 """
 
 from __future__ import annotations
@@ -32,16 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 FIT_ROWS = 10_000
-PART_ROWS = 300
-MOST_PARTS = 32
+MOST_FIT_ROWS = 40_000
+PART_ROWS = 150
+SAMPLE_OF_PART = 32
 NEIGHBOURS = 16
 HIDDEN = 192
 EPOCHS = 30
 #: A query visits its most probable parts until their probabilities add up to this.
-MASS = 0.95
+MASS = 0.93
 LEAST_PROBES = 4
-COPIES = 1
 LONG_SHARE = 16
 BLOCK_ROWS = 20_000
 
@@ -77,10 +81,11 @@ def neighbour_graph(x: np.ndarray, k: int, asks: np.ndarray | None = None) -> np
     """Indices of each row's ``k`` largest inner products (those of its form in ``asks``) among the others."""
     asks = x if asks is None else asks
     out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 1000):
-        s = asks[a : a + 1000] @ x.T
+    step = max(1, 8_000_000 // len(x))
+    for a in range(0, len(x), step):
+        s = asks[a : a + step] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a : a + 1000] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + step] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -124,10 +129,10 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, sweeps: int = 8
     return label
 
 
-def train(x: np.ndarray, shares: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 7) -> Router:
-    """Fit the shares by cross entropy, with Adam on small batches."""
+def train(x: np.ndarray, near: np.ndarray, m: int, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 7) -> Router:
+    """Fit the share of each of ``m`` parts among the parts in a row of ``near`` by cross entropy, with Adam on small batches."""
     rng = np.random.default_rng(seed)
-    d, m = x.shape[1], shares.shape[1]
+    d = x.shape[1]
     p = [rng.normal(0, (2 / d) ** 0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, m)), np.zeros(m)]
     first, second = [np.zeros_like(w) for w in p], [np.zeros_like(w) for w in p]
     t = 0
@@ -135,10 +140,13 @@ def train(x: np.ndarray, shares: np.ndarray, hidden: int = HIDDEN, epochs: int =
         rate = 4e-3 * (1 - epoch / epochs) + 1e-4
         for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
             a = x[rows]
+            shares = np.zeros((len(rows), m))
+            for place in near[rows].T:
+                np.add.at(shares, (np.arange(len(rows)), place), 1 / near.shape[1])
             h = np.maximum(a @ p[0] + p[1], 0)
             z = h @ p[2] + p[3]
             e = np.exp(z - z.max(axis=1, keepdims=True))
-            g = (e / e.sum(axis=1, keepdims=True) - shares[rows]) / len(rows)
+            g = (e / e.sum(axis=1, keepdims=True) - shares) / len(rows)
             gh = (g @ p[2].T) * (h > 0)
             t += 1
             for i, grad in enumerate((a.T @ gh, gh.sum(axis=0), h.T @ g, g.sum(axis=0))):
@@ -148,7 +156,7 @@ def train(x: np.ndarray, shares: np.ndarray, hidden: int = HIDDEN, epochs: int =
     return Router(*p)
 
 
-def fit_router(sample: np.ndarray, rows: int, *, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS, longest: float | None = None) -> Router:
+def fit_router(sample: np.ndarray, rows: int, *, part_rows: int = PART_ROWS, longest: float | None = None) -> Router:
     """Graph, parts and network from a sample of a table of ``rows`` vectors, lifted where the ``longest`` square is given."""
     x = np.unique(sample, axis=0)  # equal vectors would only see each other
     asks = None
@@ -156,23 +164,18 @@ def fit_router(sample: np.ndarray, rows: int, *, part_rows: int = PART_ROWS, mos
         asks = np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30), np.zeros((len(x), 1))])
         x = lifted(x, longest)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    parts = max(1, min(-(-rows // part_rows), most_parts, len(x) // 32))
+    parts = max(1, min(-(-rows // part_rows), len(x) // SAMPLE_OF_PART))
     k = min(NEIGHBOURS, len(x) - 1)
     if parts < 2 or k < 1:
         d = x.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = neighbour_graph(x, k)
     label = balanced_parts(x, graph, parts)
-    shares = np.zeros((len(x), parts))
-    np.add.at(shares, (np.arange(len(x)), label), 1.0)
-    for j in range(k):
-        np.add.at(shares, (np.arange(len(x)), label[graph[:, j]]), 1.0)
+    near = np.hstack([label[:, None], label[graph]])
     if asks is None:
-        return train(x, shares / (k + 1))
-    near = np.zeros((len(x), parts))
-    for place in neighbour_graph(x, k, asks).T:
-        np.add.at(near, (np.arange(len(x)), label[place]), 1.0)
-    return train(np.vstack([x, asks]), np.vstack([shares / (k + 1), near / k]))
+        return train(x, near, parts)
+    asked = label[neighbour_graph(x, k, asks)]
+    return train(np.vstack([x, asks]), np.vstack([near, np.hstack([asked, asked[:, :1]])]), parts)
 
 
 def usable(vector: Column) -> Column:
@@ -196,12 +199,13 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, mass: float = MASS, block_rows: int = BLOCK_ROWS, seed: int = 3) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row of ``queries`` its ``k`` nearest rows of ``vectors`` other than itself."""
+def routed(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", fit_rows: int | None = None, mass: float = MASS, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The index, ``id, v, part`` for every usable row, and the queries, ``id, v, parts``: those that each visits."""
     kind = dict(vectors.dtypes)[vec_id]
     good = lambda df: df.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = good(vectors)
     n = rows.count()
+    fit_rows = fit_rows or int(min(MOST_FIT_ROWS, max(FIT_ROWS, SAMPLE_OF_PART * n**0.5)))
     mark = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30))
     # a hash filter keeps about fit_rows rows; the limit holds the bound if ids repeat
     sample = [r.v for r in rows.filter(mark < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30)) + 1).limit(2 * fit_rows).collect()]
@@ -216,41 +220,48 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: in
         x = x[lengths <= longest]
     router = fit_router(x, n, longest=longest) if len(x) else Router(np.zeros((width + (longest is not None), 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     parts = router.w2.shape[1]
-    fit = lambda df: good(df).filter(F.size("v") == width)
-
-    def route(asking: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _batches(batches):
-                m = _matrix(b.column(1), width)
-                if longest is not None:
-                    m = np.hstack([m, np.zeros((len(m), 1))]) if asking else lifted(m, longest)
-                p = router.probabilities(m)
-                order = np.argsort(-p, axis=1, kind="stable")
-                if asking:
-                    before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-                    take = (before < mass) | (np.arange(parts) < LEAST_PROBES)
-                else:
-                    take = np.broadcast_to(np.arange(parts) < COPIES, order.shape)
-                part = np.where(take, order, -1)
-                if longest is not None:
-                    far = np.full((len(m), 1), True) if asking else (m[:, :width] ** 2).sum(axis=1, keepdims=True) > longest
-                    part = np.hstack([part if asking else np.where(far, -1, part), np.where(far, parts, -1)])
-                row, place = np.nonzero(part >= 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(part[row, place].astype(np.int32))], ["id", "v", "part"])
-
-        return run
-
-    schema = f"id {kind}, v {rows.schema['v'].dataType.simpleString()}, part int"
-    placed = fit(vectors).mapInArrow(route(False), schema)
-    asked = fit(queries).mapInArrow(route(True), schema)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches):
+            m = _matrix(b.column(1), width)
+            part = router.probabilities(m if longest is None else lifted(m, longest)).argmax(axis=1)
+            if longest is not None:
+                part = np.where((m**2).sum(axis=1) > longest, parts, part)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], ["id", "v", "part"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches):
+            m = _matrix(b.column(1), width)
+            p = router.probabilities(m if longest is None else np.hstack([m, np.zeros((len(m), 1))]))
+            order = np.argsort(-p, axis=1, kind="stable")
+            ranked = np.take_along_axis(p, order, 1)
+            take = (np.cumsum(ranked, axis=1) - ranked < mass) | (np.arange(parts) < LEAST_PROBES)
+            found = [o[t].tolist() + [parts] * (longest is not None) for o, t in zip(order, take, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
+
+    schema = f"id {kind}, v {rows.schema['v'].dataType.simpleString()}"
+    usual = lambda df: df.filter(F.size("v") == width)
+    # vectors of another length: a part for each length, below all others
+    other = lambda df: df.filter(F.size("v") != width).withColumn("part", -F.size("v"))
+    placed = usual(rows).mapInArrow(place, f"{schema}, part int").unionByName(other(rows))
+    asked = usual(good(queries)).mapInArrow(ask, f"{schema}, parts array<int>").unionByName(other(good(queries)).select("id", "v", F.array("part").alias("parts")))
+    return written(spark, placed, "index"), written(spark, asked, "queries")
+
+
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str = "vec_id", block_rows: int = BLOCK_ROWS, seed: int = 3, **how) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row of ``queries`` its ``k`` nearest rows of ``vectors`` other than itself."""
+    kind = dict(vectors.dtypes)[vec_id]
+    placed, asked = routed(spark, vectors, queries, vec_id=vec_id, seed=seed, **how)
+    asked = asked.select("id", "v", F.explode("parts").alias("part"))
+
     def blocks(df: DataFrame) -> Column:
-        """How many blocks a part needs; the parts are MOST_PARTS at most."""
-        need = {r.part: max(1, -(-r["count"] // block_rows)) for r in df.groupBy("part").count().collect()}
+        """How many blocks a part needs; at most rows / ``block_rows`` parts need more than one."""
+        need = {r.part: -(-r["count"] // block_rows) for r in df.groupBy("part").count().filter(F.col("count") > block_rows).collect()}
         return F.coalesce(F.element_at(F.create_map(*[F.lit(z) for p in need.items() for z in p]), F.col("part")), F.lit(1)) if need else F.lit(1)
 
     # a task meets one block of a part's rows and one block of its queries
     rows_in, asks_in = blocks(placed), blocks(asked)
-    pick = lambda n, k: F.pmod(F.xxhash64(F.lit(seed + k), "id"), n).cast("int")
+    pick = lambda n, k: F.pmod(F.xxhash64(F.lit(seed + k), "id", "v"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     placed = placed.withColumn("block", pick(rows_in, 1)).withColumn("asks", every(asks_in))
     asked = asked.withColumn("asks", pick(asks_in, 2)).withColumn("block", every(rows_in))
@@ -260,23 +271,32 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: in
         if not held:
             return
         ids = np.concatenate([b.column("id").to_numpy() for b in held])
+        width = len(held[0].column("v")[0])
         m = np.concatenate([_matrix(b.column("v"), width) for b in held])
-        ids, first = np.unique(ids, return_index=True)
-        m = m[first]
+        order = np.argsort(ids, kind="stable")
+        ids, m = ids[order], m[order]
+        names, starts = np.unique(ids, return_index=True)
+        repeated = len(names) < len(ids)
+        ends = np.append(starts[1:], len(ids))
         for b in _batches(right, 128):
             q, qid = _matrix(b.column("v"), width), b.column("id").to_numpy()
             near = q @ m.T
+            if repeated:  # an id's best
+                near = np.maximum.reduceat(near, starts, axis=1)
             out: tuple[list, list, list] = ([], [], [])
             for i in range(len(q)):
                 s = near[i]
-                s[ids == qid[i]] = -np.inf
+                s[names == qid[i]] = -np.inf
                 # all that may be among the best: products of a matrix differ in the last digits by place
                 low = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
                 may = np.flatnonzero((s >= low - 1e-9 * max(1.0, abs(low))) & (s > -np.inf)) if len(s) > k else np.flatnonzero(s > -np.inf)
-                exact = (m[may] * q[i]).sum(axis=1)
-                best = _best(exact, ids[may], k)
+                if repeated:
+                    exact = np.array([(m[starts[j] : ends[j]] * q[i]).sum(axis=1).max() for j in may])
+                else:
+                    exact = (m[may] * q[i]).sum(axis=1)
+                best = _best(exact, names[may], k)
                 out[0].extend([qid[i]] * len(best))
-                out[1].append(ids[may][best])
+                out[1].append(names[may][best])
                 out[2].append(exact[best])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], ids.dtype)), pa.array(np.concatenate(out[1]) if out[1] else ids[:0]), pa.array(np.concatenate(out[2]) if out[2] else np.empty(0))], ["query_id", "vec_id", "score"])
 

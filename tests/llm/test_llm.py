@@ -397,6 +397,40 @@ def test_neighbours_odd_cases(spark):
     assert ann.search(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (5, [0.1, 0.1]), (5, [9.0, 9.0]), (5, [0.2, 0.0]), (6, [3.0, 0.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 1.0, 1.0]), (22, [0.0, 0.0, 2.0]), (40, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(spark, df, df.filter("vec_id % 20 = 0")).collect())
+    assert out == [(0, 1, 5, 9.0), (0, 2, 6, 3.0), (20, 1, 21, 6.0), (20, 2, 22, 6.0)]
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_of_the_query(spark, sf_dir):
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding and all(v is not None and math.isfinite(v) for v in r.embedding) and any(r.embedding)]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = defaultdict(list)
+    for r in QUERIES["op5_learned_partitions"](spark, sf_dir).collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute(ids, x, 20)
+    assert set(got) == set(want) and np.mean([len(set(got[i]) & set(w)) / len(w) for i, w in want.items()]) >= 0.9
+
+
+def test_clustered_vectors_are_searched_in_part(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 24))
+    x = centres[rng.integers(0, 200, 12_000)] + rng.normal(size=(12_000, 24)) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    placed, asked = ann.routed(spark, df, df.filter("vec_id % 20 = 0"))
+    sizes = Counter(r.part for r in placed.collect())
+    asks = asked.collect()
+    share = np.mean([sum(sizes[p] for p in r.parts) / len(x) for r in asks])
+    assert len(sizes) > 32 and share < 0.2
+    part = {r.id: r.part for r in placed.collect()}
+    want = brute(np.arange(len(x)), x, 20)
+    assert np.mean([part[j] in set(r.parts) for r in asks for j in want[r.id]]) >= 0.9
+
+
 def test_neighbours_of_mixed_norm(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
