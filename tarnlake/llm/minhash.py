@@ -39,8 +39,11 @@ SHINGLE = 5
 BINS = 256
 #: Probability to miss a pair at the threshold.
 MISSED = 1e-6
-#: A task compares sets of about this many shingles together.
-GROUP_SHINGLES = 1_500_000
+#: A task compares sets of about this many shingles together, and sets of about so many with one.
+GROUP_SHINGLES = 100_000
+STAR_SHINGLES = 20_000
+#: A worker gives memory back after a group of more than this many.
+RELEASED_SHINGLES = 300_000
 #: Up to this many candidates (tens of MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_CANDIDATES = 500_000
 WORD_MEMO = 250_000
@@ -216,7 +219,7 @@ def _linked_to_first(percent: int):
 
 
 def _links(links: list[tuple[int, int]], sets: list[np.ndarray]) -> pa.Table:
-    if sum(map(len, sets)) > GROUP_SHINGLES // 4:
+    if sum(map(len, sets)) > RELEASED_SHINGLES:
         sets.clear()
         give_back()
     links = [(min(x), max(x)) for x in links if x[0] != x[1]]
@@ -250,7 +253,7 @@ def _fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _links_of_large(spark: SparkSession, docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Connecting links of the families in ``reps`` (rep, n, family, weight), each too large for a task."""
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("weight") / GROUP_SHINGLES)).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("weight") / STAR_SHINGLES)).cast("int")
     placed = reps.select("family", block.alias("i"), "rep")
     heads = placed.select("family", "i").distinct().select("family", "i", F.col("family").alias("rep"))
     asked = written(spark, placed.union(heads).distinct(), "first-candidates")

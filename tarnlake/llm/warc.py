@@ -55,6 +55,8 @@ class Archive:
     folder: str
     #: block string, first_key string, first_page long, data binary; blocks sort as ``<part>-<number>``
     blocks: DataFrame
+    #: of all archive files together
+    size: int
 
 
 def url_key(url: Column) -> Column:
@@ -136,7 +138,7 @@ def write(spark: SparkSession, pages: DataFrame) -> Archive:
                 out.close()
 
     lines = written(spark, marked.mapInArrow(store, "key string, page long, segment string, at long, size long"), "captures")
-    return Archive(folder, _index(spark, lines))
+    return Archive(folder, _index(spark, lines), lines.agg(F.sum("size")).first()[0] or 0)
 
 
 def store_of(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -233,7 +235,10 @@ def locate(spark: SparkSession, archive: Archive, asked: DataFrame, *, directory
 
 def read(spark: SparkSession, archive: Archive, asked: DataFrame, *, payloads: bool = True, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
     """Records of the captures asked for (``url, page_id``): ``page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]``."""
-    ranges = locate(spark, archive, asked, directory_rows=directory_rows).groupBy("segment", F.floor(F.col("at") / READ_BYTES).alias("stretch")).agg(F.collect_list(F.struct("at", "size")).alias("ranges"))
+    found = locate(spark, archive, asked, directory_rows=directory_rows).withColumn("stretch", F.floor(F.col("at") / READ_BYTES))
+    # ranges are small beside what they name, so the number of tasks follows the archive
+    spread = found.repartition(max(1, -(-archive.size // (2 * READ_BYTES))), "segment", "stretch")
+    ranges = spread.groupBy("segment", "stretch").agg(F.collect_list(F.struct("at", "size")).alias("ranges"))
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     folder = archive.folder
 
