@@ -10,7 +10,7 @@ NOISE = frozenset(("script", "style", "noscript", "template", "iframe", "svg"))
 COLLECTED = frozenset(("h1", "h2", "h3", "h4", "p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"))
 VOID = frozenset(("br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"))
 MOST_BLOCKS = 8000
-_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([^\"'>\s]+)", re.I)
 
 
 def decode(data: bytes) -> str:
@@ -18,83 +18,107 @@ def decode(data: bytes) -> str:
     if data.startswith(b"\xef\xbb\xbf"):
         return data[3:].decode("utf-8", "replace")
     m = _CHARSET.search(data[:8192])
-    for name in ([m[1].decode("ascii")] if m else []) + ["utf-8"]:
+    for name in ([m[1].decode("ascii", "replace").lower()] if m else []) + ["utf-8"]:
         try:
             return data.decode(name)
-        except (LookupError, UnicodeDecodeError):
+        except (LookupError, ValueError):
             continue
     return data.decode("gb18030", "replace")
 
 
-class _Collector(HTMLParser):
-    """Collects a block's own and nested text at its start tag's place, and for each root (main, article, body, all) apart."""
+class _Tree(HTMLParser):
+    """Text nodes in order, and elements as ranges of them. An element ends with its own end tag or one of an element around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
+        self.texts: list[str] = []
+        self.elements: list[list] = []  # tag, first text, end of texts, end of elements
+        self.open: list[int] = []
         self.noise = 0
-        self.blocks: list[dict] = []
-        self.active: list[dict] = []
-        self.plain: list[tuple[frozenset[str], str]] = []
-        self.title = ""
+        self.held: list[str] = []
+
+    def finish_text(self) -> None:
+        if self.held and not self.noise and (text := "".join(self.held).strip()):
+            self.texts.append(text)
+        self.held.clear()
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag == "br":
-            self.handle_data("\n")
+        self.finish_text()
         if tag in VOID:
             return
-        self.open.append(tag)
-        if tag in COLLECTED:
-            self.plain.append((frozenset(self.open), "\n"))
+        self.open.append(-1 if self.noise or tag in NOISE else len(self.elements))
         if tag in NOISE:
             self.noise += 1
-        elif tag in COLLECTED and not self.noise and len(self.blocks) < MOST_BLOCKS:
-            block = {"tag": tag, "text": [], "within": frozenset(self.open), "depth": len(self.open)}
-            self.blocks.append(block)
-            self.active.append(block)
+        if self.open[-1] >= 0:
+            self.elements.append([tag, len(self.texts), -1, -1])
+        self.names.append(tag)
+
+    def handle_startendtag(self, tag: str, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open:
-            return
-        if tag in COLLECTED and not self.noise:
-            self.plain.append((frozenset(self.open), "\n"))
-        while self.open:
-            name = self.open.pop()
-            self.noise -= name in NOISE
-            while self.active and self.active[-1]["depth"] > len(self.open):
-                self.active.pop()
-            if name == tag:
-                return
+        self.finish_text()
+        if tag in self.names:
+            while self._leave() != tag:
+                pass
+
+    def _leave(self) -> str:
+        name, at = self.names.pop(), self.open.pop()
+        self.noise -= name in NOISE
+        if at >= 0:
+            self.elements[at][2:] = len(self.texts), len(self.elements)
+        return name
 
     def handle_data(self, data: str) -> None:
-        if self.noise:
-            return
-        if "title" in self.open:
-            self.title += data
-            return
-        for block in self.active:
-            block["text"].append(data)
-        self.plain.append((frozenset(self.open), data))
+        self.held.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self.finish_text()
 
+    handle_decl = handle_pi = handle_comment
 
-def _tidy(text: str) -> str:
-    lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+    def unknown_decl(self, data: str) -> None:
+        self.finish_text()
+        if data.startswith("CDATA["):
+            self.held.append(data[6:])
+            self.finish_text()
+
+    def read(self, html: str) -> None:
+        self.names: list[str] = []
+        self.feed(html)
+        self.close()
+        self.finish_text()
+        while self.names:
+            self._leave()
 
 
 def linearise(html: str | None) -> tuple[str, str]:
-    """TX-14: (text, title). Headings get their marks; the plain text stands in if the blocks hold too little of it."""
+    """TX-14: (text, title) of a page without noise.
+
+    Of the first main, article or body, else of all, the blocks in order, a line each, headings marked and set apart; the text of
+    a block is that of all elements in it, with blanks between them. The plain text stands in if the blocks hold too little of it. A
+    page that does not begin with a heading gets its title for one. No block after the ``MOST_BLOCKS``-th is read.
+    """
     if not html:
         return "", ""
-    c = _Collector()
-    c.feed(html)
-    c.close()
-    root = next((r for r in ("main", "article", "body") if any(r in b["within"] for b in c.blocks) or any(r in w for w, _ in c.plain)), None)
-    inside = lambda names: root is None or root in names
+    t = _Tree()
+    t.read(html)
+    first = {}
+    for k, e in enumerate(t.elements):
+        first.setdefault(e[0], k)
+    root = next((first[name] for name in ("main", "article", "body") if name in first), None)
+    begin, end, after, stop = (0, len(t.texts), 0, len(t.elements)) if root is None else (t.elements[root][1], t.elements[root][2], root + 1, t.elements[root][3])
+    title = ""
+    if "title" in first:
+        _, a, b, last = t.elements[first["title"]]
+        title = t.texts[a] if b - a == 1 and last == first["title"] + 1 else ""
     parts = []
-    for b in c.blocks:
-        text = _tidy("".join(b["text"]))
-        if text and inside(b["within"]):
-            parts.append("#" * int(b["tag"][1]) + " " + text.replace("\n", " ") if b["tag"][0] == "h" else text)
-    structured, plain = "\n\n".join(parts), _tidy("".join(t for w, t in c.plain if inside(w)))
-    return (plain if len(structured) < max(120, int(0.22 * len(plain))) else structured), _tidy(c.title).replace("\n", " ")
+    blocks = [e for e in t.elements[after:stop] if e[0] in COLLECTED][:MOST_BLOCKS]
+    for tag, a, b, _ in blocks:
+        text = " ".join(t.texts[a:b])
+        if text:
+            parts.append(f"\n{'#' * int(tag[1])} {text}\n" if tag[0] == "h" else text)
+    structured, plain = "\n".join(parts).strip(), "\n".join(t.texts[begin:end])
+    out = structured if structured and (not plain or len(structured) >= max(120, int(0.22 * len(plain)))) else plain
+    return (f"# {title}\n\n{out}" if title and out and not out.lstrip().startswith("#") else out), title

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +14,30 @@ from pyspark.sql import functions as F
 DIMENSIONS = 64
 
 
+_SEEN: dict[str, int] = {}
+
+
+def _token_hash(word: str) -> int:
+    """Hash of a token, remembered by the worker for tokens it has met."""
+    found = _SEEN.get(word)
+    if found is None:
+        if len(_SEEN) >= 500_000:
+            _SEEN.clear()
+        found = _SEEN[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+    return found
+
+
+_WORD = re.compile(r"\w+")
+
+
 def hash_embedding(texts: list[str]) -> list[list[float]]:
     """UD-01: signed counts of hashed tokens, scaled to length 1."""
-    out = []
-    for text in texts:
-        v = [0.0] * DIMENSIONS
-        for w in re.findall(r"\w+", (text or "").lower()):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % DIMENSIONS] += 1.0 if h >> 63 else -1.0
-        norm = sum(x * x for x in v) ** 0.5
-        out.append([x / norm for x in v] if norm else v)
-    return out
+    words = [_WORD.findall((t or "").lower()) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter((_token_hash(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
+    at = np.repeat(np.arange(len(words)), sizes) * DIMENSIONS + (h % np.uint64(DIMENSIONS)).astype(np.int64)
+    v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(words) * DIMENSIONS).reshape(-1, DIMENSIONS)
+    return (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)).tolist()
 
 
 def embed(text: Column, model: Callable[[], Callable[[list[str]], list[list[float]]]] = lambda: hash_embedding, batch: int = 50) -> Column:
@@ -67,8 +81,20 @@ def judge(answer: Column, fact: Column) -> Column:
     return F.when(fact.isNull() | answer.isNull(), "review").when(F.contains(F.lower(answer), F.lower(fact)), "pass").otherwise("fail")
 
 
-def translate(texts: DataFrame, cache: DataFrame, language: str, model: str = "identity", version: str = "1") -> DataFrame:
-    """UD-08: ``text, key, translation``: from the cache by content and settings; what is missing goes to the stand-in, which leaves it as it is."""
-    key = F.sha2(F.concat_ws("|", F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(language), F.lit(model), F.lit(version)), 256)
-    asked = texts.withColumn("key", key)
-    return asked.join(cache.select("key", F.col("translation").alias("__t")), "key", "left").withColumn("cached", F.col("__t").isNotNull()).withColumn("translation", F.coalesce("__t", "text")).drop("__t")
+#: Fixed value: names the wording that translations were made with.
+PROMPT_VERSION = "enterprise-zh-v2"
+
+
+def translation_key(text: Column, language: str, model: str = "identity", version: str = PROMPT_VERSION) -> Column:
+    """UD-08: hash of the text's hash and of all that a translation depends on."""
+    return F.sha2(F.concat_ws("\n", F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(language), F.lit(model), F.lit(version)), 256)
+
+
+def translate(texts: DataFrame, cache: DataFrame, language: str, model: str = "identity", version: str = PROMPT_VERSION) -> DataFrame:
+    """UD-08: ``text, key, translation, cached``: from the cache (key, translation) by content and settings; what is missing goes to the stand-in, which leaves it as it is.
+
+    Texts that are equal share a key, and with it a cached translation.
+    """
+    held = cache.groupBy("key").agg(F.first("translation", ignorenulls=True).alias("__t"))
+    asked = texts.withColumn("key", translation_key(F.col("text"), language, model, version))
+    return asked.join(held, "key", "left").withColumn("cached", F.col("__t").isNotNull()).withColumn("translation", F.coalesce("__t", "text")).drop("__t")

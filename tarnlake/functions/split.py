@@ -197,7 +197,7 @@ def pack_atoms(text: str, parts: Sequence[dict], size: int, split: Callable[[dic
     return out
 
 
-_SENTENCE = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)")
+_SENTENCE = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
 
 
 def sentences(text: str, span: Span | None = None) -> list[Span]:
@@ -233,13 +233,14 @@ def plan_boundaries(paragraph: str, embed: Callable[[list[str]], list[Sequence[f
     marks = range(1, len(spans))
     vectors = embed([join(spans[max(0, i - c.window) : i]) for i in marks] + [join(spans[i : i + c.window]) for i in marks])
     m = len(spans) - 1
-    score = {spans[i][0]: sum(x * y for x, y in zip(vectors[i - 1], vectors[m + i - 1], strict=True)) for i in marks}
+    # a boundary lies where the sentence before it ends
+    score = {spans[i - 1][1]: sum(x * y for x, y in zip(vectors[i - 1], vectors[m + i - 1], strict=True)) for i in marks}
     limit = interpolated(list(score.values()), c.percentile)
     chosen: list[int] = []
     for at, s in score.items():
         if s <= limit and at - (chosen[-1] if chosen else 0) >= c.least_chars and n - at >= c.least_chars:
             chosen.append(at)
-    ends = [a for a, _ in spans[1:]]
+    ends = list(score)
     stop = ""
     while not stop:
         edges = [0, *chosen, n]
@@ -272,38 +273,45 @@ def planned_parts(text: str, part: dict, offsets: Sequence[int], size: int) -> l
 
 
 def translation_segments(text: str, most: int = 500) -> list[str]:
-    """TX-25: lines; long ones are cut at the last space before the limit."""
-    out = []
-    for line in text.splitlines(keepends=True):
+    """TX-25: whole lines up to ``most`` characters together; a longer line is cut after the last space that fits."""
+    if most < 1:
+        raise ValueError("a segment holds a character at least")
+    out, held = [], ""
+    for line in text.splitlines(keepends=True) if len(text) > most else []:
+        if held and len(held) + len(line) > most:
+            out.append(held)
+            held = ""
         while len(line) > most:
-            at = line.rfind(" ", 1, most)
-            at = most if at < 0 else at + 1
+            at = line.rfind(" ", 0, most) + 1
+            at = at if at > 1 else most
             out.append(line[:at])
             line = line[at:]
-        if line:
-            out.append(line)
-    return out
+        held += line
+    return out + [held] if held else out or [text]
 
 
-_PROTECTED = re.compile(r"https?://\S+|`[^`\n]+`|\b\d+(?:[.,:]\d+)*\s?(?:%|ms|s|min|h|KB|MB|GB|TB)?")
+#: Fixed value: what a translation must keep letter by letter.
+_PROTECTED = re.compile(r"`[^`\n]+`|https?://[^\s)]+|(?<![A-Za-z0-9])\d+(?:[.,]\d+)*\s*(?:KiB|MiB|GiB|KB|MB|GB|ms|us|μs|%)(?![A-Za-z0-9])|(?<![A-Za-z0-9])\d+(?:[.,]\d+)*", re.I)
+_CLOSING = ".,;:!?，。！？；："
 
 
-def mask(text: str) -> tuple[str, dict[str, str]]:
-    """TX-27: protected parts replaced by placeholders."""
+def mask(text: str | None) -> tuple[str, dict[str, str]]:
+    """TX-27: protected parts replaced by numbered placeholders; marks after an address stay outside."""
     held: dict[str, str] = {}
 
     def put(m: re.Match) -> str:
-        name = f"⟦{len(held)}⟧"
-        held[name] = m[0]
-        return name
+        own = m[0].rstrip(_CLOSING) if m[0].startswith("http") else m[0]
+        name = f"[[RAG_KEEP_{len(held) + 1}]]"
+        held[name] = own
+        return name + m[0][len(own) :]
 
-    return _PROTECTED.sub(put, text), held
+    return _PROTECTED.sub(put, text or ""), held
 
 
 def unmask(text: str, held: dict[str, str]) -> tuple[str, list[str]]:
     """The text with its parts back, and placeholders that were lost."""
     gone = [k for k in held if k not in text]
-    return re.sub("⟦\\d+⟧", lambda m: held.get(m[0], m[0]), text), gone
+    return re.sub(r"\[\[RAG_KEEP_\d+\]\]", lambda m: held.get(m[0], m[0]), text), gone
 
 
 def first_json_object(text: str) -> dict:

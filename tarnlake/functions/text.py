@@ -19,12 +19,14 @@ def tokens(text: Column) -> Column:
 
 
 def stable_filename(identifier: Column, title: Column, suffix: str = ".md", longest: int = 120) -> Column:
-    """TX-16: sixteen hex digits of the identifier's hash, the cleaned identifier (40 characters at most), the cleaned title in what is left."""
-    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
-    head = F.concat(F.substring(F.sha2(identifier, 256), 1, 16), F.lit("_"), F.substring(clean(identifier), 1, 40))
-    room = F.lit(longest - len(suffix) - 1) - F.length(head)
-    name = F.substr(clean(title), F.lit(1), F.greatest(room, F.lit(0)))
-    return F.concat(head, F.when(name != "", F.concat(F.lit("_"), name)).otherwise(""), F.lit(suffix))
+    """TX-16: cleaned identifier (40 characters at most), sixteen hex digits of the identifier's hash, and the cleaned title in what is left."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    longest = max(longest, 40)
+    fixed = 16 + 4 + len(suffix)
+    name = F.coalesce(F.nullif(F.substring(clean(identifier), 1, min(40, longest - fixed - len("untitled"))), F.lit("")), F.lit("document"))
+    room = F.greatest(F.lit(longest - fixed) - F.length(name), F.lit(0))
+    told = F.coalesce(F.nullif(F.substr(clean(title), F.lit(1), room), F.lit("")), F.lit("untitled"))
+    return F.concat(name, F.lit("__"), F.substring(F.sha2(F.coalesce(identifier.cast("string"), F.lit("")), 256), 1, 16), F.lit("__"), told, F.lit(suffix))
 
 
 def document_filename(identifier: Column) -> Column:
@@ -48,31 +50,44 @@ def chunk_number(chunk_id: Column) -> Column:
 
 
 def without_run_prefix(filename: Column) -> Column:
-    """TX-21: ``eval__<run>__name`` without the first two parts."""
-    return F.regexp_replace(filename, r"^eval__[^_]+(?:_[^_]+)*?__", "")
+    """TX-21: the stored document's own name at the end of a run's file name; other names stay."""
+    own = F.regexp_extract(F.coalesce(filename, F.lit("")), r"(enterprise__dsid_[0-9a-f]+\.md)$", 1)
+    return F.when(own != "", own).otherwise(F.coalesce(filename, F.lit("")))
+
+
+#: SRC-04, fixed values.
+FILE_TYPES = {"PDF": (".pdf",), "Word": (".docx",), "PowerPoint": (".pptx",), "Excel": (".xlsx",), "Image": (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff", ".tif"), "HTML": (".html", ".htm"), "Markdown": (".md",), "Text": (".txt",)}
 
 
 def file_type(filename: Column) -> Column:
     """SRC-04: type by suffix."""
-    kinds = {"PDF": ("pdf",), "Word": ("doc", "docx"), "PowerPoint": ("ppt", "pptx"), "Excel": ("xls", "xlsx"), "Image": ("png", "jpg", "jpeg"), "HTML": ("html", "htm"), "Markdown": ("md", "markdown"), "Text": ("txt",)}
-    suffix = F.lower(F.regexp_extract(filename, r"\.([A-Za-z0-9]+)$", 1))
+    name = F.lower(F.coalesce(filename, F.lit("")))
     out = F.lit("Unsupported")
-    for kind, names in kinds.items():
-        out = F.when(suffix.isin(*names), kind).otherwise(out)
+    for kind, endings in FILE_TYPES.items():
+        for ending in endings:
+            out = F.when(F.endswith(name, F.lit(ending)), kind).otherwise(out)
     return out
 
 
+def needs_converter(filename: Column) -> Column:
+    """SRC-04: types that hold no text of their own."""
+    return file_type(filename).isin("PDF", "Word", "PowerPoint", "Excel", "Image")
+
+
 def valid_upload_name(name: Column) -> Column:
     """TX-22: a plain file name of a supported type: no path, quote or control characters."""
     ok = (F.trim(name) != "") & ~name.rlike(r"[/\\\x00-\x1f\x7f'\"]") & ~name.isin(".", "..") & (file_type(name) != "Unsupported")
     return F.coalesce(ok, F.lit(False))
 
 
-def session_title(text: Column, longest: int = 16, default: str = "New conversation") -> Column:
-    """TX-23: one line, outer punctuation off, cut, never empty."""
-    flat = F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" \t\r\n"))
-    bare = F.btrim(flat, F.lit(" .,!?;:'\"-。，！？；："))
-    return F.coalesce(F.nullif(F.substring(bare, 1, longest), F.lit("")), F.lit(default))
+#: White space as Unicode has it.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+
+
+def session_title(text: Column, longest: int = 16, default: str = "新会话") -> Column:
+    """TX-23: words with one blank between them, closing punctuation off either end, cut, never empty."""
+    flat = F.btrim(F.regexp_replace(text, f"{SPACE}+", " "), F.lit(" 。！？!?，,；;：:"))
+    return F.coalesce(F.nullif(F.substring(flat, 1, longest), F.lit("")), F.lit(default))
 
 
 def context_entry(position: Column, filename: Column, page: Column, text: Column) -> Column:
@@ -83,6 +98,49 @@ def context_entry(position: Column, filename: Column, page: Column, text: Column
 CONTEXT_JOINT = "\n\n---\n\n"
 
 
+# TX-26: fixed values. Quantities, units that count as one, and what a translation must keep letter by letter. Groups repeat a
+# bounded number of times, as Java's patterns go down a level with each.
+QUANTITY = r"(?<![A-Za-z0-9])\d+(?:[.,]\d+){0,60}"
+TIME_UNITS = {
+    "millisecond": ("millisecond", "milliseconds", "ms", "毫秒"),
+    "second": ("second", "seconds", "sec", "secs", "秒"),
+    "minute": ("minute", "minutes", "min", "mins", "分钟", "分"),
+    "hour": ("hour", "hours", "hr", "hrs", "h", "小时"),
+    "day": ("day", "days", "d", "天"),
+}
+TIME = r"(?<![A-Za-z0-9])\d+(?:[.,]\d+){0,60}\s*(?:milliseconds?|ms|seconds?|secs?|sec|minutes?|mins?|min|hours?|hrs?|hr|h|days?|day|d|毫秒|秒|分钟|分|小时|天)(?![A-Za-z])"
+TECHNICAL = r"(?<![A-Za-z0-9])\d+(?:[.,]\d+){0,60}\s*(?:KiB|MiB|GiB|KB|MB|GB|ms|us|μs|%)(?![A-Za-z0-9])"
+LITERAL = r"`[^`\n]+`|https?://[^\s)]+"
+CLOSING = ".,;:!?，。！？；："
+
+
+def time_tokens(text: Column) -> Column:
+    """TX-26: times as ``<value><unit>``, a unit's names being one."""
+    found = F.regexp_extract_all(text, F.lit(f"(?i){TIME}"), F.lit(0))
+
+    def told(x: Column) -> Column:
+        value, unit = F.regexp_extract(x, r"^([\d.,]*\d)", 1), F.lower(F.regexp_extract(x, r"^[\d.,]*\d\s*(.*)$", 1))
+        out = unit
+        for name, aliases in TIME_UNITS.items():
+            out = F.when(unit.isin(*aliases), name).otherwise(out)
+        return F.concat(F.lit("time:"), value, out)
+
+    return F.transform(found, told)
+
+
+def number_tokens(text: Column) -> Column:
+    """TX-26."""
+    return F.transform(F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0)), lambda x: F.concat(F.lit("number:"), x))
+
+
+def literal_tokens(text: Column) -> Column:
+    """TX-26: code and addresses as they stand, technical units without blanks in lower case."""
+    whole = F.transform(F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0)), lambda x: F.when(x.startswith("http"), F.rtrim(x, F.lit(CLOSING))).otherwise(x))
+    units = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){TECHNICAL}"), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, r"\s+", "")))
+    return F.transform(F.concat(whole, units), lambda x: F.concat(F.lit("literal:"), x))
+
+
 def fact_tokens(text: Column) -> Column:
-    """TX-26: numbers with their units and web addresses, which a rewriting must keep as often as they occur."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"https?://[^ \n\t]+|[0-9]+(?:[.,:][0-9]+)*%?"), F.lit(0))
+    """TX-26: everything that a translation must hold as often as its source."""
+    x = F.coalesce(text, F.lit(""))
+    return F.concat(time_tokens(x), number_tokens(x), literal_tokens(x))

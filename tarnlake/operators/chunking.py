@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tarnlake.config import ChunkingConfig, SemanticConfig
 from tarnlake.functions import html, split
 from tarnlake.functions.models import hash_embedding
+from tarnlake.functions.text import SPACE
 from tarnlake.schemas import CHUNK
 
 _FIELDS = [f.strip().split(" ") for f in CHUNK.split(",")]
@@ -150,9 +151,17 @@ def linearised(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def html_sections(linear: DataFrame) -> DataFrame:
-    """TX-15: ``text, title`` cut before every second-level heading; ``section, page_number`` added."""
-    parts = F.filter(F.split("text", r"(?m)^(?=## .+$)"), lambda x: F.trim(x) != "")
+    """TX-15: ``text, title`` cut before every second-level heading; ``section, section_title, page_number`` added.
+
+    A page of one piece is headed by its title. Of several each is headed by its own heading, the first also by a first-level one.
+    A page without text has no section.
+    """
+    bare = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    parts = F.filter(F.transform(F.split(bare(F.coalesce("text", F.lit(""))), r"(?m)^(?=## .+$)"), bare), lambda x: x != "")
     one = linear.withColumn("__n", F.size(parts)).select("*", F.posexplode(parts).alias("__i", "__part"))
-    name = F.regexp_extract("__part", r"\A## (.+)", 1)
-    head = F.when(F.col("__n") == 1, F.when(F.col("title") != "", F.concat(F.lit("["), "title", F.lit("]\n\n"))).otherwise("")).otherwise(F.concat(F.lit("[章节: "), F.when(name != "", name).otherwise(F.col("title")), F.lit("]\n\n")))
-    return one.withColumn("section", F.concat(head, F.btrim("__part", F.lit(" \n")))).withColumn("page_number", F.when(F.col("__n") == 1, 1).otherwise(F.col("__i") + 1)).drop("__n", "__i", "__part")
+    line = bare(F.substring_index("__part", "\n", 1))
+    own = F.when(line.startswith("## "), bare(F.substr(line, F.lit(4)))).when((F.col("__i") == 0) & line.startswith("# "), bare(F.substr(line, F.lit(3)))).otherwise("")
+    title = F.coalesce("title", F.lit(""))
+    named = one.withColumn("section_title", F.when(F.col("__n") == 1, title).otherwise(own))
+    head = F.when(F.col("section_title") == "", "").when(F.col("__n") == 1, F.concat(F.lit("["), "section_title", F.lit("]\n\n"))).otherwise(F.concat(F.lit("[章节: "), "section_title", F.lit("]\n\n")))
+    return named.withColumn("section", F.concat(head, F.col("__part"))).withColumn("page_number", F.col("__i") + 1).drop("__n", "__i", "__part")

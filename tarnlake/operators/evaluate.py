@@ -66,27 +66,62 @@ def eligible(results: DataFrame) -> DataFrame:
     return results.groupBy("strategy").agg(F.bool_and(~F.col("failed")).alias("ok")).filter("ok").select("strategy")
 
 
-def failure_labels(r: DataFrame) -> Column:
-    """AG-11: all categories that apply to a result; FL-07 for system errors."""
-    system = system_error()
-    say = lambda c, label: F.when(c, F.lit(label))
-    miss = ~system & ~F.col("refusal") & (F.coalesce("coverage", F.lit(0.0)) == 0)
-    late = ~system & (F.col("best_rank") > 5)
-    part = ~system & ~F.col("refusal") & (F.col("coverage") > 0) & (F.col("coverage") < 1)
-    answer = ~system & (F.col("verdict") == "fail") & (F.coalesce("coverage", F.lit(0.0)) >= 1)
-    refuse = ~system & F.col("refusal") & (F.col("verdict") == "fail")
-    review = F.col("verdict") == "review"
-    return F.array_compact(F.array(say(system, "system_error"), say(miss, "retrieval_miss"), say(late, "late_rank"), say(part, "incomplete_evidence"), say(answer, "answer_error"), say(refuse, "wrong_refusal"), say(review, "manual_review")))
+def _told(name: str) -> Column:
+    """Whether an error field says something."""
+    return F.coalesce(F.trim(F.col(name)) != "", F.lit(False))
 
 
 def system_error() -> Column:
-    """FL-07: an error of the run itself, from any of its four sources."""
-    return F.coalesce(F.col("error").isNotNull() | F.col("timed_out") | F.col("judge_error").isNotNull() | (F.col("verdict") == "error"), F.lit(False))
+    """FL-07: the run, the answer's generation, the judge or the evidence grader failed."""
+    return _told("evaluation_error") | _told("answer_error") | _told("grader_error") | F.coalesce(F.col("evidence_reason") == "evidence_grading_unavailable", F.lit(False))
 
 
-def retryable(error: Column) -> Column:
-    """FL-06: errors worth another attempt; spent quotas are not."""
-    return error.isNotNull() & ~error.rlike("(?i)quota|insufficient|balance")
+def retryable() -> Column:
+    """FL-06: no stable outcome of answer and grade; worth another attempt."""
+    return _told("evaluation_error") | _told("answer_error") | _told("grader_error")
+
+
+def quota_spent() -> Column:
+    """FL-06: the provider will refuse every further call."""
+    e = F.coalesce("evaluation_error", F.lit(""))
+    return F.contains(e, F.lit("APIStatusError: Error code: 402")) | F.contains(e, F.lit("account balance is insufficient"))
+
+
+#: AG-11, fixed values, in the order of reports. Nothing is ever classed as a hard distractor.
+FAILURES = ("retrieval_miss", "retrieval_late", "hard_distractor", "evidence_incomplete", "answer_failure", "refusal_failure", "human_review", "system_error")
+
+
+def failure_labels() -> Column:
+    """AG-11: all categories that apply to a result; they overlap.
+
+    Columns: verdict, the error fields of FL-07, question_type, refusal_correct, expected (gold documents), ranks (of those found), coverage.
+    """
+    system, verdict = system_error(), F.lower(F.coalesce("verdict", F.lit("review")))
+    gold, found = F.coalesce(F.size("expected") > 0, F.lit(False)), F.filter(F.coalesce("ranks", F.array().cast("array<int>")), lambda r: r.isNotNull())
+    say = lambda c, label: F.when(F.coalesce(c, F.lit(False)), F.lit(label))
+    return F.array_compact(F.array(
+        say(gold & (F.size(found) == 0), "retrieval_miss"),
+        say((F.size(found) > 0) & (F.array_min(found) > 3), "retrieval_late"),
+        say(gold & (F.col("coverage") > 0) & (F.col("coverage") < 1), "evidence_incomplete"),
+        say((verdict == "fail") & ~system, "answer_failure"),
+        say((F.col("question_type") == "info_not_found") & ~(F.coalesce("refusal_correct", F.lit(False)) & (verdict == "pass")), "refusal_failure"),
+        say((verdict == "review") & ~system, "human_review"),
+        say(system, "system_error"),
+    ))
+
+
+def failure_counts(results: DataFrame) -> DataFrame:
+    """AG-11: cases per category, also where there are none."""
+    names = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("label")) for i, n in enumerate(FAILURES)])).alias("c")
+    every = results.sparkSession.range(1).select(names).select("c.*")
+    n = results.select(F.explode(failure_labels()).alias("label")).groupBy("label").agg(F.count("*").alias("cases"))
+    return every.join(n, "label", "left").na.fill(0, ["cases"]).select("position", "label", "cases")
+
+
+def verdict_counts(results: DataFrame) -> DataFrame:
+    """AG-12: cases per verdict, in the order of verdicts; without one a case counts for review."""
+    n = results.groupBy(F.coalesce(F.nullif("verdict", F.lit("")), F.lit("review")).alias("verdict")).agg(F.count("*").alias("cases"))
+    return n.orderBy("verdict")
 
 
 def paired(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -100,11 +135,26 @@ def unpaired(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(after, "case_id", "left_anti").select("case_id").unionByName(after.join(before, "case_id", "left_anti").select("case_id"))
 
 
+def coverage_turn() -> Column:
+    return F.when(F.col("after_coverage") > F.col("before_coverage"), "coverage_up").when(F.col("after_coverage") < F.col("before_coverage"), "coverage_down").otherwise("coverage_same")
+
+
+def transition() -> Column:
+    return F.concat("before_verdict", F.lit("_to_"), "after_verdict", F.lit(";"), coverage_turn())
+
+
 def transitions(pairs: DataFrame) -> DataFrame:
-    """AG-14."""
-    turn = F.when(F.col("after_coverage") > F.col("before_coverage"), "coverage_up").when(F.col("after_coverage") < F.col("before_coverage"), "coverage_down").otherwise("coverage_same")
-    name = F.concat("before_verdict", F.lit("_to_"), "after_verdict", F.lit(";"), turn)
-    return pairs.groupBy(name.alias("transition")).agg(F.count("*").alias("cases"), F.slice(F.sort_array(F.collect_list("case_id")), 1, 8).alias("examples"))
+    """AG-14: cases per transition."""
+    return pairs.groupBy(transition().alias("transition")).agg(F.count("*").alias("cases"))
+
+
+def transition_cases(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """AG-14: every case with its transition, a row each; SL-07: the first ``most`` of each by case id."""
+    named = pairs.select(transition().alias("transition"), "case_id")
+    if most is None:
+        return named
+    place = F.row_number().over(Window.partitionBy("transition").orderBy("case_id"))
+    return named.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def deltas(pairs: DataFrame) -> DataFrame:
@@ -116,13 +166,33 @@ def deltas(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("scope").agg(F.count("*").alias("cases"), F.round(F.avg("after_coverage") - F.avg("before_coverage"), 6).alias("average_delta"), F.round(p("after") - p("before"), 6).alias("pass_delta"), F.round(f("after") - f("before"), 6).alias("full_delta"))
 
 
-def attribution(pairs: DataFrame) -> DataFrame:
-    """AG-15: what a change of verdict is put down to."""
-    up, down = F.col("after_coverage") > F.col("before_coverage"), F.col("after_coverage") < F.col("before_coverage")
-    won = (F.col("before_verdict") != "pass") & (F.col("after_verdict") == "pass")
-    gone = (F.col("before_verdict") == "pass") & (F.col("after_verdict") != "pass")
-    cause = F.when(F.col("before_system_error") | F.col("after_system_error"), "system_error").when(won & up, "retrieval_gain").when(won, "generation_gain").when(gone & down, "retrieval_loss").when(gone, "generation_loss").when(up, "coverage_only_gain").when(down, "coverage_only_loss").otherwise("unchanged")
-    return pairs.groupBy(cause.alias("cause")).agg(F.count("*").alias("cases"))
+def attribution_label(controlled: bool = True) -> Column:
+    """AG-15: what a change is put down to. ``controlled``: errors on either side rule a comparison out."""
+    up, down = coverage_turn() == "coverage_up", coverage_turn() == "coverage_down"
+    passed = F.col("after_verdict") == "pass"
+    won = (F.col("before_verdict") != "pass") & passed
+    if not controlled:
+        return (
+            F.when(won & up, "evidence_recovered_and_answer_pass_candidate")
+            .when(won, "answer_pass_without_evidence_coverage_gain")
+            .when(up, "evidence_recovered_but_answer_not_pass")
+            .when(down, "evidence_coverage_regressed")
+            .otherwise("no_measurable_evidence_coverage_change")
+        )
+    return (
+        F.when(F.col("after_system_error"), "system_error")
+        .when(F.col("before_system_error"), "baseline_system_error_no_comparison")
+        .when(won & up, "evidence_recovered_and_answer_pass_candidate")
+        .when(up, "evidence_recovered_but_answer_not_pass")
+        .when(down, "evidence_coverage_regressed")
+        .when(won, "answer_pass_without_coverage_gain")
+        .otherwise("no_measurable_evidence_coverage_change")
+    )
+
+
+def attribution(pairs: DataFrame, controlled: bool = True) -> DataFrame:
+    """AG-15: cases per attribution."""
+    return pairs.groupBy(attribution_label(controlled).alias("cause")).agg(F.count("*").alias("cases"))
 
 
 def grade(answers: DataFrame, facts: DataFrame, claims: DataFrame) -> DataFrame:
@@ -139,11 +209,25 @@ def grade(answers: DataFrame, facts: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def exam_summary(cases: DataFrame) -> DataFrame:
-    """AG-10: ``ranks array<int>`` of all expected documents (null: absent), verdict, facts, supported, forbidden, latency_s; rounded half to even."""
-    found = F.filter("ranks", lambda r: r.isNotNull())
-    every = F.size(found) == F.size("ranks")
-    within = lambda k: every & F.forall(found, lambda r: r <= k)
-    return cases.agg(F.count("*").alias("cases"), F.bround(share(every), 4).alias("recall_all"), F.bround(share(F.exists(found, lambda r: r == 1)), 4).alias("first_at_1"), F.bround(share(within(2)), 4).alias("all_at_2"), F.bround(share(within(3)), 4).alias("all_at_3"), F.bround(share(F.col("verdict") == "pass"), 4).alias("pass_rate"), F.sum("facts").alias("facts"), F.sum("supported").alias("supported"), F.sum("forbidden").alias("forbidden"), F.bround(F.avg("latency_s"), 3).alias("mean_latency_s"))
+    """AG-10: one row on a run: http_status, all_recalled, ranks array<int> of the expected documents (null: absent), verdict,
+    fact_results array<string>, claims_mentioned array<boolean>, elapsed_s. Rates are rounded half to even; answers and their
+    facts count for judged cases only, a rate over nothing is 0, the pass rate null.
+    """
+    ok = F.col("http_status") == 200
+    judged = ok & F.col("verdict").isin("pass", "fail", "review")
+    hit = lambda k: (F.size("ranks") > 0) & F.forall("ranks", lambda r: F.coalesce(r <= k, F.lit(False)))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(F.when(judged, c)), F.lit(0)).cast("long")
+    sums = cases.agg(
+        F.count("*").alias("cases"), n(ok).alias("successful_cases"), n(ok & F.col("all_recalled")).alias("all_expected_docs_recalled"),
+        n(ok & F.exists("ranks", lambda r: r == 1)).alias("first_expected_doc_at_1"), n(ok & hit(2)).alias("all_expected_docs_at_2"), n(ok & hit(3)).alias("all_expected_docs_at_3"),
+        n(judged).alias("answer_judged_cases"), n(judged & (F.col("verdict") == "pass")).alias("answer_passed_cases"), n(judged & (F.col("verdict") == "review")).alias("answer_review_cases"),
+        total(F.size("fact_results")).alias("expected_facts_total"), total(F.size(F.filter("fact_results", lambda r: r == "met"))).alias("expected_facts_met"),
+        total(F.size("claims_mentioned")).alias("forbidden_claims_total"), total(F.size(F.filter("claims_mentioned", lambda c: c))).alias("forbidden_claim_violations"),
+        F.coalesce(F.bround(F.avg("elapsed_s"), 3), F.lit(0.0)).alias("average_elapsed_seconds"),
+    )
+    rate = lambda a, b: F.bround(F.try_divide(F.col(a).cast("double"), F.col(b)), 4)
+    return sums.withColumn("failed_cases", F.col("cases") - F.col("successful_cases")).withColumn("all_expected_docs_recall_rate", F.coalesce(rate("all_expected_docs_recalled", "successful_cases"), F.lit(0.0))).withColumn("answer_pass_rate", rate("answer_passed_cases", "answer_judged_cases"))
 
 
 def funnel(stage_table: DataFrame, gold: DataFrame) -> DataFrame:
@@ -160,24 +244,64 @@ def latency_table(results: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("part").agg(nearest_rank("ms", 0.5).alias("p50"), nearest_rank("ms", 0.95).alias("p95"), F.count("ms").alias("n"))
 
 
+def _kept_gold(pool: DataFrame, k: int) -> DataFrame:
+    return pool.filter("gold").groupBy("query_id").agg(F.count("*").alias("gold"), F.count_if(F.col("old_rank") <= k).alias("old"), F.count_if(F.col("new_rank") <= k).alias("new"))
+
+
 def rerank_shadow(pool: DataFrame, k: int) -> DataFrame:
     """JN-06, AG-19: on one fixed pool (query_id, filename, old_rank, new_rank, gold), how much gold each reranker keeps in its first ``k``."""
-    one = pool.filter("gold").groupBy("query_id").agg(F.count("*").alias("gold"), F.count_if(F.col("old_rank") <= k).alias("old"), F.count_if(F.col("new_rank") <= k).alias("new"))
-    return one.agg(F.count("*").alias("cases"), F.round(share(F.col("old") == F.col("gold")), 6).alias("old_full"), F.round(share(F.col("new") == F.col("gold")), 6).alias("new_full"), F.round(F.avg(F.col("old") / F.col("gold")), 6).alias("old_average"), F.round(F.avg(F.col("new") / F.col("gold")), 6).alias("new_average"), F.sort_array(F.collect_list(F.when(F.col("new") > F.col("old"), F.col("query_id")))).alias("improved"), F.sort_array(F.collect_list(F.when(F.col("new") < F.col("old"), F.col("query_id")))).alias("worsened"))
+    return _kept_gold(pool, k).agg(F.count("*").alias("cases"), F.round(share(F.col("old") == F.col("gold")), 6).alias("old_full"), F.round(share(F.col("new") == F.col("gold")), 6).alias("new_full"), F.round(F.avg(F.col("old") / F.col("gold")), 6).alias("old_average"), F.round(F.avg(F.col("new") / F.col("gold")), 6).alias("new_average"), F.count_if(F.col("new") > F.col("old")).alias("improved"), F.count_if(F.col("new") < F.col("old")).alias("worsened"))
+
 
+def rerank_shadow_cases(pool: DataFrame, k: int) -> DataFrame:
+    """AG-19: the queries that keep more or less gold, a row each."""
+    turn = F.when(F.col("new") > F.col("old"), "improved").when(F.col("new") < F.col("old"), "worsened")
+    return _kept_gold(pool, k).withColumn("turn", turn).filter("turn IS NOT NULL").select("query_id", "turn", "gold", "old", "new")
 
-def review_queue(results: DataFrame) -> DataFrame:
-    """AG-26: cases for a person with all reasons; what belongs to the validation split is redacted."""
-    say = lambda c, label: F.when(c, F.lit(label))
-    reasons = F.array_compact(F.array(say(F.col("verdict") == "review", "judge_unsure"), say((F.col("coverage") >= 1) & (F.col("verdict") == "fail"), "covered_but_failed"), say((F.col("coverage") == 0) & (F.col("verdict") == "pass"), "passed_without_evidence"), say(F.coalesce(F.col("error").isNotNull(), F.lit(False)), "error")))
-    hidden = F.col("split") == "validation"
-    return results.withColumn("reasons", reasons).filter(F.size("reasons") > 0).select("case_id", "reasons", F.when(hidden, "[redacted]").otherwise(F.col("question")).alias("question"))
 
+def review_reasons() -> Column:
+    """AG-26: all reasons why a person should look at a result."""
+    say = lambda c, label: F.when(F.coalesce(c, F.lit(False)), F.lit(label))
+    verdict, covered = F.col("verdict"), F.coalesce("coverage", F.lit(0.0))
+    return F.array_compact(F.array(
+        say(verdict == "review", "grader_review"),
+        say((F.col("case_set") == "validation") & ~F.coalesce(verdict == "pass", F.lit(False)), "validation_failure"),
+        say((verdict == "fail") & (covered >= 1), "evidence_complete_answer_failed"),
+        say((verdict == "pass") & (covered < 1), "answer_passed_evidence_incomplete"),
+        say(system_error(), "system_error"),
+    ))
 
-def language_violations(cases: DataFrame) -> DataFrame:
-    """AG-25: English cases whose sub-questions hold Chinese characters, or that have no trace."""
-    bad = F.exists("sub_questions", lambda q: q.rlike("[㐀-鿿]"))
-    return cases.filter(F.col("language") == "en").agg(F.count("*").alias("cases"), F.count_if(F.coalesce(bad, F.lit(False))).alias("violations"), F.count_if(F.col("sub_questions").isNull()).alias("missing_trace"), F.bool_and(F.col("sub_questions").isNotNull() & ~F.coalesce(bad, F.lit(False))).alias("compliant"))
+
+def review_queue(results: DataFrame, blind: bool = True) -> DataFrame:
+    """AG-26: cases for a person with all reasons; ``blind`` runs show of the validation set only that a case waits."""
+    hidden = F.coalesce(F.col("case_set") == "validation", F.lit(False)) & F.lit(blind)
+    queue = results.withColumn("reasons", review_reasons()).filter(F.size("reasons") > 0)
+    return queue.select("case_set", F.when(~hidden, F.col("case_id")).alias("case_id"), F.when(~hidden, F.col("question")).alias("question"), F.when(hidden, F.array(F.lit("validation_case_suppressed"))).otherwise(F.col("reasons")).alias("reasons"), hidden.alias("redacted"))
+
+
+def language_observations(cases: DataFrame) -> DataFrame:
+    """AG-25: what complex questions with Latin letters sent to retrieval, and what breaks the language policy.
+
+    ``cases``: case_id, question, the error fields of FL-06, complexity, sub_questions and candidate_queries (array<string>).
+    One row per query seen (``reason`` Chinese characters or null) and per trace that is missing.
+    """
+    checked = cases.filter(F.col("question").rlike("[A-Za-z]") & ~retryable() & F.coalesce(F.col("complexity") == "complex", F.lit(False)))
+    seen = lambda name, pattern: F.filter(F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda q, i: F.struct(F.format_string(pattern, i + 1).alias("location"), F.trim(q).alias("query"))), lambda o: o["query"] != "")
+    subs, asked = seen("sub_questions", "rag_trace.sub_questions[%d]"), seen("candidate_queries", "candidate_audits[%d].query")
+    chinese = lambda o: F.struct(o["location"].alias("location"), o["query"].alias("query"), F.when(o["query"].rlike("[㐀-鿿]"), F.lit("chinese_characters")).alias("reason"))
+    missing = lambda found, where, reason: F.when(F.size(found) == 0, F.array(F.struct(F.lit(where).alias("location"), F.lit("").alias("query"), F.lit(reason).alias("reason"))))
+    none = F.array().cast("array<struct<location: string, query: string, reason: string>>")
+    every = F.concat(F.transform(subs, chinese), F.transform(asked, chinese), F.coalesce(missing(subs, "rag_trace.sub_questions", "missing_actual_sub_questions"), none), F.coalesce(missing(asked, "candidate_audits", "missing_actual_retrieval_query"), none))
+    return checked.select("case_id", F.explode(every).alias("o")).select("case_id", "o.*")
+
+
+def language_compliance(cases: DataFrame) -> DataFrame:
+    """AG-25: one row; ``compliant`` is null if no case was checked."""
+    latin = F.coalesce(F.col("question").rlike("[A-Za-z]"), F.lit(False))
+    complex_ = F.coalesce(F.col("complexity") == "complex", F.lit(False))
+    n = cases.agg(F.count_if(latin).alias("english_cases"), F.count_if(latin & retryable()).alias("system_errors"), F.count_if(latin & ~retryable() & complex_).alias("checked_cases"))
+    bad = language_observations(cases).agg(F.count("reason").alias("violations"))
+    return n.crossJoin(F.broadcast(bad)).withColumn("compliant", F.when(F.col("checked_cases") > 0, F.col("violations") == 0))
 
 
 def fold_checkpoint(lines: DataFrame) -> DataFrame:
@@ -185,6 +309,11 @@ def fold_checkpoint(lines: DataFrame) -> DataFrame:
     return lines.groupBy("case_id").agg(F.min("line_no").alias("position"), F.max_by(F.struct(*[c for c in lines.columns if c not in ("case_id", "line_no")]), "line_no").alias("r")).select("case_id", "position", "r.*")
 
 
+def resumed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SM-06: of a checkpoint's folded records those that stand, and the failed ones that go to the history and are tried again."""
+    return records.filter(~retryable()), records.filter(retryable())
+
+
 def retry_selection(cases: DataFrame, done: DataFrame) -> DataFrame:
     """AG-29: ``retry`` for cases without a result or with a failed one, others preserved."""
     return cases.join(done.select("case_id", F.col("failed").alias("__failed")), "case_id", "left").select("case_id", F.coalesce("__failed", F.lit(True)).alias("retry"))
@@ -197,10 +326,62 @@ def retry_merge(source: DataFrame, attempts: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n", "__p")
 
 
-def freeze_manifest(cases: DataFrame, validation: DataFrame, expected: int) -> DataFrame:
-    """AG-31: a one-row manifest over sorted case ids with their hash; fails on a wrong count, duplicates or validation cases."""
+#: AG-31, fixed values: how many cases each experiment freezes, and the one thing that it may change.
+CONTRACTS = {
+    "rewrite_candidate_fusion": (15, "rewrite_candidate_fusion"),
+    "evidence_candidate_audit": (97, "rewrite_candidate_fusion"),
+    "adjacent_l3_expansion": (11, "adjacent_l3_expansion"),
+    "structured_chunking_offline_audit": (30, "document_chunking_strategy"),
+    "model_comparison": (30, "model"),
+    "rerank_model_comparison": (30, "rerank_model"),
+    "subquestion_language_policy": (30, "subquestion_language_policy"),
+}
+#: Of the evidence audit, so many cases of each category make up its 97.
+AUDITED = {"retrieval_miss": 63, "retrieval_late": 19, "evidence_incomplete": 19}
+
+
+def rewritten_cases(records: DataFrame) -> DataFrame:
+    """AG-31: analysis cases that a rewrite was really tried on and that ran (case_set, rewrite_method, evaluation_error)."""
+    return records.filter((F.col("case_set") == "analysis") & F.col("rewrite_method").isin("step_back", "hyde") & ~_told("evaluation_error"))
+
+
+def adjacent_gap_cases(reviews: DataFrame) -> DataFrame:
+    """AG-31: cases whose missing evidence a person found next to a retrieved leaf."""
+    return reviews.filter(F.col("classification") == "adjacent_leaf_gap")
+
+
+def non_pass_cases(records: DataFrame) -> DataFrame:
+    """AG-31: analysis cases without a pass, for the wider run."""
+    return records.filter((F.col("case_set") == "analysis") & ~F.coalesce(F.col("verdict") == "pass", F.lit(False)))
+
+
+def audited_cases(labelled: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
+    """AG-31: ``case_id, label`` rows of the audited categories as ``case_id, categories``; another number in a category is an error."""
+    expected = AUDITED if expected is None else expected
+    held = labelled.filter(F.col("label").isin(*expected)).distinct()
+    counts = held.groupBy().agg(*[F.count_if(F.col("label") == n).alias(n) for n in expected])
+    right = F.lit(True)
+    for name, n in expected.items():
+        right = right & (F.col(name) == n)
+    ok = counts.select(F.assert_true(right, F.lit("a category has another number of cases than its contract says")).alias("__ok"))
+    cases = held.groupBy("case_id").agg(F.array_sort(F.collect_set("label")).alias("categories"))
+    return cases.crossJoin(F.broadcast(ok)).filter("__ok IS NULL").drop("__ok")
+
+
+def freeze_manifest(cases: DataFrame, validation: DataFrame, contract: str | int) -> DataFrame:
+    """AG-31: the frozen cases, a row each in the order of their ids, with a hash over all; fails on another number than the
+    contract's, on duplicates, on rows that are not for analysis (where ``case_set`` is known) and on validation cases.
+
+    A contract's number bounds the table, so its ids fit one row.
+    """
+    expected, variable = CONTRACTS[contract] if isinstance(contract, str) else (contract, None)
     bad = cases.join(validation.select("case_id"), "case_id", "left_semi").agg(F.count("*").alias("leaked"))
-    one = cases.agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("distinct_n"), F.sort_array(F.collect_list("case_id")).alias("ids"))
-    ok = (F.col("n") == expected) & (F.col("distinct_n") == F.col("n")) & (F.col("leaked") == 0)
-    checked = one.crossJoin(bad).withColumn("ok", F.coalesce(ok, F.lit(False)))
-    return checked.select(F.when(F.col("ok"), F.col("n")).otherwise(F.raise_error(F.lit("manifest does not meet its contract")).cast("long")).alias("case_count"), F.sha2(F.to_json("ids"), 256).alias("manifest_hash"))
+    other = F.count_if(F.coalesce(F.col("case_set") != "analysis", F.lit(True))) if "case_set" in cases.columns else F.lit(0)
+    # counted first: nothing is gathered if the number is wrong
+    one = cases.agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("distinct_n"), other.alias("other"))
+    ok = F.coalesce((F.col("n") == expected) & (F.col("distinct_n") == F.col("n")) & (F.col("leaked") == 0) & (F.col("other") == 0), F.lit(False))
+    found = one.crossJoin(bad).select(ok.alias("ok")).first()
+    if not found.ok:
+        raise ValueError("manifest does not meet its contract")
+    ids = cases.agg(F.sort_array(F.collect_list("case_id")).alias("ids"))
+    return ids.select(F.lit(expected).cast("long").alias("case_count"), F.lit(variable).cast("string").alias("changed_variable"), "ids", F.sha2(F.to_json("ids"), 256).alias("manifest_hash"))

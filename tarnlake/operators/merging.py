@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.text import blank_to_null, chunk_number, chunk_prefix
@@ -76,14 +76,20 @@ def neighbour_meta(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.na.fill(0, ["requested", "present", "added"])
 
 
-def candidate_key() -> str:
-    return "coalesce(nullif(trim(chunk_id), ''), concat_ws('|', filename, page_number, text))"
+def candidate_key(candidates: DataFrame) -> Column:
+    """RT-12: the chunk id; without one the file, page and text, as far as there are such columns."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None")) if c in candidates.columns else F.lit("None")
+    return F.coalesce(blank_to_null(F.col("chunk_id")), F.concat_ws("|", told("filename"), told("page_number"), told("text")))
 
 
 def deduplicate(candidates: DataFrame) -> DataFrame:
-    """RT-12: one candidate per chunk id, at its first position with its best score."""
-    best = candidates.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.min_by(F.struct("parent_chunk_id", "chunk_level", "filename"), "rank").alias("s"), F.max("score").alias("score"), F.max("rerank_score").alias("rerank_score"))
-    return renumbered(best.select("query_id", "rank", "chunk_id", "s.*", "score", "rerank_score"))
+    """RT-12: one candidate per key, at its first position with the first one's columns and the best scores."""
+    rest = [c for c in candidates.columns if c not in ("query_id", "rank", "score", "rerank_score")]
+    keyed = candidates.withColumn("__key", candidate_key(candidates))
+    scores = [F.max(c).alias(c) for c in ("score", "rerank_score") if c in candidates.columns]
+    best = keyed.groupBy("query_id", "__key").agg(F.min("rank").alias("rank"), F.min_by(F.struct(*rest), "rank").alias("s"), *scores)
+    out = renumbered(best.select("query_id", "rank", "s.*", *[c for c in ("score", "rerank_score") if c in candidates.columns]))
+    return out.select(*candidates.columns)
 
 
 def fuse_rewrites(initial: DataFrame, rewritten: DataFrame) -> DataFrame:

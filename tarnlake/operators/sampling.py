@@ -42,6 +42,46 @@ def split_cases(cases: DataFrame, kind: str, key: str, quota: int, seed: str) ->
     return cases.withColumn("split", F.when(F.row_number().over(by) <= quota, "analysis").otherwise("validation"))
 
 
+#: SL-05, fixed values: cases of each type for analysis and validation.
+FORMAL_QUOTAS = {
+    "basic": (105, 70), "semantic": (75, 50), "intra_document_reasoning": (24, 16), "project_related": (24, 16), "constrained": (18, 12),
+    "completeness": (12, 8), "conflicting_info": (12, 8), "info_not_found": (12, 8), "miscellaneous": (12, 8), "high_level": (6, 4),
+}
+
+
+def formal_split(cases: DataFrame, kind: str, key: str, seed: str, quotas: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """SL-05: the split by fixed quotas per type; fails on blank or repeated ids, on other types and on another number of a type.
+
+    The contract's table bounds the cases, so their counts are checked before anything is ranked.
+    """
+    quotas = FORMAL_QUOTAS if quotas is None else quotas
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    if not cases.filter(blank(key) | blank(kind)).isEmpty():
+        raise ValueError("a case without id or type")
+    if not cases.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError("a case id occurs twice")
+    found = {r[0]: r[1] for r in cases.groupBy(kind).count().limit(len(quotas) + 1).collect()}
+    if found != {k: a + v for k, (a, v) in quotas.items()}:
+        raise ValueError(f"types and their numbers differ from the contract: {found}")
+    wanted = F.create_map(*[F.lit(x) for k, (a, _) in quotas.items() for x in (k, a)])
+    by = Window.partitionBy(kind).orderBy(hash_rank(f"{seed}:case", F.col(key)), F.col(key).cast("string"))
+    return cases.withColumn("split", F.when(F.row_number().over(by) <= wanted[F.col(kind)], "analysis").otherwise("validation"))
+
+
+def ordinary_ids(docs: DataFrame, required: DataFrame, stratum: str, key: str, total: int, seed: str) -> DataFrame:
+    """FL-04: a stratified sample of ``total`` of the documents that no case requires; null strata are one; too few are an error."""
+    open_ = docs.select(key, F.coalesce(F.col(stratum), F.lit("unknown")).alias(stratum)).join(required.select(key), key, "left_anti")
+    n = open_.count()
+    if n < total:
+        raise ValueError(f"{total} ordinary documents wanted, {n} are there")
+    return stratified(open_, stratum, key, total, seed)
+
+
+def corpus_ids(required: DataFrame, ordinary: DataFrame, hard: DataFrame, key: str) -> DataFrame:
+    """SO-01: ids of all three roles, once each."""
+    return required.select(key).union(ordinary.select(key)).union(hard.select(key)).distinct()
+
+
 def first_per_kind(cases: DataFrame, kind: str, key: str, n: int = 1) -> DataFrame:
     """WN-10."""
     by = Window.partitionBy(kind).orderBy(key)
@@ -51,7 +91,8 @@ def first_per_kind(cases: DataFrame, kind: str, key: str, n: int = 1) -> DataFra
 def split_faults(split: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     """SO-05: keys in both parts, in neither, or unknown; empty for a sound split."""
     sides = split.groupBy(key).agg(F.count_distinct("split").alias("sides"))
-    return cases.select(key).distinct().join(sides, key, "full").filter("sides IS NULL OR sides <> 1").select(key)
+    known = cases.select(key).distinct().withColumn("__known", F.lit(True))
+    return known.join(sides, key, "full").filter("__known IS NULL OR sides IS NULL OR sides <> 1").select(key)
 
 
 def twister_sample(spark: SparkSession, ids: list, n: int, seed: int) -> DataFrame:
@@ -59,26 +100,62 @@ def twister_sample(spark: SparkSession, ids: list, n: int, seed: int) -> DataFra
     return spark.createDataFrame([(i,) for i in random.Random(seed).sample(sorted(ids), n)], "id string")
 
 
-def hard_negatives(top: DataFrame, per_case: int = 2) -> DataFrame:
-    """RT-21: ``case_pos, case_id, rank, doc`` lists in case order; each case takes its first ``per_case`` that no earlier case took.
+def hard_negatives(top: DataFrame, per_case: int = 2, excluded: DataFrame | None = None) -> DataFrame:
+    """RT-21: ``case_pos, case_id, rank, doc`` lists in case order; each case takes its first ``per_case`` documents that are not
+    ``excluded`` (doc) and that no earlier case took.
 
-    The rule looks at all earlier cases, so it is one sequential pass over 16 rows a case.
+    The rule looks at earlier cases only through documents that lists share: cases that hang together through such documents form a
+    group, groups are independent, and each is passed through in case order as its rows stream by.
     """
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    open_ = top.select("case_pos", "case_id", "rank", "doc")
+    if excluded is not None:
+        open_ = open_.join(excluded.select("doc").distinct(), "doc", "left_anti")
+    return _settled(open_, per_case)
+
+
+def _settled(lists: DataFrame, per_case: int) -> DataFrame:
+    """Cases whose lists share documents form groups; each group is passed through in case order, on its own."""
+    spark = lists.sparkSession
+    shared = lists.groupBy("doc").agg(F.count_distinct("case_pos").alias("n"), F.min("case_pos").alias("head")).filter("n > 1")
+    edges = lists.join(shared, "doc").filter("case_pos <> head").select(F.col("case_pos").alias("a"), F.col("head").alias("b")).distinct()
+    label = _groups(spark, lists.select(F.col("case_pos").alias("node")).distinct(), edges)
+    grouped = lists.join(label.select(F.col("node").alias("case_pos"), "label"), "case_pos")
+
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = case = None
         used: set = set()
-        case, got = None, 0
-        for b in batches:
+        got = 0
+        for frame in frames:
             keep = []
-            for r in b.itertuples():
-                if r.case_pos != case:
-                    case, got = r.case_pos, 0
-                if got < per_case and r.doc not in used:
-                    used.add(r.doc)
+            for g, c, name, doc in zip(frame["label"], frame["case_pos"], frame["case_id"], frame["doc"], strict=True):
+                if g != group:
+                    group, case, used, got = g, None, set(), 0
+                if c != case:
+                    case, got = c, 0
+                if got < per_case and doc not in used:
+                    used.add(doc)
                     got += 1
-                    keep.append((r.case_id, r.doc, got))
+                    keep.append((name, doc, got))
             yield pd.DataFrame(keep, columns=["case_id", "doc", "place"])
 
-    kinds = dict(top.dtypes)
-    ordered = top.select("case_pos", "case_id", "rank", "doc").coalesce(1).sortWithinPartitions("case_pos", "rank")
+    kinds = dict(lists.dtypes)
+    ordered = grouped.repartition("label").sortWithinPartitions("label", "case_pos", "rank")
     return ordered.mapInPandas(take, f"case_id {kinds['case_id']}, doc {kinds['doc']}, place int")
+
+
+def _groups(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, label`` with the smallest node reachable, by taking on smaller labels until none changes.
+
+    Each round is checkpointed where the cluster has a folder for it.
+    """
+    both = edges.union(edges.select("b", "a")).toDF("node", "other").distinct().persist()
+    label = nodes.withColumn("label", F.col("node"))
+    while True:
+        near = both.join(label.select(F.col("node").alias("other"), F.col("label").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
+        low = label.join(near, "node", "left").select("node", F.least("label", "l").alias("low"), "label")
+        up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
+        new = low.join(up, "low").select("node", F.least("low", "up").alias("label"), F.col("label").alias("was"))
+        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
+        if new.filter("label <> was").isEmpty():
+            return new.select("node", "label")
+        label = new.select("node", "label")

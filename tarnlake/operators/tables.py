@@ -1,7 +1,10 @@
-"""Mutations as new table versions, and span joins (SNK-01 to SNK-13, JN-01, JN-03, JN-05, AG-20, AG-21, AG-24)."""
+"""Mutations as new table versions, and span joins (SNK-01 to SNK-13, JN-01 to JN-03, JN-05, AG-20, AG-21, AG-24)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +25,10 @@ def append_missing(target: DataFrame, new: DataFrame, key: str = "chunk_id") ->
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
-    """SNK-03: the last version of each key; blank keys are skipped."""
-    every = current.unionByName(changes).filter(F.coalesce(F.trim(F.col(key)) != "", F.lit(False)))
-    by = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return every.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n")
+    """SNK-03: the last version of each key, a change before what is there; blank keys are skipped."""
+    own = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1))).filter(F.coalesce(F.trim(F.col(key)) != "", F.lit(False)))
+    by = Window.partitionBy(key).orderBy(F.col(version).desc(), F.col("__new").desc())
+    return own.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n", "__new")
 
 
 def parents_only(chunks: DataFrame) -> DataFrame:
@@ -40,8 +43,8 @@ def without_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def without_run(chunks: DataFrame, run: str) -> DataFrame:
-    """SNK-06: in a table laid out by run this prunes a folder."""
-    return chunks.filter(F.col("corpus_run_id") != run)
+    """SNK-06: in a table laid out by run this prunes a folder. Rows of no run stay."""
+    return chunks.filter(~F.col("corpus_run_id").eqNullSafe(run))
 
 
 def latest_valid(chunks: DataFrame) -> DataFrame:
@@ -113,6 +116,78 @@ def audit(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("filename").agg(F.count_distinct("old_id").alias("old_leaves"), F.count_distinct("new_id").alias("new_leaves"), F.count_if((F.col("old_start") == F.col("new_start")) & (F.col("old_end") == F.col("new_end"))).alias("exact"))
 
 
+def audit_summary(evidence: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """AG-20: one row on a re-chunking: evidence leaves (case_id, filename, chunk_id, start, end; an unlocated one starts below 0)
+    held against the new leaves (with heading_path) of their files.
+    """
+    files = evidence.select("filename").distinct()
+    leaves = lambda df, name: df.join(files, "filename", "left_semi").agg(F.count("*").alias(name))
+    b = new.select("filename", F.col("start").alias("s"), F.col("end").alias("e"), "heading_path")
+    met = evidence.join(b, (evidence["filename"] == b["filename"]) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")) & (F.col("start") >= 0), "left").drop(b["filename"])
+    one = met.groupBy("case_id", "chunk_id").agg(F.first("start").alias("start"), F.bool_or((F.col("s") == F.col("start")) & (F.col("e") == F.col("end"))).alias("exact"), F.count("s").alias("overlaps"), F.bool_or(F.contains("heading_path", F.lit(" > "))).alias("nested"))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    cases = one.groupBy("case_id").agg(F.count_if(F.col("start") >= 0).alias("leaves"), F.count_if(F.coalesce("exact", F.lit(False))).alias("exact"), any_(F.col("nested")).alias("nested"), any_(F.col("overlaps") > 0).alias("met"), any_(F.col("start") < 0).alias("lost"))
+    out = cases.agg(F.count("*").alias("case_count"), F.sum("leaves").alias("evidence_leaf_count"), F.sum("exact").alias("exact_leaf_count"), F.count_if("nested").alias("cases_with_nested_heading"), F.count_if("met").alias("cases_with_new_overlap"), F.count_if("lost").alias("cases_without_old_span"))
+    return out.withColumn("changed_leaf_count", F.col("evidence_leaf_count") - F.col("exact_leaf_count")).crossJoin(leaves(old, "old_leaf_count")).crossJoin(leaves(new, "new_leaf_count"))
+
+
+def content_kinds(chunks: DataFrame) -> DataFrame:
+    """AG-24: leaves of each document by kind of content."""
+    return chunks.filter("chunk_level = 3").groupBy("filename", F.coalesce("content_kind", F.lit("None")).alias("content_kind")).agg(F.count("*").alias("leaves")).orderBy("filename", "content_kind")
+
+
+def located(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """JN-02: ``start, end`` of each leaf (filename, chunk_id, leaf_index, text) in its file's text (filename, text), both -1 if it is not there.
+
+    A file's leaves are looked for in order, each from a leaf's length before the last one found, or else from the beginning.
+    Rows stream by in that order; held is one file's text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, body, last = None, "", 0
+        for batch in batches:
+            starts, keep = [], []
+            for k, (name, index, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("filename", "leaf_index", "text")), strict=True)):
+                if index is None:  # the file itself comes first
+                    file, body, last = name, text or "", 0
+                    continue
+                if name != file:
+                    file, body, last = name, "", 0
+                text = text or ""
+                at = body.find(text, max(0, last - len(text)))
+                at = body.find(text) if at < 0 else at
+                last = at if at >= 0 else last
+                keep.append(k)
+                starts.append((at, at + len(text) if at >= 0 else -1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("filename", "chunk_id", "leaf_index")), pa.array([a for a, _ in starts], pa.int64()), pa.array([b for _, b in starts], pa.int64())], ["filename", "chunk_id", "leaf_index", "start", "end"])
+
+    files = sources.join(chunks.select("filename").distinct(), "filename", "left_semi").select("filename", F.lit("").alias("chunk_id"), F.lit(None).cast("long").alias("leaf_index"), "text")
+    rows = chunks.select("filename", "chunk_id", F.col("leaf_index").cast("long").alias("leaf_index"), "text").unionByName(files)
+    ordered = rows.repartition("filename").sortWithinPartitions("filename", F.col("leaf_index").asc_nulls_first())
+    return ordered.mapInArrow(run, "filename string, chunk_id string, leaf_index long, start long, end long")
+
+
+def target_manifest(reviews: DataFrame, documents: DataFrame, cases: DataFrame, baseline: DataFrame) -> DataFrame:
+    """JN-05: the reviewed cases (case_id, source_ref, ...) with their document (doc_id, stable_filename, markdown_hash), case (expected
+    document ids) and baseline record (coverage, verdict); a review that lacks one of them is an error.
+
+    ``expected_document_ids`` names the source first if the case does not name it.
+    """
+    docs = documents.select(F.col("doc_id").alias("source_ref"), "stable_filename", "markdown_hash", F.lit(True).alias("__d"))
+    asked = cases.select("case_id", F.col("expected_doc_ids").alias("__ids"), F.lit(True).alias("__c"))
+    before = baseline.select("case_id", F.col("coverage").alias("baseline_coverage"), F.col("verdict").alias("baseline_verdict"), F.lit(True).alias("__b"))
+    out = reviews.join(docs, "source_ref", "left").join(asked, "case_id", "left").join(before, "case_id", "left")
+    whole = F.assert_true(F.coalesce(F.col("__d") & F.col("__c") & F.col("__b"), F.lit(False)), F.concat(F.lit("no document, case or baseline record for "), F.col("case_id").cast("string")))
+    ids = F.coalesce("__ids", F.array().cast(cases.schema["expected_doc_ids"].dataType))
+    named = F.when(F.array_contains(ids, F.col("source_ref")), ids).otherwise(F.concat(F.array("source_ref"), ids))
+    return out.withColumn("__ok", whole).filter("__ok IS NULL").withColumn("expected_document_ids", named).drop("__ok", "__d", "__c", "__b", "__ids")
+
+
+def target_documents(manifest: DataFrame) -> DataFrame:
+    """JN-05: all documents that the targets need, once each."""
+    return manifest.select(F.explode("expected_document_ids").alias("doc_id")).distinct()
+
+
 def chunk_faults(chunks: DataFrame, most: int) -> DataFrame:
     """AG-21: ids or texts that occur twice, leaves too long, spans out of order."""
     ids = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("fault"), F.col("chunk_id").alias("what"))

@@ -46,6 +46,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", "text")
 
 
+def texts_of(spark: SparkSession, sf_dir: str, level: int) -> DataFrame:
+    """Texts of one level: leaves need no putting together."""
+    if level == 3:
+        return leaves(spark, sf_dir).select("chunk_id", "text")
+    return parents(leaves(spark, sf_dir)).filter(F.col("chunk_level") == level).select("chunk_id", "text")
+
+
 def as_candidates(hits: DataFrame) -> DataFrame:
     """Leaf ids carry file and number, so nothing need be joined: the parent follows from the number."""
     n = F.regexp_extract("chunk_id", r"::l3::(\d+)$", 1).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import models
 from tarnlake.functions import text as T
-from tarnlake.operators import chunking, retrieval, sampling, tables
+from tarnlake.operators import chunking, retrieval, sampling, tables, translation
 from tarnlake.plans import corpus
 from tarnlake.plans.registry import CHUNKS, LEAF, bm25_sql, query, table, with_
 from tarnlake.sources import markdown, readers
@@ -38,11 +38,55 @@ def case_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split_cases(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 30, "s2")
 
 
-@query("split_faults", "SELECT 0::BIGINT AS faults")
+@query("split_faults", "SELECT doc_id FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 = 7 UNION ALL SELECT 1000000000 + doc_id FROM documents WHERE doc_id % 50 = 1")
 def split_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SO-05: the split above is disjoint and exhaustive."""
-    s = case_split(spark, sf_dir)
-    return sampling.split_faults(s, table(spark, sf_dir, "documents"), "doc_id").agg(F.count("*").alias("faults"))
+    """SO-05 on a split spoilt on purpose: some cases are left out, some stand on both sides, some are unknown."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    s = case_split(spark, sf_dir).select("doc_id", "split").filter("doc_id % 10 <> 3")
+    twice = s.filter("doc_id % 10 = 7").withColumn("split", F.when(F.col("split") == "analysis", "validation").otherwise("analysis"))
+    unknown = s.filter("doc_id % 50 = 1").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    return sampling.split_faults(s.unionByName(twice).unionByName(unknown), docs, "doc_id")
+
+
+FORMAL = "cases AS (SELECT i AS case_id, CASE WHEN i < 175 THEN 'basic' WHEN i < 300 THEN 'semantic' WHEN i < 340 THEN 'intra_document_reasoning' WHEN i < 380 THEN 'project_related' WHEN i < 410 THEN 'constrained' WHEN i < 430 THEN 'completeness' WHEN i < 450 THEN 'conflicting_info' WHEN i < 470 THEN 'info_not_found' WHEN i < 490 THEN 'miscellaneous' ELSE 'high_level' END AS question_type FROM range(500) r(i))"
+
+
+@query("formal_split", with_(FORMAL) + """
+SELECT case_id, question_type, CASE WHEN row_number() OVER (PARTITION BY question_type ORDER BY substr(sha256('20260813:case:' || case_id), 1, 16), case_id::VARCHAR) <= CASE question_type WHEN 'basic' THEN 105 WHEN 'semantic' THEN 75 WHEN 'intra_document_reasoning' THEN 24 WHEN 'project_related' THEN 24 WHEN 'constrained' THEN 18 WHEN 'high_level' THEN 6 ELSE 12 END THEN 'analysis' ELSE 'validation' END AS split FROM cases
+""")
+def formal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SL-05 on 500 numbered cases, as many of each type as the contract says."""
+    kind, edge = F.lit("high_level"), 500
+    for name, (a, v) in reversed(sampling.FORMAL_QUOTAS.items()):
+        edge -= a + v
+        kind = F.when(F.col("id") < edge + a + v, name).otherwise(kind) if name != "high_level" else kind
+    return sampling.formal_split(spark.range(500).select(F.col("id").alias("case_id"), kind.alias("question_type")), "question_type", "case_id", "20260813")
+
+
+ROLES = """
+required AS (SELECT doc_id FROM labels WHERE quality > 0 AND doc_id % 4 = 0), free AS (SELECT doc_id, coalesce(source, 'unknown') AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM required)),
+sizes AS (SELECT source AS key, count(*) AS n FROM free GROUP BY source), q0 AS (SELECT key, n, (n * 60) // sum(n) OVER () AS base, (n * 60) % sum(n) OVER () AS rem FROM sizes),
+quotas AS (SELECT key, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, key DESC) <= 60 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
+ordinary AS (SELECT doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(sha256('s3:' || doc_id), 1, 16), doc_id) AS r FROM free) JOIN quotas ON key = source WHERE r <= quota)
+"""
+
+
+def roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    required = table(spark, sf_dir, "labels").filter("quality > 0 AND doc_id % 4 = 0").select("doc_id")
+    return required, sampling.ordinary_ids(table(spark, sf_dir, "documents"), required, "source", "doc_id", 60, "s3").select("doc_id")
+
+
+@query("ordinary_ids", with_(ROLES) + "SELECT doc_id FROM ordinary")
+def ordinary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FL-04: 60 ordinary documents besides the required ones; the number is the feature."""
+    return roles(spark, sf_dir)[1]
+
+
+@query("corpus_ids", with_(ROLES) + "SELECT doc_id FROM required UNION SELECT doc_id FROM ordinary UNION SELECT doc_id FROM documents WHERE doc_id % 9 = 0")
+def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SO-01; every ninth document plays a hard one."""
+    hard = table(spark, sf_dir, "documents").filter("doc_id % 9 = 0").select("doc_id")
+    return sampling.corpus_ids(*roles(spark, sf_dir), hard, "doc_id")
 
 
 @query("first_per_kind", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 3")
@@ -50,20 +94,30 @@ def first_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.first_per_kind(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 3)
 
 
-def _clean(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_CLEAN = "trim(regexp_replace({x}, '[^A-Za-z0-9._-]+', '_', 'g'), '._')"
 
 
 @query("stable_filenames", f"""
-WITH p AS (SELECT page_id, 'page:' || page_id AS id, coalesce(url, '') AS title FROM pages), h AS (SELECT *, substr(sha256(id), 1, 16) || '_' || substr({_clean('id')}, 1, 40) AS head FROM p),
-t AS (SELECT *, substr({_clean('title')}, 1, greatest(120 - 3 - 1 - length(head), 0)::INT) AS name FROM h)
-SELECT page_id, head || CASE WHEN name <> '' THEN '_' || name ELSE '' END || '.md' AS filename, 'enterprise__' || regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g') || '.md' AS document_filename FROM t
+WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '页' || page_id ELSE 'page:' || page_id || ' in a collection of many pages by number' END AS id, CASE WHEN page_id % 7 = 0 THEN '标题' ELSE coalesce(url, '') END AS title FROM pages),
+h AS (SELECT *, coalesce(nullif(left({_CLEAN.format(x='id')}, 40), ''), 'document') AS name FROM p)
+SELECT page_id, name || '__' || left(sha256(id), 16) || '__' || coalesce(nullif(left({_CLEAN.format(x='title')}, 120 - 23 - length(name)), ''), 'untitled') || '.md' AS filename, 'enterprise__' || regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g') || '.md' AS document_filename FROM h
 """)
 def stable_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page:"), "page_id").alias("id"), F.coalesce("url", F.lit("")).alias("title"))
+    i = F.col("page_id").cast("string")
+    identifier = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("页"), i)).otherwise(F.concat(F.lit("page:"), i, F.lit(" in a collection of many pages by number")))
+    p = table(spark, sf_dir, "pages").select("page_id", identifier.alias("id"), F.when(F.col("page_id") % 7 == 0, "标题").otherwise(F.coalesce("url", F.lit(""))).alias("title"))
     return p.select("page_id", T.stable_filename(F.col("id"), F.col("title")).alias("filename"), T.document_filename(F.col("title")).alias("document_filename"))
 
 
+@query("run_prefixes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'enterprise__dsid_' || left(sha256(doc_id::VARCHAR), 12) || '.md' WHEN doc_id % 3 = 1 THEN 'eval__run_7__Enterprise__dsid_0.md' ELSE 'eval__enterprise__dsid_0.md.txt' END AS name FROM documents")
+def run_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-21."""
+    i = F.col("doc_id")
+    own = F.concat(F.lit("eval__run_"), i.cast("string"), F.lit("__enterprise__dsid_"), F.substring(F.sha2(i.cast("string"), 256), 1, 12), F.lit(".md"))
+    name = F.when(i % 3 == 0, own).when(i % 3 == 1, "eval__run_7__Enterprise__dsid_0.md").otherwise("eval__enterprise__dsid_0.md.txt")
+    return table(spark, sf_dir, "documents").select("doc_id", T.without_run_prefix(name).alias("name"))
+
+
 TITLES = "titles AS (SELECT doc_id AS chunk_id, string_split(text, chr(10))[1] AS text FROM documents)"
 
 
@@ -77,9 +131,10 @@ def hard_negatives_top16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hard_negatives")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-21 with its rule over earlier cases, which SQL has no short form for; tested by hand-made rows."""
-    top = hard_negatives_top16(spark, sf_dir)
-    return sampling.hard_negatives(top.select(F.col("query_id").alias("case_pos"), F.col("query_id").alias("case_id"), "rank", F.col("doc_id").alias("doc")))
+    """RT-21: what no earlier case took and no role holds (every 17th document); the rule over earlier cases has no short SQL form, the tests
+    hold it against a plain loop."""
+    top = hard_negatives_top16(spark, sf_dir).select(F.col("query_id").alias("case_pos"), F.col("query_id").alias("case_id"), "rank", F.col("doc_id").alias("doc"))
+    return sampling.hard_negatives(top, excluded=table(spark, sf_dir, "documents").filter("doc_id % 17 = 0").select(F.col("doc_id").alias("doc")))
 
 
 @query("fts_query", r"""
@@ -150,6 +205,88 @@ def containment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.uncontained(spans(spark, sf_dir, 4), spans(spark, sf_dir, 3)).select("filename", "chunk_id")
 
 
+LOCATED = """
+f AS (SELECT 'd' || doc_id AS filename, text FROM documents),
+leaf AS (SELECT filename, i AS leaf_index, CASE WHEN i % 5 = 4 THEN 'nowhere ' || i ELSE l END AS text FROM (SELECT filename, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT filename, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM f))),
+walk AS (
+  SELECT filename, leaf_index, instr(body, text) - 1 AS a, length(text) AS n, greatest(instr(body, text) - 1, 0) AS last FROM (SELECT l.filename, l.leaf_index, l.text, f.text AS body FROM leaf l JOIN f USING (filename) WHERE leaf_index = 0)
+  UNION ALL
+  SELECT filename, leaf_index, a, n, CASE WHEN a >= 0 THEN a ELSE last END FROM (SELECT filename, leaf_index, n, last, CASE WHEN here > 0 THEN here - 1 + back WHEN there > 0 THEN there - 1 ELSE -1 END AS a FROM (
+    SELECT w.filename, l.leaf_index, length(l.text) AS n, w.last, greatest(w.last - length(l.text), 0) AS back, instr(substr(f.text, (greatest(w.last - length(l.text), 0) + 1)::BIGINT), l.text) AS here, instr(f.text, l.text) AS there
+    FROM walk w JOIN leaf l ON l.filename = w.filename AND l.leaf_index = w.leaf_index + 1 JOIN f ON f.filename = w.filename)))
+"""
+
+
+@query("located_leaves", "WITH RECURSIVE " + LOCATED.strip() + "\nSELECT filename, filename || '#' || leaf_index AS chunk_id, leaf_index, a::BIGINT AS start, CASE WHEN a >= 0 THEN a + n ELSE -1 END::BIGINT AS \"end\" FROM walk")
+def located_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-02 on the lines of every text, of which each fifth is not there."""
+    f = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("filename"), "text")
+    lines = f.select("filename", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("leaf_index", "line"))
+    told = F.when(F.col("leaf_index") % 5 == 4, F.concat(F.lit("nowhere "), F.col("leaf_index").cast("string"))).otherwise(F.col("line"))
+    return tables.located(lines.select("filename", F.concat("filename", F.lit("#"), F.col("leaf_index").cast("string")).alias("chunk_id"), "leaf_index", told.alias("text")), f)
+
+
+@query("audit_summary", with_(SPANS) + """
+, ev AS (SELECT filename, chunk_id, CASE WHEN length(filename) % 3 = 0 AND chunk_id LIKE '%#1' THEN -1 ELSE s END AS s, e FROM s4 WHERE chunk_id LIKE '%#0' OR chunk_id LIKE '%#1'),
+m AS (SELECT ev.filename, ev.chunk_id, any_value(ev.s) AS s, coalesce(bool_or(s3.s = ev.s AND s3.e = ev.e), false) AS exact, count(s3.s) AS k, coalesce(bool_or(s3.chunk_id LIKE '%#2'), false) AS nested FROM ev LEFT JOIN s3 ON s3.filename = ev.filename AND ev.s >= 0 AND s3.s < ev.e AND s3.e > ev.s GROUP BY 1, 2),
+c AS (SELECT filename, count(*) FILTER (s >= 0) AS leaves, count(*) FILTER (exact) AS exact, bool_or(nested) AS nested, bool_or(k > 0) AS met, bool_or(s < 0) AS lost FROM m GROUP BY 1)
+SELECT count(*) AS case_count, sum(leaves)::BIGINT AS evidence_leaf_count, sum(exact)::BIGINT AS exact_leaf_count, (sum(leaves) - sum(exact))::BIGINT AS changed_leaf_count, count(*) FILTER (nested) AS cases_with_nested_heading, count(*) FILTER (met) AS cases_with_new_overlap, count(*) FILTER (lost) AS cases_without_old_span,
+  (SELECT count(*) FROM s4) AS old_leaf_count, (SELECT count(*) FROM s3) AS new_leaf_count FROM c
+""")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-20: a file's first two leaves are evidence; every third leaf of the new cut stands under a nested heading."""
+    old, new = spans(spark, sf_dir, 4), spans(spark, sf_dir, 3)
+    at = F.regexp_extract("chunk_id", r"#(\d+)$", 1).cast("int")
+    evidence = old.filter(at < 2).withColumn("start", F.when((F.length("filename") % 3 == 0) & (at == 1), -1).otherwise(F.col("start"))).withColumn("case_id", F.col("filename"))
+    return tables.audit_summary(evidence, old, new.withColumn("heading_path", F.when(at == 2, "A > B").otherwise("A")))
+
+
+@query("content_kinds", with_(LEAF) + "SELECT filename, CASE WHEN l3 % 4 = 0 THEN 'list' WHEN l3 % 4 = 1 THEN 'None' ELSE 'paragraph' END AS content_kind, count(*) AS leaves FROM leaf GROUP BY ALL")
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-24."""
+    leaf = corpus.leaves(spark, sf_dir).withColumn("content_kind", F.when(F.col("l3") % 4 == 0, "list").when(F.col("l3") % 4 == 1, None).otherwise("paragraph"))
+    return tables.content_kinds(leaf)
+
+
+@query("chunk_faults", with_(LEAF) + """
+SELECT 'duplicate_text' AS fault, count(*) AS n FROM (SELECT filename, text FROM leaf GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'long_leaf', count(*) FROM leaf WHERE length(text) > 200 HAVING count(*) > 0
+UNION ALL SELECT 'bad_span', count(*) FROM leaf WHERE l3 % 50 = 7 HAVING count(*) > 0 UNION ALL SELECT 'duplicate_id', count(*) FROM leaf WHERE l3 = 3 HAVING count(*) > 0
+""")
+def chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-21 on leaves some of which are spoilt."""
+    leaf = corpus.leaves(spark, sf_dir).select("filename", "chunk_id", "chunk_level", "text", "l3", F.when(F.col("l3") % 50 == 7, 5).otherwise(0).alias("source_start_index"), F.lit(5).alias("source_end_index"))
+    again = leaf.filter("l3 = 3").withColumn("chunk_level", F.lit(2))
+    return tables.chunk_faults(leaf.unionByName(again), 200)
+
+
+@query("target_manifest", """
+SELECT l.doc_id AS case_id, 'd' || l.doc_id AS source_ref, sha256('d' || l.doc_id) AS markdown_hash, (l.doc_id % 5) / 4.0 AS baseline_coverage, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS baseline_verdict, CASE WHEN l.doc_id % 2 = 0 THEN ['x', 'd' || l.doc_id] ELSE ['d' || l.doc_id, 'x'] END AS expected_document_ids FROM labels l WHERE l.doc_id % 3 = 0
+""")
+def target_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-05: every third labelled document is a reviewed case."""
+    i = F.col("doc_id")
+    lab = table(spark, sf_dir, "labels").withColumn("ref", F.concat(F.lit("d"), "doc_id"))
+    reviews = lab.filter(i % 3 == 0).select(i.alias("case_id"), F.col("ref").alias("source_ref"))
+    docs = lab.select(F.col("ref").alias("doc_id"), F.concat("ref", F.lit(".md")).alias("stable_filename"), F.sha2("ref", 256).alias("markdown_hash"))
+    asked = lab.select(i.alias("case_id"), F.when(i % 2 == 0, F.array(F.lit("x"), F.col("ref"))).otherwise(F.array(F.lit("x"))).alias("expected_doc_ids"))
+    before = lab.select(i.alias("case_id"), ((i % 5) / 4.0).alias("coverage"), F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"))
+    return tables.target_manifest(reviews, docs, asked, before).select("case_id", "source_ref", "markdown_hash", "baseline_coverage", "baseline_verdict", "expected_document_ids")
+
+
+@query("target_documents", "SELECT 'd' || doc_id AS doc_id FROM labels WHERE doc_id % 3 = 0 UNION SELECT 'x' FROM labels WHERE doc_id % 3 = 0")
+def target_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-05."""
+    return tables.target_documents(target_manifest(spark, sf_dir))
+
+
+@query("without_run", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 1")
+def without_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06: rows of no run stay."""
+    i = F.col("doc_id")
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 3 == 0, "a").when(i % 3 == 1, "b").alias("corpus_run_id"))
+    return tables.without_run(runs, "b").select("doc_id")
+
+
 @query("sanitize_text", r"SELECT doc_id, md5(regexp_replace(nfc_normalize(t), '[\x{200B}-\x{200D}\x{FEFF}\x{200F}\x{202A}-\x{202E}\x{0001}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}\x{E000}-\x{F8FF}]', '', 'g')) AS clean FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text ELSE 'e' || chr(769) || chr(8203) || chr(7) || text || chr(57344) END AS t FROM documents)")
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the texts get a combining accent and characters that must go."""
@@ -215,34 +352,53 @@ def html_linearise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.linearised(table(spark, sf_dir, "pages"))
 
 
-LINEAR = [(1, "# A\n\nlead\n\n## One\n\nfirst\n\n## Two\n\nsecond", "T"), (2, "plain", "Only"), (3, "plain too", "")]
+#: Linear pages and the sections they must give, written down by hand.
+LINEAR = [(1, "# A\n\nlead\n\n## One\n\nfirst\n\n## Two \nsecond", "T"), (2, "plain", "Only"), (3, " plain too\n", ""), (4, "no mark\n## B", "T"), (5, "  \n", "T"), (6, "## Alone\nx", "T"), (7, "##not\n# x\n## y", None)]
 
 
 @query("html_sections", """
-SELECT * FROM (VALUES (1, 1, '[章节: T]' || chr(10) || chr(10) || '# A' || chr(10) || chr(10) || 'lead'), (1, 2, '[章节: One]' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || 'first'), (1, 3, '[章节: Two]' || chr(10) || chr(10) || '## Two' || chr(10) || chr(10) || 'second'), (2, 1, '[Only]' || chr(10) || chr(10) || 'plain'), (3, 1, 'plain too')) t(page_id, page_number, section)
+SELECT * FROM (VALUES (1, 1, 'A', '[章节: A]' || chr(10) || chr(10) || '# A' || chr(10) || chr(10) || 'lead'), (1, 2, 'One', '[章节: One]' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || 'first'), (1, 3, 'Two', '[章节: Two]' || chr(10) || chr(10) || '## Two ' || chr(10) || 'second'), (2, 1, 'Only', '[Only]' || chr(10) || chr(10) || 'plain'), (3, 1, '', 'plain too'),
+  (4, 1, '', 'no mark'), (4, 2, 'B', '[章节: B]' || chr(10) || chr(10) || '## B'), (6, 1, 'T', '[T]' || chr(10) || chr(10) || '## Alone' || chr(10) || 'x'), (7, 1, '', '##not' || chr(10) || '# x'), (7, 2, 'y', '[章节: y]' || chr(10) || chr(10) || '## y')) t(page_id, page_number, section_title, section)
 """)
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.html_sections(spark.createDataFrame(LINEAR, "page_id int, text string, title string")).select("page_id", "page_number", "section")
+    """TX-15 on literal pages; ``html_page_sections`` has the whole table."""
+    return chunking.html_sections(spark.createDataFrame(LINEAR, "page_id int, text string, title string")).select("page_id", "page_number", "section_title", "section")
 
 
 @query("html_page_sections")
 def html_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX-15 over all pages; linearising has no SQL form."""
-    return chunking.html_sections(chunking.linearised(table(spark, sf_dir, "pages"))).select("page_id", "page_number", "section")
+    return chunking.html_sections(chunking.linearised(table(spark, sf_dir, "pages"))).select("page_id", "page_number", "section_title", "section")
 
 
-@query("fact_preservation", r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), 'https?://[^ \n\t]+|[0-9]+(?:[.,:][0-9]+)*%?') AS a, regexp_extract_all(lower(regexp_replace(text, '[0-9]{3}', 'x')), 'https?://[^ \n\t]+|[0-9]+(?:[.,:][0-9]+)*%?') AS b FROM documents),
-s AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(a) AS x FROM t) GROUP BY ALL), r AS (SELECT doc_id, x, count(*) AS m FROM (SELECT doc_id, unnest(b) AS x FROM t) GROUP BY ALL)
-SELECT doc_id, sum(greatest(n - coalesce(m, 0), 0))::BIGINT AS lost FROM s LEFT JOIN r USING (doc_id, x) GROUP BY doc_id
+_UNITS = "(?:milliseconds?|ms|seconds?|secs?|sec|minutes?|mins?|min|hours?|hrs?|hr|h|days?|day|d)"
+FACTS = rf"""
+list_concat(list_transform(regexp_extract_all({{x}}, '(?i)(?:^|[^A-Za-z0-9])([0-9]+(?:[.,][0-9]+)*\s*(?:{_UNITS}\b|毫秒|秒|分钟|分|小时|天))', 1), lambda m: 'time:' || regexp_extract(m, '^([0-9.,]*[0-9])', 1) || coalesce(map_extract_value(MAP {{{{'milliseconds': 'millisecond', 'ms': 'millisecond', '毫秒': 'millisecond', 'seconds': 'second', 'sec': 'second', 'secs': 'second', '秒': 'second', 'minutes': 'minute', 'min': 'minute', 'mins': 'minute', '分钟': 'minute', '分': 'minute', 'hours': 'hour', 'hr': 'hour', 'hrs': 'hour', 'h': 'hour', '小时': 'hour', 'days': 'day', 'd': 'day', '天': 'day'}}}}, lower(regexp_extract(m, '^[0-9.,]*[0-9]\s*(.*)$', 1))), lower(regexp_extract(m, '^[0-9.,]*[0-9]\s*(.*)$', 1)))),
+  list_transform(regexp_extract_all({{x}}, '(?:^|[^A-Za-z0-9])([0-9]+(?:[.,][0-9]+)*)', 1), lambda m: 'number:' || m),
+  list_transform(regexp_extract_all({{x}}, '`[^`\n]+`|https?://[^\s)]+'), lambda m: 'literal:' || CASE WHEN m LIKE 'http%' THEN rtrim(m, '.,;:!?，。！？；：') ELSE m END),
+  list_transform(regexp_extract_all({{x}}, '(?i)(?:^|[^A-Za-z0-9])([0-9]+(?:[.,][0-9]+)*\s*(?:(?:KiB|MiB|GiB|KB|MB|GB|ms|us)\b|μs|%))', 1), lambda m: 'literal:' || lower(regexp_replace(m, '\s+', '', 'g'))))
+"""
+
+
+@query("fact_preservation", f"""
+WITH t AS (SELECT doc_id, 'Wait 30 minutes, 1.5 GB at `a b` or https://x.org/p. ' || text AS a, CASE doc_id % 4 WHEN 0 THEN '等 30 分钟，1.5gb `a b` https://x.org/p ' || text WHEN 1 THEN 'Wait 30 hours, 1.5 MB at `a` or https://x.org/q. ' || regexp_replace(text, '[0-9]{{3}}', 'x') WHEN 2 THEN '  ' ELSE text END AS b FROM documents),
+s AS (SELECT doc_id, fact, count(*) AS n FROM (SELECT doc_id, unnest({FACTS.format(x='a')}) AS fact FROM t WHERE doc_id % 4 <> 2) GROUP BY ALL), r AS (SELECT doc_id, fact, count(*) AS m FROM (SELECT doc_id, unnest({FACTS.format(x='b')}) AS fact FROM t) GROUP BY ALL)
+SELECT doc_id, fact, n - coalesce(m, 0) AS lost FROM s LEFT JOIN r USING (doc_id, fact) WHERE n > coalesce(m, 0) UNION ALL SELECT doc_id, 'empty_translation', 1 FROM documents WHERE doc_id % 4 = 2
 """)
 def fact_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-26: multisets of facts before and after; the rewriting here loses the first three digits in a row."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.fact_tokens(F.col("text"))).alias("x")).groupBy("doc_id", "x").agg(F.count("*").alias("n"))
+    """TX-26: texts with some facts before them, and four kinds of translations."""
+    i = F.col("doc_id")
     at = F.regexp_instr("text", F.lit("[0-9]{3}"))
     after = F.when(at > 0, F.concat(F.substr("text", F.lit(1), at - 1), F.lit("x"), F.substr("text", at + 3))).otherwise(F.col("text"))
-    r = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.fact_tokens(after)).alias("x")).groupBy("doc_id", "x").agg(F.count("*").alias("m"))
-    return d.join(r, ["doc_id", "x"], "left").groupBy("doc_id").agg(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("lost"))
+    source = F.concat(F.lit("Wait 30 minutes, 1.5 GB at `a b` or https://x.org/p. "), "text")
+    target = F.when(i % 4 == 0, F.concat(F.lit("等 30 分钟，1.5gb `a b` https://x.org/p "), "text")).when(i % 4 == 1, F.concat(F.lit("Wait 30 hours, 1.5 MB at `a` or https://x.org/q. "), after)).when(i % 4 == 2, "  ").otherwise(F.col("text"))
+    return translation.lost_facts(table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), target.alias("target")), "doc_id")
+
+
+@query("masked_texts")
+def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-27; the tests put the parts back and look for what is left."""
+    return table(spark, sf_dir, "documents").select("doc_id", translation.masked(F.col("text")).alias("m")).select("doc_id", "m.text", "m.held")
 
 
 @query("markdown_records", "SELECT page_id, '# ' || coalesce(CASE WHEN trim(url) <> '' THEN url END, 'Untitled') || chr(10) || chr(10) || '- page: ' || page_id || chr(10) || CASE WHEN page_id % 2 = 0 THEN '- even: yes' || chr(10) ELSE '' END || chr(10) || '## Content' || chr(10) || chr(10) || length(html) || chr(10) AS body FROM pages")
@@ -252,9 +408,16 @@ def markdown_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", markdown.with_metadata(F.col("url"), fields, F.length("html").cast("string")).alias("body"))
 
 
-@query("upload_names", "SELECT * FROM (VALUES ('a.pdf', true, 'PDF'), ('b/c.md', false, 'Markdown'), ('x.exe', false, 'Unsupported'), ('it''s.txt', false, 'Text'), ('页.HTML', true, 'HTML'), ('', false, 'Unsupported'), ('deck.pptx', true, 'PowerPoint')) t(name, valid, file_type)")
+#: Names with validity and type, written down by hand.
+UPLOADS = (("a.pdf", True, "PDF"), ("b/c.md", False, "Markdown"), ("x.exe", False, "Unsupported"), ("it's.txt", False, "Text"), ("页.HTML", True, "HTML"), ("", False, "Unsupported"), ("deck.pptx", True, "PowerPoint"), ("old.doc", False, "Unsupported"), ("t.TIF", True, "Image"), ("s.xls", False, "Unsupported"), ("n.markdown", False, "Unsupported"), ("i.webp", True, "Image"), ("b.bmp", True, "Image"), ("w.docx", True, "Word"))
+
+
+@query("upload_names", "SELECT * FROM (VALUES " + ", ".join("('" + n.replace("'", "''") + f"', {str(v).lower()}, '{k}')" for n, v, k in UPLOADS) + """) t(name, valid, file_type) UNION ALL SELECT 'page ' || page_id || CASE page_id % 3 WHEN 0 THEN '.htm' WHEN 1 THEN '.jpeg' ELSE '.ppt' END, page_id % 3 <> 2, CASE page_id % 3 WHEN 0 THEN 'HTML' WHEN 1 THEN 'Image' ELSE 'Unsupported' END FROM pages""")
 def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("a.pdf", "b/c.md", "x.exe", "it's.txt", "页.HTML", "", "deck.pptx")], "name string")
+    """SRC-04 and TX-22."""
+    i = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), i.cast("string"), F.when(i % 3 == 0, ".htm").when(i % 3 == 1, ".jpeg").otherwise(".ppt")).alias("name"))
+    names = spark.createDataFrame([(n,) for n, _, _ in UPLOADS], "name string").unionByName(pages)
     return names.select("name", T.valid_upload_name(F.col("name")).alias("valid"), T.file_type(F.col("name")).alias("file_type"))
 
 
@@ -281,14 +444,30 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", models.embed(F.col("text")).alias("embedding"))
 
 
-@query("translate_cache", "SELECT doc_id, sha256(sha256(text) || '|de|identity|1') AS key, doc_id % 2 = 0 AS cached, CASE WHEN doc_id % 2 = 0 THEN 'cached' ELSE text END AS translation FROM documents")
+@query("translate_cache", """
+WITH k AS (SELECT doc_id, text, sha256(sha256(coalesce(text, '')) || chr(10) || 'de' || chr(10) || 'identity' || chr(10) || 'enterprise-zh-v2') AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
+SELECT doc_id, key, c.key IS NOT NULL AS cached, CASE WHEN c.key IS NOT NULL THEN 'cached' ELSE text END AS translation FROM k LEFT JOIN c USING (key)
+""")
 def translate_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD-08: texts of even documents were translated before; equal texts of odd ones find that translation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    even = docs.filter("doc_id % 2 = 0").select(F.sha2(F.concat_ws("|", F.sha2("text", 256), F.lit("de"), F.lit("identity"), F.lit("1")), 256).alias("key"), F.lit("cached").alias("translation")).distinct()
-    # equal texts share a key; an odd document with an even twin would be cached too
-    out = models.translate(docs, even, "de")
-    own = F.col("doc_id") % 2 == 0
-    return out.select("doc_id", "key", (F.col("cached") & own).alias("cached"), F.when(own, F.col("translation")).otherwise(F.col("text")).alias("translation"))
+    before = docs.filter("doc_id % 2 = 0").select(models.translation_key(F.col("text"), "de").alias("key"), F.lit("cached").alias("translation"))
+    return models.translate(docs, before, "de").select("doc_id", "key", "cached", "translation")
+
+
+@query("stand_in_questions", """
+SELECT item_id, CASE WHEN n BETWEEN 2 AND 4 THEN parts END AS parts, 'Background of: ' || text AS wider, 'A passage that answers: ' || text AS passage FROM (SELECT item_id, text, list_filter(list_transform(regexp_split_to_array(text, '(?i)\\s+and\\s+|[;；、]|以及|和'), lambda x: trim(x)), lambda x: x <> '') AS parts, len(parts) AS n FROM benchmark)
+""".replace("\\\\", "\\"))
+def stand_in_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD-04 and UD-05."""
+    q = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", models.split_question(q).alias("parts"), models.rewrite_question(q).alias("wider"), models.rewrite_question(q, "hyde").alias("passage"))
+
+
+@query("stand_in_verdicts", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'review' WHEN contains(lower(text), 'the') THEN 'pass' ELSE 'fail' END AS verdict FROM benchmark")
+def stand_in_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD-07."""
+    return table(spark, sf_dir, "benchmark").select("item_id", models.judge(F.col("text"), F.when(F.col("item_id") % 5 != 0, "The")).alias("verdict"))
 
 
 @query("stand_in_answers", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'The knowledge base has no answer.' ELSE regexp_extract(text, '^([^.!?\n]*[.!?]?)', 1) END AS answer FROM benchmark")

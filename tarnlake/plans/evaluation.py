@@ -19,7 +19,7 @@ from tarnlake.plans.retrieval import DOC_CORPUS, JACCARD, RERANKED, STAGES_SQL,
 GRID = {
     "has_docs": (True, False),
     "relevance": ("strong", "weak", "none"),
-    "answerability": ("sufficient", "partial", "insufficient"),
+    "answerability": ("sufficient", "partial", "none"),
     "ambiguity": ("none", "missing_slot", "multiple_candidates"),
     "wished": ("answer", "rewrite", "clarify", "scope_select", "no_knowledge"),
     "sub_agent": (True, False),
@@ -30,7 +30,7 @@ GRID_SQL = "grid AS (SELECT * FROM " + ", ".join(f"(VALUES {_values(v)}) t_{k}({
 ROUTE_SQL = """
 CASE WHEN NOT has_docs OR relevance = 'none' THEN 'no_knowledge' WHEN ambiguity = 'missing_slot' THEN 'clarify' WHEN ambiguity = 'multiple_candidates' THEN 'scope_select'
   WHEN wished = 'answer' AND relevance = 'strong' AND answerability = 'sufficient' THEN 'answer'
-  WHEN sub_agent THEN CASE WHEN answerability = 'insufficient' THEN 'no_knowledge' ELSE 'answer' END
+  WHEN sub_agent THEN CASE WHEN answerability = 'none' THEN 'no_knowledge' ELSE 'answer' END
   WHEN wished = 'rewrite' AND rewrites < 1 THEN 'rewrite' WHEN wished = 'rewrite' THEN CASE WHEN answerability = 'partial' THEN 'clarify' ELSE 'no_knowledge' END
   WHEN answerability = 'partial' THEN CASE WHEN rewrites < 1 THEN 'rewrite' ELSE 'clarify' END WHEN relevance = 'strong' AND answerability = 'sufficient' THEN 'answer' ELSE 'no_knowledge' END
 """
@@ -41,7 +41,7 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 @query("route_truth_table", with_(GRID_SQL) + f"""
-SELECT *, CASE WHEN route = 'answer' AND answerability = 'partial' THEN 'partial' WHEN route = 'answer' THEN 'answerable' WHEN route = 'clarify' THEN 'needs_clarification' WHEN route = 'scope_select' THEN 'needs_scope_selection' WHEN route = 'rewrite' THEN 'retrying' ELSE 'no_knowledge' END AS status
+SELECT *, CASE WHEN route = 'answer' AND answerability = 'partial' THEN 'partial' WHEN route = 'answer' THEN 'answerable' WHEN route = 'clarify' THEN 'needs_clarification' WHEN route = 'scope_select' THEN 'needs_scope_selection' WHEN route = 'rewrite' THEN 'needs_rewrite' ELSE 'no_knowledge' END AS status
 FROM (SELECT *, {ROUTE_SQL} AS route FROM grid)
 """)
 def route_truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,65 +50,149 @@ def route_truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("status", routing.status(F.col("route"), F.col("answerability")))
 
 
-ASKED = ("What is the refund limit?", "Compare plan A and plan B", "退款流程是什么", "报销 上限 是 多少", "价格、期限", "Who is the owner", "cost and price of X", "Is it on? Is it off?", "  ", "deadline for claims", "How many days of leave do new employees get in their first year?", "公司的假期有几天", "Status of ticket 12")
-_list = lambda words: "[" + ", ".join("'" + w + "'" for w in words) + "]"
-FAST_SQL = f"""
-q AS (SELECT *, trim(regexp_replace(lower(question), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM (SELECT unnest({_list(ASKED)}) AS question UNION ALL SELECT text FROM benchmark)),
-m AS (SELECT *, t = '' OR length(t) > 48 OR len(list_filter({_list(routing.COMPLEX_MARKERS)}, lambda w: contains(t, w))) > 0 OR contains(t, '、') OR (regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}]') AND length(t) - length(replace(t, ' ', '')) >= 2)
-    OR len(list_filter({_list(routing.DIMENSION_MARKERS)}, lambda w: contains(t, w))) >= 2 OR len(regexp_extract_all(t, '[?？;；]')) > 1 AS complicated FROM q)
+#: Questions that each rule of DC-05 decides, with the reason written down by hand.
+ASKED = (
+    ("What is the refund limit?", "single_fact_marker"), ("Compare plan A and plan B", None), ("退款流程是什么", "single_fact_marker"), ("报销 上限 是 多少", None), ("价格、期限", None), ("Who is the owner", "single_fact_marker"),
+    ("cost of X", "short_single_intent"), ("Is it on? Is it off?", None), ("  ", None), ("deadline for claims", None), ("How many days of leave do new employees get in their first year?", None), ("公司的假期有几天", "short_single_intent"),
+    ("Status of ticket 12", None), ("Status of ticket1", "short_single_intent"), ("它的性能 价格", None), ("武器 性能", None), ("which\tone\n is it", "single_fact_marker"), ("猫和狗", None), ("WHY not", None), ("Show me now!!!", None), ("Tell me now!!!???", None), ("Tell me now!!!", "short_single_intent"), ("the complex case", None), ("规格？；", None),
+)
+_rows = lambda rows: "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in rows) + ")"
+FAST_SQL = r"""
+q AS (SELECT text AS question, trim(regexp_replace(lower(text), '[\t-\r\x1c-\x20\x{85}\p{Z}]+', ' ', 'g')) AS t FROM benchmark),
+m AS (SELECT question, t, t = '' OR length(t) > 48 OR len(list_filter(['比较', '对比', '区别', '差异', '优缺点', '优势', '劣势', '分析', '总结', '综合', '原因', '成因', '影响', '方案', '步骤', '如何', '为什么', '以及', '同时', '并且', '和', '与', '谁更', 'compare', 'versus', 'difference', 'different', 'analyze', 'summarize', 'trade-off', 'pros and cons', 'why ', 'how ', 'complex'], lambda w: contains(t, w))) > 0
+    OR contains(t, '、') OR (regexp_matches(t, '[\x{4e00}-\x{9fff}]') AND length(t) - length(replace(t, ' ', '')) >= 2)
+    OR len(list_filter(['属性', '武器', '定位', '技能', '机制', '参数', '规格', '性能', '价格', '优点', '缺点', '作用'], lambda w: contains(t, w))) >= 2 OR len(regexp_extract_all(t, '[?？;；]')) > 1 AS complicated FROM q)
 """
 
 
-@query("simple_fast_path", with_(FAST_SQL) + f"SELECT question, CASE WHEN complicated THEN NULL WHEN len(list_filter({_list(routing.SIMPLE_MARKERS)}, lambda w: contains(t, w))) > 0 THEN 'simple:single_fact_marker' WHEN length(regexp_replace(t, '[ ?？.。!！;；,，]+$', '')) <= 18 THEN 'simple:short_single_intent' END AS reason FROM m")
+@query("simple_fast_path", with_(FAST_SQL) + f"""
+SELECT question, CASE WHEN complicated THEN NULL WHEN len(list_filter(['是什么', '是谁', '哪里', '何时', '多少', '是否', '哪个', '哪种', '属性', '参数', '规格', '定义', '含义', 'what is', 'who is', 'where is', 'when is', 'how many', 'which'], lambda w: contains(t, w))) > 0 THEN 'obvious_simple_fast_path:single_fact_marker' WHEN length(rtrim(t, '?？。.!！')) <= 18 THEN 'obvious_simple_fast_path:short_single_intent' END AS reason FROM m
+UNION ALL SELECT q, 'obvious_simple_fast_path:' || r FROM {_rows(ASKED)} v(q, r)
+""")
 def simple_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(q,) for q in ASKED], "question string").unionByName(questions(spark, sf_dir).select(F.col("text").alias("question")))
+    asked = spark.createDataFrame([(q,) for q, _ in ASKED], "question string").unionByName(questions(spark, sf_dir).select(F.col("text").alias("question")))
     return asked.select("question", routing.simple_reason(F.col("question")).alias("reason"))
 
 
+REPLIES = (("q one", "a", "a：q one"), ("limit of plan A", " plan A ", "limit of plan A"), ("q", "", "q"), ("", " x ", "x"), (None, "x", "x"), ("q", None, "q"), ("q", "　y\n", "y：q"))
+
+
+@query("refined_questions", f"SELECT * FROM {_rows(REPLIES)} v(question, reply, refined) UNION ALL SELECT text, 'part 7', CASE WHEN contains(text, 'part 7') THEN text ELSE 'part 7：' || text END FROM benchmark")
+def refined_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DC-06 over literal cases and every question."""
+    asked = spark.createDataFrame([r[:2] for r in REPLIES], "question string, reply string").unionByName(questions(spark, sf_dir).select(F.col("text").alias("question"), F.lit("part 7").alias("reply")))
+    return asked.withColumn("refined", routing.refined_question(F.col("question"), F.col("reply")))
+
+
 GRADES_SQL = CANDIDATES + """,
 best AS (SELECT query_id, count(*) AS n, max(score) AS best FROM cand GROUP BY 1),
-graded AS (SELECT query_id, n, best, n > 0 AS has_docs, CASE WHEN best > 60 THEN 'strong' WHEN best > 20 THEN 'weak' ELSE 'none' END AS relevance, CASE WHEN best > 80 THEN 'sufficient' WHEN best > 40 THEN 'partial' ELSE 'insufficient' END AS answerability,
-  CASE query_id % 7 WHEN 0 THEN 'missing_slot' WHEN 1 THEN 'multiple_candidates' ELSE 'none' END AS ambiguity, 'answer' AS wished, false AS sub_agent, 0 AS rewrites FROM best)
+given AS (SELECT query_id, CASE WHEN query_id % 5 = 4 THEN 0 ELSE n END AS n, best, query_id % 5 = 4 AS nothing, query_id % 11 = 3 AS broken FROM best),
+graded AS (SELECT query_id, n, n > 0 AS has_docs, CASE WHEN nothing THEN 'none' WHEN broken THEN 'weak' WHEN best > 60 THEN 'strong' WHEN best > 20 THEN 'weak' ELSE 'none' END AS relevance,
+  CASE WHEN nothing OR broken THEN 'none' WHEN best > 80 THEN 'sufficient' WHEN best > 40 THEN 'partial' ELSE 'none' END AS answerability,
+  CASE WHEN nothing OR broken THEN 'none' WHEN query_id % 7 = 0 THEN 'missing_slot' WHEN query_id % 7 = 1 THEN 'multiple_candidates' ELSE 'none' END AS ambiguity,
+  CASE WHEN nothing OR broken THEN 'no_knowledge' ELSE 'answer' END AS wished, CASE WHEN nothing THEN 1.0 WHEN broken THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN nothing THEN 'no_retrieved_documents' WHEN broken THEN 'evidence_grading_unavailable' ELSE 'by score' END AS reason,
+  CASE WHEN NOT nothing AND NOT broken AND query_id % 14 = 0 THEN ['year', 'plan'] ELSE [] END AS slots, false AS sub_agent, 0 AS rewrites FROM given)
 """
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for the evidence grader (UD-03): thresholds on the best score."""
-    best = corpus.candidates(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    b = F.col("best")
-    return best.withColumn("has_docs", F.col("n") > 0).withColumn("relevance", F.when(b > 60, "strong").when(b > 20, "weak").otherwise("none")).withColumn("answerability", F.when(b > 80, "sufficient").when(b > 40, "partial").otherwise("insufficient")).withColumn("ambiguity", F.when(F.col("query_id") % 7 == 0, "missing_slot").when(F.col("query_id") % 7 == 1, "multiple_candidates").otherwise("none")).withColumn("wished", F.lit("answer")).withColumn("sub_agent", F.lit(False)).withColumn("rewrites", F.lit(0))
+    """Questions with their candidates and a grade (UD-03's stand-in: thresholds on the best score).
+
+    Every fifth question found nothing, and of some the grader failed.
+    """
+    i, b = F.col("query_id"), F.col("best")
+    best = corpus.candidates(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("docs"), F.max("score").alias("best"))
+    text = lambda *parts: F.concat(*parts)
+    grade = F.struct(
+        F.when(b > 60, "strong").when(b > 20, "weak").otherwise("none").alias("relevance"), F.when(b > 80, "sufficient").when(b > 40, "partial").otherwise("none").alias("answerability"),
+        F.when(i % 7 == 0, "missing_slot").when(i % 7 == 1, "multiple_candidates").otherwise("none").alias("ambiguity"), F.lit("answer").alias("route"), F.lit(0.5).alias("confidence"), F.lit("by score").alias("reason"),
+        F.when(i % 14 == 0, F.array(F.lit("year"), F.lit("plan"))).otherwise(F.array().cast("array<string>")).alias("missing_slots"), F.lit("").alias("hitl_prompt"), F.array().cast("array<string>").alias("hitl_options"),
+    )
+    none = i % 5 == 4
+    docs = F.when(none, F.slice("docs", 1, 0)).otherwise(F.col("docs"))
+    return best.select("query_id", docs.alias("docs"), F.when(none, "").otherwise(text(F.lit("context of "), i.cast("string"))).alias("context"), F.when(i % 11 != 3, grade).cast(routing.GRADE).alias("grade"), F.lit(False).alias("sub_agent"), F.lit(0).alias("rewrites"))
 
 
-@query("grade_state_update", with_(GRADES_SQL) + f"SELECT query_id, route, CASE WHEN route IN ('no_knowledge', 'clarify', 'scope_select') THEN 0 ELSE n END AS docs FROM (SELECT *, {ROUTE_SQL} AS route FROM graded)")
+@query("grade_state_update", with_(GRADES_SQL) + f"""
+SELECT query_id, route, CASE route WHEN 'answer' THEN CASE WHEN answerability = 'partial' THEN 'partial' ELSE 'answerable' END WHEN 'rewrite' THEN 'needs_rewrite' WHEN 'clarify' THEN 'needs_clarification' WHEN 'scope_select' THEN 'needs_scope_selection' ELSE 'no_knowledge' END AS retrieval_status,
+  CASE WHEN route IN ('no_knowledge', 'clarify', 'scope_select') THEN 0 ELSE n END::INT AS docs, CASE WHEN route IN ('no_knowledge', 'clarify', 'scope_select') THEN '' ELSE 'context of ' || query_id END AS context, CASE WHEN route IN ('clarify', 'scope_select') THEN 0 ELSE n END::INT AS shown,
+  relevance, answerability, ambiguity, confidence, reason, slots AS missing_slots,
+  CASE route WHEN 'scope_select' THEN '我在知识库中找到了多个可能相关的方向。你想问的是哪一个？' WHEN 'clarify' THEN CASE WHEN len(slots) > 0 THEN '我找到了相关内容，但还缺少关键信息：year、plan' ELSE '我找到了相关内容，但证据不足以确定答案。请补充一下你具体想问的条件。' END ELSE '' END AS hitl_prompt
+FROM (SELECT *, {ROUTE_SQL} AS route FROM graded)
+""")
 def grade_state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graded(spark, sf_dir).withColumn("route", routing.route(*[F.col(c) for c in GRID]))
-    return g.select("query_id", "route", F.when(routing.keeps_documents(F.col("route")), F.col("n")).otherwise(0).alias("docs"))
+    """DC-03 and DC-04."""
+    out = routing.grade_update(graded(spark, sf_dir))
+    return out.select("query_id", "route", "retrieval_status", F.size("docs").alias("docs"), "context", F.size("retrieved_chunks").alias("shown"), *[F.col(f"evidence_{c}").alias(c) for c in ("relevance", "answerability", "ambiguity", "confidence", "reason")], "missing_slots", "hitl_prompt")
 
 
 @query("tool_output", with_(GRADES_SQL) + f"""
 , routed AS (SELECT *, {ROUTE_SQL} AS route FROM graded)
-SELECT query_id, CASE WHEN route = 'clarify' THEN 'NEEDS_CLARIFICATION: which?' WHEN route = 'scope_select' THEN 'NEEDS_SCOPE_SELECTION: which?' WHEN route = 'no_knowledge' THEN 'NO_KNOWLEDGE' ELSE context END AS output FROM routed
-JOIN (SELECT c.query_id, string_agg('[' || c.rank || '] ' || c.filename || ' (Page N/A):' || chr(10) || l.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c.rank) AS context FROM cand c JOIN leaf l USING (chunk_id) WHERE c.rank <= 3 GROUP BY 1) USING (query_id)
+SELECT query_id, CASE route WHEN 'clarify' THEN 'NEEDS_CLARIFICATION: I found related knowledge, but need one more detail before answering.' WHEN 'scope_select' THEN 'NEEDS_SCOPE_SELECTION: which?' || chr(10) || 'Options: plan A; plan B' WHEN 'no_knowledge' THEN 'NO_KNOWLEDGE: No reliable relevant documents were found in the knowledge base.'
+  ELSE coalesce('Retrieved Chunks:' || chr(10) || context, 'No relevant documents found in the knowledge base.') END AS output FROM routed
+LEFT JOIN (SELECT c.query_id, string_agg('[' || c.rank || '] ' || c.filename || ' (Page N/A):' || chr(10) || l.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY c.rank) AS context FROM cand c JOIN leaf l USING (chunk_id) WHERE c.query_id % 4 <> 0 GROUP BY 1) USING (query_id)
 """)
 def tool_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graded(spark, sf_dir).withColumn("route", routing.route(*[F.col(c) for c in GRID]))
-    top = corpus.candidates(spark, sf_dir).filter("rank <= 3").join(corpus.leaves(spark, sf_dir).select("chunk_id", "text"), "chunk_id").withColumn("page_number", F.lit(None).cast("int"))
-    out = g.join(routing.context_of(top), "query_id")
-    return out.select("query_id", routing.tool_output(routing.status(F.col("route"), F.col("answerability")), F.col("context"), F.lit("which?")).alias("output"))
+    """DC-09; every fourth question lost its chunks on the way."""
+    g = routing.grade_update(graded(spark, sf_dir)).select("query_id", "route", "retrieval_status")
+    found = corpus.candidates(spark, sf_dir).filter("query_id % 4 <> 0").join(corpus.texts_of(spark, sf_dir, 3), "chunk_id").withColumn("page_number", F.lit(None).cast("int"))
+    out = g.join(routing.context_of(found), "query_id", "left")
+    scope = F.col("route") == "scope_select"
+    return out.select("query_id", routing.tool_output(F.col("retrieval_status"), F.col("route"), F.col("context"), F.when(scope, "which?"), F.when(scope, F.array(F.lit("plan A"), F.lit("plan B")))).alias("output"))
 
 
-@query("confidence_bucket", "SELECT doc_id, CASE WHEN p IS NULL THEN 'unknown' WHEN p >= 85 THEN 'high' WHEN p >= 60 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT doc_id, CASE WHEN c <= 1 THEN c * 100 ELSE c END AS p FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN (doc_id % 100) / 100.0 ELSE (doc_id % 100) * 1.0 END::DOUBLE AS c FROM labels))")
+@query("confidence_bucket", "SELECT doc_id, p AS percent, CASE WHEN p IS NULL THEN 'unknown' WHEN p >= 85 THEN 'high' WHEN p >= 60 THEN 'medium' ELSE 'low' END AS bucket FROM (SELECT doc_id, CASE WHEN c IS NOT NULL THEN greatest(0, least(100, floor(CASE WHEN c <= 1 THEN c * 100 ELSE c END + 0.5)))::INT END AS p FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN (doc_id % 200) / 200.0 ELSE (doc_id % 150) * 0.75 - 5 END::DOUBLE AS c FROM labels))")
 def confidence_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    c = F.when(i % 11 == 0, None).when(i % 2 == 0, (i % 100) / 100.0).otherwise((i % 100) * 1.0)
-    return table(spark, sf_dir, "labels").select("doc_id", routing.confidence_bucket(c).alias("bucket"))
+    c = F.when(i % 11 == 0, None).when(i % 2 == 0, (i % 200) / 200.0).otherwise((i % 150) * 0.75 - 5)
+    return table(spark, sf_dir, "labels").select("doc_id", routing.confidence_percent(c).alias("percent"), routing.confidence_bucket(c).alias("bucket"))
 
 
-@query("retrieval_funnel", with_(STAGES_SQL) + "SELECT query_id, concat_ws(' > ', count(*) FILTER (stage = 'recalled'), count(*) FILTER (stage = 'merged'), count(*) FILTER (stage = 'final')) AS funnel FROM stage GROUP BY query_id")
+@query("retrieval_funnel", with_(STAGES_SQL) + "SELECT query_id, concat(count(*) FILTER (stage = 'recalled'), ' → ', count(*) FILTER (stage = 'merged'), ' → ', count(*) FILTER (stage = 'merged'), ' → top8 (', count(*) FILTER (stage = 'final'), ')') AS funnel FROM stage GROUP BY query_id")
 def retrieval_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("stage") == s)
-    one = candidate_stage_table(spark, sf_dir).groupBy("query_id").agg(n("recalled").alias("r"), n("merged").alias("m"), n("final").alias("f"))
-    return one.select("query_id", routing.funnel_label(F.col("r"), F.col("m"), F.col("f")).alias("funnel"))
+    one = candidate_stage_table(spark, sf_dir).groupBy("query_id").agg(n("recalled").alias("r"), n("merged").alias("m"), n("rerank_input").alias("i"), n("final").alias("f"))
+    return one.select("query_id", routing.funnel_label(F.col("r"), F.col("m"), F.col("i"), F.lit(8), F.col("f")).alias("funnel"))
+
+
+@query("trace_fields", """SELECT item_id AS query_id, '{"retrieval_mode":"hybrid"' || CASE WHEN item_id % 2 = 0 THEN ',"recall_count":"24"' ELSE '' END || ',"rerank_min_score":"0.0"}' AS shown FROM benchmark""")
+def trace_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FL-08: fields that are not listed and nulls do not show."""
+    meta = F.create_map(F.lit("secret"), F.lit("x"), F.lit("rerank_min_score"), F.lit("0.0"), F.lit("retrieval_mode"), F.lit("hybrid"), F.lit("recall_count"), F.when(F.col("query_id") % 2 == 0, "24"), F.lit("rerank_error"), F.lit(None).cast("string"))
+    return questions(spark, sf_dir).select("query_id", routing.trace_fields(meta).alias("shown"))
+
+
+PAUSED_SQL = """
+p AS (SELECT c.conv_id AS session_id, c.turn, c.text AS question, CASE c.turn % 4 WHEN 0 THEN 'needs_clarification' WHEN 1 THEN 'answerable' WHEN 2 THEN 'needs_scope_selection' ELSE 'no_knowledge' END AS status FROM conversations c)
+"""
+
+
+@query("paused_questions", with_(PAUSED_SQL) + """
+SELECT session_id, question AS original_question, CASE WHEN status = 'needs_scope_selection' THEN 'scope_select' ELSE 'clarify' END AS route, status, CASE WHEN session_id % 2 = 0 THEN 'which?' ELSE '' END AS prompt, turn % 2 AS rewrites FROM p WHERE status IN ('needs_clarification', 'needs_scope_selection')
+""")
+def paused_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-08, the pause."""
+    return routing.pause(_runs(spark, sf_dir)).select("session_id", "original_question", "route", "status", "prompt", "rewrites")
+
+
+@query("resumed_questions", with_(PAUSED_SQL) + """
+SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END || '：' || question AS query, turn % 2 AS rewrites, [CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END] AS answers, status AS hitl_resume_from_status FROM p
+WHERE status IN ('needs_clarification', 'needs_scope_selection') AND session_id % 5 <> 0 AND NOT contains(question, CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END)
+UNION ALL SELECT session_id, question, turn % 2, [CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END], status FROM p
+WHERE status IN ('needs_clarification', 'needs_scope_selection') AND session_id % 5 <> 0 AND contains(question, CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END)
+""")
+def resumed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-08: blank replies (every fifth session) resume nothing, the rewrite budget is inherited."""
+    runs = _runs(spark, sf_dir)
+    i = F.col("session_id")
+    replies = runs.select("session_id").distinct().withColumn("reply", F.when(i % 5 == 0, "  ").when(i % 3 == 0, " the ").otherwise(F.concat(F.lit("item "), i.cast("string"))))
+    return routing.resume(routing.pause(runs), replies).select("session_id", "query", "rewrites", "answers", "hitl_resume_from_status")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    status = F.when(t % 4 == 0, "needs_clarification").when(t % 4 == 1, "answerable").when(t % 4 == 2, "needs_scope_selection").otherwise("no_knowledge")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("text").alias("question"), F.when(t % 4 == 2, "scope_select").when(t % 4 == 0, "clarify").otherwise("answer").alias("route"), status.alias("status"), F.when(F.col("conv_id") % 2 == 0, "which?").alias("hitl_prompt"), F.array().cast("array<string>").alias("hitl_options"), (t % 2).alias("rewrites"), F.lit(None).cast("string").alias("complexity"), F.lit(None).cast("string").alias("complexity_reason"), F.array().cast("array<string>").alias("sub_questions"), F.array().cast("array<string>").alias("answers"))
 
 
 #: Documents that hold a question's passage.
@@ -165,17 +249,24 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASES = """
 cases AS (SELECT doc_id AS case_id, doc_id % 6 = 0 AS refusal, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE (doc_id % 5) / 4.0 END::DOUBLE AS coverage, CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN 'review' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict,
   doc_id % 3 = 0 AS rewrite, doc_id % 4 = 0 AS split, doc_id % 5 = 0 AS merged, (doc_id % 97)::DOUBLE AS total_s, CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 41)::DOUBLE END AS rag_s, (doc_id % 13)::DOUBLE AS answer_s,
-  CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 12 + 1)::INT END AS best_rank, CASE WHEN toxic = 1 THEN 'model quota spent' WHEN doc_id % 23 = 0 THEN 'connection reset' END AS error, doc_id % 29 = 0 AS timed_out, CASE WHEN doc_id % 31 = 0 THEN 'no judge' END AS judge_error FROM labels)
+  CASE WHEN toxic = 1 THEN 'APIStatusError: Error code: 402 - account' WHEN doc_id % 23 = 0 THEN 'connection reset' WHEN doc_id % 47 = 0 THEN '  ' END AS evaluation_error, CASE WHEN doc_id % 29 = 0 THEN 'no answer' END AS answer_error, CASE WHEN doc_id % 31 = 0 THEN 'no judge' ELSE '' END AS grader_error,
+  CASE WHEN doc_id % 37 = 0 THEN 'evidence_grading_unavailable' ELSE 'by score' END AS evidence_reason, CASE WHEN doc_id % 6 = 0 THEN 'info_not_found' ELSE 'basic' END AS question_type, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS refusal_correct,
+  CASE WHEN doc_id % 6 = 0 THEN [] ELSE ['a', 'b'] END AS expected, CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN [NULL, (doc_id % 9)::INT + 1] ELSE [(doc_id % 7)::INT + 1, 9] END AS ranks, CASE WHEN doc_id % 5 < 3 THEN 'analysis' ELSE 'validation' END AS case_set FROM labels)
 """
-SYSTEM_SQL = "coalesce(error IS NOT NULL OR timed_out OR judge_error IS NOT NULL OR verdict = 'error', false)"
+ERROR_SQL = "(trim(coalesce(evaluation_error, '')) <> '' OR trim(coalesce(answer_error, '')) <> '' OR trim(coalesce(grader_error, '')) <> '')"
+SYSTEM_SQL = f"({ERROR_SQL} OR evidence_reason = 'evidence_grading_unavailable')"
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
+    n = lambda k: (i % k).cast("int") + 1
+    none = F.array().cast("array<int>")
     return table(spark, sf_dir, "labels").select(
         i.alias("case_id"), (i % 6 == 0).alias("refusal"), F.when(i % 17 != 0, (i % 5) / 4.0).alias("coverage"), F.when(i % 19 == 0, None).when(i % 8 == 0, "review").when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"),
         (i % 3 == 0).alias("rewrite"), (i % 4 == 0).alias("split"), (i % 5 == 0).alias("merged"), (i % 97).cast("double").alias("total_s"), F.when(i % 10 != 0, (i % 41).cast("double")).alias("rag_s"), (i % 13).cast("double").alias("answer_s"),
-        F.when(i % 7 != 0, (i % 12 + 1).cast("int")).alias("best_rank"), F.when(F.col("toxic") == 1, "model quota spent").when(i % 23 == 0, "connection reset").alias("error"), (i % 29 == 0).alias("timed_out"), F.when(i % 31 == 0, "no judge").alias("judge_error"),
+        F.when(F.col("toxic") == 1, "APIStatusError: Error code: 402 - account").when(i % 23 == 0, "connection reset").when(i % 47 == 0, "  ").alias("evaluation_error"), F.when(i % 29 == 0, "no answer").alias("answer_error"), F.when(i % 31 == 0, "no judge").otherwise("").alias("grader_error"),
+        F.when(i % 37 == 0, "evidence_grading_unavailable").otherwise("by score").alias("evidence_reason"), F.when(i % 6 == 0, "info_not_found").otherwise("basic").alias("question_type"), F.when(i % 4 == 0, True).when(i % 4 == 1, False).alias("refusal_correct"),
+        F.when(i % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("expected"), F.when(i % 5 == 0, none).when(i % 5 == 1, F.array(F.lit(None).cast("int"), n(9))).otherwise(F.array(n(7), F.lit(9))).alias("ranks"), F.when(i % 5 < 3, "analysis").otherwise("validation").alias("case_set"),
     )
 
 
@@ -220,31 +311,51 @@ def grade_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded_answers(spark, sf_dir)
 
 
-@query("exam_summary", with_(GRADED_SQL) + """
-, x AS (SELECT *, [CASE WHEN case_id % 5 <> 0 THEN case_id % 4 + 1 END, CASE WHEN case_id % 9 <> 0 THEN case_id % 3 + 1 END] AS ranks, (case_id % 50) / 10.0 AS latency_s FROM graded), y AS (SELECT *, list_filter(ranks, lambda r: r IS NOT NULL) AS found FROM x)
-SELECT count(*) AS cases, round_even(avg(CASE WHEN len(found) = len(ranks) THEN 1.0 ELSE 0.0 END), 4) AS recall_all, round_even(avg(CASE WHEN list_contains(found, 1) THEN 1.0 ELSE 0.0 END), 4) AS first_at_1,
-  round_even(avg(CASE WHEN len(found) = len(ranks) AND list_max(found) <= 2 THEN 1.0 ELSE 0.0 END), 4) AS all_at_2, round_even(avg(CASE WHEN len(found) = len(ranks) AND list_max(found) <= 3 THEN 1.0 ELSE 0.0 END), 4) AS all_at_3,
-  round_even(avg(CASE WHEN verdict = 'pass' THEN 1.0 ELSE 0.0 END), 4) AS pass_rate, sum(facts)::BIGINT AS facts, sum(supported)::BIGINT AS supported, sum(forbidden)::BIGINT AS forbidden, round_even(avg(latency_s::DOUBLE), 3) AS mean_latency_s FROM y
+@query("exam_summary", with_(CASES) + """
+, x AS (SELECT *, CASE WHEN case_id % 13 = 0 THEN 500 ELSE 200 END AS http_status, NOT list_contains(list_transform(ranks, lambda r: r IS NULL), true) AND len(ranks) > 0 AS all_recalled, CASE WHEN case_id % 4 = 0 THEN [] ELSE ['met', CASE WHEN case_id % 3 = 0 THEN 'missing' ELSE 'met' END] END AS facts, CASE WHEN case_id % 3 = 0 THEN [case_id % 15 = 0] ELSE [] END AS claims, (case_id % 50) / 10.0 AS elapsed_s FROM cases),
+ok AS (SELECT *, verdict IN ('pass', 'fail', 'review') AS judged FROM x WHERE http_status = 200),
+n AS (SELECT count(*) AS successful_cases, count(*) FILTER (all_recalled) AS all_expected_docs_recalled, count(*) FILTER (list_contains(ranks, 1)) AS first_expected_doc_at_1,
+  count(*) FILTER (len(ranks) > 0 AND len(list_filter(ranks, lambda r: r IS NULL OR r > 2)) = 0) AS all_expected_docs_at_2, count(*) FILTER (len(ranks) > 0 AND len(list_filter(ranks, lambda r: r IS NULL OR r > 3)) = 0) AS all_expected_docs_at_3,
+  count(*) FILTER (judged) AS answer_judged_cases, count(*) FILTER (verdict = 'pass') AS answer_passed_cases, count(*) FILTER (verdict = 'review') AS answer_review_cases,
+  coalesce(sum(len(facts)) FILTER (judged), 0)::BIGINT AS expected_facts_total, coalesce(sum(len(list_filter(facts, lambda f: f = 'met'))) FILTER (judged), 0)::BIGINT AS expected_facts_met,
+  coalesce(sum(len(claims)) FILTER (judged), 0)::BIGINT AS forbidden_claims_total, coalesce(sum(len(list_filter(claims, lambda c: c))) FILTER (judged), 0)::BIGINT AS forbidden_claim_violations FROM ok)
+SELECT n.*, c.cases, c.cases - successful_cases AS failed_cases, c.average_elapsed_seconds, CASE WHEN successful_cases > 0 THEN round_even(all_expected_docs_recalled / successful_cases, 4) ELSE 0 END AS all_expected_docs_recall_rate, CASE WHEN answer_judged_cases > 0 THEN round_even(answer_passed_cases / answer_judged_cases, 4) END AS answer_pass_rate
+FROM n, (SELECT count(*) AS cases, round_even(avg(elapsed_s::DOUBLE), 3) AS average_elapsed_seconds FROM x) c
 """)
 def exam_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("case_id")
-    ranks = F.array(F.when(i % 5 != 0, (i % 4 + 1).cast("int")), F.when(i % 9 != 0, (i % 3 + 1).cast("int")))
-    return evaluate.exam_summary(graded_answers(spark, sf_dir).withColumn("ranks", ranks).withColumn("latency_s", (i % 50) / 10.0))
+    c = cases(spark, sf_dir).withColumn("http_status", F.when(i % 13 == 0, 500).otherwise(200)).withColumn("all_recalled", (F.size("ranks") > 0) & F.forall("ranks", lambda r: r.isNotNull()))
+    c = c.withColumn("fact_results", F.when(i % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("met"), F.when(i % 3 == 0, "missing").otherwise("met"))))
+    return evaluate.exam_summary(c.withColumn("claims_mentioned", F.when(i % 3 == 0, F.array(i % 15 == 0)).otherwise(F.array().cast("array<boolean>"))).withColumn("elapsed_s", (i % 50) / 10.0))
 
 
 @query("failure_classes", with_(CASES) + f"""
-, s AS (SELECT *, {SYSTEM_SQL} AS sys FROM cases), l AS (SELECT unnest(list_filter([CASE WHEN sys THEN 'system_error' END, CASE WHEN NOT sys AND NOT refusal AND coalesce(coverage, 0) = 0 THEN 'retrieval_miss' END, CASE WHEN NOT sys AND best_rank > 5 THEN 'late_rank' END, CASE WHEN NOT sys AND NOT refusal AND coverage > 0 AND coverage < 1 THEN 'incomplete_evidence' END,
-  CASE WHEN NOT sys AND verdict = 'fail' AND coalesce(coverage, 0) >= 1 THEN 'answer_error' END, CASE WHEN NOT sys AND refusal AND verdict = 'fail' THEN 'wrong_refusal' END, CASE WHEN verdict = 'review' THEN 'manual_review' END], lambda x: x IS NOT NULL)) AS label FROM s)
-SELECT label, count(*) AS cases FROM l GROUP BY label
+, s AS (SELECT *, {SYSTEM_SQL} AS sys, coalesce(verdict, 'review') AS v, list_filter(ranks, lambda r: r IS NOT NULL) AS found FROM cases),
+l AS (SELECT 'retrieval_miss' AS label FROM s WHERE len(expected) > 0 AND len(found) = 0 UNION ALL SELECT 'retrieval_late' FROM s WHERE list_min(found) > 3 UNION ALL SELECT 'evidence_incomplete' FROM s WHERE len(expected) > 0 AND coverage > 0 AND coverage < 1
+  UNION ALL SELECT 'answer_failure' FROM s WHERE v = 'fail' AND NOT sys UNION ALL SELECT 'refusal_failure' FROM s WHERE question_type = 'info_not_found' AND (refusal_correct IS DISTINCT FROM true OR v <> 'pass') UNION ALL SELECT 'human_review' FROM s WHERE v = 'review' AND NOT sys UNION ALL SELECT 'system_error' FROM s WHERE sys)
+SELECT position, name AS label, count(label) AS cases FROM (VALUES (0, 'retrieval_miss'), (1, 'retrieval_late'), (2, 'hard_distractor'), (3, 'evidence_incomplete'), (4, 'answer_failure'), (5, 'refusal_failure'), (6, 'human_review'), (7, 'system_error')) c(position, name) LEFT JOIN l ON label = name GROUP BY ALL
 """)
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cases(spark, sf_dir)
-    return c.select(F.explode(evaluate.failure_labels(c)).alias("label")).groupBy("label").agg(F.count("*").alias("cases"))
+    return evaluate.failure_counts(cases(spark, sf_dir))
+
+
+@query("verdict_counts", with_(CASES) + "SELECT coalesce(verdict, 'review') AS verdict, count(*) AS cases FROM cases GROUP BY 1 ORDER BY 1")
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.verdict_counts(cases(spark, sf_dir))
 
 
-@query("retryable_errors", with_(CASES) + "SELECT case_id, error IS NOT NULL AND NOT regexp_matches(error, '(?i)quota|insufficient|balance') AS retryable FROM cases")
+@query("retryable_errors", with_(CASES) + f"SELECT case_id, {ERROR_SQL} AS retryable, coalesce(contains(evaluation_error, 'Error code: 402'), false) AS quota FROM cases")
 def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).select("case_id", F.coalesce(evaluate.retryable(F.col("error")), F.lit(False)).alias("retryable"))
+    return cases(spark, sf_dir).select("case_id", evaluate.retryable().alias("retryable"), evaluate.quota_spent().alias("quota"))
+
+
+@query("resumed_checkpoint", with_(CASES) + f"SELECT case_id, CASE WHEN {ERROR_SQL} THEN 'history' ELSE 'kept' END AS part FROM cases")
+def resumed_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-06: the last record of each case, written down twice here, stays or goes to the history."""
+    c = cases(spark, sf_dir)
+    twice = c.withColumn("line_no", F.lit(1)).unionByName(c.withColumn("evaluation_error", F.lit("first attempt")).withColumn("line_no", F.lit(0)))
+    kept, history = evaluate.resumed(evaluate.fold_checkpoint(twice))
+    return kept.select("case_id", F.lit("kept").alias("part")).unionByName(history.select("case_id", F.lit("history").alias("part")))
 
 
 PAIRS = CASES + f""",
@@ -261,11 +372,26 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.paired(before, after)
 
 
-@query("paired_transitions", with_(PAIRS) + "SELECT before_verdict || '_to_' || after_verdict || ';' || CASE WHEN after_coverage > before_coverage THEN 'coverage_up' WHEN after_coverage < before_coverage THEN 'coverage_down' ELSE 'coverage_same' END AS transition, count(*) AS cases, list_slice(list_sort(list(case_id)), 1, 8) AS examples FROM pairs GROUP BY 1")
+TRANSITION = "before_verdict || '_to_' || after_verdict || ';' || CASE WHEN after_coverage > before_coverage THEN 'coverage_up' WHEN after_coverage < before_coverage THEN 'coverage_down' ELSE 'coverage_same' END AS transition"
+
+
+@query("paired_transitions", with_(PAIRS) + f"SELECT {TRANSITION}, count(*) AS cases FROM pairs GROUP BY 1")
 def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.transitions(pairs(spark, sf_dir))
 
 
+@query("transition_cases", with_(PAIRS) + f"SELECT {TRANSITION}, case_id FROM pairs")
+def transition_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-14: all cases, a row each."""
+    return evaluate.transition_cases(pairs(spark, sf_dir))
+
+
+@query("transition_examples", with_(PAIRS) + f"SELECT transition, case_id, place::INT AS place FROM (SELECT transition, case_id, row_number() OVER (PARTITION BY transition ORDER BY case_id) AS place FROM (SELECT {TRANSITION}, case_id FROM pairs)) WHERE place <= 8")
+def transition_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SL-07: eight of each are the feature."""
+    return evaluate.transition_cases(pairs(spark, sf_dir), 8)
+
+
 @query("paired_deltas", with_(PAIRS) + """
 SELECT scope, count(*) AS cases, round(avg(after_coverage) - avg(before_coverage), 6) AS average_delta, round(avg((after_verdict = 'pass')::INT) - avg((before_verdict = 'pass')::INT), 6) AS pass_delta, round(avg((after_coverage >= 1)::INT) - avg((before_coverage >= 1)::INT), 6) AS full_delta
 FROM pairs, (VALUES ('all'), ('clean')) s(scope) WHERE scope = 'all' OR NOT (before_system_error OR after_system_error) GROUP BY scope
@@ -275,11 +401,16 @@ def paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("attribution", with_(PAIRS) + """
-SELECT CASE WHEN before_system_error OR after_system_error THEN 'system_error' WHEN before_verdict <> 'pass' AND after_verdict = 'pass' THEN CASE WHEN after_coverage > before_coverage THEN 'retrieval_gain' ELSE 'generation_gain' END
-  WHEN before_verdict = 'pass' AND after_verdict <> 'pass' THEN CASE WHEN after_coverage < before_coverage THEN 'retrieval_loss' ELSE 'generation_loss' END WHEN after_coverage > before_coverage THEN 'coverage_only_gain' WHEN after_coverage < before_coverage THEN 'coverage_only_loss' ELSE 'unchanged' END AS cause, count(*) AS cases FROM pairs GROUP BY 1
+SELECT 'controlled' AS kind, CASE WHEN after_system_error THEN 'system_error' WHEN before_system_error THEN 'baseline_system_error_no_comparison' WHEN before_verdict <> 'pass' AND after_verdict = 'pass' AND after_coverage > before_coverage THEN 'evidence_recovered_and_answer_pass_candidate'
+  WHEN after_coverage > before_coverage THEN 'evidence_recovered_but_answer_not_pass' WHEN after_coverage < before_coverage THEN 'evidence_coverage_regressed' WHEN before_verdict <> after_verdict AND after_verdict = 'pass' THEN 'answer_pass_without_coverage_gain' ELSE 'no_measurable_evidence_coverage_change' END AS cause, count(*) AS cases FROM pairs GROUP BY 2
+UNION ALL SELECT 'plain', CASE WHEN before_verdict <> 'pass' AND after_verdict = 'pass' THEN CASE WHEN after_coverage > before_coverage THEN 'evidence_recovered_and_answer_pass_candidate' ELSE 'answer_pass_without_evidence_coverage_gain' END
+  WHEN after_coverage > before_coverage THEN 'evidence_recovered_but_answer_not_pass' WHEN after_coverage < before_coverage THEN 'evidence_coverage_regressed' ELSE 'no_measurable_evidence_coverage_change' END, count(*) FROM pairs GROUP BY 2
 """)
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.attribution(pairs(spark, sf_dir))
+    """AG-15 by both trees."""
+    p = pairs(spark, sf_dir)
+    both = [evaluate.attribution(p, c).withColumn("kind", F.lit("controlled" if c else "plain")) for c in (True, False)]
+    return both[0].unionByName(both[1])
 
 
 @query("paired_summary", with_(CASES) + f"SELECT refusal, count(*) AS cases, {_share('coverage >= 1')} AS \"full\", round(avg(coverage), 6) AS average, {_share('coverage = 0')} AS zero, {_share(chr(118) + 'erdict = ' + chr(39) + 'pass' + chr(39))} AS pass FROM cases GROUP BY refusal")
@@ -305,7 +436,7 @@ def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rerank_shadow", with_(DOC_CORPUS, QUESTIONS, bm25_sql("corpus", "asked", "hits", 24), GOLD_SQL) + f"""
 , pool AS (SELECT h.query_id, h.chunk_id, h.rank AS old_rank, row_number() OVER (PARTITION BY h.query_id ORDER BY {JACCARD} DESC, h.rank)::INT AS new_rank FROM hits h JOIN asked q USING (query_id) JOIN corpus t USING (chunk_id)),
 one AS (SELECT p.query_id, count(*) AS gold, count(*) FILTER (old_rank <= 1) AS old, count(*) FILTER (new_rank <= 1) AS new FROM pool p JOIN gold g ON p.query_id = g.query_id AND p.chunk_id = g.filename GROUP BY 1)
-SELECT count(*) AS cases, round(avg((old = gold)::INT), 6) AS old_full, round(avg((new = gold)::INT), 6) AS new_full, round(avg(old / gold), 6) AS old_average, round(avg(new / gold), 6) AS new_average, coalesce(list_sort(list(query_id) FILTER (new > old)), []) AS improved, coalesce(list_sort(list(query_id) FILTER (new < old)), []) AS worsened FROM one
+SELECT count(*) AS cases, round(avg((old = gold)::INT), 6) AS old_full, round(avg((new = gold)::INT), 6) AS new_full, round(avg(old / gold), 6) AS old_average, round(avg(new / gold), 6) AS new_average, count(*) FILTER (new > old) AS improved, count(*) FILTER (new < old) AS worsened FROM one
 """)
 def rerank_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, docs = questions(spark, sf_dir), documents_as_chunks(spark, sf_dir)
@@ -315,13 +446,13 @@ def rerank_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rerank_shadow(pool, 1)
 
 
-@query("review_queue", with_(CASES) + """
-, r AS (SELECT case_id, 'question ' || case_id AS question, CASE WHEN case_id % 5 < 3 THEN 'analysis' ELSE 'validation' END AS split, list_filter([CASE WHEN verdict = 'review' THEN 'judge_unsure' END, CASE WHEN coverage >= 1 AND verdict = 'fail' THEN 'covered_but_failed' END, CASE WHEN coverage = 0 AND verdict = 'pass' THEN 'passed_without_evidence' END, CASE WHEN error IS NOT NULL THEN 'error' END], lambda x: x IS NOT NULL) AS reasons FROM cases)
-SELECT case_id, reasons, CASE WHEN split = 'validation' THEN '[redacted]' ELSE question END AS question FROM r WHERE len(reasons) > 0
+@query("review_queue", with_(CASES) + f"""
+, r AS (SELECT case_set, case_id, list_concat(CASE WHEN verdict = 'review' THEN ['grader_review'] ELSE [] END, CASE WHEN case_set = 'validation' AND verdict IS DISTINCT FROM 'pass' THEN ['validation_failure'] ELSE [] END, CASE WHEN verdict = 'fail' AND coalesce(coverage, 0) >= 1 THEN ['evidence_complete_answer_failed'] ELSE [] END,
+  CASE WHEN verdict = 'pass' AND coalesce(coverage, 0) < 1 THEN ['answer_passed_evidence_incomplete'] ELSE [] END, CASE WHEN {SYSTEM_SQL} THEN ['system_error'] ELSE [] END) AS reasons FROM cases)
+SELECT case_set, CASE WHEN case_set = 'analysis' THEN case_id END AS case_id, CASE WHEN case_set = 'analysis' THEN 'question ' || case_id END AS question, CASE WHEN case_set = 'analysis' THEN reasons ELSE ['validation_case_suppressed'] END AS reasons, case_set = 'validation' AS redacted FROM r WHERE len(reasons) > 0
 """)
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cases(spark, sf_dir).drop("split").withColumn("question", F.concat(F.lit("question "), "case_id")).withColumn("split", F.when(F.col("case_id") % 5 < 3, "analysis").otherwise("validation"))
-    return evaluate.review_queue(c)
+    return evaluate.review_queue(cases(spark, sf_dir).withColumn("question", F.concat(F.lit("question "), "case_id")))
 
 
 ATTEMPTS = "attempts AS (SELECT event_id AS line_no, user_id % 40 AS case_id, event_type AS outcome, event_type = 'error' AS failed FROM events WHERE user_id IS NOT NULL)"
@@ -347,27 +478,98 @@ def retry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.retry_merge(done, done.filter("case_id % 3 = 0").withColumn("outcome", F.lit("retried")))
 
 
-@query("freeze_manifest", "SELECT count(*) AS case_count, sha256('[' || string_agg(item_id::VARCHAR, ',' ORDER BY item_id) || ']') AS manifest_hash FROM benchmark WHERE item_id % 5 < 3")
+@query("freeze_manifest", "SELECT 30::BIGINT AS case_count, 'model' AS changed_variable, list(doc_id ORDER BY doc_id) AS ids, sha256('[' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || ']') AS manifest_hash FROM (SELECT doc_id FROM labels WHERE doc_id % 5 < 3 ORDER BY doc_id LIMIT 30)")
 def freeze_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = questions(spark, sf_dir).select(F.col("query_id").alias("case_id"))
-    chosen = ids.filter("case_id % 5 < 3")
-    return evaluate.freeze_manifest(chosen, ids.filter("case_id % 5 >= 3"), chosen.count())
+    """AG-31: the contract's 30 cases."""
+    c = cases(spark, sf_dir).select("case_id", "case_set")
+    return evaluate.freeze_manifest(c.filter("case_set = 'analysis'").orderBy("case_id").limit(30), c.filter("case_set = 'validation'"), "model_comparison")
+
+
+@query("manifest_candidates", with_(CASES) + f"""
+SELECT 'rewrite' AS kind, case_id FROM cases WHERE case_set = 'analysis' AND case_id % 4 IN (1, 2) AND trim(coalesce(evaluation_error, '')) = ''
+UNION ALL SELECT 'non_pass', case_id FROM cases WHERE case_set = 'analysis' AND verdict IS DISTINCT FROM 'pass'
+UNION ALL SELECT 'adjacent', case_id FROM cases WHERE case_id % 9 = 2
+UNION ALL SELECT 'audited', case_id FROM cases WHERE (len(expected) > 0 AND len(list_filter(ranks, lambda r: r IS NOT NULL)) = 0) OR (list_min(list_filter(ranks, lambda r: r IS NOT NULL)) > 3) OR (len(expected) > 0 AND coverage > 0 AND coverage < 1)
+""")
+def manifest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-31: what the rules select; the audit's contract is that of this table here."""
+    c = cases(spark, sf_dir)
+    i = F.col("case_id")
+    methods = c.withColumn("rewrite_method", F.when(i % 4 == 1, "step_back").when(i % 4 == 2, "hyde").otherwise("none"))
+    reviews = c.withColumn("classification", F.when(i % 9 == 2, "adjacent_leaf_gap").otherwise("other"))
+    labelled = c.select("case_id", F.explode(evaluate.failure_labels()).alias("label"))
+    counts = {r.label: r.cases for r in evaluate.failure_counts(c).collect() if r.label in evaluate.AUDITED}
+    parts = {"rewrite": evaluate.rewritten_cases(methods), "non_pass": evaluate.non_pass_cases(c), "adjacent": evaluate.adjacent_gap_cases(reviews), "audited": evaluate.audited_cases(labelled, counts)}
+    out = [df.select(F.lit(name).alias("kind"), "case_id") for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+POLICY_SQL = CASES + f""",
+asked AS (SELECT *, CASE WHEN case_id % 10 = 0 THEN '全是中文' ELSE 'Which plan ' || case_id END AS question, CASE WHEN case_id % 3 = 0 THEN 'simple' ELSE 'complex' END AS complexity,
+  CASE WHEN case_id % 9 = 1 THEN [] WHEN case_id % 6 = 2 THEN ['which one', '哪一个'] ELSE ['which one', ' '] END AS subs, CASE WHEN case_id % 8 = 3 THEN [] ELSE [' first '] END AS queries FROM cases),
+checked AS (SELECT * FROM asked WHERE regexp_matches(question, '[A-Za-z]') AND NOT {ERROR_SQL} AND complexity = 'complex'),
+seen AS (SELECT case_id, 'rag_trace.sub_questions[1]' AS location, 'which one' AS query, NULL::VARCHAR AS reason FROM checked WHERE len(subs) > 0
+  UNION ALL SELECT case_id, 'rag_trace.sub_questions[2]', '哪一个', 'chinese_characters' FROM checked WHERE len(subs) > 0 AND subs[2] <> ' ' UNION ALL SELECT case_id, 'candidate_audits[1].query', 'first', NULL FROM checked WHERE len(queries) > 0
+  UNION ALL SELECT case_id, 'rag_trace.sub_questions', '', 'missing_actual_sub_questions' FROM checked WHERE len(subs) = 0 UNION ALL SELECT case_id, 'candidate_audits', '', 'missing_actual_retrieval_query' FROM checked WHERE len(queries) = 0)
+"""
+
+
+def asked_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("case_id")
+    none, one = F.array().cast("array<string>"), F.lit("which one")
+    subs = F.when(i % 9 == 1, none).when(i % 6 == 2, F.array(one, F.lit("哪一个"))).otherwise(F.array(one, F.lit(" ")))
+    c = cases(spark, sf_dir).withColumn("question", F.when(i % 10 == 0, "全是中文").otherwise(F.concat(F.lit("Which plan "), i.cast("string")))).withColumn("complexity", F.when(i % 3 == 0, "simple").otherwise("complex"))
+    return c.withColumn("sub_questions", subs).withColumn("candidate_queries", F.when(i % 8 == 3, none).otherwise(F.array(F.lit(" first "))))
 
 
-@query("language_policy", "SELECT count(*) AS cases, count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 6 = 0) AS violations, count(*) FILTER (doc_id % 9 = 0) AS missing_trace, coalesce(bool_and(doc_id % 9 <> 0 AND doc_id % 6 <> 0), true) AS compliant FROM documents WHERE lang = 'en'")
+@query("language_policy", with_(POLICY_SQL) + f"SELECT (SELECT count(*) FROM asked WHERE question <> '全是中文') AS english_cases, (SELECT count(*) FROM asked WHERE question <> '全是中文' AND {ERROR_SQL}) AS system_errors, (SELECT count(*) FROM checked) AS checked_cases, (SELECT count(reason) FROM seen) AS violations, (SELECT CASE WHEN count(*) > 0 THEN (SELECT count(reason) FROM seen) = 0 END FROM checked) AS compliant")
 def language_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    subs = F.when(i % 9 != 0, F.array(F.lit("which one"), F.when(i % 6 == 0, "哪一个").otherwise("why")))
-    return evaluate.language_violations(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), subs.alias("sub_questions")))
+    return evaluate.language_compliance(asked_cases(spark, sf_dir))
+
 
+@query("language_observations", with_(POLICY_SQL) + "SELECT * FROM seen")
+def language_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.language_observations(asked_cases(spark, sf_dir))
+
+
+BRANCHES_SQL = """
+b AS (SELECT conv_id AS query_id, turn AS branch, CASE (conv_id + turn) % 5 WHEN 0 THEN 'answerable' WHEN 1 THEN CASE WHEN conv_id % 4 = 0 THEN 'no_knowledge' ELSE 'partial' END WHEN 2 THEN 'needs_clarification' WHEN 3 THEN CASE WHEN conv_id % 2 = 0 THEN 'needs_scope_selection' ELSE 'needs_clarification' END ELSE 'no_knowledge' END AS status,
+  CASE WHEN turn % 3 = 0 THEN '' ELSE 'which ' || turn % 2 || '?' END AS prompt, ['plan ' || turn % 3] AS options, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE turn % 3 END AS n FROM conversations),
+d AS (SELECT query_id, branch, i AS rank, 'c' || (branch % 2 + i) AS chunk_id FROM b, range(1, 4) r(i) WHERE i <= n),
+u AS (SELECT d.* FROM d JOIN b USING (query_id, branch) WHERE status IN ('answerable', 'partial')),
+one AS (SELECT query_id, count(*) AS sub_agent_count, bool_or(status = 'partial') AS part, bool_or(status = 'needs_scope_selection') AS scope, bool_or(status LIKE 'needs_%') AS asks FROM b GROUP BY 1),
+held AS (SELECT query_id, count(DISTINCT chunk_id) AS docs, count(*) AS merged_count FROM u GROUP BY 1),
+first_ask AS (SELECT query_id, v, min(branch) AS place FROM (SELECT query_id, branch, prompt AS v FROM b WHERE status LIKE 'needs_%' AND prompt <> '') GROUP BY ALL),
+first_option AS (SELECT query_id, v, min(branch) AS place FROM (SELECT query_id, branch, unnest(options) AS v FROM b WHERE status LIKE 'needs_%') GROUP BY ALL)
+"""
 
-@query("synthesis_status", with_("b AS (SELECT conv_id AS query_id, turn AS branch, CASE turn % 4 WHEN 0 THEN 'answerable' WHEN 1 THEN 'partial' WHEN 2 THEN 'needs_clarification' ELSE 'needs_scope_selection' END AS status, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE turn % 2 END AS docs FROM conversations)") + """
-SELECT query_id, sum(docs)::BIGINT AS docs, CASE WHEN sum(docs) > 0 AND (bool_or(status = 'partial') OR NOT bool_and(status = 'answerable')) THEN 'partial' WHEN sum(docs) > 0 THEN 'answerable' WHEN bool_or(status = 'needs_scope_selection') THEN 'needs_scope_selection' WHEN bool_or(status = 'needs_clarification') THEN 'needs_clarification' ELSE 'no_knowledge' END AS status FROM b GROUP BY query_id
+
+def branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t, c = F.col("turn"), F.col("conv_id")
+    k = (c + t) % 5
+    status = F.when(k == 0, "answerable").when(k == 1, F.when(c % 4 == 0, "no_knowledge").otherwise("partial")).when(k == 2, "needs_clarification").when(k == 3, F.when(c % 2 == 0, "needs_scope_selection").otherwise("needs_clarification")).otherwise("no_knowledge")
+    b = table(spark, sf_dir, "conversations").select(c.alias("query_id"), t.alias("branch"), status.alias("status"), F.when(t % 3 == 0, "").otherwise(F.format_string("which %d?", t % 2)).alias("hitl_prompt"), F.array(F.format_string("plan %d", t % 3)).alias("hitl_options"), F.when(c % 3 == 0, 0).otherwise(t % 3).alias("n"))
+    i = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")
+    d = b.select("query_id", "branch", "n", i).filter("rank <= n").select("query_id", "branch", "rank", F.format_string("c%d", F.col("branch") % 2 + F.col("rank")).alias("chunk_id"), F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(3).alias("chunk_level"), F.lit("f").alias("filename"), (1.0 / F.col("rank")).alias("score"))
+    return b.drop("n"), d
+
+
+@query("synthesis_status", with_(BRANCHES_SQL) + """
+SELECT query_id, coalesce(docs, 0) AS docs, coalesce(merged_count, 0) AS merged_count, sub_agent_count, CASE WHEN docs > 0 THEN CASE WHEN part THEN 'partial' ELSE 'answerable' END WHEN scope THEN 'needs_scope_selection' WHEN asks THEN 'needs_clarification' ELSE 'no_knowledge' END AS status,
+  CASE WHEN docs > 0 THEN 'answer' WHEN scope THEN 'scope_select' WHEN asks THEN 'clarify' ELSE 'no_knowledge' END AS route, CASE WHEN docs > 0 THEN 'strong' ELSE 'none' END AS evidence_relevance, CASE WHEN docs > 0 THEN CASE WHEN part THEN 'partial' ELSE 'sufficient' END ELSE 'none' END AS evidence_answerability,
+  CASE WHEN docs > 0 THEN '' ELSE coalesce((SELECT string_agg(v, '；' ORDER BY place) FROM first_ask a WHERE a.query_id = one.query_id), '') END AS hitl_prompt, CASE WHEN docs > 0 THEN [] ELSE coalesce((SELECT list(v ORDER BY place) FROM first_option o WHERE o.query_id = one.query_id), []) END AS hitl_options
+FROM one LEFT JOIN held USING (query_id)
 """)
 def synthesis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("turn")
-    b = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), t.alias("branch"), F.when(t % 4 == 0, "answerable").when(t % 4 == 1, "partial").when(t % 4 == 2, "needs_clarification").otherwise("needs_scope_selection").alias("status"), F.when(F.col("conv_id") % 3 == 0, 0).otherwise(t % 2).alias("docs"))
-    return routing.synthesis_status(b)
+    """DC-07."""
+    return routing.synthesis(*branches(spark, sf_dir))
+
+
+@query("synthesis_documents", with_(BRANCHES_SQL) + "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank, score FROM (SELECT query_id, chunk_id, min(branch * 100 + rank) AS place, max(1.0 / rank) AS score FROM u GROUP BY ALL)")
+def synthesis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-18, FL-05."""
+    b, d = branches(spark, sf_dir)
+    return routing.synthesised_documents(b, d).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
 __all__ = ["RERANKED"]

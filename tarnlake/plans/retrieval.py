@@ -33,8 +33,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th vector asks."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    """Every 20th vector asks."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 @query("bm25_topk", with_(DOC_CORPUS, QUESTIONS, bm25_sql("corpus", "asked", "hits", 10)) + "SELECT query_id, rank, chunk_id, score FROM hits")
@@ -46,7 +46,7 @@ DENSE_SQL = """
 dense AS (SELECT query_id, chunk_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (
     SELECT q.vec_id AS query_id, 'd' || e.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings q, embeddings e WHERE q.vec_id % 25 = 0)) WHERE rank <= 16)
+    FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE rank <= 16)
 """
 
 
@@ -55,7 +55,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense(vectors(spark, sf_dir), vector_questions(spark, sf_dir), 8).select("query_id", "rank", "chunk_id", "score")
 
 
-HYBRID_ASKED = "asked AS (SELECT v.vec_id AS query_id, d.text FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id % 25 = 0)"
+HYBRID_ASKED = "asked AS (SELECT v.vec_id AS query_id, d.text FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id % 20 = 0)"
 
 
 @query("hybrid_rrf", with_(DOC_CORPUS, HYBRID_ASKED, bm25_sql("corpus", "asked", "lex", 16), DENSE_SQL) + """
@@ -189,7 +189,7 @@ def finalize_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STAGES_SQL = RERANKED + """,
 stage AS (
-  SELECT query_id, 'recalled' AS stage, rank, chunk_id FROM cand UNION ALL SELECT query_id, 'merged', rank, chunk_id FROM two UNION ALL SELECT query_id, 'reranked', rank, chunk_id FROM reranked
+  SELECT query_id, 'recalled' AS stage, rank, chunk_id FROM cand UNION ALL SELECT query_id, 'merged', rank, chunk_id FROM two UNION ALL SELECT query_id, 'rerank_input', rank, chunk_id FROM two UNION ALL SELECT query_id, 'reranked', rank, chunk_id FROM reranked
   UNION ALL SELECT query_id, 'not_returned', row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT, chunk_id FROM two WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM reranked)
   UNION ALL SELECT query_id, 'threshold_rejected', row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT, chunk_id FROM reranked WHERE rerank_score < 0.1
   UNION ALL SELECT query_id, 'final', row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT, chunk_id FROM reranked WHERE rerank_score >= 0.1)
@@ -202,7 +202,7 @@ def candidate_stage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = merging.auto_merge(c, corpus.parent_ids(spark, sf_dir)).persist()
     ranked = merging.rerank(merged, questions(spark, sf_dir), corpus.texts(spark, sf_dir), 8).persist()
     final = retrieval.above(ranked, 0.1)
-    return merging.stages(recalled=c, merged=merged, reranked=ranked, not_returned=merging.lost(merged, ranked), threshold_rejected=merging.lost(ranked, final), final=retrieval.renumbered(final))
+    return merging.stages(recalled=c, merged=merged, rerank_input=merged, reranked=ranked, not_returned=merging.lost(merged, ranked), threshold_rejected=merging.lost(ranked, final), final=retrieval.renumbered(final))
 
 
 @query("candidate_stages", with_(STAGES_SQL) + "SELECT query_id, stage, rank, chunk_id FROM stage")
