@@ -28,7 +28,7 @@ from .shared import join_counted, written
 RATIO = 0.1
 PRIOR_PAGES = 10
 #: What has no text to be read, elements that begin a line, and other markup (fixed patterns, alike in RE2 and Java).
-UNREAD = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+UNREAD = r"(?i)<(?:script\b[^>]*>(?s:.*?)</script\s*>|style\b[^>]*>(?s:.*?)</style\s*>|!--(?s:.*?)-->)"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 MARKUP = r"<[^>]*>"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, jpeg, langid, linededup, minhash, mixing, packing, pii, sharding, warc
+from .shared import written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +51,7 @@ def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of all pages, by the host of their URL."""
     pages = _read(spark, sf_dir, "pages").select("page_id", linededup.host(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    pages = written(spark, pages, "page-lines")  # read twice: to count lines and to drop them
     return linededup.drop_boilerplate(spark, pages, site="host").select("page_id", "host", "lines", "dropped", "text")
 
 
