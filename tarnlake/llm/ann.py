@@ -13,9 +13,11 @@ visits; "longest" above is that of the others. Vectors of one length are routed
 
 The sample bounds the model (a few MB, sent with the tasks); every row is indexed. It grows with the square root of the
 table from ``FIT_ROWS`` to ``MOST_FIT_ROWS``, which the driver holds, and the number of parts with the table, as long as
-the sample has ``SAMPLE_OF_PART`` rows for each. Routed rows and queries are written to the shared folder once. A part of
-more than ``block_rows`` rows is split into blocks by a hash, so parts that hold many equal vectors spread over tasks;
-each block returns its best candidates and a last step merges them.
+the sample has ``SAMPLE_OF_PART`` rows for each. Routed rows and queries are written to the shared folder once. Small parts
+stand together on shelves of about ``block_rows`` rows, and a query goes once to each shelf that holds a part it visits. A
+part of more rows is split into blocks by a hash, so parts that hold many equal vectors spread over tasks. Each block
+returns its best candidates and a last step merges them. A query's ``k``-th best score in the sample bounds
+that among all rows from below, so blocks return only what reaches it: few rows for a query, however many parts it visits.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no part;
 equal scores go to the smaller id; with fewer candidates than asked for, all are returned; repeated ids count as one
@@ -47,6 +49,8 @@ EPOCHS = 30
 MASS = 0.93
 LEAST_PROBES = 4
 LONG_SHARE = 16
+#: Bytes of the sample that go with the tasks to bound scores.
+BOUND_BYTES = 8 << 20
 BLOCK_ROWS = 20_000
 
 
@@ -199,8 +203,9 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def routed(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", fit_rows: int | None = None, mass: float = MASS, seed: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The index, ``id, v, part`` for every usable row, and the queries, ``id, v, parts``: those that each visits."""
+def routed(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", fit_rows: int | None = None, mass: float = MASS, seed: int = 3, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The index, ``id, v, part`` for every usable row, and the queries, ``id, v, parts, least``: those that each visits, and a
+    score that its ``k``-th best neighbour reaches."""
     kind = dict(vectors.dtypes)[vec_id]
     good = lambda df: df.select(F.col(vec_id).alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows = good(vectors)
@@ -208,9 +213,13 @@ def routed(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, vec_i
     fit_rows = fit_rows or int(min(MOST_FIT_ROWS, max(FIT_ROWS, SAMPLE_OF_PART * n**0.5)))
     mark = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30))
     # a hash filter keeps about fit_rows rows; the limit holds the bound if ids repeat
-    sample = [r.v for r in rows.filter(mark < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30)) + 1).limit(2 * fit_rows).collect()]
-    width = max((lengths := [len(v) for v in sample]), key=lengths.count, default=1)
-    x = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width)
+    sample = rows.filter(mark < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30)) + 1).limit(2 * fit_rows).collect()
+    width = max((lengths := [len(r.v) for r in sample]), key=lengths.count, default=1)
+    sample = [r for r in sample if len(r.v) == width]
+    x = np.array([r.v for r in sample], np.float64).reshape(-1, width)
+    # one row of an id: its best may be another, so a bound stays one
+    known, first = np.unique(np.array([r.id for r in sample]), return_index=True) if sample else (np.empty(0, np.int64), np.empty(0, np.int64))
+    known, held = known[: BOUND_BYTES // (8 * width)], x[first[: BOUND_BYTES // (8 * width)]]
     square = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
     least, most = rows.filter(F.size("v") == width).select(F.min(square), F.max(square)).first()
     longest = None
@@ -237,29 +246,41 @@ def routed(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, vec_i
             ranked = np.take_along_axis(p, order, 1)
             take = (np.cumsum(ranked, axis=1) - ranked < mass) | (np.arange(parts) < LEAST_PROBES)
             found = [o[t].tolist() + [parts] * (longest is not None) for o, t in zip(order, take, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], ["id", "v", "parts"])
+            least = np.full(len(m), -np.inf)
+            if len(known) > k:
+                for a in range(0, len(m), 200):
+                    s = m[a : a + 200] @ held.T
+                    s[b.column(0).to_numpy(zero_copy_only=False)[a : a + 200, None] == known] = -np.inf
+                    least[a : a + 200] = np.partition(s, len(known) - k, axis=1)[:, len(known) - k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32())), pa.array(least)], ["id", "v", "parts", "least"])
 
     schema = f"id {kind}, v {rows.schema['v'].dataType.simpleString()}"
     usual = lambda df: df.filter(F.size("v") == width)
     # vectors of another length: a part for each length, below all others
     other = lambda df: df.filter(F.size("v") != width).withColumn("part", -F.size("v"))
     placed = usual(rows).mapInArrow(place, f"{schema}, part int").unionByName(other(rows))
-    asked = usual(good(queries)).mapInArrow(ask, f"{schema}, parts array<int>").unionByName(other(good(queries)).select("id", "v", F.array("part").alias("parts")))
+    asked = usual(good(queries)).mapInArrow(ask, f"{schema}, parts array<int>, least double").unionByName(other(good(queries)).select("id", "v", F.array("part").alias("parts"), F.lit(float("-inf")).alias("least")))
     return written(spark, placed, "index"), written(spark, asked, "queries")
 
 
 def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str = "vec_id", block_rows: int = BLOCK_ROWS, seed: int = 3, **how) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its ``k`` nearest rows of ``vectors`` other than itself."""
     kind = dict(vectors.dtypes)[vec_id]
-    placed, asked = routed(spark, vectors, queries, vec_id=vec_id, seed=seed, **how)
-    asked = asked.select("id", "v", F.explode("parts").alias("part"))
+    placed, asked = routed(spark, vectors, queries, vec_id=vec_id, seed=seed, k=k, **how)
+    # parts are as many as the sample carries, besides one for each other length
+    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
+    shelves = _shelves([sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1)], block_rows)
+    place = F.array(*[F.lit(x) for x in shelves]) if shelves else F.array().cast("array<int>")
+    shelf = lambda part: F.when(part < 0, part).otherwise(F.get(place, part))
+    placed = placed.withColumn("shelf", shelf(F.col("part")))
+    asked = asked.withColumn("shelf", F.explode(F.array_distinct(F.filter(F.transform("parts", shelf), lambda x: x.isNotNull()))))
 
     def blocks(df: DataFrame) -> Column:
-        """How many blocks a part needs; at most rows / ``block_rows`` parts need more than one."""
-        need = {r.part: -(-r["count"] // block_rows) for r in df.groupBy("part").count().filter(F.col("count") > block_rows).collect()}
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(z) for p in need.items() for z in p]), F.col("part")), F.lit(1)) if need else F.lit(1)
+        """How many blocks a shelf needs; at most rows / ``block_rows`` need more than one."""
+        need = {r.shelf: -(-r["count"] // block_rows) for r in df.groupBy("shelf").count().filter(F.col("count") > block_rows).collect()}
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(z) for p in need.items() for z in p]), F.col("shelf")), F.lit(1)) if need else F.lit(1)
 
-    # a task meets one block of a part's rows and one block of its queries
+    # a task meets one block of a shelf's rows and one block of its queries
     rows_in, asks_in = blocks(placed), blocks(asked)
     pick = lambda n, k: F.pmod(F.xxhash64(F.lit(seed + k), "id", "v"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
@@ -267,20 +288,26 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: in
     asked = asked.withColumn("asks", pick(asks_in, 2)).withColumn("block", every(rows_in))
 
     def rank(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in left if b.num_rows]  # one block of a part: about block_rows rows
+        held = [b for b in left if b.num_rows]  # one block of a shelf: about block_rows rows
         if not held:
             return
         ids = np.concatenate([b.column("id").to_numpy() for b in held])
         width = len(held[0].column("v")[0])
         m = np.concatenate([_matrix(b.column("v"), width) for b in held])
         order = np.argsort(ids, kind="stable")
-        ids, m = ids[order], m[order]
+        ids, m, part = ids[order], m[order], np.concatenate([b.column("part").to_numpy() for b in held])[order]
         names, starts = np.unique(ids, return_index=True)
         repeated = len(names) < len(ids)
         ends = np.append(starts[1:], len(ids))
+        here = [(p, np.flatnonzero(part == p)) for p in np.unique(part)]
         for b in _batches(right, 128):
-            q, qid = _matrix(b.column("v"), width), b.column("id").to_numpy()
-            near = q @ m.T
+            q, qid, bound = _matrix(b.column("v"), width), b.column("id").to_numpy(), b.column("least").to_numpy()
+            visits = [set(x) for x in b.column("parts").to_pylist()]
+            near = np.full((len(q), len(m)), -np.inf)
+            for p, rows in here:
+                who = [i for i, x in enumerate(visits) if p in x]
+                if who:
+                    near[np.ix_(who, rows)] = q[who] @ m[rows].T
             if repeated:  # an id's best
                 near = np.maximum.reduceat(near, starts, axis=1)
             out: tuple[list, list, list] = ([], [], [])
@@ -288,8 +315,10 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: in
                 s = near[i]
                 s[names == qid[i]] = -np.inf
                 # all that may be among the best: products of a matrix differ in the last digits by place
-                low = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                may = np.flatnonzero((s >= low - 1e-9 * max(1.0, abs(low))) & (s > -np.inf)) if len(s) > k else np.flatnonzero(s > -np.inf)
+                low = max(np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf, bound[i])
+                may = np.flatnonzero((s >= low - 1e-9 * max(1.0, abs(low))) & (s > -np.inf)) if low > -np.inf else np.flatnonzero(s > -np.inf)
+                if not len(may):
+                    continue
                 if repeated:
                     exact = np.array([(m[starts[j] : ends[j]] * q[i]).sum(axis=1).max() for j in may])
                 else:
@@ -300,12 +329,23 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, *, k: in
                 out[2].append(exact[best])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], ids.dtype)), pa.array(np.concatenate(out[1]) if out[1] else ids[:0]), pa.array(np.concatenate(out[2]) if out[2] else np.empty(0))], ["query_id", "vec_id", "score"])
 
-    found = placed.groupBy("part", "block", "asks").cogroup(asked.groupBy("part", "block", "asks")).applyInArrow(_tables(rank), f"query_id {kind}, vec_id {kind}, score double")
+    found = placed.groupBy("shelf", "block", "asks").cogroup(asked.groupBy("shelf", "block", "asks")).applyInArrow(_tables(rank), f"query_id {kind}, vec_id {kind}, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return once.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _shelves(sizes: list[int], most: int) -> list[int]:
+    """A shelf for each part: neighbours together, as many as hold ``most`` rows; a larger part stands alone."""
+    out, at, filled = [], 0, 0
+    for n in sizes:
+        if filled and filled + n > most:
+            at, filled = at + 1, 0
+        out.append(at)
+        filled += n
+    return out
+
+
 def _tables(rank):
     """The form that a cogrouped function has: two tables in, one out."""
 
