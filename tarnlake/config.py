@@ -45,3 +45,5 @@ class SemanticConfig:
 
 #: Rows up to which a side of a join may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
+#: Bytes that it may have as well, as far as its rows have a known width.
+BROADCAST_BYTES = 64 << 20

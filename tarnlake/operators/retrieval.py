@@ -5,17 +5,24 @@ Every list is a table with ``query_id`` and a dense ``rank`` from 1; orders end
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlake.config import BROADCAST_ROWS
+from tarnlake.config import BROADCAST_BYTES, BROADCAST_ROWS
 from tarnlake.functions.text import blank_to_null, tokens
 
 K1, B = 1.2, 0.75
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcasting if it has at most ``most`` rows."""
+def small(df: DataFrame, most: int = BROADCAST_ROWS, width: int | None = None) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``most`` rows, and at most ``BROADCAST_BYTES`` where a row's ``width`` is given."""
+    if width is not None:
+        most = min(most, BROADCAST_BYTES // max(width, 1))
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -26,7 +33,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, tf, dl``: the inverted index. Store it bucketed by ``term`` and searches need no shuffle of it."""
+    """``term, chunk_id, tf, dl``: which chunk holds a term how often, and how long it is."""
     split = chunks.select("chunk_id", tokens(F.col("text")).alias("ts"))
     return split.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
@@ -36,20 +43,65 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
-    """RT-02: Okapi BM25 over distinct query terms; statistics cover all of ``chunks``.
+@dataclass(frozen=True)
+class Index:
+    """A searchable form of chunks: what each term adds to a chunk's score, and the chunks' ids.
+
+    ``postings``: term, chunk_no, impact, sorted by term so that a search skips what it does not ask for. ``names``: chunk_no,
+    chunk_id; numbers are in the order of ids, so ties by number are ties by id.
+    """
+
+    postings: DataFrame
+    names: DataFrame
+
+
+def impacts(chunks: DataFrame) -> DataFrame:
+    """``term, chunk_id, impact``: a posting's part of an Okapi score; statistics cover all of ``chunks``."""
+    found = postings(chunks)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return found.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).select("term", "chunk_id", (idf * weight).alias("impact"))
+
+
+def build_index(chunks: DataFrame, path: str) -> None:
+    """SNK-01: write an index of ``chunk_id, text`` rows; ids must be unique."""
+    spark = chunks.sparkSession
+    ordered = chunks.select("chunk_id").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
+    ordered.withColumn("chunk_no", F.monotonically_increasing_id()).write.parquet(f"{path}/names")
+    names = spark.read.parquet(f"{path}/names")
+    numbered = impacts(chunks).join(names, "chunk_id").select("term", "chunk_no", "impact")
+    numbered.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.schema("term string, chunk_no long, impact double").parquet(f"{path}/postings"), spark.read.parquet(f"{path}/names"))
+
+
+def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """RT-02 over a stored index: postings of the queries' distinct terms are added up by query and chunk; nothing else is read of them.
+
+    Terms are broadcast behind a check of their number, and so are the few chunks found, to be named.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    parts = index.postings.join(small(asked, width=64), "term")
+    scored = parts.groupBy("query_id", "chunk_no").agg(F.round(F.sum("impact"), 6).alias("score"))
+    best = top_k(scored.withColumnRenamed("chunk_no", "chunk_id"), k).withColumnRenamed("chunk_id", "chunk_no")
+    return index.names.join(best, "chunk_no").select("query_id", "chunk_id", "score", "rank")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """RT-02 without a stored index: Okapi BM25 over distinct query terms; statistics cover all of ``chunks``.
 
-    Only postings of query terms leave the scan: the terms are few and are broadcast behind a check of their number.
+    Only postings of query terms leave the scan.
     """
-    index = postings(chunks) if index is None else index
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = small(asked.select("term").distinct())
-    found = index.join(terms, "term", "left_semi")
+    terms = small(asked.select("term").distinct(), width=48)
+    found = postings(chunks).join(terms, "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(chunks))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(df, "term").crossJoin(stats).withColumn("part", idf * weight).join(asked, "term")
+    scored = found.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).withColumn("part", idf * weight).join(small(asked, width=64), "term")
     return top_k(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 
@@ -57,10 +109,65 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are compared with a batch of vectors at a time, and vectors of one block where queries are too many to send.
+QUERY_BLOCK = 2048
+VECTOR_BLOCK = 20_000
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best_of(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, qids: np.ndarray, k: int) -> pa.Table:
+    """The ``k`` best of some vectors for each query, with all that tie with the last."""
+    out: tuple[list, list, list] = ([], [], [])
+    for a in range(0, len(qids), QUERY_BLOCK):
+        s = np.round(asked[a : a + QUERY_BLOCK] @ vectors.T, 6)
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        q, v = np.nonzero(s >= least[:, None])
+        out[0].append(qids[a : a + QUERY_BLOCK][q])
+        out[1].append(ids[v])
+        out[2].append(s[q, v])
+    return pa.table({"query_id": pa.array(np.concatenate(out[0])), "chunk_id": pa.array(np.concatenate(out[1])), "score": pa.array(np.concatenate(out[2]))})
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """RT-01: exact search by inner product. Queries are broadcast in bounded number, the corpus is read once and never moved."""
-    scored = vectors.select("chunk_id", "embedding").crossJoin(small(queries.select("query_id", "qvec")))
-    return top_k(scored.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("qvec")), 6).alias("score")), k)
+    """RT-01: exact search by inner product, as products of matrices over batches.
+
+    Queries of at most ``BROADCAST_BYTES`` go to the vectors, which are read where they lie; more are dealt into blocks that
+    each meet every block of vectors. Vectors and queries are of one length.
+    """
+    found = vectors.select("chunk_id", "embedding").filter("embedding IS NOT NULL")
+    asked = queries.select("query_id", "qvec").filter("qvec IS NOT NULL")
+    kinds = dict(found.dtypes) | dict(asked.dtypes)
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    width = found.select(F.size("embedding")).first()
+    most = BROADCAST_BYTES // (8 * (width[0] if width else 1) + 16)
+    if asked.limit(most + 1).count() <= most:
+        held = asked.toArrow().combine_chunks()
+        if not held.num_rows:
+            return top_k(found.limit(0).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")), k)
+        q, qids = _matrix(held.column("qvec").combine_chunks()), held.column("query_id").to_numpy()
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield from _best_of(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1)), q, qids, k).cast(target).to_batches()
+
+        target = pa.schema([("query_id", held.schema.field("query_id").type), ("chunk_id", pa.string() if kinds["chunk_id"] == "string" else pa.int64()), ("score", pa.float64())])
+        return top_k(found.mapInArrow(near, schema), k)
+    i = max(1, -(-found.count() // VECTOR_BLOCK))
+    j = max(1, -(-asked.count() // most))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = found.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(i)).cast("int")).withColumn("j", every(j))
+    right = asked.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(j)).cast("int")).withColumn("i", every(i))
+
+    def pair(v: pa.Table, q: pa.Table) -> pa.Table:
+        if v.num_rows and q.num_rows:
+            return _best_of(v.column("chunk_id").to_numpy(), _matrix(v.column("embedding").combine_chunks()), _matrix(q.column("qvec").combine_chunks()), q.column("query_id").to_numpy(), k)
+        return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+    return top_k(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pair, schema), k)
 
 
 def rrf(arms: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -72,20 +179,51 @@ def rrf(arms: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return top_k(every.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def hybrid(chunks: DataFrame | Index, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """RT-03: both arms fetch 2k."""
-    return rrf([dense(vectors, queries, 2 * k), bm25(chunks, queries, 2 * k)], k)
+    return rrf([dense(vectors, queries, 2 * k), lexical(chunks, queries, 2 * k)], k)
 
 
-def retrieve(mode: str, chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, k: int) -> DataFrame:
-    """RT-04: dispatch by mode; ``hybrid`` without one arm's input falls back to the other and says so in ``retrieval_mode``."""
-    if mode == "bm25" or (mode == "hybrid" and vectors is None):
-        return bm25(chunks, queries, k).withColumn("retrieval_mode", F.lit("bm25" if mode == "bm25" else "bm25_fallback"))
-    if mode == "dense" or (mode == "hybrid" and "text" not in queries.columns):
-        return dense(vectors, queries, k).withColumn("retrieval_mode", F.lit("dense" if mode == "dense" else "dense_fallback"))
-    if mode != "hybrid":
+def lexical(chunks: DataFrame | Index, queries: DataFrame, k: int) -> DataFrame:
+    """RT-02 over a stored index or over chunks themselves."""
+    return search(chunks, queries, k) if isinstance(chunks, Index) else bm25(chunks, queries, k)
+
+
+def retrieve(mode: str, chunks: DataFrame | Index | None, vectors: DataFrame | None, queries: DataFrame, k: int) -> DataFrame:
+    """RT-04: dispatch by mode; ``retrieval_mode`` and ``retrieval_error`` say what was done.
+
+    ``hybrid`` whose lexical arm is not there or cannot be planned falls back to dense search alone and keeps the reason, as
+    does a hybrid without vectors to lexical search. What fails as well is told by :func:`failed`.
+    """
+    if mode not in ("bm25", "dense", "hybrid"):
         raise ValueError(f"no such retrieval mode: {mode}")
-    return hybrid(chunks, vectors, queries, k).withColumn("retrieval_mode", F.lit("hybrid"))
+    named = lambda df, how, why=None: df.withColumn("retrieval_mode", F.lit(how)).withColumn("retrieval_error", F.lit(why).cast("string"))
+    try:
+        if mode == "bm25":
+            return named(lexical(chunks, queries, k), "bm25")
+        if mode == "dense":
+            return named(dense(vectors, queries, k), "dense")
+    except Exception as e:  # noqa: BLE001  an arm that cannot run is a result, not a crash
+        return failed(queries, mode, e)
+    arms, why = {}, []
+    for name, arm in (("dense", lambda n: dense(vectors, queries, n)), ("bm25", lambda n: lexical(chunks, queries, n))):
+        try:
+            arms[name] = arm(2 * k)
+            arms[name].schema  # noqa: B018  plans it
+        except Exception as e:  # noqa: BLE001
+            why.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:200]}")
+    if len(arms) == 2:
+        return named(rrf([arms["dense"], arms["bm25"]], k), "hybrid")
+    if not arms:
+        return failed(queries, mode, "; ".join(why))
+    (name, found), = arms.items()
+    return named(found.filter(F.col("rank") <= k), f"{name}_fallback", why[0])
+
+
+def failed(queries: DataFrame, mode: str, error: Exception | str) -> DataFrame:
+    """RT-04: no candidates for any query, with the reason in one row per query (rank and chunk null)."""
+    told = error if isinstance(error, str) else f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"
+    return queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"), F.lit("failed").alias("retrieval_mode"), F.lit(f"{mode}: {told}").alias("retrieval_error"))
 
 
 def leaves(chunks: DataFrame, level: int = 3) -> DataFrame:

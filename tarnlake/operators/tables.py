@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def create_tables(chunks: DataFrame, path: str, term_buckets: int = 64) -> None:
-    """SNK-01: chunks and their inverted index; the index is laid out by term so that a search reads few files."""
-    from tarnlake.operators.retrieval import corpus_stats, postings
+def create_tables(chunks: DataFrame, path: str) -> None:
+    """SNK-01: chunks and their index, which :func:`tarnlake.operators.retrieval.search` reads."""
+    from tarnlake.operators.retrieval import build_index
 
     chunks.write.mode("errorifexists").parquet(f"{path}/chunk")
-    index = postings(chunks).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int"))
-    index.repartition("bucket").sortWithinPartitions("term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
-    corpus_stats(chunks).coalesce(1).write.mode("errorifexists").parquet(f"{path}/corpus_stats")
+    build_index(chunks, f"{path}/index")
 
 
 def append_missing(target: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

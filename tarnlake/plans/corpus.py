@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake import storage
 from tarnlake.operators import retrieval
 from tarnlake.plans.registry import questions, table
 
 PER_BLOCK = 4
 
 
-def leaves(spark: SparkSession, sf_dir: str, per_block: int = PER_BLOCK) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("t"))
+def leaves(spark: SparkSession, sf_dir: str, per_block: int = PER_BLOCK, files: DataFrame | None = None) -> DataFrame:
+    """Leaves of all documents, or of the files in ``files``, the others being left out before their texts are cut."""
+    named = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), "text")
+    named = named if files is None else named.join(files, "filename", "left_semi")
+    docs = named.select("doc_id", "filename", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("t"))
     lines = docs.select("doc_id", "filename", F.posexplode("t").alias("l3", "text"))
     name = lambda level, i: F.concat("filename", F.lit(f"::p0::l{level}::"), i.cast("string"))
     return lines.select("doc_id", "filename", name(3, F.col("l3")).alias("chunk_id"), name(2, F.floor(F.col("l3") / per_block)).alias("parent_chunk_id"), name(1, F.lit(0)).alias("root_chunk_id"), F.lit(3).alias("chunk_level"), "l3", "text")
@@ -28,22 +32,27 @@ def parents(leaf: DataFrame) -> DataFrame:
     )
 
 
-def parent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files_of(candidates: DataFrame) -> DataFrame:
+    """``filename`` of each candidate, once; marked for broadcasting if they are few."""
+    return retrieval.small(candidates.select(F.substring_index("chunk_id", "::", 1).alias("filename")).distinct(), width=64)
+
+
+def parent_ids(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     """Levels 1 and 2 without their texts."""
-    leaf = leaves(spark, sf_dir)
+    leaf = leaves(spark, sf_dir, files=files)
     two = leaf.select("filename", F.col("parent_chunk_id").alias("chunk_id"), F.col("root_chunk_id").alias("parent_chunk_id"), F.lit(2).alias("chunk_level")).distinct()
     one = leaf.select("filename", F.col("root_chunk_id").alias("chunk_id"), F.lit("").alias("parent_chunk_id"), F.lit(1).alias("chunk_level")).distinct()
     return two.unionByName(one)
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaf = leaves(spark, sf_dir)
+def chunks(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    leaf = leaves(spark, sf_dir, files=files)
     own = leaf.select("filename", "chunk_id", "parent_chunk_id", "root_chunk_id", "chunk_level", (2 + F.col("l3") + F.floor(F.col("l3") / PER_BLOCK)).cast("long").alias("chunk_idx"), "text")
     return own.unionByName(parents(leaf))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("chunk_id", "text")
+def texts(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    return chunks(spark, sf_dir, files).select("chunk_id", "text")
 
 
 def texts_of(spark: SparkSession, sf_dir: str, level: int) -> DataFrame:
@@ -53,6 +62,22 @@ def texts_of(spark: SparkSession, sf_dir: str, level: int) -> DataFrame:
     return parents(leaves(spark, sf_dir)).filter(F.col("chunk_level") == level).select("chunk_id", "text")
 
 
+def index(spark: SparkSession, sf_dir: str, of: str) -> retrieval.Index:
+    """The stored index of ``documents`` or of their ``leaves``, built once by an application and searched by every query.
+
+    It is built anew when the documents change.
+    """
+    docs = table(spark, sf_dir, "documents")
+
+    def rows() -> DataFrame:
+        if of == "documents":
+            return docs.select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text")
+        return leaves(spark, sf_dir).select("chunk_id", "text")
+
+    path = storage.built_once(spark, f"index-{of}", storage.version_of(docs), lambda at: retrieval.build_index(rows(), at))
+    return retrieval.open_index(spark, path)
+
+
 def as_candidates(hits: DataFrame) -> DataFrame:
     """Leaf ids carry file and number, so nothing need be joined: the parent follows from the number."""
     n = F.regexp_extract("chunk_id", r"::l3::(\d+)$", 1).cast("int")
@@ -62,5 +87,6 @@ def as_candidates(hits: DataFrame) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 24, asked: DataFrame | None = None) -> DataFrame:
-    leaf = leaves(spark, sf_dir).select("chunk_id", "text")
-    return as_candidates(retrieval.bm25(leaf, questions(spark, sf_dir) if asked is None else asked, k))
+    """``k`` leaves for each question, by the stored index; written, as most plans read them several times."""
+    hits = retrieval.search(index(spark, sf_dir, "leaves"), questions(spark, sf_dir) if asked is None else asked, k)
+    return storage.stored(spark, as_candidates(hits), "candidates")

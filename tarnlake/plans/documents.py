@@ -124,9 +124,12 @@ TITLES = "titles AS (SELECT doc_id AS chunk_id, string_split(text, chr(10))[1] A
 @query("hard_negatives_top16", with_(TITLES, "asked AS (SELECT item_id AS query_id, text FROM benchmark)", bm25_sql("titles", "asked", "hits", 16)) + "SELECT query_id, rank, chunk_id AS doc_id, score FROM hits")
 def hard_negatives_top16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-21, the query part: the first line stands for a title."""
-    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("text"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(titles, asked, 16).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), "score")
+    return retrieval.bm25(_titles(spark, sf_dir), asked, 16).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), "score")
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("text"))
 
 
 @query("hard_negatives")

@@ -11,6 +11,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake import storage
 from tarnlake.operators import evaluate, merging, retrieval, routing
 from tarnlake.plans import corpus
 from tarnlake.plans.registry import CANDIDATES, QUESTIONS, bm25_sql, query, questions, table, with_
@@ -218,7 +219,7 @@ round(avg(CASE WHEN best_rank <= 10 THEN 1.0 / best_rank ELSE 0.0 END) FILTER (N
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
-    hits = retrieval.bm25(documents_as_chunks(spark, sf_dir), q, 10).select("query_id", "rank", F.col("chunk_id").alias("filename"))
+    hits = retrieval.search(corpus.index(spark, sf_dir, "documents"), q, 10).select("query_id", "rank", F.col("chunk_id").alias("filename"))
     best = gold(spark, sf_dir).join(hits, ["query_id", "filename"]).groupBy("query_id").agg(F.min("rank").alias("best_rank"))
     i = F.col("query_id")
     return q.select("query_id").join(best, "query_id", "left").select("query_id", "best_rank", (i * 37 % 101).cast("double").alias("latency_ms"), (i % 13 == 0).alias("failed"), (i % 9 == 0).alias("fallback"), F.when(i % 3 == 0, "basic").when(i % 3 == 1, "semantic").otherwise("misc").alias("question_type"), F.lit("bm25").alias("strategy"))
@@ -240,7 +241,7 @@ FROM asked a LEFT JOIN (SELECT g.query_id, count(*) AS gold, count(h.chunk_id) A
 """)
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
-    hits = retrieval.bm25(documents_as_chunks(spark, sf_dir), q, 10).filter("rank <= 3").select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document"))
+    hits = retrieval.search(corpus.index(spark, sf_dir, "documents"), q, 10).filter("rank <= 3").select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("document"))
     expected = q.select("query_id").join(gold(spark, sf_dir).select("query_id", "filename"), "query_id", "left").select(F.col("query_id").alias("case_id"), F.col("filename").alias("document"), (F.col("query_id") % 5 == 0).alias("refusal"))
     return evaluate.coverage(expected, hits)
 
@@ -440,7 +441,7 @@ SELECT count(*) AS cases, round(avg((old = gold)::INT), 6) AS old_full, round(av
 """)
 def rerank_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, docs = questions(spark, sf_dir), documents_as_chunks(spark, sf_dir)
-    hits = retrieval.bm25(docs, q, 24)
+    hits = storage.stored(spark, retrieval.search(corpus.index(spark, sf_dir, "documents"), q, 24), "hits")
     new = merging.rerank(hits, q, docs, 24).select("query_id", "chunk_id", F.col("rank").alias("new_rank"), F.col("rrf_rank").alias("old_rank"))
     pool = new.join(gold(spark, sf_dir).select("query_id", F.col("filename").alias("chunk_id"), F.lit(True).alias("gold")), ["query_id", "chunk_id"], "left").na.fill(False, ["gold"])
     return evaluate.rerank_shadow(pool, 1)

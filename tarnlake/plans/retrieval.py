@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake import storage
 from tarnlake.functions import text as T
 from tarnlake.operators import merging, retrieval
 from tarnlake.plans import corpus
@@ -39,7 +40,7 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_topk", with_(DOC_CORPUS, QUESTIONS, bm25_sql("corpus", "asked", "hits", 10)) + "SELECT query_id, rank, chunk_id, score FROM hits")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(documents_as_chunks(spark, sf_dir), questions(spark, sf_dir), 10).select("query_id", "rank", "chunk_id", "score")
+    return retrieval.search(corpus.index(spark, sf_dir, "documents"), questions(spark, sf_dir), 10).select("query_id", "rank", "chunk_id", "score")
 
 
 DENSE_SQL = """
@@ -64,7 +65,7 @@ SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTIT
 """)
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = vector_questions(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id", "left")
-    return retrieval.retrieve("hybrid", documents_as_chunks(spark, sf_dir), vectors(spark, sf_dir), asked, 8).select("query_id", "rank", "chunk_id", "score")
+    return retrieval.retrieve("hybrid", corpus.index(spark, sf_dir, "documents"), vectors(spark, sf_dir), asked, 8).select("query_id", "rank", "chunk_id", "score")
 
 
 @query("retrieval_filters", with_(LEAF) + "SELECT chunk_id, filename FROM leaf WHERE filename IN ('doc_1.md', 'doc_7.md', 'doc_31.md')")
@@ -94,12 +95,13 @@ def _merged(df: DataFrame) -> DataFrame:
 @query("auto_merge_l3_l2", with_(TWO_STEPS) + f"SELECT {MERGED} FROM one")
 def auto_merge_l3_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus.candidates(spark, sf_dir).withColumn("merged_child_count", F.lit(None).cast("long"))
-    return _merged(merging.merge_parents(c, corpus.parent_ids(spark, sf_dir)))
+    return _merged(merging.merge_parents(c, corpus.parent_ids(spark, sf_dir, corpus.files_of(c))))
 
 
 @query("auto_merge_two_pass", with_(TWO_STEPS) + f"SELECT {MERGED} FROM two")
 def auto_merge_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(merging.auto_merge(corpus.candidates(spark, sf_dir), corpus.parent_ids(spark, sf_dir)))
+    c = corpus.candidates(spark, sf_dir)
+    return _merged(merging.auto_merge(c, corpus.parent_ids(spark, sf_dir, corpus.files_of(c))))
 
 
 @query("auto_merge_meta", with_(TWO_STEPS) + """
@@ -110,7 +112,8 @@ SELECT query_id, pre, post, (coalesce(g1.g, 0) + coalesce(g2.g, 0))::BIGINT AS r
 FROM pre JOIN post USING (query_id) LEFT JOIN g1 USING (query_id) LEFT JOIN g2 USING (query_id)
 """)
 def auto_merge_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.auto_merge_meta(corpus.candidates(spark, sf_dir), corpus.parent_ids(spark, sf_dir))
+    c = corpus.candidates(spark, sf_dir)
+    return merging.auto_merge_meta(c, corpus.parent_ids(spark, sf_dir, corpus.files_of(c)))
 
 
 ADJACENT = CANDIDATES + """,
@@ -125,7 +128,8 @@ SELECT query_id, rank::INT AS rank, chunk_id, score, false AS adjacent_added FRO
 SELECT query_id, (last + row_number() OVER (PARTITION BY query_id ORDER BY first))::INT, chunk_id, NULL, true FROM fresh JOIN (SELECT query_id, max(rank) AS last FROM cand GROUP BY 1) USING (query_id)
 """)
 def adjacent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.expand_neighbours(corpus.candidates(spark, sf_dir), corpus.leaves(spark, sf_dir)).select("query_id", "rank", "chunk_id", "score", "adjacent_added")
+    c = corpus.candidates(spark, sf_dir)
+    return merging.expand_neighbours(c, corpus.leaves(spark, sf_dir, files=corpus.files_of(c))).select("query_id", "rank", "chunk_id", "score", "adjacent_added")
 
 
 @query("adjacent_meta", with_(ADJACENT) + """
@@ -134,7 +138,8 @@ SELECT query_id, 0::BIGINT AS not_leaf, 0::BIGINT AS unparseable, r AS requested
 LEFT JOIN (SELECT query_id, count(*) AS p FROM ids JOIN cand USING (query_id, chunk_id) GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS a FROM fresh GROUP BY 1) USING (query_id)
 """)
 def adjacent_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.neighbour_meta(corpus.candidates(spark, sf_dir), corpus.leaves(spark, sf_dir))
+    c = corpus.candidates(spark, sf_dir)
+    return merging.neighbour_meta(c, corpus.leaves(spark, sf_dir, files=corpus.files_of(c)))
 
 
 FUSED = LEAF + "," + QUESTIONS + "," + REWRITES + "," + bm25_sql("leaf", "asked", "h1", 24) + "," + bm25_sql("leaf", "rewritten", "h2", 24) + """,
@@ -163,8 +168,10 @@ def fusion_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = merging.auto_merge(corpus.candidates(spark, sf_dir), corpus.parent_ids(spark, sf_dir))
-    return merging.rerank(merged, questions(spark, sf_dir), corpus.texts(spark, sf_dir), 8)
+    c = corpus.candidates(spark, sf_dir)
+    files = corpus.files_of(c)
+    merged = merging.auto_merge(c, corpus.parent_ids(spark, sf_dir, files))
+    return merging.rerank(merged, questions(spark, sf_dir), corpus.texts(spark, sf_dir, files), 8)
 
 
 @query("rerank_overlap", with_(RERANKED) + "SELECT query_id, rank, rrf_rank, chunk_id, rerank_score FROM reranked")
@@ -183,7 +190,8 @@ SELECT query_id, n AS candidate_count, coalesce(m, 0) AS final_count, best AS be
 """)
 def finalize_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus.candidates(spark, sf_dir)
-    final = merging.finalise(c, corpus.parent_ids(spark, sf_dir), questions(spark, sf_dir), corpus.texts(spark, sf_dir), 8, 0.1)
+    files = corpus.files_of(c)
+    final = merging.finalise(c, corpus.parent_ids(spark, sf_dir, files), questions(spark, sf_dir), corpus.texts(spark, sf_dir, files), 8, 0.1)
     return merging.finalise_meta(c, final)
 
 
@@ -198,9 +206,10 @@ stage AS (
 
 def candidate_stage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each list feeds several stages; they are small (a few rows per question)
-    c = corpus.candidates(spark, sf_dir).persist()
-    merged = merging.auto_merge(c, corpus.parent_ids(spark, sf_dir)).persist()
-    ranked = merging.rerank(merged, questions(spark, sf_dir), corpus.texts(spark, sf_dir), 8).persist()
+    c = corpus.candidates(spark, sf_dir)
+    files = corpus.files_of(c)
+    merged = storage.stored(spark, merging.auto_merge(c, corpus.parent_ids(spark, sf_dir, files)), "merged")
+    ranked = storage.stored(spark, merging.rerank(merged, questions(spark, sf_dir), corpus.texts(spark, sf_dir, files), 8), "reranked")
     final = retrieval.above(ranked, 0.1)
     return merging.stages(recalled=c, merged=merged, rerank_input=merged, reranked=ranked, not_returned=merging.lost(merged, ranked), threshold_rejected=merging.lost(ranked, final), final=retrieval.renumbered(final))
 
@@ -242,9 +251,11 @@ SELECT query_id, rank, chunk_id, chunk_level, score, filename, string_agg('[' ||
 """)
 def flagship_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates, parent recovery, top 8 by score, threshold, context string (RT-02, RT-07, RT-09, FL-03, TX-24)."""
-    merged = merging.auto_merge(corpus.candidates(spark, sf_dir), corpus.parent_ids(spark, sf_dir))
+    c = corpus.candidates(spark, sf_dir)
+    files = corpus.files_of(c)
+    merged = merging.auto_merge(c, corpus.parent_ids(spark, sf_dir, files))
     top = retrieval.above(retrieval.by_score(merged).filter("rank <= 8"), 0.0)
-    full = top.select("query_id", "rank", "chunk_id", "chunk_level", "score", "filename").join(corpus.texts(spark, sf_dir), "chunk_id")
+    full = top.select("query_id", "rank", "chunk_id", "chunk_level", "score", "filename").join(corpus.texts(spark, sf_dir, files), "chunk_id")
     entry = T.context_entry(F.col("rank"), F.col("filename"), F.lit(0), F.col("text"))
     context = full.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))), lambda s: s["e"]), T.CONTEXT_JOINT).alias("context"))
     return full.select("query_id", "rank", "chunk_id", "chunk_level", "score", "filename").join(context, "query_id")

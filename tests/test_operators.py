@@ -35,7 +35,14 @@ def test_modes(spark):
     asked = spark.createDataFrame([(1, "x", [0.0, 1.0])], "query_id int, text string, qvec array<double>")
     both = retrieval.retrieve("hybrid", chunks, vectors, asked, 2)
     assert {r.chunk_id for r in both.collect()} == {"a", "b"}
-    assert retrieval.retrieve("hybrid", chunks, None, asked, 2).first().retrieval_mode == "bm25_fallback"
+    assert both.first().retrieval_error is None
+    fallback = retrieval.retrieve("hybrid", chunks, None, asked, 2).collect()
+    assert [(r.chunk_id, r.retrieval_mode) for r in fallback] == [("a", "bm25_fallback")] and fallback[0].retrieval_error.startswith("dense: ")
+    fallback = retrieval.retrieve("hybrid", chunks.drop("text"), vectors, asked, 1).collect()
+    assert [(r.chunk_id, r.retrieval_mode) for r in fallback] == [("b", "dense_fallback")] and fallback[0].retrieval_error.startswith("bm25: ")
+    for mode in ("hybrid", "dense"):
+        r = retrieval.retrieve(mode, None, None, asked, 2).first()
+        assert (r.query_id, r.chunk_id, r.retrieval_mode) == (1, None, "failed") and r.retrieval_error.startswith(mode)
     with pytest.raises(ValueError):
         retrieval.retrieve("other", chunks, vectors, asked, 2)
 
@@ -95,8 +102,11 @@ def test_lookups(spark):
 def test_routes(spark):
     row = spark.createDataFrame([(True, "strong", "sufficient", "none", "answer", False, 0)], "d boolean, r string, a string, m string, w string, s boolean, n int")
     assert row.select(routing.route(*[F.col(c) for c in row.columns]).alias("x")).first().x == "answer"
-    assert row.select(routing.tool_output(F.lit("no_knowledge"), F.lit("c"), F.lit(None)).alias("x")).first().x == "NO_KNOWLEDGE"
-    assert row.select(routing.refined_question(F.lit("q"), F.lit(" b ")).alias("x")).first().x == "q (b)"
+    told = lambda *a: row.select(routing.tool_output(*[F.lit(x) for x in a[:-1]], F.array(*[F.lit(x) for x in a[-1]])).alias("x")).first().x
+    assert told("no_knowledge", None, "c", None, []).startswith("NO_KNOWLEDGE: No reliable")
+    assert told("answerable", "clarify", "c", "", []).startswith("NEEDS_CLARIFICATION: I found related") and told(None, "scope_select", "c", "which?", ["a", "b"]) == "NEEDS_SCOPE_SELECTION: which?\nOptions: a; b"
+    assert told("answerable", "answer", "", None, []).startswith("No relevant") and told("partial", "answer", "[1] x", None, []) == "Retrieved Chunks:\n[1] x"
+    assert row.select(routing.refined_question(F.lit("q"), F.lit(" b ")).alias("x")).first().x == "b：q"
 
 
 def test_metrics_of_nothing_are_null(spark):
@@ -141,10 +151,12 @@ def test_tables(spark, tmp_path):
     df.withColumn("corpus_run_id", F.lit("r1")).write.partitionBy("corpus_run_id").parquet(f"{tmp_path}/runs")
     assert tables.drop_run(spark, f"{tmp_path}/runs", "r1") and not tables.drop_run(spark, f"{tmp_path}/runs", "r1") and not tables.drop_run(spark, f"{tmp_path}/runs", "../x")
     chunks = spark.createDataFrame([("a", "one two"), ("b", "two")], "chunk_id string, text string")
-    tables.create_tables(chunks, f"{tmp_path}/index", 4)
-    asked = spark.createDataFrame([(1, "two")], "query_id int, text string")
-    stored = spark.read.parquet(f"{tmp_path}/index/postings").drop("bucket")
-    assert [r.chunk_id for r in retrieval.bm25(chunks, asked, 5, stored).orderBy("rank").collect()] == ["b", "a"]
+    tables.create_tables(chunks, f"{tmp_path}/tables")
+    asked = spark.createDataFrame([(1, "two"), (2, "none"), (3, None), (4, "ONE one")], "query_id int, text string")
+    index = retrieval.open_index(spark, f"{tmp_path}/tables/index")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    assert key(retrieval.search(index, asked, 5)) == key(retrieval.bm25(chunks, asked, 5))
+    assert [x[2] for x in key(retrieval.search(index, asked, 5))] == ["b", "a", "a"] and len(key(retrieval.search(index, asked, 1))) == 2
 
 
 def test_readers(spark, tmp_path):
