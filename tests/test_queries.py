@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 
 import duckdb
 import pytest
 
-from tarnlake.functions import html
 from tarnlake.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -48,21 +46,6 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def plain_sections(text, title):
-    parts = [x for x in re.split(r"(?m)^(?=## .+$)", text) if x.strip(" ")]
-    if len(parts) == 1:
-        return [(1, (f"[{title}]\n\n" if title else "") + parts[0].strip(" \n"))]
-    names = [m[1] if (m := re.match("## (.+)", x)) else title for x in parts]
-    return [(k + 1, f"[章节: {n}]\n\n" + x.strip(" \n")) for k, (n, x) in enumerate(zip(names, parts, strict=True))]
-
-
-def test_sections_of_pages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
-    want = [(p.page_id, k, x) for p in pages for k, x in plain_sections(*html.linearise(p.html))]
-    got = [(r.page_id, r.page_number, r.section) for r in QUERIES["html_page_sections"](spark, SF).collect()]
-    assert sorted(got) == sorted(want) and len({p for p, _, _ in got}) > 3
-
-
 def test_entry(spark):
     import __spark_entry__
 

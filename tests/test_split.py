@@ -96,6 +96,6 @@ def test_sanitize():
 def test_html():
     page = "<html><head><title> A  title </title><style>no</style></head><body><nav><p>menu</p></nav><main><h2>Top</h2><p>One<br>two &amp; three " + "word " * 40 + "</p><ul><li>item</ul><script>bad()</script></main></body></html>"
     text, title = html.linearise(page)
-    assert title == "A title" and text.startswith("## Top\n\nOne\ntwo & three") and text.endswith("item") and "menu" not in text and "bad" not in text
+    assert title == "A  title" and text.startswith("## Top\n\nOne two & three") and text.endswith("item") and "menu" not in text and "bad" not in text
     assert html.linearise("<p>tiny</p>")[0] == "tiny" and html.linearise(None) == ("", "")
     assert html.decode("<meta charset=gbk>页".encode("gbk")) == "<meta charset=gbk>页" and html.decode(b"\xef\xbb\xbfx") == "x" and html.decode("é".encode()) == "é" and html.decode("中文".encode("gb18030")) == "中文"
