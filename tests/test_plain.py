@@ -221,7 +221,7 @@ def test_structured_chunks(spark):
         assert [links[i] for i in ids] == list(zip(["", *ids[:-1]], [*ids[1:], ""], strict=True))
 
 
-RICH = "lead\n\n# One #\n\ntext a.\n\n- x\n- y\n  z\n\n- after a blank\n\n    deep\nnot in the list\n## Two\n\n|a|b|\n|--|:-:|\n" + "|1|2|\n" * 300 + "\n~~~~ sh\n# no heading\n~~~\n" + "run it\n" * 200 + "~~~~\n#### Deep\n" + "- entry of a list\n" * 80 + "\n" + "A sentence; with parts, and more. " * 90 + "\n\n" + "x" * 1900 + "\n##### five is text\n#no heading\n# Three\n1) first\n2. second\n```\nunclosed\n# in code\n"
+RICH = "lead\n\n# One #\n\ntext a.\n\n- x\n- y\n  z\n\n- after a blank\n\n    deep\nnot in the list\n## Two\n\n|a|b|\n|--|:--:|\n" + "|1|2|\n" * 300 + "\n~~~~ sh\n# no heading\n~~~\n" + "run it\n" * 200 + "~~~~\n#### Deep\n" + "- entry of a list\n" * 80 + "\n" + "A sentence; with parts, and more. " * 90 + "\n\n" + "x" * 1900 + "\n##### five is text\n#no heading\n# Three\n1) first\n2. second\n```\nunclosed\n# in code\n"
 
 
 def test_structured_blocks_of_every_kind():
