@@ -10,8 +10,8 @@ Targets: the mix has ``budget`` times the corpus's words; sources share it by we
 weight))`` meets the budget, a source's target is ``min(cap * size, x * weight)``; x is found by one pass over the
 sources in order of ``cap * size / weight``.
 
-Running totals within a source are taken in two steps (totals of hash buckets, then inside each bucket), so that a
-source that holds a third of all rows is spread over many tasks.
+Running totals within a source are taken in steps (totals of hash buckets, by thousands of buckets first, then inside
+each bucket), so that a source that holds a third of all rows is spread over many tasks.
 
 Defined cases: a null source is a source of its own, last in order; a null or empty text has size 0, is taken 0 words
 and has a null position; repeated rows count each for itself; ties in the seeded order fall to ``doc_id``; an empty
@@ -25,13 +25,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, sums_before
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Knots (time, factor) of the curricula that sources follow in turn: early, even, late. A factor scales the weight.
 CURRICULA = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
 #: Rows that share a source and a hash bucket, about.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 
 
 def _literal(curricula: Sequence) -> Column:
@@ -82,9 +82,8 @@ def mix_plan(spark: SparkSession, docs: DataFrame, *, weights: Sequence[float] =
     sized = docs.select("doc_id", *keep, skey.alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("mark"))
     sized = sized.withColumn("part", F.pmod("mark", F.lit(n)))
     parts = checkpointed(spark, sized.groupBy("skey", "part").agg(F.sum("size").alias("part_size")))
-    before = F.sum("part_size").over(Window.partitionBy("skey").orderBy("part")) - F.col("part_size")
     targets = source_targets(parts.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, budget, cap)
-    placed = parts.select("skey", "part", before.alias("before")).join(targets, "skey")
+    placed = sums_before(parts, "part", "part_size", by="skey").select("skey", "part", "before").join(targets, "skey")
     inside = F.sum("size").over(Window.partitionBy("skey", "part").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     out = sized.withColumn("inside", F.coalesce(inside, F.lit(0))).join(placed, ["skey", "part"])
     begin = F.col("before") + F.col("inside")

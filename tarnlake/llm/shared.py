@@ -106,16 +106,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def sums_before(totals: DataFrame, key: str, value: str, *, span: int = 4096) -> DataFrame:
-    """``totals`` (one row per whole-number ``key``) with ``before``: the sum of ``value`` over all smaller keys.
+def sums_before(totals: DataFrame, key: str, value: str, *, by: str | None = None, span: int = 4096) -> DataFrame:
+    """``totals`` (one row per whole-number ``key``, or per ``by`` and ``key``) with ``before``: the sum of ``value`` over all smaller keys.
 
     Sums of ``span`` keys are added up first, so that no task sorts more than ``span`` rows or a row per ``span`` keys.
     """
+    group = [by] if by else []
     cells = totals.withColumn("__cell", F.floor(F.col(key) / span))
-    over = cells.groupBy("__cell").agg(F.sum(value).alias("__all"))
-    over = over.select("__cell", (F.sum("__all").over(Window.orderBy("__cell")) - F.col("__all")).alias("__earlier"))
-    inside = F.sum(value).over(Window.partitionBy("__cell").orderBy(key)) - F.col(value)
-    return cells.withColumn("before", inside).join(over, "__cell").withColumn("before", F.col("before") + F.col("__earlier")).drop("__cell", "__earlier")
+    over = cells.groupBy(*group, "__cell").agg(F.sum(value).alias("__all"))
+    over = over.select(*group, "__cell", (F.sum("__all").over(Window.partitionBy(*group).orderBy("__cell")) - F.col("__all")).alias("__earlier"))
+    inside = F.sum(value).over(Window.partitionBy(*group, "__cell").orderBy(key)) - F.col(value)
+    return cells.withColumn("before", inside).join(over, [*group, "__cell"]).withColumn("before", F.col("before") + F.col("__earlier")).drop("__cell", "__earlier")
 
 
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
