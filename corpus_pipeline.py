@@ -67,7 +67,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # a smaller memo than alone: workers of the stages before still hold memory
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_bytes=24 << 20)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_bytes=96 << 20)
 
 
 STAGES = [
