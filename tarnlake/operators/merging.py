@@ -14,18 +14,26 @@ from tarnlake.operators.retrieval import above, by_score, effective_score, renum
 def merge_parents(candidates: DataFrame, parents: DataFrame, threshold: int = 2) -> DataFrame:
     """RT-06: a stored parent with enough candidates takes their place, at the first one's rank and with their best score.
 
-    A parent that is not stored leaves its children as they are.
+    A parent that is not stored leaves its children as they are. RT-08: from the first child on that a reranker scored, children
+    add their effective score to the reranked one, those before it to the plain score.
     """
     own = F.coalesce(blank_to_null(F.col("parent_chunk_id")), F.concat(F.lit("\x00"), "chunk_id"))
-    kids = candidates.withColumn("__parent", own).withColumn("__n", F.count("*").over(Window.partitionBy("query_id", own)))
+    family = Window.partitionBy("query_id", own)
+    kids = candidates.withColumn("__parent", own).withColumn("__n", F.count("*").over(family)).withColumn("__p", F.min(F.when(F.col("rerank_score").isNotNull(), F.col("rank"))).over(family))
     store = parents.select(F.col("chunk_id").alias("__parent"), F.struct("chunk_id", "parent_chunk_id", "chunk_level", "filename").alias("__new"))
     kids = kids.join(store, "__parent", "left").withColumn("__merge", F.col("__new").isNotNull() & (F.col("__n") >= threshold))
     stay = kids.filter(~F.col("__merge")).select("query_id", "rank", "chunk_id", "parent_chunk_id", "chunk_level", "filename", "score", "rerank_score", "merged_child_count")
-    up = kids.filter("__merge").groupBy("query_id", "__parent").agg(F.min("rank").alias("rank"), F.first("__new").alias("new"), F.max("score").alias("score"), F.max("rerank_score").alias("rerank_score"), F.count("*").alias("merged_child_count"))
+    up = kids.filter("__merge").groupBy("query_id", "__parent").agg(F.min("rank").alias("rank"), F.first("__new").alias("new"), *_best_scores(), F.count("*").alias("merged_child_count"))
     up = up.select("query_id", "rank", "new.chunk_id", "new.parent_chunk_id", "new.chunk_level", "new.filename", "score", "rerank_score", "merged_child_count")
     return renumbered(stay.unionByName(up))
 
 
+def _best_scores() -> list[Column]:
+    """RT-08 over rows with ``__p``, the first reranked place of their group."""
+    after = F.col("rank") >= F.col("__p")
+    return [F.max(F.when(~F.coalesce(after, F.lit(False)), F.col("score"))).alias("score"), F.max(F.when(after, effective_score())).alias("rerank_score")]
+
+
 def auto_merge(candidates: DataFrame, parents: DataFrame, threshold: int = 2) -> DataFrame:
     """RT-07: leaves to their parents, those to theirs."""
     ready = candidates if "merged_child_count" in candidates.columns else candidates.withColumn("merged_child_count", F.lit(None).cast("long"))
@@ -83,12 +91,19 @@ def candidate_key(candidates: DataFrame) -> Column:
 
 
 def deduplicate(candidates: DataFrame) -> DataFrame:
-    """RT-12: one candidate per key, at its first position with the first one's columns and the best scores."""
+    """RT-12: one candidate per key, at its first position with the first one's columns and the best scores.
+
+    RT-08: once one of them was reranked, the others' effective scores count there; the first keeps its plain score.
+    """
     rest = [c for c in candidates.columns if c not in ("query_id", "rank", "score", "rerank_score")]
-    keyed = candidates.withColumn("__key", candidate_key(candidates))
-    scores = [F.max(c).alias(c) for c in ("score", "rerank_score") if c in candidates.columns]
-    best = keyed.groupBy("query_id", "__key").agg(F.min("rank").alias("rank"), F.min_by(F.struct(*rest), "rank").alias("s"), *scores)
-    out = renumbered(best.select("query_id", "rank", "s.*", *[c for c in ("score", "rerank_score") if c in candidates.columns]))
+    has = [c for c in ("score", "rerank_score") if c in candidates.columns]
+    full = candidates if "rerank_score" in has else candidates.withColumn("rerank_score", F.lit(None).cast("double"))
+    full = full if "score" in has else full.withColumn("score", F.lit(None).cast("double"))
+    same = Window.partitionBy("query_id", "__key")
+    keyed = full.withColumn("__key", candidate_key(candidates)).withColumn("__p", F.min(F.when(F.col("rerank_score").isNotNull(), F.col("rank"))).over(same))
+    score, reranked = _best_scores()
+    best = keyed.groupBy("query_id", "__key").agg(F.min("rank").alias("rank"), F.min_by(F.struct(*rest), "rank").alias("s"), F.min_by("score", "rank").alias("own"), score, reranked)
+    out = renumbered(best.select("query_id", "rank", "s.*", F.greatest("score", "own").alias("score"), "rerank_score"))
     return out.select(*candidates.columns)
 
 

@@ -258,3 +258,12 @@ def test_dense_in_blocks(spark, monkeypatch):
 def test_candidates_without_ids(spark):
     c = spark.createDataFrame([(1, 1, None, "f", 1, "t", 0.1), (1, 2, " ", "f", 1, "t", 0.7), (1, 3, "", "f", 2, "t", 0.2), (1, 4, "x", "g", 1, "u", None)], "query_id int, rank int, chunk_id string, filename string, page_number int, text string, score double")
     assert [(r["rank"], r.filename, r.page_number, r.score) for r in merging.deduplicate(c).orderBy("rank").collect()] == [(1, "f", 1, 0.7), (2, "f", 2, 0.2), (3, "g", 1, None)]
+
+
+def test_scores_of_merged_candidates(spark):
+    schema = "query_id int, rank int, chunk_id string, parent_chunk_id string, chunk_level int, filename string, score double, rerank_score double"
+    c = spark.createDataFrame([(1, 1, "a", "p", 3, "f", 0.9, None), (1, 2, "b", "p", 3, "f", 0.2, 0.3), (1, 3, "c", "p", 3, "f", 0.8, None), (2, 1, "a", "p", 3, "f", 0.9, 0.1), (2, 2, "b", "p", 3, "f", None, None), (3, 1, "a", "p", 3, "f", None, None), (3, 2, "b", "p", 3, "f", 0.4, None)], schema)
+    parents = spark.createDataFrame([("p", "", 2, "f")], "chunk_id string, parent_chunk_id string, chunk_level int, filename string")
+    assert {r.query_id: (r.score, r.rerank_score) for r in merging.auto_merge(c, parents).collect()} == {1: (0.9, 0.8), 2: (None, 0.1), 3: (0.4, None)}
+    same = c.withColumn("chunk_id", F.lit("a"))
+    assert {r.query_id: (r.score, r.rerank_score) for r in merging.deduplicate(same).collect()} == {1: (0.9, 0.8), 2: (0.9, 0.1), 3: (0.4, None)}
