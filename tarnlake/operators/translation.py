@@ -39,3 +39,26 @@ def masked(text: Column) -> Column:
 def segments(texts):
     """TX-25."""
     return texts.map(lambda t: split.translation_segments(t or ""))
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("lost", T.ArrayType(T.StringType()))]))
+def _restored(texts, held):
+    import json
+
+    import pandas as pd
+
+    found = [split.unmask(t or "", json.loads(h) if h else {}) for t, h in zip(texts, held, strict=True)]
+    return pd.DataFrame({"text": [t for t, _ in found], "lost": [g for _, g in found]})
+
+
+def restored(text: Column, held: Column) -> Column:
+    """TX-27: struct ``text, lost``: a masked text with its parts (``held``, as JSON) back, and placeholders that it lost."""
+    return _restored(text, held)
+
+
+@F.pandas_udf(T.StringType())
+def first_json(texts):
+    """TX-28: the first JSON object of a text, written compactly; ``{}`` without one."""
+    import json
+
+    return texts.map(lambda t: json.dumps(split.first_json_object(t or ""), separators=(",", ":"), ensure_ascii=False))

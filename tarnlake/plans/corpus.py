@@ -15,7 +15,15 @@ PER_BLOCK = 4
 def leaves(spark: SparkSession, sf_dir: str, per_block: int = PER_BLOCK, files: DataFrame | None = None) -> DataFrame:
     """Leaves of all documents, or of the files in ``files``, the others being left out before their texts are cut."""
     named = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), "text")
-    named = named if files is None else named.join(files, "filename", "left_semi")
+    return _cut(named if files is None else named.join(files, "filename", "left_semi"), per_block)
+
+
+def leaves_of(docs: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
+    """Leaves of the given ``doc_id, text`` rows."""
+    return _cut(docs.select("doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), "text"), per_block)
+
+
+def _cut(named: DataFrame, per_block: int) -> DataFrame:
     docs = named.select("doc_id", "filename", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("t"))
     lines = docs.select("doc_id", "filename", F.posexplode("t").alias("l3", "text"))
     name = lambda level, i: F.concat("filename", F.lit(f"::p0::l{level}::"), i.cast("string"))

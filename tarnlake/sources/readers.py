@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ def _html_text(data: pd.Series) -> pd.Series:
     return data.map(lambda b: html.decode(bytes(b)), na_action="ignore")
 
 
+def decoded(content: Column) -> Column:
+    """SRC-02: text of a page's bytes."""
+    return _html_text(content)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """SRC-01: whole files, a leading byte order mark off."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)

@@ -41,14 +41,14 @@ def step_clock(steps: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.sort_values("seq").itertuples():
-                now = int(r.ts.timestamp() * 1000)
+                now = r.ts.value // 1000  # microseconds
                 first = now if first is None else first
                 last = now if last is None else last
-                out.append((key[0], r.seq, max(0, now - first), max(0, now - last)))
+                out.append((key[0], r.seq, max(0, now - first) // 1000, max(0, now - last) // 1000))
                 last = now
             yield pd.DataFrame(out, columns=["request_id", "seq", "elapsed_ms", "stage_elapsed_ms"])
         state.update((first, last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
 
     kind = dict(steps.dtypes)["request_id"]
     return steps.withWatermark("ts", "10 minutes").groupBy("request_id").applyInPandasWithState(clock, f"request_id {kind}, seq long, elapsed_ms long, stage_elapsed_ms long", "first long, last long", "append", "EventTimeTimeout")

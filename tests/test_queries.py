@@ -10,7 +10,7 @@ import pytest
 from tarnlake.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "lineitem documents embeddings pages benchmark labels conversations events".split()
 
 
 def plain(v):
