@@ -59,6 +59,15 @@ def embed(text: Column, model: Callable[[], Callable[[list[str]], list[list[floa
     return run(text)
 
 
+def grade(best: Column, ambiguity: Column) -> Column:
+    """UD-03: what a grader says, by thresholds on the best candidate's score; the fields that routing reads."""
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.when(best > 60, "strong").when(best > 20, "weak").otherwise("none").alias("relevance"), F.when(best > 80, "sufficient").when(best > 40, "partial").otherwise("none").alias("answerability"),
+        ambiguity.alias("ambiguity"), F.lit("answer").alias("route"), F.lit(0.5).alias("confidence"), F.lit("by score").alias("reason"), none.alias("missing_slots"), F.lit("").alias("hitl_prompt"), none.alias("hitl_options"),
+    )
+
+
 def split_question(question: Column) -> Column:
     """UD-04: two to four sub-questions at conjunctions, or none."""
     parts = F.filter(F.transform(F.split(question, r"(?i)\s+and\s+|[;；、]|以及|和"), lambda x: F.trim(x)), lambda x: x != "")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake import storage
+from tarnlake.functions import models
 from tarnlake.operators import evaluate, merging, retrieval, routing
 from tarnlake.plans import corpus
 from tarnlake.plans.registry import CANDIDATES, QUESTIONS, bm25_sql, query, questions, table, with_
@@ -101,14 +102,11 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every fifth question found nothing, and of some the grader failed.
     """
-    i, b = F.col("query_id"), F.col("best")
+    i = F.col("query_id")
     best = corpus.candidates(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("docs"), F.max("score").alias("best"))
     text = lambda *parts: F.concat(*parts)
-    grade = F.struct(
-        F.when(b > 60, "strong").when(b > 20, "weak").otherwise("none").alias("relevance"), F.when(b > 80, "sufficient").when(b > 40, "partial").otherwise("none").alias("answerability"),
-        F.when(i % 7 == 0, "missing_slot").when(i % 7 == 1, "multiple_candidates").otherwise("none").alias("ambiguity"), F.lit("answer").alias("route"), F.lit(0.5).alias("confidence"), F.lit("by score").alias("reason"),
-        F.when(i % 14 == 0, F.array(F.lit("year"), F.lit("plan"))).otherwise(F.array().cast("array<string>")).alias("missing_slots"), F.lit("").alias("hitl_prompt"), F.array().cast("array<string>").alias("hitl_options"),
-    )
+    grade = models.grade(F.col("best"), F.when(i % 7 == 0, "missing_slot").when(i % 7 == 1, "multiple_candidates").otherwise("none"))
+    grade = grade.withField("missing_slots", F.when(i % 14 == 0, F.array(F.lit("year"), F.lit("plan"))).otherwise(F.array().cast("array<string>")))
     none = i % 5 == 4
     docs = F.when(none, F.slice("docs", 1, 0)).otherwise(F.col("docs"))
     return best.select("query_id", docs.alias("docs"), F.when(none, "").otherwise(text(F.lit("context of "), i.cast("string"))).alias("context"), F.when(i % 11 != 3, grade).cast(routing.GRADE).alias("grade"), F.lit(False).alias("sub_agent"), F.lit(0).alias("rewrites"))
@@ -202,7 +200,7 @@ GOLD_SQL = "gold AS (SELECT b.item_id AS query_id, 'd' || d.doc_id AS filename,
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages are few (their number is checked) and are held against every document in one pass."""
-    asked = retrieval.small(questions(spark, sf_dir).withColumnRenamed("text", "passage"))
+    asked = retrieval.small(questions(spark, sf_dir).withColumnRenamed("text", "passage"), width=4096)
     return table(spark, sf_dir, "documents").join(asked, F.contains("text", "passage")).select("query_id", F.concat(F.lit("d"), "doc_id").alias("filename"), "doc_id", "lang")
 
 

@@ -13,7 +13,7 @@ from tarnlake.plans.registry import CANDIDATES, CHUNKS, LEAF, QUESTIONS, TOKEN_S
 
 DOC_CORPUS = "corpus AS (SELECT 'd' || doc_id AS chunk_id, text FROM documents)"
 TWO_STEPS = CANDIDATES + "," + merge_sql("cand", "one") + "," + merge_sql("one", "two")
-#: Half of a question's tokens, as a second way of asking.
+#: A question's first eight tokens, as a second way of asking: the stand-in for a rewriting model.
 REWRITES = f"rewritten AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), {TOKEN_SQL}), 1, 8), ' ') AS text FROM benchmark)"
 JACCARD = f"""
 round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), {TOKEN_SQL})), list_distinct(regexp_extract_all(lower(t.text), {TOKEN_SQL})))) /
@@ -155,6 +155,7 @@ def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rewrite_fusion", with_(FUSED) + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank, chunk_id, score, CASE WHEN n = 2 THEN 'both' ELSE s END AS label FROM fused")
 def rewrite_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-14, RT-15: candidates of every question and of its rewriting, which is the question's first eight tokens here."""
     return merging.fuse_rewrites(corpus.candidates(spark, sf_dir), corpus.candidates(spark, sf_dir, asked=rewrites(spark, sf_dir)))
 
 
