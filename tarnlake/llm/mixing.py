@@ -15,7 +15,7 @@ each bucket), so that a source that holds a third of all rows is spread over man
 
 Defined cases: a null source is a source of its own, last in order; a null or empty text has size 0, is taken 0 words
 and has a null position; repeated rows count each for itself; ties in the seeded order fall to ``doc_id``; an empty
-table gives no rows; extra columns are kept by :func:`mix` and clashing ones are replaced by the operator's.
+table gives no rows; :func:`mix` keeps extra columns whatever their names, but for ``pass, words, position``, its own.
 """
 
 from __future__ import annotations
@@ -103,13 +103,16 @@ def mix_plan(spark: SparkSession, docs: DataFrame, *, weights: Sequence[float] =
 
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mixed stream: a row for each use of a document, sorted by training ``position``; a cut use ends after its last word."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken", "uses", "pass", "words", "position")]
-    plan = mix_plan(spark, docs, keep=columns, **how)
-    uses = plan.select("doc_id", *columns, "size", F.explode("uses").alias("use"))
+    columns = [c for c in docs.columns if c not in ("pass", "words", "position")]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    plan = mix_plan(spark, docs.select("doc_id", "source", "text", row), keep=["text", "row"], **how)
+    uses = plan.select("doc_id", "text", "row", "size", F.explode("uses").alias("use"))
     whole = F.col("use.words") >= F.col("size")
     # the text up to the end of its last word taken, with its own white space: what a split that stops there leaves goes
     n = F.col("use.words").cast("int") + F.when(F.col("text").rlike(r"\A[\x20\x09-\x0D]"), 2).otherwise(1)
     rest = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", n), -1)
     cut = F.regexp_replace(F.left("text", F.length("text") - F.length(rest)), r"[\x20\x09-\x0D]+\z", "")
-    uses = uses.withColumn("text", F.when(whole, F.col("text")).otherwise(cut)).select(*docs.select("doc_id", *columns).columns, F.col("use.pass").alias("pass"), F.col("use.words").alias("words"), F.col("use.position").alias("position"))
-    return uses.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    stream = uses.select("doc_id", text.alias("text"), "row", F.col("use.pass").alias("pass"), F.col("use.words").alias("words"), F.col("use.position").alias("position"))
+    ordered = stream.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return ordered.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in columns], "pass", "words", "position")

@@ -87,3 +87,51 @@ def test_language_stage(spark):
     assert kept >= {*range(50), 200} and not kept & {201, 202} and len(kept & set(range(100, 120))) <= 4
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, none, SF).collect()} == {i for i, *_ in rows} - {201, 202}
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ties, and columns with the stages' own names."""
+    own = " ".join(f"word{i % 97} and more" for i in range(40))
+    rows = [
+        (1, own, "en", "s", 9), (1, own, "en", "s", 9), (2, own, None, None, None), (None, own + " x", "en", "s", 1), (None, None, None, None, None), (3, "", "en", "t", 0), (4, None, "en", "t", None),
+        (5, "long text " * 60_000, "en", "t", 600_000), (6, "12 ☃ 34", None, "t", 8), (7, "menu\nown seven\n\n", "en", "s", 5), (8, "menu\nown seven\n\n", "en", "s", 5),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("lines", "dropped", "size", "position", "pass", "words", "rep", "band", "family", "row", "site", "gone", "lang_pred", "score", "kept", "mark", "part", "bucket", "target", "taken"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df.withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+
+
+def test_stages_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    out = {r.doc_id: r for r in stages["language id"](spark, docs, SF).collect()}
+    assert set(out) == {1, 2, 5, 7, 8, None}  # null, empty and letterless texts go
+    held = stages["language id"](spark, docs, SF)
+    assert held.count() == 7 and held.columns == [c for c in docs.columns]
+    lines = stages["line dedup"](spark, held, SF)
+    assert lines.count() == 7 and {r.doc_id: r.text for r in lines.collect() if r.doc_id == 7} == {7: "menu\nown seven\n\n"}
+    one = stages["minhash near-dedup"](spark, lines, SF)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect()) == [(False, 1), (False, 1), (False, 5), (False, 7), (True, 0)]  # rows of one id stay together, one without an id is a document of its own
+    mixed = stages["mixing"](spark, one, SF)
+    words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
+    assert set(mixed.columns) >= {"doc_id", "text", "lang", "source", "n_chars"} and 1.3 * words(one) < words(mixed) <= 1.6 * words(one)
+    packed = stages["packing"](spark, mixed, SF).collect()
+    assert {r.doc_id for r in packed} <= {1, 5, 7, None} and all(len(r.ids) == r.length for r in packed)
+
+
+def test_stages_on_empty_tables(spark):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = written(spark, out, "empty")
+
+
+def test_run_leaves_no_tables_of_its_own(spark):
+    from tarnlake.llm import shared
+
+    before = set(shared._WRITTEN)
+    corpus_pipeline.run(spark, SF)
+    left = [p.rsplit("/", 1)[-1] for p in shared._WRITTEN if p not in before]
+    assert len(left) == 1 and left[0].startswith("mixing-")
