@@ -4,8 +4,9 @@ Each letter owns a random vector of +1 and -1. A trigram's vector binds (multipl
 permuted twice, the second once; a text's vector bundles (adds) those of all its trigrams, and a language's prototype
 bundles its labelled texts. A text gets the language whose prototype has the largest cosine with its vector.
 
-Letters are folded to lower case; letters beyond a-z share a few vectors by code point; runs of other characters count
-as one gap. A text is counted per distinct trigram first, so bundling is one matrix product for a block of texts.
+Letters are folded to lower case; letters beyond a-z share a hundred vectors by code point, so that neighbouring letters of
+a script differ; runs of other characters count as one gap. A text is counted per distinct trigram first, so bundling is
+a matrix product for a block of texts, taken some trigrams at a time.
 Prototypes are fitted on about ``train_rows`` labelled texts (whole ones), shared out evenly among the languages; a rare one
 gives all it has, and none is asked for less than ``LEAST_ROWS``, so that many languages may exceed the bound by that
 number each. A seeded hash picks the texts; the rest of the work is one pass without a shuffle.
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 from .shared import released
 
 DIMENSIONS = 1024
-SYMBOLS = 40
+SYMBOLS = 128
 TRAIN_ROWS = 20_000
 #: Texts that a language gives at least, if it has so many.
 LEAST_ROWS = 20
 UNKNOWN = "und"
 _BLOCK = 64
+#: Trigrams whose vectors a worker remembers at most, and that a matrix product takes at a time.
+_KNOWN = 40_000
+_COLUMNS = 8_192
 
 
 def symbol_table() -> np.ndarray:
@@ -54,6 +58,8 @@ class Profiler:
         self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
         self.table = symbol_table()
         self.row = np.full(SYMBOLS**3, -1, np.int32)
+        self.used = np.zeros(SYMBOLS**3, bool)
+        self.place = np.zeros(SYMBOLS**3, np.int32)
         self.matrix = np.zeros((1024, dimensions), np.int8)
         self.known = 0
 
@@ -74,9 +80,7 @@ class Profiler:
         held[0] = True
         held[1:] |= s[:-1] != 0
         s = s[held].astype(np.int32)
-        found = np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
-        which = np.flatnonzero(found)
-        return which, found[which]
+        return np.unique((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], return_counts=True)
 
     def _rows(self, which: np.ndarray) -> np.ndarray:
         new = which[self.row[which] < 0]
@@ -93,17 +97,22 @@ class Profiler:
 
     def bundle(self, counted: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """A vector for each text."""
-        used = np.zeros(SYMBOLS**3, bool)
         for which, _ in counted:
-            used[which] = True
-        every = np.flatnonzero(used)
-        place = np.zeros(SYMBOLS**3, np.int32)
-        place[every] = np.arange(len(every))
+            self.used[which] = True
+        every = np.flatnonzero(self.used)
+        self.used[every] = False
+        self.place[every] = np.arange(len(every))
         block = np.zeros((len(counted), len(every)), np.float32)
         for k, (which, n) in enumerate(counted):
-            block[k, place[which]] = n
-        rows = self._rows(every)
-        return block @ self.matrix[rows].astype(np.float32)
+            block[k, self.place[which]] = n
+        out = np.zeros((len(counted), self.matrix.shape[1]), np.float32)
+        for at in range(0, len(every), _COLUMNS):
+            if self.known > _KNOWN:
+                self.row.fill(-1)
+                self.known = 0
+            rows = self._rows(every[at : at + _COLUMNS])
+            out += block[:, at : at + _COLUMNS] @ self.matrix[rows].astype(np.float32)
+        return out
 
 
 def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS, seed: int = 5) -> tuple[list[str], np.ndarray]:

@@ -775,3 +775,26 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, "abc abd", "x" if i % 2 else "y") for i in range(3000)] + [(5000 + i, "zzz zyz", "z") for i in range(4)]
     names, _ = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=100)
     assert names == ["x", "y", "z"]
+
+
+def test_languages_of_other_scripts(spark):
+    rng = np.random.default_rng(7)
+    pools = {"ru": "абвгдежзийклмнопрстуфхцчшщыьэюя", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "he": "אבגדהוזחטיכלמנסעפצקרשת", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "ja": "あいうえおかきくけこさしすせそたちつてと日本語", "zh": "的一是不了人我在有他这中大来上国个到说们"}
+    words = {k: ["".join(rng.choice(list(p), rng.integers(2, 7))) for _ in range(80)] for k, p in pools.items()}
+    rows = [(i, " ".join(rng.choice(words[k], 30)), k) for i, k in enumerate(list(pools) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, prototypes = langid.fit(df.filter(~langid.held_out()))
+    out = {r.doc_id: r.lang_pred for r in langid.classify(df, names, prototypes).filter(langid.held_out()).collect()}
+    truth = {i: k for i, _, k in rows}
+    assert len(out) > 50 and np.mean([truth[i] == p for i, p in out.items()]) >= 0.98
+
+
+def test_profiles_do_not_depend_on_what_was_met_before(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x400, 0x2000, 400))) for _ in range(30)]
+    first = langid.Profiler()
+    want = np.vstack([first.bundle([first.counts(t)]) for t in texts])
+    monkeypatch.setattr(langid, "_KNOWN", 500)
+    monkeypatch.setattr(langid, "_COLUMNS", 300)
+    second = langid.Profiler()
+    assert np.allclose(second.bundle([second.counts(t) for t in texts]), want)
