@@ -10,11 +10,11 @@ the threshold: as many bins a band as still miss a pair at the threshold with pr
 Equal sets are found by their digest first and take part once. Sets that share a band are candidates; every link
 is confirmed on the full sets. Pairs are never written out: candidates that hang together through shared bands form a
 family, and a task compares a whole family at a time by counting common shingles through an inverted list, returning the few
-links that connect it. Of a family of too many shingles for one task, blocks of members are compared with its smallest
-member first, in one pass; those linked to it are in one component and need no comparison among themselves. Each other
-member is then compared with all that share a band with it, blocks of such members with blocks of a bucket. Within a
-group a set is compared with all others; what is left when all sets not yet compared lie in one component needs no
-comparison. Components are labelled by minimum label with pointer jumping; every table of a round is written to the
+links that connect it. Of a family of too many shingles for one task, blocks of members are compared with ``PIVOTS`` of its
+members first, in one pass; what is linked to the same pivots is in one component and needs no comparison among
+itself. Members outside the family's largest component so found are then compared with all members of the family, or
+with all that share a band with them, whichever is less, in blocks. Within a group a set is compared with all others;
+what is left when all sets not yet compared lie in one component needs no comparison. Components are labelled by minimum label with pointer jumping; every table of a round is written to the
 shared folder. Joins by band, family, block and label send keys with over a 200th of the rows by broadcast (at most 200).
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; with fewer than five words the
@@ -42,6 +42,7 @@ MISSED = 1e-6
 #: A task compares sets of about this many shingles together, and sets of about so many with one.
 GROUP_SHINGLES = 100_000
 STAR_SHINGLES = 20_000
+PIVOTS = 8
 #: A worker gives memory back after a group of more than this many.
 RELEASED_SHINGLES = 300_000
 #: Up to this many candidates (tens of MB) are broadcast to fetch their texts; more are joined by a shuffle.
@@ -148,8 +149,8 @@ def features(docs: DataFrame, percent: int = 85) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def connecting_links(sets: list[np.ndarray], percent: int, tied: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links (places in ``sets``) whose components are those of all links among ``sets``; ``tied`` sets are connected already."""
+def connecting_links(sets: list[np.ndarray], percent: int, known: list[int | None] | None = None) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) whose components are those of all links among ``sets``; sets of one ``known`` label are connected already."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -163,8 +164,10 @@ def connecting_links(sets: list[np.ndarray], percent: int, tied: list[bool] | No
     # no link without enough shingles that others have
     waiting = np.array([100 * len(m) >= percent * k for m, k in zip(mine, sizes, strict=True)])
     label, found = np.arange(n), []
-    if tied is not None and any(tied):
-        label[np.array(tied)] = tied.index(True)
+    first: dict[int, int] = {}
+    for i, name in enumerate(known or []):
+        if name is not None:
+            label[i] = first.setdefault(name, i)
     while waiting.any():
         left = np.flatnonzero(waiting)
         names, count = np.unique(label[left], return_counts=True)
@@ -187,33 +190,33 @@ def _linked(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         words = _Words()
-        ids, sets, ties = [], [], []
-        for rep, text, tied in zip(table.column("rep").to_pylist(), table.column("text").to_pylist(), table.column("tied").to_pylist(), strict=True):
+        ids, sets, known = [], [], []
+        for rep, text, label in zip(table.column("rep").to_pylist(), table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True):
             s = shingles(text, words)
             if len(s):
                 ids.append(rep)
                 sets.append(s)
-                ties.append(tied)
-        links = connecting_links(sets, percent, ties) if sets else []
+                known.append(label)
+        links = connecting_links(sets, percent, known) if sets else []
         return _links([(ids[i], ids[j]) for i, j in links], sets)
 
     return run
 
 
-def _linked_to_first(percent: int):
-    """Grouped form: texts of one block and the family's smallest member in, links to that member out."""
+def _linked_to_pivots(percent: int):
+    """Grouped form: texts of one block and of the family's pivots in, links between both out."""
 
     def run(table: pa.Table) -> pa.Table:
         words = _Words()
-        first = table.column("family")[0].as_py()
-        ids, sets = table.column("rep").to_pylist(), [shingles(t, words) for t in table.column("text").to_pylist()]
-        head = sets[ids.index(first)]
+        rows = list(zip(table.column("rep").to_pylist(), table.column("pivot").to_pylist(), [shingles(t, words) for t in table.column("text").to_pylist()], strict=True))
+        pivots = [(rep, s) for rep, pivot, s in rows if pivot]
         links = []
-        for rep, s in zip(ids, sets, strict=True):
-            common = len(np.intersect1d(head, s, assume_unique=True)) if rep != first else 0
-            if common and 100 * common >= percent * (len(head) + len(s) - common):
-                links.append((first, rep))
-        return _links(links, sets)
+        for rep, pivot, s in rows:
+            for head, t in [] if pivot else pivots:
+                common = len(np.intersect1d(s, t, assume_unique=True)) if head != rep else 0
+                if common and 100 * common >= percent * (len(s) + len(t) - common):
+                    links.append((head, rep))
+        return _links(links, [s for _, _, s in rows])
 
     return run
 
@@ -252,25 +255,34 @@ def _fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _links_of_large(spark: SparkSession, docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Connecting links of the families in ``reps`` (rep, n, family, weight), each too large for a task."""
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("weight") / STAR_SHINGLES)).cast("int")
-    placed = reps.select("family", block.alias("i"), "rep")
-    heads = placed.select("family", "i").distinct().select("family", "i", F.col("family").alias("rep"))
-    asked = written(spark, placed.union(heads).distinct(), "first-candidates")
-    stars = written(spark, _fetched(docs, asked).groupBy("family", "i").applyInArrow(_linked_to_first(percent), "a long, b long"), "first-links").distinct()
-    known = stars.select(F.col("b").alias("rep")).union(reps.select(F.col("family").alias("rep")).distinct()).withColumn("tied", F.lit(True))
-    # what is not linked to the first member meets all that share a band with it
-    marked = written(spark, reps.select("rep", "n").join(known, "rep", "left").select("rep", "n", F.coalesce("tied", F.lit(False)).alias("tied")), "tied")
-    held = written(spark, members.select("band", "rep").join(marked, "rep"), "large-members")
-    loose = F.when(~F.col("tied"), F.col("n"))
-    need = held.groupBy("band").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(loose) / GROUP_SHINGLES).cast("int").alias("loose")).filter("loose > 0 AND size > 1")
-    dealt = join_counted(held, written(spark, need, "large-bands"), ["band"], "size", held.count(), "inner")
+    """Connecting links of the families in ``reps`` (family, rep, n, weight), each too large for a task."""
+    total = reps.count()
+    part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    placed = reps.select("family", part(F.ceil(F.col("weight") / STAR_SHINGLES)).alias("i"), "rep", F.lit(False).alias("pivot"))
+    pivots = reps.groupBy("family", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.min("rep").alias("rep"))
+    heads = placed.select("family", "i").distinct().join(pivots, "family").select("family", "i", "rep", F.lit(True).alias("pivot"))
+    asked = written(spark, placed.union(heads), "pivot-candidates")
+    stars = written(spark, _fetched(docs, asked).groupBy("family", "i").applyInArrow(_linked_to_pivots(percent), "a long, b long"), "pivot-links").distinct()
+    known = components(spark, stars).withColumnRenamed("node", "rep")
+    labelled = written(spark, reps.select("rep", "n", "family").join(known, "rep", "left"), "labelled")
+    sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("members")).groupBy("family").agg(F.sum("members").alias("size"), F.max(F.when(F.col("label").isNotNull(), F.struct("members", (-F.col("label")).alias("below")))).alias("main"))
+    marked = join_counted(labelled, sizes.select("family", "size", (-F.col("main.below")).alias("largest")), ["family"], "size", total, "inner")
+    marked = written(spark, marked.withColumn("loose", ~F.coalesce(F.col("label") == F.col("largest"), F.lit(False))).drop("largest"), "marked")
+    # members outside the largest component meet their whole family, or all that share a band with them
+    rows = members.select("band", "rep").join(marked, "rep")
+    held = written(spark, rows.select("family", F.lit(1).alias("kind"), F.col("band").alias("unit"), "rep", "n", "label", "loose").union(marked.select("family", F.lit(0), "family", "rep", "n", "label", "loose")), "units")
+    units = held.groupBy("family", "kind", "unit").agg(F.count("*").alias("size"), F.count_if("loose").alias("asking"), F.ceil(F.sum("n") / STAR_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("loose"), F.col("n"))) / GROUP_SHINGLES).cast("int").alias("rounds"))
+    units = written(spark, units.filter("asking > 0 AND size > 1"), "asking-units")
+    cost = F.col("size") * F.col("rounds") + F.col("asking") * F.col("blocks")
+    by_kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, cost)), F.lit(0))
+    best = units.groupBy("family").agg((by_kind(1) < by_kind(0)).cast("int").alias("best"), F.count("*").alias("units"))
+    wanted = join_counted(units, best, ["family"], "units", units.count(), "inner").filter("kind = best").select("kind", "unit", "size", "blocks", "rounds")
+    dealt = join_counted(held.select("kind", "unit", "rep", "label", "loose"), wanted, ["kind", "unit"], "size", held.count(), "inner")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    among = dealt.select("band", place("blocks").alias("i"), every("loose").alias("j"), "rep", "tied")
-    asking = dealt.filter("NOT tied").select("band", every("blocks").alias("i"), place("loose").alias("j"), "rep", "tied")
-    groups = written(spark, among.union(asking).distinct(), "large-candidates")
-    return stars.union(_fetched(docs, groups).groupBy("band", "i", "j").applyInArrow(_linked(percent), "a long, b long"))
+    among = dealt.select("kind", "unit", part(F.col("blocks")).alias("i"), every("rounds").alias("j"), "rep", "label")
+    asking = dealt.filter("loose").select("kind", "unit", every("blocks").alias("i"), part(F.col("rounds")).alias("j"), "rep", "label")
+    groups = written(spark, among.union(asking).distinct(), "asking-candidates")
+    return stars.union(_fetched(docs, groups).groupBy("kind", "unit", "i", "j").applyInArrow(_linked(percent), "a long, b long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -285,8 +297,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     family = components(spark, members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))
     reps = written(spark, members.select("rep", "n").distinct().join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep"), "reps")
     weight = written(spark, reps.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "families")
-    reps = written(spark, join_counted(reps, weight, ["family"], "size", reps.count(), "inner"), "weighed")
-    small = reps.filter(F.col("weight") <= GROUP_SHINGLES).select("family", "rep", F.lit(False).alias("tied"))
+    reps = written(spark, join_counted(reps, weight, ["family"], "size", reps.count(), "inner"), "weighed")  # family, rep, n, weight
+    small = reps.filter(F.col("weight") <= GROUP_SHINGLES).select("family", "rep", F.lit(None).cast("long").alias("label"))
     links = _fetched(docs, small).groupBy("family").applyInArrow(_linked(percent), "a long, b long")
     large = reps.filter(F.col("weight") > GROUP_SHINGLES)
     if not large.isEmpty():

@@ -682,9 +682,11 @@ def near_texts(n, seed, edits):
     return out
 
 
-@pytest.mark.parametrize("group", [10**9, 1500, 200])
-def test_near_duplicates(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "star"), [(10**9, 20_000), (1500, 20_000), (1500, 900), (200, 200)])
+def test_near_duplicates(spark, monkeypatch, group, star):
     monkeypatch.setattr(minhash, "GROUP_SHINGLES", group)
+    monkeypatch.setattr(minhash, "STAR_SHINGLES", star)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
     rng = np.random.default_rng(5)
     texts = near_texts(60, 1, 7) | {100 + i: " ".join(rng.choice(WORDS, rng.integers(1, 9))) for i in range(80)} | {300: None, 301: "", 302: " \n", 303: "A b C", 304: "a B c", 305: "a b c"}
     df = spark.createDataFrame(list(texts.items()) + [(0, texts[0]), (None, texts[0])], "doc_id long, text string")
@@ -698,6 +700,19 @@ def test_near_duplicates(spark, monkeypatch, group):
     assert len(out) == len(texts) + 2 and minhash.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_chain(spark, monkeypatch):
+    """A large family whose ends have little in common: most members are linked to their neighbours only."""
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 1000)
+    monkeypatch.setattr(minhash, "STAR_SHINGLES", 500)
+    texts = {}
+    for i in range(60):
+        texts[i] = " ".join(f"w{k}" for k in range(4 * i, 4 * i + 100))
+    want = plain_components(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, df).collect()} == want
+    assert {c for _, c in want.values()} == {0}
+
+
 def test_bands_follow_the_threshold(spark):
     assert [minhash.band_rows(p) for p in (100, 85, 80, 50)] == [256, 7, 5, 2]
     for p in (6, 30, 50, 80, 85, 99):
@@ -727,6 +742,13 @@ def test_connecting_links():
         want = plain_components(dict(enumerate(texts.values())))
         first = {}
         assert [first.setdefault(x, k) for k, x in enumerate(label)] == [want[k][1] for k in range(len(sets))]
+        # what is known to be connected needs no links
+        known = [want[k][1] if k % 3 else None for k in range(len(sets))]
+        label = [k if x is None else known.index(x) for k, x in enumerate(known)]
+        for i, j in minhash.connecting_links(sets, 85, known):
+            label = [label[i] if x == label[j] else x for x in label]
+        first = {}
+        assert [first.setdefault(x, k) for k, x in enumerate(label)] == [want[k][1] for k in range(len(sets))]
 
 
 def test_sketch_estimates_similarity():
