@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +15,12 @@ from tarnlake.sources import readers
 from tarnlake.streaming import views
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 NOTES = "notes AS (SELECT doc_id % 20 AS bucket, doc_id, 'Dokument ' || doc_id || ': ' || coalesce(source, '–') AS line FROM documents)"
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> str:
     """A folder of twenty text files with a line for each document."""
-    path = _folder(spark, "notes")
+    path = storage.new_folder(spark, "notes")
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20).alias("bucket"), F.concat(F.lit("Dokument "), F.col("doc_id").cast("string"), F.lit(": "), F.coalesce("source", F.lit("–"))).alias("line"))
     d.repartition(4, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "line").write.partitionBy("bucket").option("compression", "none").text(path)
     return path
@@ -43,7 +37,7 @@ def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-03: a folder with files of a type that is refused beside them."""
     path = _notes(spark, sf_dir)
     table(spark, sf_dir, "pages").select((F.col("page_id") % 3).alias("part"), "url").repartition(1).write.partitionBy("part").csv(f"{path}/sheets")
-    good, bad = readers.read_folder(spark, path)
+    good, bad = readers.readstorage.new_folder(spark, path)
     bad = bad.filter(F.endswith("filename", F.lit(".csv")))
     return good.select("file_type", F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select(F.lit(None).cast("string").alias("file_type"), F.lit(None).cast("string").alias("text_md5"), "reason"))
 
@@ -76,7 +70,7 @@ def multihop_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_lines", "SELECT doc_id, md5(text) AS text_md5, source FROM documents UNION ALL SELECT doc_id, md5(text), source FROM documents WHERE doc_id % 2 = 0")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-10 and SRC-11: two appended batches, read as lines."""
-    path, docs = _folder(spark, "checkpoint"), table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    path, docs = storage.new_folder(spark, "checkpoint"), table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     tables.append_checkpoint(docs, path)
     tables.append_checkpoint(docs.filter("doc_id % 2 = 0"), path)
     return readers.read_jsonl(spark, path, "doc_id long, text string, source string", ["doc_id"]).select("doc_id", F.md5("text").alias("text_md5"), "source")
@@ -125,7 +119,7 @@ def verified_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("written_once", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-11: writing the same again changes nothing, other content is refused."""
-    path = _folder(spark, "once")
+    path = storage.new_folder(spark, "once")
     df = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     tables.write_once(spark, df, path)
     tables.write_once(spark, df.repartition(3), path)
@@ -139,7 +133,7 @@ def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dropped_run", "SELECT 'r' || doc_id % 3 AS corpus_run_id, count(*) AS n FROM documents WHERE doc_id % 3 <> 1 GROUP BY 1")
 def dropped_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-13: one run's folder goes; doing it again, or asking for a path, does nothing."""
-    path = _folder(spark, "runs")
+    path = storage.new_folder(spark, "runs")
     table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("corpus_run_id")).write.partitionBy("corpus_run_id").parquet(path)
     gone = [tables.drop_run(spark, path, name) for name in ("r1", "r1", "../x", "")]
     if gone != [True, False, False, False]:
@@ -203,9 +197,9 @@ def stream_step_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_ingest", with_(LEAF) + "SELECT filename, count(*) AS leaves, 0 AS version FROM leaf GROUP BY filename")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-05, SM-10: documents arrive as a stream, are cut and appended; readers take the newest valid version."""
-    path = _folder(spark, "ingested")
+    path = storage.new_folder(spark, "ingested")
     kinds = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(kinds).parquet(f"{sf_dir}/document[s].parquet")
-    views.ingest(stream, lambda batch: corpus.leaves_of(batch).select("filename", "chunk_level"), path, _folder(spark, "stream")).awaitTermination()
+    views.ingest(stream, lambda batch: corpus.leaves_of(batch).select("filename", "chunk_level"), path, storage.new_folder(spark, "stream")).awaitTermination()
     return tables.latest_valid(spark.read.parquet(path)).groupBy("filename", "version").agg(F.count("*").alias("leaves"))
 

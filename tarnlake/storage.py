@@ -11,26 +11,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process, oldest first.
+WRITTEN: list[str] = []
 _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; in local mode without one a temporary folder, removed at the end."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where one machine is all there is."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if at:
-        return at
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="tables-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return "file://" + _LOCAL[0]
+    if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="tables-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        at = "file://" + _LOCAL[0]
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed by :func:`remove` or when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of :func:`new_folder`, by the file system that Spark has for them."""
+    sc = spark.sparkContext
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
+@atexit.register
+def _leave_nothing() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            remove(spark, [p for p in WRITTEN if not (_LOCAL and p.startswith("file://" + _LOCAL[0]))])
+    except Exception:  # noqa: BLE001  the session has gone before
+        pass
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again: a small result that several branches of a plan need is worked out once."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written and read again: a result that several branches of a plan need is worked out once, and lineage is cut."""
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,7 +89,7 @@ def built_once(spark: SparkSession, name: str, version: str, build: Callable[[st
     """Path of what ``build(path)`` writes, built once by an application for each version of its sources."""
     key = f"{spark.sparkContext.applicationId}-{name}-{version}"
     if key not in _BUILT:
-        path = f"{shared_folder(spark)}/{name}-{version}-{uuid.uuid4().hex}"
+        path = new_folder(spark, f"{name}-{version}")
         build(path)
         _BUILT[key] = path
     return _BUILT[key]
