@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Folders written by this process, oldest first.
-_WRITTEN: list[str] = []
+from tarnlake.storage import WRITTEN, new_folder, remove, shared_folder, stored
+
+__all__ = ["new_folder", "remove", "scratch", "written"]
 
 
 def released(run: Callable) -> Callable:
@@ -40,62 +38,20 @@ def give_back() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode, where one machine is all there is."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed by :func:`scratch`, :func:`remove` or when the process ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
-
-
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Delete folders of :func:`new_folder`, by the file system that Spark has for them."""
-    sc = spark.sparkContext
-    for path in paths:
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Folders written inside go at the end, but for those that the caller takes out of the list given."""
-    before = set(_WRITTEN)
+    before = set(WRITTEN)
     spared: list[str] = []
     try:
         yield spared
     finally:
-        remove(spark, [p for p in _WRITTEN if p not in before and p not in spared])
-
-
-@atexit.register
-def _leave_nothing() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _WRITTEN:
-        try:
-            remove(spark, list(_WRITTEN))
-        except Exception:  # noqa: BLE001  the session has gone before
-            pass
+        remove(spark, [p for p in WRITTEN if p not in before and p not in spared])
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: cuts lineage, keeps column pruning."""
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(spark, df, name)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -121,7 +77,7 @@ def sums_before(totals: DataFrame, key: str, value: str, *, by: str | None = Non
 
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table."""
-    shared_dir(spark)
+    shared_folder(spark)
     return df.checkpoint()
 
 

@@ -129,9 +129,9 @@ def test_stages_on_empty_tables(spark):
 
 
 def test_run_leaves_no_tables_of_its_own(spark):
-    from tarnlake.llm import shared
+    from tarnlake import storage
 
-    before = set(shared._WRITTEN)
+    before = set(storage.WRITTEN)
     corpus_pipeline.run(spark, SF)
-    left = [p.rsplit("/", 1)[-1] for p in shared._WRITTEN if p not in before]
+    left = [p.rsplit("/", 1)[-1] for p in storage.WRITTEN if p not in before]
     assert len(left) == 1 and left[0].startswith("mixing-")
