@@ -39,7 +39,7 @@ SHINGLE = 5
 BINS = 256
 #: Probability to miss a pair at the threshold.
 MISSED = 1e-6
-#: A task compares sets of about this many shingles together, and sets of about so many with one.
+#: A task compares sets of about this many shingles together, and blocks of about so many with pivots or with one another.
 GROUP_SHINGLES = 100_000
 STAR_SHINGLES = 20_000
 PIVOTS = 8
@@ -271,7 +271,7 @@ def _links_of_large(spark: SparkSession, docs: DataFrame, reps: DataFrame, membe
     # members outside the largest component meet their whole family, or all that share a band with them
     rows = members.select("band", "rep").join(marked, "rep")
     held = written(spark, rows.select("family", F.lit(1).alias("kind"), F.col("band").alias("unit"), "rep", "n", "label", "loose").union(marked.select("family", F.lit(0), "family", "rep", "n", "label", "loose")), "units")
-    units = held.groupBy("family", "kind", "unit").agg(F.count("*").alias("size"), F.count_if("loose").alias("asking"), F.ceil(F.sum("n") / STAR_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("loose"), F.col("n"))) / GROUP_SHINGLES).cast("int").alias("rounds"))
+    units = held.groupBy("family", "kind", "unit").agg(F.count("*").alias("size"), F.count_if("loose").alias("asking"), F.ceil(F.sum("n") / STAR_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("loose"), F.col("n"))) / STAR_SHINGLES).cast("int").alias("rounds"))
     units = written(spark, units.filter("asking > 0 AND size > 1"), "asking-units")
     cost = F.col("size") * F.col("rounds") + F.col("asking") * F.col("blocks")
     by_kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, cost)), F.lit(0))
