@@ -103,8 +103,8 @@ SELECT chunk_id, count(*) AS terms, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01: what the index holds of each leaf, read back."""
     i = corpus.index(spark, sf_dir, "leaves")
-    one = i.postings.groupBy("chunk_no").agg(F.count("*").alias("terms"), F.round(F.sum("impact"), 4).alias("impact"))
-    return i.names.join(one, "chunk_no").select("chunk_id", "terms", "impact")
+    added = F.round(F.aggregate("impacts", F.lit(0.0), lambda a, x: a + x), 4)
+    return i.names.join(i.chunks, "chunk_no").select("chunk_id", F.size("terms").cast("long").alias("terms"), added.alias("impact"))
 
 
 @query("verified_leaves", with_(LEAF) + "SELECT count(*) AS leaves FROM leaf")

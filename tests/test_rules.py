@@ -267,3 +267,22 @@ def test_scores_of_merged_candidates(spark):
     assert {r.query_id: (r.score, r.rerank_score) for r in merging.auto_merge(c, parents).collect()} == {1: (0.9, 0.8), 2: (None, 0.1), 3: (0.4, None)}
     same = c.withColumn("chunk_id", F.lit("a"))
     assert {r.query_id: (r.score, r.rerank_score) for r in merging.deduplicate(same).collect()} == {1: (0.9, 0.8), 2: (0.9, 0.1), 3: (0.4, None)}
+
+
+def test_search_by_join_and_in_slices(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(250)] + [("nul", None)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 5))) for i in range(30)] + [(99, "unknown")], "query_id long, text string")
+    retrieval.build_index(chunks, f"{tmp_path}/i")
+    index = retrieval.open_index(spark, f"{tmp_path}/i")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    want = key(retrieval.bm25(chunks, asked, 7))
+    assert key(retrieval.search(index, asked, 7)) == want and len(want) == 30 * 7
+    monkeypatch.setattr(retrieval, "SCORES", 300)
+    assert key(retrieval.search(index, asked, 7)) == want
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 640)
+    assert key(retrieval.search(index, asked, 7)) == want
+    assert retrieval.search(index, asked.filter("query_id = 99"), 7).count() == 0 and retrieval.search(index, asked.limit(0), 7).count() == 0
