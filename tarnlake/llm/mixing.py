@@ -104,7 +104,7 @@ def mix_plan(spark: SparkSession, docs: DataFrame, *, weights: Sequence[float] =
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mixed stream: a row for each use of a document, sorted by training ``position``; a cut use ends after its last word."""
     columns = [c for c in docs.columns if c not in ("pass", "words", "position")]
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")  # the text travels once
     plan = mix_plan(spark, docs.select("doc_id", "source", "text", row), keep=["text", "row"], **how)
     uses = plan.select("doc_id", "text", "row", "size", F.explode("uses").alias("use"))
     whole = F.col("use.words") >= F.col("size")
