@@ -35,7 +35,7 @@ from .shared import give_back
 LONGEST = 2048
 END_ID = 1
 #: Bytes that a worker's memo of chunks and word pieces takes, about, before it starts afresh.
-MEMO_BYTES = 300 << 20
+MEMO_BYTES = 450 << 20
 #: What an entry takes besides its characters and ids: two objects and a place in the table.
 ENTRY_BYTES = 180
 #: A chunk of more bytes than this is not remembered: it will hardly come again.
