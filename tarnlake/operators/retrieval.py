@@ -58,12 +58,14 @@ class Index:
 
 
 def impacts(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, impact``: a posting's part of an Okapi score; statistics cover all of ``chunks``."""
-    found = postings(chunks)
+    """``term, chunk_id, impact``: a posting's part of an Okapi score; statistics cover all of ``chunks``. Texts are cut into terms once."""
+    found = stored(chunks.sparkSession, postings(chunks), "postings")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
+    sizes = chunks.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
+    stats = found.agg(F.sum("tf").alias("tokens")).crossJoin(sizes).select("n", (F.col("tokens") / F.col("texts")).alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks))).select("term", "chunk_id", (idf * weight).alias("impact"))
+    return found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", (idf * weight).alias("impact"))
 
 
 def build_index(chunks: DataFrame, path: str) -> None:
