@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jpeg, langid, linededup, minhash, mixing, packing, pii, sharding, warc
+from . import ann, decontaminate, jpeg, langid, linededup, merkle, minhash, mixing, packing, periodic, pii, sharding, warc
 from .shared import written
 
 
@@ -69,6 +69,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, names, prototypes, keep=["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.digests(found, "doc_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, every tenth of which gets a repeating tail (:func:`periodic.planted`)."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.collapse(docs, rewrite=periodic.planted, key="doc_id", emit_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_binary": op1_pack_binary,
     "op2_pseudonyms": op2_pseudonyms,
@@ -80,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
+    "op11_decontamination": op11_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_warc_index": warc.OP4_SQL, "op6_line_dedup": linededup.OP6_SQL}
