@@ -326,3 +326,22 @@ def digests(scanned: DataFrame, *keep: str) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     listed = F.array_join(F.array_sort(F.transform(ids, lambda i: i.cast("string"))), ",")
     return scanned.select(*keep, "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_NEXT = f"list(word) OVER (PARTITION BY key ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)"
+OP11_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS key, doc_id, coalesce({_WORDS_SQL}, []) AS ws FROM documents),
+held AS MATERIALIZED (SELECT * FROM docs),
+items AS (SELECT row_number() OVER () AS key, item_id, {_WORDS_SQL} AS ws FROM benchmark),
+iw AS (SELECT key, item_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM items WHERE len(ws) > 0),
+inext AS (SELECT item_id, n, k, {_NEXT} AS nx FROM iw),
+windows AS (SELECT DISTINCT item_id, len(nx) AS size, array_to_string(nx, ' ') AS s FROM inext WHERE len(nx) = least(n, {WINDOW})),
+dw AS (SELECT key, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM held),
+dnext AS (SELECT key, k, {_NEXT} AS nx FROM dw),
+met AS (SELECT d.key, d.k, w.size, w.item_id FROM (SELECT d.key, d.k, z.size, array_to_string(d.nx[1:z.size], ' ') AS s FROM dnext d JOIN (SELECT DISTINCT size FROM windows) z ON len(d.nx) >= z.size) d JOIN windows w ON d.size = w.size AND d.s = w.s),
+hits AS (SELECT key, count(*) AS n_hit FROM (SELECT DISTINCT key, unnest(range(k, k + size)) AS at FROM met) GROUP BY key),
+found AS (SELECT key, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT key, item_id::VARCHAR AS i FROM met) GROUP BY key)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM held LEFT JOIN hits USING (key) LEFT JOIN found USING (key)
+"""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import released, sums_before, written
+from .shared import crc32_sql, released, sums_before, written
 
 ARITY = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -255,3 +255,35 @@ def audit(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     out = proofs(made).withColumn("root", F.lit(made.root)).withColumn("folded_root", folded(F.coalesce("tampered", "leaf")))
     return out.select("doc_id", "leaf", "subroot", "root", proof().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _tree_sql(name: str, nodes: str, rows: str, levels: int) -> str:
+    """CTEs that build the trees over ``nodes`` (tree, idx, d, m: of the tree) level by level and take ``rows`` (key, tree, idx, fold, path) up to ``{name}_end``."""
+    out = [f"{name}_n0 AS (SELECT tree, idx, d, m FROM {nodes})", f"{name}_p0 AS (SELECT key, tree, idx, fold, path FROM {rows})"]
+    left, right = f"array_to_string(r.kids[1:p.idx % {ARITY}], '')", f"array_to_string(r.kids[p.idx % {ARITY} + 2:], '')"
+    for k in range(levels):
+        out.append(f"{name}_r{k} AS (SELECT tree, idx // {ARITY} AS run, list(d ORDER BY idx) AS kids, any_value(m) AS m FROM {name}_n{k} GROUP BY tree, idx // {ARITY})")
+        out.append(f"{name}_n{k + 1} AS (SELECT tree, run AS idx, CASE WHEN m = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS d, (m + {ARITY - 1}) // {ARITY} AS m FROM {name}_r{k})")
+        out.append(f"{name}_p{k + 1} AS (SELECT key, p.tree, p.idx // {ARITY} AS idx, CASE WHEN r.m = 1 THEN p.fold ELSE sha256({left} || p.fold || {right}) END AS fold, p.path || {left} || {right} AS path FROM {name}_p{k} p JOIN {name}_r{k} r ON p.tree = r.tree AND p.idx // {ARITY} = r.run)")
+    out.append(f"{name}_end AS (SELECT key, p.tree, p.fold, p.path, n.d AS top FROM {name}_p{levels} p JOIN {name}_n{levels} n ON p.tree = n.tree)")
+    return ", ".join(out)
+
+
+_SIZED = {c: f"strlen({c}::VARCHAR) || ':' || {c}" for c in FIELDS}
+_LEAF = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE {sized} END" for c, sized in _SIZED.items())
+_CHANGED = _LEAF.replace(_SIZED["text"], f"strlen(text) || ':' || translate(text, '{_UPPER}', '{_LOWER}')")
+#: Six levels either way hold 16 million leaves.
+OP13_SQL = f"""
+WITH leaf AS (
+  SELECT doc_id, source, sha256({_LEAF}) AS d, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN sha256({_CHANGED}) END AS t FROM documents
+), placed AS (
+  SELECT *, row_number() OVER () AS key, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS idx, count(*) OVER (PARTITION BY source) AS m FROM leaf
+), held AS MATERIALIZED (SELECT * FROM placed), low AS (SELECT key, tree, idx, coalesce(t, d) AS fold, '' AS path FROM held),
+{_tree_sql("s", "held", "low", 6)},
+subs AS (SELECT 0 AS tree, tree AS idx, any_value(top) AS d, count(*) OVER () AS m FROM s_end GROUP BY tree),
+above AS (SELECT key, 0 AS tree, tree AS idx, fold, path FROM s_end),
+{_tree_sql("u", "subs", "above", 6)}
+SELECT h.doc_id, h.d AS leaf, s.top AS subroot, u.top AS root, sha256(u.path) AS proof_sha256, u.fold AS folded_root, u.fold = u.top AS verified
+FROM held h JOIN s_end s USING (key) JOIN u_end u USING (key)
+"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released
+from .shared import crc32_sql, released
 
 LEAST = 24
 EXPONENT = 3
@@ -194,3 +194,29 @@ def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     a = g % n
     p = 1 + (n - a) // (3 + g % 8)
     return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+#: Every run of 24 words and three periods q repeats its sequences of eight words at distance q, so stretches of such pairs are its
+#: extent; a stretch with several distances has the smallest for its period.
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS key, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+sized AS (SELECT key, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS tail, h // 10 AS g FROM docs),
+cut AS (SELECT *, CASE WHEN tail THEN g % n END AS a FROM sized),
+held AS MATERIALIZED (SELECT *, CASE WHEN tail THEN 1 + (n - a) // (3 + g % 8) END AS p FROM cut),
+orig AS (SELECT key, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM held),
+placed AS (SELECT o.key, o.k, CASE WHEN h.tail AND o.k >= h.a THEN h.a + (o.k - h.a) % h.p ELSE o.k END AS from_k FROM orig o JOIN held h USING (key)),
+words AS MATERIALIZED (SELECT p.key, p.k, o.word FROM placed p JOIN orig o ON p.key = o.key AND p.from_k = o.k),
+eights AS (SELECT key, k, list(word) OVER (PARTITION BY key ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ws FROM words),
+full8 AS (SELECT key, k, array_to_string(ws, ' ') AS s FROM eights WHERE len(ws) = 8),
+pairs AS (SELECT x.key, x.k, y.k - x.k AS q FROM full8 x JOIN full8 y ON x.key = y.key AND x.s = y.s AND x.k < y.k),
+marked AS (SELECT *, k - row_number() OVER (PARTITION BY key, q ORDER BY k) AS isle FROM pairs),
+isles AS (SELECT key, q, min(k) AS s, count(*) + 7 + q AS len FROM marked GROUP BY key, q, isle),
+runs AS MATERIALIZED (SELECT key, s, len, min(q) AS q FROM isles WHERE len >= greatest({LEAST}, {EXPONENT} * q) GROUP BY key, s, len),
+listed AS (SELECT key, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS text FROM runs GROUP BY key),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY len::DOUBLE / q DESC, s, q) AS r FROM runs) WHERE r = 1),
+gone AS (SELECT DISTINCT key, unnest(range(s + q, s + len)) AS k FROM runs),
+kept AS (SELECT w.key, string_agg(w.word, ' ' ORDER BY w.k) AS text FROM words w ANTI JOIN gone g ON w.key = g.key AND w.k = g.k GROUP BY w.key)
+SELECT h.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.len // b.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(l.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM held h LEFT JOIN listed l USING (key) LEFT JOIN best b USING (key) LEFT JOIN kept k USING (key)
+"""

@@ -101,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_index": warc.OP4_SQL, "op6_line_dedup": linededup.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_index": warc.OP4_SQL, "op6_line_dedup": linededup.OP6_SQL, "op11_decontamination": decontaminate.OP11_SQL, "op12_periodic_runs": periodic.OP12_SQL, "op13_merkle_manifest": merkle.OP13_SQL}

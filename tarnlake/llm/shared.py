@@ -112,3 +112,10 @@ def join_counted(big: DataFrame, small: DataFrame, keys: list[str], count: str,
         one = marked.filter("__hot IS NOT NULL").select(*big.columns, "__hot.*")
     two = marked.filter("__hot IS NULL").drop("__hot").join(cold, keys, how).select(*big.columns, *extra)
     return one.unionByName(two)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the CRC-32 of an ASCII string, which DuckDB has no function for."""
+    bit = "lambda x, _: xor(x >> 1, 3988292384 * (x & 1))"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), {byte}), 4294967295)"
