@@ -35,18 +35,18 @@ def document_filename(identifier: Column) -> Column:
 
 
 def fts_query(question: Column, most: int = 64) -> Column:
-    """TX-18: distinct tokens in order of first use, quoted and joined by OR."""
-    words = F.slice(F.array_distinct(tokens(question)), 1, most)
+    """TX-18: distinct tokens in order of first use, in their own case, quoted and joined by OR."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(question, F.lit(TOKEN), F.lit(0))), 1, most)
     return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
 
 
 def chunk_prefix(chunk_id: Column) -> Column:
     """TX-20: what stands before the running number of a leaf id, empty if it is no leaf id."""
-    return F.regexp_extract(chunk_id, r"^(.*::p\d+::l3::)\d+$", 1)
+    return F.regexp_extract(chunk_id, r"^(.+::p\d+::l3::)\d+$", 1)
 
 
 def chunk_number(chunk_id: Column) -> Column:
-    return F.regexp_extract(chunk_id, r"^.*::p\d+::l3::(\d+)$", 1).try_cast("int")
+    return F.regexp_extract(chunk_id, r"^.+::p\d+::l3::(\d+)$", 1).try_cast("int")
 
 
 def without_run_prefix(filename: Column) -> Column:

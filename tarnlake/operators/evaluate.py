@@ -17,16 +17,19 @@ def share(condition: Column) -> Column:
 
 
 def retrieval_metrics(results: DataFrame, by: list[str]) -> DataFrame:
-    """AG-02, AG-08: ``best_rank`` (null: not found), ``latency_ms``, ``failed``, ``fallback`` per case."""
-    best, ok = F.col("best_rank"), ~F.col("failed")
-    of_good = lambda c, value: F.avg(F.when(ok, F.when(c, value).otherwise(0.0)))
+    """AG-02, AG-08: ``best_rank`` (null: not found), ``latency_ms`` (null: not measured), ``failed``, ``fallback`` per case.
+
+    Recall and reciprocal rank are divided by all cases, failed ones included; latencies are those that were measured.
+    """
+    best = F.col("best_rank")
+    of_all = lambda c, value: F.avg(F.when(c, value).otherwise(0.0))
     return results.groupBy(*by).agg(
         F.count("*").alias("cases"),
         F.count_if("failed").alias("failed"),
         F.count_if("fallback").alias("fallbacks"),
-        *[F.round(of_good(best <= k, F.lit(1.0)), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)],
-        F.round(of_good(best <= 10, 1.0 / best), 6).alias("mrr_at_10"),
-        *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE NOT failed)").cast("double").alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"))],
+        *[F.round(of_all(best <= k, F.lit(1.0)), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)],
+        F.round(of_all(best <= 10, 1.0 / best), 6).alias("mrr_at_10"),
+        *[nearest_rank("latency_ms", p).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"))],
     )
 
 
@@ -40,7 +43,8 @@ def coverage(expected: DataFrame, found: DataFrame, refusal: str = "refusal") ->
 def multihop_metrics(results: DataFrame) -> DataFrame:
     """AG-05, with its four denominators: answerable cases, all cases, judged cases, refusal cases.
 
-    Columns: refusal, coverage, verdict (pass, fail, review or null), rewrite, split, merged, total_s, rag_s, answer_s.
+    Columns: refusal, refusal_correct (whether the answer refused, judged on its own), coverage, verdict (pass, fail, review or
+    null), rewrite, split, merged, total_s, rag_s, answer_s. Medians are values at the nearest rank; a missing time counts as 0.
     """
     judged = F.col("verdict").isin("pass", "fail", "review")
     effective = F.coalesce("coverage", F.lit(0.0))
@@ -49,9 +53,9 @@ def multihop_metrics(results: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(~F.col("refusal"), F.when(effective >= 1, 1.0).otherwise(0.0))), 6).alias("full_coverage"),
         F.round(F.avg(effective), 6).alias("average_coverage"),
         F.round(F.avg(F.when(judged, F.when(F.col("verdict") == "pass", 1.0).otherwise(0.0))), 6).alias("pass_rate"),
-        F.round(F.avg(F.when(F.col("refusal"), F.when(F.col("verdict") == "pass", 1.0).otherwise(0.0))), 6).alias("refusal_correct"),
+        F.round(F.avg(F.when(F.col("refusal"), F.when(F.col("refusal_correct"), 1.0).otherwise(0.0))), 6).alias("refusal_correct"),
         F.round(share(F.col("verdict") == "review"), 6).alias("review_rate"),
-        *[F.expr(f"percentile(coalesce({c}, 0.0), 0.5)").alias(f"median_{c}") for c in ("total_s", "rag_s", "answer_s")],
+        *[nearest_rank(f"coalesce({c}, 0.0)", 0.5).alias(f"median_{c}") for c in ("total_s", "rag_s", "answer_s")],
         *[F.round(share(F.col(c)), 6).alias(f"{c}_rate") for c in ("rewrite", "split", "merged")],
     )
 
@@ -196,16 +200,28 @@ def attribution(pairs: DataFrame, controlled: bool = True) -> DataFrame:
 
 
 def grade(answers: DataFrame, facts: DataFrame, claims: DataFrame) -> DataFrame:
-    """AG-27: a pass becomes a fail if a fact is missing or contradicted or a forbidden claim is made; without a verdict it is for review.
+    """AG-27: the judge's word beside its own details; a pass becomes a fail if a fact is missing or contradicted or a forbidden claim is made.
 
-    ``answers`` (case_id, verdict), ``facts`` (case_id, fact_index, result: supported, missing, contradicted or null), ``claims`` (case_id, mentioned).
+    ``answers`` (case_id, verdict, expected_facts array, forbidden_claims array), ``facts`` (case_id, fact_index, status) and ``claims`` (case_id,
+    claim_index, mentioned) are what the judge returned: in any order, by numbers from 1, incomplete, or about what wasn't asked. A
+    fact that it left out, or gave another status than met, missing, contradicted or review, is for review and fails nothing; a
+    claim left out was not made. Of two results of one number the last by ``seen`` counts where there is such a column, else any.
+    ``statuses`` follows the expected facts. Without a known verdict the case is for review.
     """
-    f = facts.select("case_id", F.coalesce("result", F.lit("missing")).alias("result")).groupBy("case_id").agg(F.count("*").alias("facts"), F.count_if(F.col("result") == "supported").alias("supported"))
-    c = claims.groupBy("case_id").agg(F.count_if("mentioned").alias("forbidden"))
-    out = answers.join(f, "case_id", "left").join(c, "case_id", "left").na.fill(0, ["facts", "supported", "forbidden"])
-    given = F.when(F.col("verdict").isin("pass", "fail", "review"), F.col("verdict")).otherwise("review")
-    final = F.when((given == "pass") & ((F.col("supported") < F.col("facts")) | (F.col("forbidden") > 0)), "fail").otherwise(given)
-    return out.select("case_id", "facts", "supported", "forbidden", final.alias("verdict"))
+    last = lambda df, value: F.max_by(value, "seen") if "seen" in df.columns else F.any_value(value)
+    clean = lambda c: F.trim(F.lower(c))
+    told = facts.groupBy("case_id", "fact_index").agg(last(facts, "status").alias("status")).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("fact_index", "status"))).alias("told"))
+    made = claims.groupBy("case_id", "claim_index").agg(last(claims, "mentioned").alias("mentioned")).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("claim_index", "mentioned"))).alias("made"))
+    out = answers.join(told, "case_id", "left").join(made, "case_id", "left")
+    numbers = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c)))
+    state = lambda i: F.when(clean(F.try_element_at("told", i)).isin("met", "missing", "contradicted", "review"), clean(F.try_element_at("told", i))).otherwise("review")
+    statuses = F.coalesce(F.transform(numbers("expected_facts"), state), F.array().cast("array<string>"))
+    forbidden = F.coalesce(F.size(F.filter(numbers("forbidden_claims"), lambda i: F.coalesce(F.try_element_at("made", i), F.lit(False)))), F.lit(0))
+    given = F.when(clean(F.col("verdict")).isin("pass", "fail", "review"), clean(F.col("verdict"))).otherwise("review")
+    out = out.withColumn("statuses", statuses).withColumn("forbidden", F.greatest(forbidden, F.lit(0)).cast("long"))
+    against = F.exists("statuses", lambda s: s.isin("missing", "contradicted")) | (F.col("forbidden") > 0)
+    count = lambda s: F.size(F.filter("statuses", lambda x: x == s)).cast("long").alias(s)
+    return out.select("case_id", F.size("statuses").cast("long").alias("facts"), count("met"), count("missing"), count("contradicted"), "forbidden", F.when((given == "pass") & against, "fail").otherwise(given).alias("verdict"), "statuses")
 
 
 def exam_summary(cases: DataFrame) -> DataFrame:

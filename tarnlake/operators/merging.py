@@ -54,8 +54,8 @@ def auto_merge_meta(candidates: DataFrame, parents: DataFrame, threshold: int =
 
 def neighbours(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """RT-13: leaves before and after each leaf candidate that exist and are not candidates; ``origins`` names who asked."""
-    leaf = candidates.filter("chunk_level IS NULL OR chunk_level = 3").withColumn("__n", chunk_number(F.col("chunk_id"))).filter("__n IS NOT NULL")
-    asked = leaf.select("query_id", "rank", F.col("chunk_id").alias("from_id"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "__n").filter("__n + side >= 0")
+    leaf = candidates.filter("chunk_level IS NULL OR chunk_level = 3").withColumn("__n", chunk_number(F.trim("chunk_id"))).filter("__n IS NOT NULL")
+    asked = leaf.select("query_id", "rank", F.trim("chunk_id").alias("from_id"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "__n").filter("__n + side >= 0")
     asked = asked.withColumn("chunk_id", F.concat(chunk_prefix(F.col("from_id")), (F.col("__n") + F.col("side")).cast("string")))
     each = asked.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "side")).alias("first"), F.sort_array(F.collect_list(F.struct("rank", F.col("from_id").alias("adjacent_to_chunk_id"), F.when(F.col("side") < 0, "previous").otherwise("next").alias("relative_position")))).alias("asks"))
     new = each.join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
@@ -72,16 +72,29 @@ def expand_neighbours(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def neighbour_meta(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """RT-13: requested, already present, added, and skips by reason."""
-    number = chunk_number(F.col("chunk_id"))
+    """RT-13: requested, already present, added, skips by reason, and why the expansion was less than whole.
+
+    A candidate's id is looked at before its level: one whose id is no leaf's is unparseable whatever its level.
+    """
+    number = chunk_number(F.trim("chunk_id"))
     is_leaf = F.expr("chunk_level IS NULL OR chunk_level = 3")
-    skips = candidates.groupBy("query_id").agg(F.count_if(~is_leaf).alias("not_leaf"), F.count_if(is_leaf & number.isNull()).alias("unparseable"))
+    bad = number.isNull()
+    skips = candidates.groupBy("query_id").agg(F.count_if(bad).alias("unparseable"), F.count_if(~bad & ~is_leaf).alias("not_leaf"))
     asked = candidates.filter(is_leaf).withColumn("__n", number).filter("__n IS NOT NULL").select("query_id", "chunk_id", "__n", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")).filter("__n + side >= 0")
-    ids = asked.select("query_id", F.concat(chunk_prefix(F.col("chunk_id")), (F.col("__n") + F.col("side")).cast("string")).alias("chunk_id")).distinct()
+    ids = asked.select("query_id", F.concat(chunk_prefix(F.trim("chunk_id")), (F.col("__n") + F.col("side")).cast("string")).alias("chunk_id")).distinct()
     present = ids.join(candidates.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("present"))
     added = neighbours(candidates, chunks).groupBy("query_id").agg(F.count("*").alias("added"))
     out = skips.join(ids.groupBy("query_id").agg(F.count("*").alias("requested")), "query_id", "left").join(present, "query_id", "left").join(added, "query_id", "left")
-    return out.na.fill(0, ["requested", "present", "added"])
+    out = out.na.fill(0, ["requested", "present", "added"])
+    why = F.when(F.col("requested") == 0, "no_parseable_l3_candidates").when(F.col("unparseable") + F.col("not_leaf") > 0, "unparseable_l3_candidates_skipped")
+    return out.withColumn("fallback_reason", why)
+
+
+def neighbour_skips(candidates: DataFrame) -> DataFrame:
+    """RT-13: candidates that ask for no neighbours, with the reason."""
+    bad = chunk_number(F.trim("chunk_id")).isNull()
+    why = F.when(bad, "unparseable_l3_chunk_id").when(F.expr("chunk_level IS NOT NULL AND chunk_level <> 3"), "candidate_not_l3")
+    return candidates.select("query_id", F.col("rank").alias("candidate_index"), why.alias("reason")).filter("reason IS NOT NULL")
 
 
 def candidate_key(candidates: DataFrame) -> Column:

@@ -198,20 +198,36 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOLD_SQL = "gold AS (SELECT b.item_id AS query_id, 'd' || d.doc_id AS filename, d.doc_id, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
+#: Words of a shingle that finds the documents a passage may be in. Its first and last word may be parts of a document's words.
+GOLD_SHINGLE = 5
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages are few (their number is checked) and are held against every document in one pass."""
-    asked = retrieval.small(questions(spark, sf_dir).withColumnRenamed("text", "passage"), width=4096)
-    return table(spark, sf_dir, "documents").join(asked, F.contains("text", "passage")).select("query_id", F.concat(F.lit("d"), "doc_id").alias("filename"), "doc_id", "lang")
+    """Documents that hold a question's passage, however cut: by a shingle of its words, then by its text.
+
+    Passages of too few words for a shingle are few (their number is checked) and are held against every document.
+    """
+    n = GOLD_SHINGLE
+    asked = questions(spark, sf_dir).withColumnRenamed("text", "passage").withColumn("ws", F.split("passage", r"\s+"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    long = asked.filter(F.size("ws") >= n + 2).select("query_id", "passage", F.xxhash64(F.slice("ws", 2, n)).alias("shingle"))
+    short = retrieval.small(asked.filter(F.size("ws") < n + 2).drop("ws"), width=64)
+    cut = docs.withColumn("ws", F.split("text", r"\s+")).filter(F.size("ws") >= n)
+    held = cut.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - (n - 1)), lambda i: F.xxhash64(F.slice("ws", i, n))))).alias("shingle"))
+    may = held.join(retrieval.small(long.select("query_id", "shingle"), width=32), "shingle").select("doc_id", "query_id").distinct()
+    found = docs.join(may, "doc_id").join(long.select("query_id", "passage"), "query_id").filter(F.contains("text", "passage"))
+    every = found.select("query_id", "doc_id", "lang").unionByName(docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id", "lang"))
+    return every.select("query_id", F.concat(F.lit("d"), "doc_id").alias("filename"), "doc_id", "lang")
 
 
 METRIC_SQL = DOC_CORPUS + "," + QUESTIONS + "," + bm25_sql("corpus", "asked", "hits", 10) + "," + GOLD_SQL + """,
-results AS (SELECT a.query_id, g.best_rank, (a.query_id * 37 % 101)::DOUBLE AS latency_ms, a.query_id % 13 = 0 AS failed, a.query_id % 9 = 0 AS fallback, CASE a.query_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'semantic' ELSE 'misc' END AS question_type, s.strategy
+results AS (SELECT a.query_id, g.best_rank, CASE WHEN a.query_id % 26 <> 0 THEN (a.query_id * 37 % 101)::DOUBLE END AS latency_ms, a.query_id % 13 = 0 AS failed, a.query_id % 9 = 0 AS fallback, CASE a.query_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'semantic' ELSE 'misc' END AS question_type, s.strategy
   FROM asked a CROSS JOIN (VALUES ('bm25')) s(strategy) LEFT JOIN (SELECT h.query_id, min(h.rank) AS best_rank FROM hits h JOIN gold g ON h.query_id = g.query_id AND h.chunk_id = g.filename GROUP BY 1) g USING (query_id))
 """
 METRICS = """
 count(*) AS cases, count(*) FILTER (failed) AS failed, count(*) FILTER (fallback) AS fallbacks,
-round(avg(CASE WHEN best_rank <= 1 THEN 1.0 ELSE 0.0 END) FILTER (NOT failed), 6) AS recall_at_1, round(avg(CASE WHEN best_rank <= 3 THEN 1.0 ELSE 0.0 END) FILTER (NOT failed), 6) AS recall_at_3, round(avg(CASE WHEN best_rank <= 5 THEN 1.0 ELSE 0.0 END) FILTER (NOT failed), 6) AS recall_at_5,
-round(avg(CASE WHEN best_rank <= 10 THEN 1.0 / best_rank ELSE 0.0 END) FILTER (NOT failed), 6) AS mrr_at_10, quantile_disc(latency_ms, 0.5) FILTER (NOT failed) AS p50_ms, quantile_disc(latency_ms, 0.95) FILTER (NOT failed) AS p95_ms
+round(avg(CASE WHEN best_rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN best_rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3, round(avg(CASE WHEN best_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
+round(avg(CASE WHEN best_rank <= 10 THEN 1.0 / best_rank ELSE 0.0 END), 6) AS mrr_at_10, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms
 """
 
 
@@ -220,7 +236,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.search(corpus.index(spark, sf_dir, "documents"), q, 10).select("query_id", "rank", F.col("chunk_id").alias("filename"))
     best = gold(spark, sf_dir).join(hits, ["query_id", "filename"]).groupBy("query_id").agg(F.min("rank").alias("best_rank"))
     i = F.col("query_id")
-    return q.select("query_id").join(best, "query_id", "left").select("query_id", "best_rank", (i * 37 % 101).cast("double").alias("latency_ms"), (i % 13 == 0).alias("failed"), (i % 9 == 0).alias("fallback"), F.when(i % 3 == 0, "basic").when(i % 3 == 1, "semantic").otherwise("misc").alias("question_type"), F.lit("bm25").alias("strategy"))
+    return q.select("query_id").join(best, "query_id", "left").select("query_id", "best_rank", F.when(i % 26 != 0, (i * 37 % 101).cast("double")).alias("latency_ms"), (i % 13 == 0).alias("failed"), (i % 9 == 0).alias("fallback"), F.when(i % 3 == 0, "basic").when(i % 3 == 1, "semantic").otherwise("misc").alias("question_type"), F.lit("bm25").alias("strategy"))
 
 
 @query("retrieval_metrics", with_(METRIC_SQL) + f"SELECT strategy, {METRICS} FROM results GROUP BY strategy")
@@ -274,8 +290,8 @@ _share = lambda c: f"round(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6)"  # noqa
 
 @query("multihop_metrics", with_(CASES) + f"""
 SELECT count(*) AS cases, round(avg(CASE WHEN coalesce(coverage, 0) >= 1 THEN 1.0 ELSE 0.0 END) FILTER (NOT refusal), 6) AS full_coverage, round(avg(coalesce(coverage, 0)), 6) AS average_coverage,
-  round(avg(CASE WHEN verdict = 'pass' THEN 1.0 ELSE 0.0 END) FILTER (verdict IN ('pass', 'fail', 'review')), 6) AS pass_rate, round(avg(CASE WHEN verdict = 'pass' THEN 1.0 ELSE 0.0 END) FILTER (refusal), 6) AS refusal_correct, {_share("verdict = 'review'")} AS review_rate,
-  quantile_cont(coalesce(total_s, 0), 0.5) AS median_total_s, quantile_cont(coalesce(rag_s, 0), 0.5) AS median_rag_s, quantile_cont(coalesce(answer_s, 0), 0.5) AS median_answer_s, {_share("rewrite")} AS rewrite_rate, {_share("split")} AS split_rate, {_share("merged")} AS merged_rate FROM cases
+  round(avg(CASE WHEN verdict = 'pass' THEN 1.0 ELSE 0.0 END) FILTER (verdict IN ('pass', 'fail', 'review')), 6) AS pass_rate, round(avg(CASE WHEN refusal_correct THEN 1.0 ELSE 0.0 END) FILTER (refusal), 6) AS refusal_correct, {_share("verdict = 'review'")} AS review_rate,
+  quantile_disc(coalesce(total_s, 0), 0.5) AS median_total_s, quantile_disc(coalesce(rag_s, 0), 0.5) AS median_rag_s, quantile_disc(coalesce(answer_s, 0), 0.5) AS median_answer_s, {_share("rewrite")} AS rewrite_rate, {_share("split")} AS split_rate, {_share("merged")} AS merged_rate FROM cases
 """)
 def multihop_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.multihop_metrics(cases(spark, sf_dir))
@@ -288,21 +304,26 @@ def strategy_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRADED_SQL = """
-answers AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 12 = 0 THEN 'unclear' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict FROM labels),
-facts AS (SELECT doc_id AS case_id, i AS fact_index, CASE (doc_id + i) % 7 WHEN 0 THEN 'contradicted' WHEN 1 THEN NULL ELSE 'supported' END AS result FROM labels, (VALUES (1), (2)) f(i) WHERE doc_id % 4 <> 0),
-claims AS (SELECT doc_id AS case_id, doc_id % 15 = 0 AS mentioned FROM labels WHERE doc_id % 3 = 0),
-graded AS (SELECT case_id, coalesce(f.n, 0) AS facts, coalesce(f.s, 0) AS supported, coalesce(c.m, 0) AS forbidden, CASE WHEN verdict = 'pass' AND (coalesce(f.s, 0) < coalesce(f.n, 0) OR coalesce(c.m, 0) > 0) THEN 'fail' WHEN verdict IN ('pass', 'fail', 'review') THEN verdict ELSE 'review' END AS verdict
-  FROM answers LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (coalesce(result, 'missing') = 'supported') AS s FROM facts GROUP BY 1) f USING (case_id) LEFT JOIN (SELECT case_id, count(*) FILTER (mentioned) AS m FROM claims GROUP BY 1) c USING (case_id))
+answers AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 12 = 0 THEN 'unclear' WHEN quality = 1 THEN ' Pass' ELSE 'fail' END AS verdict, CASE WHEN doc_id % 4 <> 0 THEN 3 ELSE 0 END AS wanted, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS barred FROM labels),
+said AS (SELECT doc_id AS case_id, i AS n, CASE (doc_id + i) % 7 WHEN 0 THEN 'contradicted' WHEN 1 THEN NULL WHEN 2 THEN 'supported' WHEN 3 THEN 'Missing ' ELSE 'met' END AS status FROM labels, (VALUES (1), (3), (4)) f(i) WHERE doc_id % 4 <> 0),
+one AS (SELECT a.case_id, k.i, CASE WHEN lower(trim(s.status)) IN ('met', 'missing', 'contradicted') THEN lower(trim(s.status)) ELSE 'review' END AS status FROM answers a JOIN (SELECT unnest([1, 2, 3]) AS i) k ON k.i <= a.wanted LEFT JOIN said s ON s.case_id = a.case_id AND s.n = k.i),
+f AS (SELECT case_id, count(*) AS facts, count(*) FILTER (status = 'met') AS met, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'contradicted') AS contradicted FROM one GROUP BY 1),
+graded AS (SELECT case_id, coalesce(facts, 0) AS facts, coalesce(met, 0) AS met, coalesce(missing, 0) AS missing, coalesce(contradicted, 0) AS contradicted, CASE WHEN barred > 0 AND case_id % 15 = 0 THEN 1 ELSE 0 END::BIGINT AS forbidden,
+  CASE WHEN lower(trim(verdict)) = 'pass' AND (coalesce(missing, 0) + coalesce(contradicted, 0) > 0 OR (barred > 0 AND case_id % 15 = 0)) THEN 'fail' WHEN lower(trim(verdict)) IN ('pass', 'fail', 'review') THEN lower(trim(verdict)) ELSE 'review' END AS verdict
+  FROM answers LEFT JOIN f USING (case_id))
 """
 
 
 def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as cases of up to three facts, of which a judge speaks of the first and third, and of a fourth that wasn't asked."""
     lab = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "case_id")
-    i = F.col("case_id")
-    answers = lab.select("case_id", F.when(i % 12 == 0, "unclear").when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"))
-    facts = lab.filter(i % 4 != 0).select("case_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("fact_index"))
-    facts = facts.withColumn("result", F.when((i + F.col("fact_index")) % 7 == 0, "contradicted").when((i + F.col("fact_index")) % 7 != 1, "supported"))
-    return evaluate.grade(answers, facts, lab.filter(i % 3 == 0).select("case_id", (i % 15 == 0).alias("mentioned")))
+    i, n = F.col("case_id"), F.col("fact_index")
+    strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    answers = lab.select("case_id", F.when(i % 12 == 0, "unclear").when(F.col("quality") == 1, " Pass").otherwise("fail").alias("verdict"), F.when(i % 4 != 0, strings("a", "b", "c")).otherwise(strings()).alias("expected_facts"), F.when(i % 3 == 0, strings("x", "y")).otherwise(strings()).alias("forbidden_claims"))
+    facts = lab.filter(i % 4 != 0).select("case_id", F.explode(F.array(F.lit(1), F.lit(3), F.lit(4))).alias("fact_index"))
+    facts = facts.withColumn("status", F.when((i + n) % 7 == 0, "contradicted").when((i + n) % 7 == 1, None).when((i + n) % 7 == 2, "supported").when((i + n) % 7 == 3, "Missing ").otherwise("met"))
+    claims = lab.select("case_id", F.lit(2).alias("claim_index"), (i % 15 == 0).alias("mentioned"))
+    return evaluate.grade(answers, facts, claims).drop("statuses")
 
 
 @query("grade_normalise", with_(GRADED_SQL) + "SELECT * FROM graded")

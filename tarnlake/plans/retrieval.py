@@ -132,16 +132,39 @@ def adjacent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.expand_neighbours(c, corpus.leaves(spark, sf_dir, files=corpus.files_of(c))).select("query_id", "rank", "chunk_id", "score", "adjacent_added")
 
 
-@query("adjacent_meta", with_(ADJACENT) + """
-, ids AS (SELECT DISTINCT query_id, chunk_id FROM requested)
-SELECT query_id, 0::BIGINT AS not_leaf, 0::BIGINT AS unparseable, r AS requested, coalesce(p, 0) AS present, coalesce(a, 0) AS added FROM (SELECT query_id, count(*) AS r FROM ids GROUP BY 1)
-LEFT JOIN (SELECT query_id, count(*) AS p FROM ids JOIN cand USING (query_id, chunk_id) GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS a FROM fresh GROUP BY 1) USING (query_id)
+#: Candidates some of which are no leaves, by their id, their level or both.
+MIXED = """,
+mixed AS (SELECT query_id, rank, CASE WHEN query_id % 7 = 0 OR (rank % 5 = 0) THEN parent_chunk_id WHEN rank % 11 = 0 THEN '::p0::l3::1' WHEN rank % 13 = 0 THEN '  ' ELSE chunk_id END AS chunk_id, CASE WHEN rank % 5 = 0 THEN 2 WHEN rank % 6 = 0 THEN NULL WHEN rank % 9 = 0 THEN 1 ELSE 3 END AS chunk_level FROM cand),
+told AS (SELECT *, CASE WHEN NOT regexp_full_match(trim(chunk_id), '.+::p[0-9]+::l3::[0-9]+') THEN 'unparseable_l3_chunk_id' WHEN chunk_level IS NOT NULL AND chunk_level <> 3 THEN 'candidate_not_l3' END AS reason FROM mixed)
+"""
+
+
+def mixed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("rank")
+    name = F.when((F.col("query_id") % 7 == 0) | (r % 5 == 0), F.col("parent_chunk_id")).when(r % 11 == 0, "::p0::l3::1").when(r % 13 == 0, "  ").otherwise(F.col("chunk_id"))
+    level = F.when(r % 5 == 0, 2).when(r % 6 == 0, None).when(r % 9 == 0, 1).otherwise(3)
+    return corpus.candidates(spark, sf_dir).withColumn("chunk_id", name).withColumn("chunk_level", level)
+
+
+@query("adjacent_meta", with_(CANDIDATES + MIXED) + """
+, want AS (SELECT DISTINCT query_id, regexp_extract(chunk_id, '^(.+::)[0-9]+$', 1) || (regexp_extract(chunk_id, '([0-9]+)$', 1)::INT + s.side) AS chunk_id FROM told, (VALUES (-1), (1)) s(side) WHERE reason IS NULL AND regexp_extract(chunk_id, '([0-9]+)$', 1)::INT + s.side >= 0),
+have AS (SELECT DISTINCT query_id, chunk_id FROM mixed),
+n AS (SELECT query_id, count(*) FILTER (reason = 'unparseable_l3_chunk_id') AS unparseable, count(*) FILTER (reason = 'candidate_not_l3') AS not_leaf FROM told GROUP BY 1),
+r AS (SELECT query_id, count(*) AS requested, count(*) FILTER ((query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM have)) AS present, count(*) FILTER ((query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM have) AND chunk_id IN (SELECT chunk_id FROM leaf)) AS added FROM want GROUP BY 1)
+SELECT query_id, unparseable, not_leaf, coalesce(requested, 0) AS requested, coalesce(present, 0) AS present, coalesce(added, 0) AS added,
+  CASE WHEN coalesce(requested, 0) = 0 THEN 'no_parseable_l3_candidates' WHEN unparseable + not_leaf > 0 THEN 'unparseable_l3_candidates_skipped' END AS fallback_reason FROM n LEFT JOIN r USING (query_id)
 """)
 def adjacent_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.candidates(spark, sf_dir)
+    c = mixed_candidates(spark, sf_dir)
     return merging.neighbour_meta(c, corpus.leaves(spark, sf_dir, files=corpus.files_of(c)))
 
 
+@query("adjacent_skips", with_(CANDIDATES + MIXED) + "SELECT query_id, rank AS candidate_index, reason FROM told WHERE reason IS NOT NULL")
+def adjacent_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-13: which candidates asked for nothing, and why."""
+    return merging.neighbour_skips(mixed_candidates(spark, sf_dir))
+
+
 FUSED = LEAF + "," + QUESTIONS + "," + REWRITES + "," + bm25_sql("leaf", "asked", "h1", 24) + "," + bm25_sql("leaf", "rewritten", "h2", 24) + """,
 every AS (SELECT query_id, chunk_id, score, 0 AS list, rank, 'initial' AS source FROM h1 UNION ALL SELECT query_id, chunk_id, score, 1, rank, 'rewritten' FROM h2),
 fused AS (SELECT query_id, chunk_id, max(score) AS score, min(list * 1000 + rank) AS place, count(DISTINCT source) AS n, min(source) AS s FROM every GROUP BY ALL)

@@ -71,7 +71,7 @@ def test_neighbours(spark):
     origins = merging.neighbours(c, chunks).filter("chunk_id LIKE '%::2'").first().asks
     assert [(a.adjacent_to_chunk_id[-1], a.relative_position) for a in origins] == [("1", "next"), ("3", "previous")]
     meta = merging.neighbour_meta(c, chunks).first()
-    assert (meta.not_leaf, meta.unparseable, meta.requested, meta.present, meta.added) == (1, 1, 3, 0, 3)
+    assert (meta.not_leaf, meta.unparseable, meta.requested, meta.present, meta.added, meta.fallback_reason) == (0, 2, 3, 0, 3, "unparseable_l3_candidates_skipped")
 
 
 def test_fusion_and_rerank(spark):
@@ -112,17 +112,19 @@ def test_routes(spark):
 def test_metrics_of_nothing_are_null(spark):
     none = spark.createDataFrame([], "strategy string, best_rank int, latency_ms double, failed boolean, fallback boolean")
     assert evaluate.retrieval_metrics(none, []).first().recall_at_1 is None
-    failed = spark.createDataFrame([("s", 1, 1.0, True, False)], none.schema)
-    got = evaluate.retrieval_metrics(failed, ["strategy"]).first()
-    assert got.cases == 1 and got.failed == 1 and got.recall_at_1 is None
+    one_failed = spark.createDataFrame([("s", 1, 1.0, False, False), ("s", None, 9.0, True, False)], none.schema)
+    got = evaluate.retrieval_metrics(one_failed, ["strategy"]).first()
+    assert (got.cases, got.failed, got.recall_at_1, got.mrr_at_10, got.p95_ms) == (2, 1, 0.5, 0.5, 9.0)
 
 
 def test_grading_and_manifest(spark):
-    answers = spark.createDataFrame([("a", "pass"), ("b", "pass"), ("c", None)], "case_id string, verdict string")
-    facts = spark.createDataFrame([("a", 1, "supported"), ("b", 1, None)], "case_id string, fact_index int, result string")
-    claims = spark.createDataFrame([], "case_id string, mentioned boolean")
-    assert {r.case_id: r.verdict for r in evaluate.grade(answers, facts, claims).collect()} == {"a": "pass", "b": "fail", "c": "review"}
-    ids = answers.select("case_id")
+    answers = spark.createDataFrame([("a", "pass", ["f"], []), ("b", "pass", ["f"], []), ("c", None, [], []), ("d", " PASS", ["f", "g"], []), ("e", "pass", ["f"], ["x"]), ("f", "pass", ["f"], [])], "case_id string, verdict string, expected_facts array<string>, forbidden_claims array<string>")
+    facts = spark.createDataFrame([("a", 1, "met"), ("b", 1, "Missing "), ("d", 2, "met"), ("d", 3, "missing"), ("f", 1, "supported")], "case_id string, fact_index int, status string")
+    claims = spark.createDataFrame([("a", 1, True), ("e", 1, True)], "case_id string, claim_index int, mentioned boolean")
+    out = {r.case_id: r for r in evaluate.grade(answers, facts, claims).collect()}
+    assert {k: r.verdict for k, r in out.items()} == {"a": "pass", "b": "fail", "c": "review", "d": "pass", "e": "fail", "f": "pass"}
+    assert out["d"].statuses == ["review", "met"] and out["f"].statuses == ["review"] and out["e"].forbidden == 1
+    ids = answers.select("case_id").filter("case_id < 'd'")
     assert evaluate.freeze_manifest(ids, ids.limit(0), 3).first().case_count == 3
     with pytest.raises(Exception, match="contract"):
         evaluate.freeze_manifest(ids, ids, 3).collect()

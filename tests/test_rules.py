@@ -286,3 +286,14 @@ def test_search_by_join_and_in_slices(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 640)
     assert key(retrieval.search(index, asked, 7)) == want
     assert retrieval.search(index, asked.filter("query_id = 99"), 7).count() == 0 and retrieval.search(index, asked.limit(0), 7).count() == 0
+
+
+def test_medians_are_values_and_refusals_have_their_own_column(spark):
+    rows = [(False, None, 1.0, "pass", 1.0), (True, True, None, "fail", 3.0), (True, False, None, "pass", 10.0), (True, None, None, None, 2.0)]
+    df = spark.createDataFrame(rows, "refusal boolean, refusal_correct boolean, coverage double, verdict string, total_s double").withColumn("rag_s", F.lit(None).cast("double")).withColumn("answer_s", F.col("total_s"))
+    got = evaluate.multihop_metrics(df.withColumn("rewrite", F.lit(True)).withColumn("split", F.lit(None).cast("boolean")).withColumn("merged", F.lit(False))).first()
+    assert got.median_total_s == 2.0 and got.median_rag_s == 0.0 and got.refusal_correct == round(1 / 3, 6) and got.split_rate == 0.0
+
+
+def test_title_query_keeps_case(spark):
+    assert spark.range(1).select(T.fts_query(F.lit("Foo foo Foo-Bar")).alias("x")).first().x == '"Foo" OR "foo" OR "Bar"'
