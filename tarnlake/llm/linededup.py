@@ -2,14 +2,13 @@
 
 Rows are grouped by site (the host of a page, or what stands for it). For each line the pages of the site that contain
 it are counted and divided by the site's page total; lines above a boilerplate ratio are dropped from every page of
-that site. A page is no evidence against its own lines, and few pages prove little: the share is that of the site's
-other pages, to which ``prior_pages`` pages without the line are added, (n - 1) / (pages - 1 + prior_pages). The rule is
-the same at every size. With ``most_pages`` lines on that many pages go too, however large the site. A line is known
+that site. A line on one page alone repeats nothing and stays. Where few pages shall prove little, ``prior_pages`` pages without
+any line may be added to each site's total. The rule is the same at every size. A line is known
 by its text without blanks at either end; blank lines are neither counted nor dropped. A page counts once for a line
 however often it repeats it.
 
 Only (site, line hash) pairs are shuffled to be counted, summed up before the shuffle. A site's dropped lines are few:
-at most lines per page / ratio, besides those on ``most_pages`` pages. They come back to the pages as one array per
+at most lines per page / ratio. They come back to the pages as one array per
 site; arrays of sites with over a 200th of all pages are broadcast if they are small together and dealt to salted parts of
 the site's pages if not, the others are joined by site. Lines are compared by 64-bit hashes.
 
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from .shared import join_counted, written
 
 RATIO = 0.1
-PRIOR_PAGES = 10
 #: What has no text to be read, elements that begin a line, and other markup (fixed patterns, alike in RE2 and Java).
 UNREAD = r"(?i)<(?:script\b[^>]*>(?s:.*?)</script\s*>|style\b[^>]*>(?s:.*?)</style\s*>|!--(?s:.*?)-->)"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
@@ -47,7 +45,7 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNREAD, ""), BLOCK, "\n"), MARKUP, "")
 
 
-def drop_boilerplate(spark: SparkSession, df: DataFrame, *, site: str | Column = "source", text: str = "text", ratio: float = RATIO, prior_pages: float = PRIOR_PAGES, most_pages: int | None = None) -> DataFrame:
+def drop_boilerplate(spark: SparkSession, df: DataFrame, *, site: str | Column = "source", text: str = "text", ratio: float = RATIO, prior_pages: float = 0) -> DataFrame:
     """``df`` with ``text`` rid of boilerplate lines, and ``lines, dropped long``: how many it had and lost."""
     columns = [c for c in df.columns if c not in ("lines", "dropped")]
     where = (F.col(f"`{site}`") if isinstance(site, str) else site).cast("string")
@@ -58,11 +56,10 @@ def drop_boilerplate(spark: SparkSession, df: DataFrame, *, site: str | Column =
     own = F.array_distinct(F.transform(full, lambda x: F.xxhash64(_line(x))))
     totals = pages.groupBy("site").agg(F.count("*").alias("pages"))
     counts = pages.select("site", F.explode(own).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).filter("n > 1")
-    often = F.col("n") - 1 > ratio * (F.col("pages") - 1 + prior_pages)
-    if most_pages is not None:
-        often |= F.col("n") >= most_pages
+    often = F.col("n") > ratio * (F.col("pages") + prior_pages)
     common = written(spark, counts.join(totals, "site").filter(often).groupBy("site").agg(F.collect_list("line").alias("gone"), F.first("pages").alias("pages")), "boilerplate")
     joined = join_counted(pages, common, ["site"], "pages", df.count(), width=8 * F.size("gone"))
+    joined = joined.withColumn("gone", F.array_intersect("gone", own))  # a page's own among the site's many, by hashing
     kept = F.filter(split, lambda x: (_line(x) == "") | ~F.array_contains("gone", F.xxhash64(_line(x))))
     out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(full)).cast("long")
@@ -88,7 +85,7 @@ WITH read AS (
   ) GROUP BY host, line
 ), common AS (
   SELECT c.host, list(c.line) AS gone FROM counted c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host
-  WHERE (c.n - 1)::DOUBLE > {RATIO}::DOUBLE * (t.pages - 1 + {PRIOR_PAGES}) GROUP BY c.host
+  WHERE c.n > 1 AND c.n::DOUBLE > {RATIO}::DOUBLE * t.pages GROUP BY c.host
 ), marked AS (
   SELECT s.page_id, s.host, s.text, s.ls,
     list_filter(s.ls, lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '') AS held,

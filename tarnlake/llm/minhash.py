@@ -19,7 +19,7 @@ shared folder. Joins by band, family, block and label send keys with over a 200t
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; with fewer than five words the
 whole sequence is the one shingle; rows that share a ``doc_id`` count as one document; rows with a null ``doc_id``
-take no part (null component, kept); repeated rows get equal results; ties fall to the smaller ``doc_id``; an empty table
+take no part (null component, kept); a ``doc_id`` that is no whole number is refused; repeated rows get equal results; ties fall to the smaller ``doc_id``; an empty table
 gives no rows; further columns are ignored or, by :func:`drop_near_copies`, kept.
 """
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import give_back, join_counted, released, written
 
@@ -39,7 +40,9 @@ SHINGLE = 5
 BINS = 256
 #: Probability to miss a pair at the threshold.
 MISSED = 1e-6
-#: A task compares sets of about this many shingles together, and blocks of about so many with pivots or with one another.
+#: A task compares sets of about this many shingles together, and blocks of about so many with pivots or with one another. A text
+#: weighs its distinct shingles, or its bytes by ``SHINGLE_BYTES`` where it repeats itself, as texts travel and not sets.
+SHINGLE_BYTES = 8
 GROUP_SHINGLES = 100_000
 STAR_SHINGLES = 20_000
 PIVOTS = 8
@@ -124,18 +127,22 @@ def bands(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands``: size, digest and band keys of each document's set."""
+    """``doc_id, n_shingles, weight, set_a, set_b, bands``: size, cost, digest and band keys of each document's set."""
     width = band_rows(percent)
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}: number the documents and join their names afterwards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                size, a, b, keys, ends = [], [], [], [], [0]
+                size, weight, a, b, keys, ends = [], [], [], [], [], [0]
                 for text in part.column(1).to_pylist():
                     s = shingles(text, words)
                     size.append(len(s))
+                    weight.append(max(len(s), len(text.encode()) // SHINGLE_BYTES if text else 0))
                     digest = xxhash.xxh3_128_digest(s)
                     a.append(int.from_bytes(digest[:8], "little", signed=True))
                     b.append(int.from_bytes(digest[8:], "little", signed=True))
@@ -144,9 +151,9 @@ def features(docs: DataFrame, percent: int = 85) -> DataFrame:
                     ends.append(len(keys) * (BINS // width))
                 flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(weight, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "weight", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_shingles long, weight long, set_a long, set_b long, bands array<long>")
 
 
 def connecting_links(sets: list[np.ndarray], percent: int, known: list[int | None] | None = None) -> list[tuple[int, int]]:
@@ -291,7 +298,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     rows = feats.count()
     # equal sets: the smallest doc_id stands for all
     groups = written(spark, feats.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
-    keys = feats.join(groups.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    keys = feats.join(groups.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("weight").alias("n"), F.explode("bands").alias("band"))
     shared_bands = keys.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("head")).filter("size > 1")
     members = written(spark, join_counted(keys, shared_bands, ["band"], "size", rows * (BINS // band_rows(percent)), "inner").distinct(), "members")
     family = components(spark, members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tarnlake.llm import langid
 from tarnlake.llm.shared import written
 
 from .test_llm import plain_components, plain_targets
@@ -19,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = source = spark.read.parquet(f"{SF}/documents.parquet")
     tables = [{r.doc_id: r for r in docs.collect()}]
     rows = [docs.collect()]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -29,14 +31,18 @@ def test_stages(spark):
         docs = written(spark, out, name.replace(" ", "-"))
         rows.append(docs.collect())
         tables.append({r.doc_id: r for r in rows[-1]})
-    # language: only texts without a letter go
-    assert set(tables[1]) == {i for i, r in tables[0].items() if re.search(r"[^\W\d_]", r.text or "")}
+    # language: texts without a letter go, and long ones under half of what held-out texts reach
+    names, prototypes = langid.fit(source.filter(~langid.held_out()))
+    judged = {r.doc_id: r for r in langid.classify(source, names, prototypes).withColumn("held", langid.held_out()).collect()}
+    reached = sorted(r.score for r in judged.values() if r.held and len(r.text or "") >= 100)
+    least = 0.5 * reached[max(0, math.ceil(0.01 * len(reached)) - 1)]
+    assert set(tables[1]) == {i for i, r in judged.items() if re.search(r"[^\W\d_]", r.text or "") and (r.score >= least or len(r.text) < 100)}
     # lines
     pages, having = Counter(r.source for r in rows[1]), defaultdict(int)
     for r in rows[1]:
         for line in {x.strip(" \t\r") for x in r.text.split("\n")} - {""}:
             having[r.source, line] += 1
-    gone = {k for k, n in having.items() if n - 1 > 0.005 * (pages[k[0]] + 1799)}
+    gone = {k for k, n in having.items() if n > 0.005 * (pages[k[0]] + 1800) and n > 1}
     for i, r in tables[1].items():
         kept = [x for x in r.text.split("\n") if (r.source, x.strip(" \t\r")) not in gone]
         if any(x.strip(" \t\r") for x in kept) or r.text == "\n".join(kept):
@@ -68,7 +74,20 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """The run's rows are those of the stages one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(spark, stage(spark, docs, SF), name.replace(" ", "-"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert Counter(docs.select(*columns).collect()) == Counter(corpus_pipeline.run(spark, SF).select(*columns).collect())
+
+
+def test_language_rejects_noise(spark):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = "".join(chr(0x4E00 + (i * i) % 5000) for i in range(300))
+    more = spark.createDataFrame([(10_000, noise, None, "s", 300), (10_001, "scum!! " * 60, None, "s", 420)], source.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, source.unionByName(more), SF).select("doc_id").collect()}
+    assert 10_000 not in kept and len(kept) > 180
 
 
 def test_lines_of_a_large_source(spark):
