@@ -20,26 +20,31 @@ from pyspark.sql import functions as F
 from tarnlake.llm import langid, linededup, minhash, mixing, packing
 from tarnlake.llm.shared import new_folder, remove, scratch
 
-#: A document's source stands for its site, as documents have no URL. Boilerplate is a line on over this share of a source's other
-#: documents, counting so many more without it, or on ``LINE_PAGES``. A source holds far more than one site's pages, so the share is
+#: A document's source stands for its site, as documents have no URL. Boilerplate is a line on over this share of a source's
+#: documents, counting so many more without it. A source holds far more than one site's pages, so the share is
 #: lower than op6's and more evidence is asked for (11 documents of a small source).
 LINE_RATIO = 0.005
 LINE_PRIOR = 1800
-LINE_PAGES = 1000
 
-#: A text of so many characters whose best cosine is below this is in no learned language. The cosine of unrelated vectors of 1024
-#: signs strays by 1/32, so this is three times that; in shorter texts it says too little.
-LEAST_SCORE = 0.094
+#: A text in no learned language has a score below half of what all but one in a hundred held-out labelled texts reach. Texts
+#: of fewer characters have too few trigrams for their cosine to say anything, and stay.
+SCORE_QUANTILE = 0.01
+SCORE_SHARE = 0.5
 SCORED_CHARS = 100
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts, texts without a letter and long ones unlike every learned language.
 
-    Where nothing was learned, every text with a letter stays.
+    The least score is found on all labelled documents that the prototypes were not fitted on. Where nothing was learned, every
+    text with a letter stays.
     """
     names, prototypes = langid.fit(docs.filter(~langid.held_out()))
-    least = LEAST_SCORE if names else 0.0
+    least = 0.0
+    if names:
+        tried = docs.filter(langid.held_out() & F.col("lang").isNotNull() & (F.length("text") >= SCORED_CHARS))
+        reached = langid.classify(tried, names, prototypes, keep=[]).agg(F.percentile_approx("score", SCORE_QUANTILE, 10_000)).first()[0]
+        least = SCORE_SHARE * (reached or 0.0)
     if not names:  # one language unlike every text: a letter decides
         names, prototypes = ["any"], np.zeros((1, langid.DIMENSIONS), np.float32)
     like = (F.col("score") >= least) | (F.length("text") < SCORED_CHARS)
@@ -48,7 +53,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their source's boilerplate lines; a text of nothing else goes."""
-    out = linededup.drop_boilerplate(spark, docs, ratio=LINE_RATIO, prior_pages=LINE_PRIOR, most_pages=LINE_PAGES).filter("dropped = 0 OR dropped < lines")
+    out = linededup.drop_boilerplate(spark, docs, ratio=LINE_RATIO, prior_pages=LINE_PRIOR).filter("dropped = 0 OR dropped < lines")
     return out.withColumn("n_chars", F.when(F.col("dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
