@@ -864,4 +864,4 @@ def test_ids_that_are_no_numbers_are_refused(spark):
 def test_repetitive_texts_weigh_their_bytes(spark):
     rows = [(k, " ".join(f"w{k}{i % 6}" for i in range(30_000)), "s") for k in range(3)]
     out = minhash.features(documents(spark, rows)).collect()
-    assert all(r.n_shingles == 6 and r.weight > 15_000 for r in out)
+    assert all(r.n_shingles == 6 and r.weight > 14_000 for r in out)
