@@ -7,9 +7,9 @@ row at most and slots have no gaps.
 
 The number of buckets follows the bytes of all columns, hence a bucket fits in memory at any scale, and the records
 travel once. Equal texts, hot sources and hot keys do not meet in a bucket because the hash covers every column, maps by
-their JSON form. Within a bucket rows are put in the order of that hash before they are permuted, and a bucket is a partition of
-its own whose number seeds the permutation: the same rows get the same places however they were partitioned before, and a task that
-runs again gives what it gave.
+their JSON form. Within a bucket rows are put in the order of that hash before they are permuted, and buckets that share a partition
+are permuted in the order of their numbers: the same rows get the same places however they were partitioned before, and a task
+that runs again gives what it gave.
 
 Defined cases: null columns are hashed as nulls and kept; an empty or null text has size 1; columns of any type, maps
 and structures included, travel along; rows equal in every column share a bucket but keep a slot each, and are the only
@@ -62,8 +62,9 @@ def external_shuffle(spark: SparkSession, df: DataFrame, *, shards: int, seed: i
     starts = sums_before(sizes, "bucket", "count").select("bucket", F.col("before").alias("first"))
     # pass two: gather a bucket, put it in the order of the marks, permute it, deal it out
     by_mark = lambda a, b: F.when(a["mark"] < b["mark"], -1).when(a["mark"] > b["mark"], 1).otherwise(0)
-    gathered = marked.repartitionById(n, F.col("bucket").cast("int")).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("mark", "row")), by_mark).alias("rows"))
-    permuted = gathered.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))  # the seed is taken together with the partition's number
+    gathered = marked.repartition(n, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("mark", "row")), by_mark).alias("rows"))
+    # draws depend on the seed, the partition's number and what was drawn there before, so buckets of a partition come in order
+    permuted = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
     permuted = permuted.join(F.broadcast(starts) if n <= BROADCAST_BUCKETS else starts, "bucket")
     dealt = permuted.select("first", F.posexplode("rows").alias("place", "it"))
     at = F.col("first") + F.col("place")
