@@ -6,7 +6,6 @@ Every list is a table with ``query_id`` and a dense ``rank`` from 1; orders end
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tarnlake.config import BROADCAST_BYTES, BROADCAST_ROWS
 from tarnlake.functions.text import blank_to_null, tokens
-from tarnlake.storage import stored
+from tarnlake.operators.inverted import K1, B, Index, build_index, open_index, search
 
-K1, B = 1.2, 0.75
+__all__ = ["B", "Index", "K1", "build_index", "open_index", "search"]
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS, width: int | None = None) -> DataFrame:
@@ -44,99 +43,6 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """A searchable form of chunks: what each of its terms adds to a chunk's score.
-
-    ``chunks``: chunk_no, terms (term numbers), impacts; a chunk is a row, so it is never split. ``terms``: term, term_no.
-    ``names``: chunk_id, chunk_no; numbers are in the order of ids, so ties by number are ties by id.
-    """
-
-    chunks: DataFrame
-    terms: DataFrame
-    names: DataFrame
-
-
-def impacts(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, impact``: a posting's part of an Okapi score; statistics cover all of ``chunks``. Texts are cut into terms once."""
-    found = stored(chunks.sparkSession, postings(chunks), "postings")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = chunks.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
-    stats = found.agg(F.sum("tf").alias("tokens")).crossJoin(sizes).select("n", (F.col("tokens") / F.col("texts")).alias("avgdl"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", (idf * weight).alias("impact"))
-
-
-def build_index(chunks: DataFrame, path: str) -> None:
-    """SNK-01: write an index of ``chunk_id, text`` rows; ids must be unique."""
-    spark = chunks.sparkSession
-    ordered = chunks.select("chunk_id").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
-    ordered.withColumn("chunk_no", F.monotonically_increasing_id()).write.parquet(f"{path}/names")
-    weighed = stored(spark, impacts(chunks), "impacts")
-    weighed.select("term").distinct().withColumn("term_no", F.monotonically_increasing_id()).write.parquet(f"{path}/terms")
-    index = open_index(spark, path, chunks=False)
-    one = F.struct("term_no", "impact")
-    held = weighed.join(index.terms, "term").groupBy("chunk_id").agg(F.collect_list(one).alias("l")).join(index.names, "chunk_id")
-    held.select("chunk_no", F.col("l.term_no").alias("terms"), F.col("l.impact").alias("impacts")).write.parquet(f"{path}/chunks")
-
-
-def open_index(spark: SparkSession, path: str, chunks: bool = True) -> Index:
-    table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Index(table("chunks", "chunk_no long, terms array<long>, impacts array<double>") if chunks else None, table("terms", "term string, term_no long"), table("names", "chunk_id string, chunk_no long"))
-
-
-#: Scores that a task holds at a time: queries times chunks.
-SCORES = 4_000_000
-
-
-def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """RT-02 over a stored index: every chunk's impacts are added up for all queries at once, and each batch of chunks returns its best.
-
-    The queries' terms go to the chunks, as numbers, if they take at most ``BROADCAST_BYTES``; more are joined with the
-    chunks' terms and added up by query and chunk.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(index.terms, "term").select("query_id", "term_no")
-    kind = dict(asked.dtypes)["query_id"]
-    most = BROADCAST_BYTES // 64
-    if asked.limit(most + 1).count() > most:
-        parts = index.chunks.select("chunk_no", F.explode(F.arrays_zip("terms", "impacts")).alias("p")).select("chunk_no", F.col("p.terms").alias("term_no"), F.col("p.impacts").alias("impact"))
-        scored = parts.join(asked, "term_no").groupBy("query_id", "chunk_no").agg(F.round(F.sum("impact"), 6).alias("score"))
-        return _named(index, scored, k)
-    held = asked.toArrow()
-    names, who = np.unique(held.column("query_id").to_numpy(), return_inverse=True)
-    numbers = held.column("term_no").to_numpy()
-    order = np.argsort(numbers, kind="stable")
-    terms, begins = np.unique(numbers[order], return_index=True)
-    who, ends = who[order], np.append(begins[1:], len(numbers))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows if len(terms) else 0, step := max(1, SCORES // max(len(names), 1))):
-                b = whole.slice(at, step)
-                n = b.num_rows
-                number, impact = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
-                chunk = np.repeat(np.arange(n), np.diff(b.column(1).offsets.to_numpy()))
-                place = np.minimum(np.searchsorted(terms, number), len(terms) - 1)
-                hit = np.flatnonzero(terms[place] == number)
-                place = place[hit]
-                count = ends[place] - begins[place]
-                each = np.repeat(np.arange(len(hit)), count)
-                query = who[np.arange(len(each)) - np.repeat(np.cumsum(count) - count - begins[place], count)]
-                score = np.round(np.bincount(query * n + chunk[hit][each], impact[hit][each], len(names) * n), 6).reshape(len(names), n)
-                least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(names))
-                q, c = np.nonzero((score >= least[:, None]) & (score > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), b.column(0).take(pa.array(c)), pa.array(score[q, c])], ["query_id", "chunk_no", "score"])
-
-    return _named(index, index.chunks.mapInArrow(best, f"query_id {kind}, chunk_no long, score double"), k)
-
-
-def _named(index: Index, scored: DataFrame, k: int) -> DataFrame:
-    """The best chunks by number, with their ids."""
-    best = top_k(scored.withColumnRenamed("chunk_no", "chunk_id"), k).withColumnRenamed("chunk_id", "chunk_no")
-    return index.names.join(best, "chunk_no").select("query_id", "chunk_id", "score", "rank")
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """RT-02 without a stored index: Okapi BM25 over distinct query terms; statistics cover all of ``chunks``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake import storage
-from tarnlake.operators import retrieval
+from tarnlake.operators import inverted, retrieval
 from tarnlake.plans.registry import questions, table
 
 PER_BLOCK = 4
@@ -71,9 +71,9 @@ def texts_of(spark: SparkSession, sf_dir: str, level: int) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str, of: str) -> retrieval.Index:
-    """The stored index of ``documents`` or of their ``leaves``, built once by an application and searched by every query.
+    """The stored index of ``documents`` or of their ``leaves``, built once for each state of the documents and searched by every query.
 
-    It is built anew when the documents change.
+    It stays in the shared folder, where another application finds it.
     """
     docs = table(spark, sf_dir, "documents")
 
@@ -82,8 +82,7 @@ def index(spark: SparkSession, sf_dir: str, of: str) -> retrieval.Index:
             return docs.select(F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text")
         return leaves(spark, sf_dir).select("chunk_id", "text")
 
-    path = storage.built_once(spark, f"index-{of}", storage.version_of(docs), lambda at: retrieval.build_index(rows(), at))
-    return retrieval.open_index(spark, path)
+    return inverted.kept_index(spark, f"index-{of}", storage.version_of(docs), rows)
 
 
 def as_candidates(hits: DataFrame) -> DataFrame:

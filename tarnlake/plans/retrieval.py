@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake import storage
 from tarnlake.functions import text as T
-from tarnlake.operators import merging, retrieval
+from tarnlake.operators import inverted, merging, retrieval
 from tarnlake.plans import corpus
 from tarnlake.plans.registry import CANDIDATES, CHUNKS, LEAF, QUESTIONS, TOKEN_SQL, bm25_sql, merge_sql, query, questions, table, with_
 
@@ -43,6 +43,34 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(corpus.index(spark, sf_dir, "documents"), questions(spark, sf_dir), 10).select("query_id", "rank", "chunk_id", "score")
 
 
+#: Documents that are left when every seventh is deleted.
+LEFT_CORPUS = "corpus AS (SELECT 'd' || doc_id AS chunk_id, text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+def segmented_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    """Documents in three ingests, the second and third with some of what is there already, and every seventh deleted between them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("chunk_id"), "text")
+    i = F.col("doc_id")
+    index = inverted.open_index(spark, storage.new_folder(spark, "segments"))
+    index = inverted.ingest(index, docs.filter(i % 3 == 0))
+    index = inverted.ingest(index, docs.filter(i % 3 <= 1))
+    index = inverted.delete(index, docs.filter(i % 7 == 3))
+    index = inverted.ingest(index, docs.filter((i % 3 == 2) | (i % 7 == 4)))
+    return inverted.delete(index, docs.filter(i % 7 == 3))
+
+
+@query("segmented_bm25", with_(LEFT_CORPUS, QUESTIONS, bm25_sql("corpus", "asked", "hits", 10)) + "SELECT query_id, rank, chunk_id, score FROM hits")
+def segmented_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02, SNK-05, SM-10: an index that grew by segments and lost chunks answers like one built of what is left."""
+    return retrieval.search(segmented_index(spark, sf_dir), questions(spark, sf_dir), 10).select("query_id", "rank", "chunk_id", "score")
+
+
+@query("compacted_bm25", with_(LEFT_CORPUS, QUESTIONS, bm25_sql("corpus", "asked", "hits", 10)) + "SELECT query_id, rank, chunk_id, score FROM hits")
+def compacted_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-05: the same when its segments have been made one."""
+    return retrieval.search(inverted.compact(segmented_index(spark, sf_dir)), questions(spark, sf_dir), 10).select("query_id", "rank", "chunk_id", "score")
+
+
 DENSE_SQL = """
 dense AS (SELECT query_id, chunk_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (

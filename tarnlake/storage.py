@@ -7,7 +7,6 @@ import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,16 +79,3 @@ def spark_files(df: DataFrame) -> list[str]:
         s = path.getFileSystem(conf).getFileStatus(path)
         out.append(f"{name} {s.getLen()} {s.getModificationTime()}")
     return out
-
-
-_BUILT: dict[str, str] = {}
-
-
-def built_once(spark: SparkSession, name: str, version: str, build: Callable[[str], None]) -> str:
-    """Path of what ``build(path)`` writes, built once by an application for each version of its sources."""
-    key = f"{spark.sparkContext.applicationId}-{name}-{version}"
-    if key not in _BUILT:
-        path = new_folder(spark, f"{name}-{version}")
-        build(path)
-        _BUILT[key] = path
-    return _BUILT[key]
