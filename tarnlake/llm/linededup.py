@@ -59,7 +59,6 @@ def drop_boilerplate(spark: SparkSession, df: DataFrame, *, site: str | Column =
     often = F.col("n") > ratio * (F.col("pages") + prior_pages)
     common = written(spark, counts.join(totals, "site").filter(often).groupBy("site").agg(F.collect_list("line").alias("gone"), F.first("pages").alias("pages")), "boilerplate")
     joined = join_counted(pages, common, ["site"], "pages", df.count(), width=8 * F.size("gone"))
-    joined = joined.withColumn("gone", F.array_intersect("gone", own))  # a page's own among the site's many, by hashing
     kept = F.filter(split, lambda x: (_line(x) == "") | ~F.array_contains("gone", F.xxhash64(_line(x))))
     out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(full)).cast("long")
