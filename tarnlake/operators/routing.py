@@ -250,11 +250,11 @@ def pause(results: DataFrame) -> DataFrame:
 def resume(pending: DataFrame, replies: DataFrame) -> DataFrame:
     """SM-08: paused questions with a person's reply (session_id, reply), ready to be searched again.
 
-    The rewrite budget goes on where it stopped; neither the complexity nor the sub-questions are worked out anew. Blank replies
-    resume nothing.
+    The rewrite budget goes on where it stopped; neither the complexity nor the sub-questions are worked out anew. A blank reply
+    searches the old question once more.
     """
     reply = F.btrim("reply")
-    got = pending.join(replies.filter(reply != ""), "session_id")
+    got = pending.join(replies.filter("reply IS NOT NULL"), "session_id")
     return got.select(
         "session_id", refined_question(F.col("original_question"), F.col("reply")).alias("query"), "rewrites", "complexity", "complexity_reason", "sub_questions", F.array_append("answers", reply).alias("answers"),
         F.lit(True).alias("hitl_resumed"), F.col("reply").alias("hitl_answer"), F.col("status").alias("hitl_resume_from_status"), F.col("route").alias("hitl_resume_from_route"),

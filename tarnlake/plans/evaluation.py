@@ -177,11 +177,12 @@ def paused_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("resumed_questions", with_(PAUSED_SQL) + """
 SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END || '：' || question AS query, turn % 2 AS rewrites, [CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END] AS answers, status AS hitl_resume_from_status FROM p
 WHERE status IN ('needs_clarification', 'needs_scope_selection') AND session_id % 5 <> 0 AND NOT contains(question, CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END)
+UNION ALL SELECT session_id, question, turn % 2, [''], status FROM p WHERE status IN ('needs_clarification', 'needs_scope_selection') AND session_id % 5 = 0
 UNION ALL SELECT session_id, question, turn % 2, [CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END], status FROM p
 WHERE status IN ('needs_clarification', 'needs_scope_selection') AND session_id % 5 <> 0 AND contains(question, CASE WHEN session_id % 3 = 0 THEN 'the' ELSE 'item ' || session_id END)
 """)
 def resumed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM-08: blank replies (every fifth session) resume nothing, the rewrite budget is inherited."""
+    """SM-08: blank replies (every fifth session) search the old question again, the rewrite budget is inherited."""
     runs = _runs(spark, sf_dir)
     i = F.col("session_id")
     replies = runs.select("session_id").distinct().withColumn("reply", F.when(i % 5 == 0, "  ").when(i % 3 == 0, " the ").otherwise(F.concat(F.lit("item "), i.cast("string"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions import text as T
 from tarnlake.operators import sessions
 from tarnlake.plans.registry import query, table
-from tarnlake.streaming import views
+from tarnlake.streaming import state, views
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +97,13 @@ def paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs_of(table(spark, sf_dir, "events"))
+
+
+def jobs_of(events: DataFrame) -> DataFrame:
     e = F.col("event_type")
-    state = F.when(e == "error", "failed").when(e == "purchase", "completed").when(e == "signup", "pending").otherwise("running")
-    return table(spark, sf_dir, "events").select((F.col("event_id") % 997).alias("job_id"), F.col("event_id").alias("seq"), state.alias("state"), (F.col("value") * 3 - 20).alias("percent"))
+    at = F.when(e == "error", "failed").when(e == "purchase", "completed").when(e == "signup", "pending").otherwise("running")
+    return events.select((F.col("event_id") % 997).alias("job_id"), F.col("event_id").alias("seq"), at.alias("state"), (F.col("value") * 3 - 20).alias("percent"))
 
 
 @query("job_state", """
@@ -142,5 +146,52 @@ def stream_windows_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(views.drained(spark, views.windowed(event_stream(spark, sf_dir), F.session_window("ts", "30 minutes"))))
 
 
+@query("stream_job_state", """
+WITH j AS (SELECT event_id % 997 AS job_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'pending' ELSE 'running' END AS state, value * 3 - 20 AS percent FROM events)
+SELECT job_id, coalesce(arg_min(state, seq) FILTER (state IN ('failed', 'completed')), arg_max(state, seq)) AS state, arg_max(least(greatest(percent, 0.0), 100.0), seq) AS percent, count(*) AS events FROM j GROUP BY job_id
+""")
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-02: job states in keyed state, as a table of each job's newest row."""
+    state.configured(spark)
+    return views.drained(spark, state.job_states(jobs_of(event_stream(spark, sf_dir))), "update", ["job_id"])
+
+
+@query("stream_cache_lookups", """
+WITH w AS (SELECT user_id AS key, event_id, ts, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN '' ELSE 'v' || event_id END AS value FROM events WHERE user_id IS NOT NULL AND event_id % 2 = 0), w1 AS (SELECT key, ts, arg_max(value, event_id) AS value, arg_max(value IS NULL, event_id) AS gone FROM w GROUP BY ALL),
+r AS (SELECT user_id AS key, event_id AS seq, ts FROM events WHERE user_id IS NOT NULL AND event_id % 2 = 1)
+SELECT r.key, r.seq, CASE WHEN w1.ts IS NOT NULL AND epoch_us(r.ts) - epoch_us(w1.ts) < 7200000000 AND NOT gone AND value <> '' THEN value END AS value FROM r ASOF LEFT JOIN w1 ON r.key = w1.key AND r.ts >= w1.ts
+""")
+def stream_cache_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-04: writes and reads as one stream, writes in list state until a timer takes them."""
+    state.configured(spark)
+    e = event_stream(spark, sf_dir).filter("user_id IS NOT NULL")
+    value = F.when(F.col("event_type") == "error", None).when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("v"), F.col("event_id").cast("string")))
+    return views.drained(spark, state.cache_lookups(e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 2 == 1).alias("asks"), value.alias("value")), 7200), "append")
+
+
+@query("stream_paced_calls")
+def stream_paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-03: the calls of :func:`paced_calls` as a stream; the tests hold it against the batch, which is held against a plain loop."""
+    state.configured(spark)
+    calls = event_stream(spark, sf_dir).filter("user_id IS NOT NULL").select("user_id", F.col("event_id").alias("seq"), "ts", F.col("value").alias("tokens"))
+    return views.drained(spark, state.paced(calls, "user_id", 6 * 3600.0, 3, 60.0), "append")
+
+
+@query("stream_resumed", """
+WITH e AS (SELECT *, max(ts) OVER () - INTERVAL 12 HOUR AS settled FROM events WHERE user_id IS NOT NULL),
+p AS (SELECT user_id AS session_id, event_id AS pause_id, ts FROM e WHERE event_type IN ('error', 'signup') AND ts < settled),
+r AS (SELECT user_id AS session_id, ts, 'reply ' || event_id AS reply FROM e WHERE event_type = 'click')
+SELECT p.session_id, p.pause_id, arg_min(r.reply, r.ts) AS reply, CASE WHEN count(r.ts) > 0 THEN 'resumed' ELSE 'timed_out' END AS outcome FROM p LEFT JOIN r ON p.session_id = r.session_id AND r.ts > p.ts AND r.ts <= p.ts + INTERVAL 6 HOUR GROUP BY ALL
+""")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-08: pauses meet replies of the next six hours; those without time out. Pauses of the last twelve hours may still wait and are left out."""
+    e = event_stream(spark, sf_dir).filter("user_id IS NOT NULL")
+    pauses = e.filter(F.col("event_type").isin("error", "signup")).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("pause_id"), "ts")
+    replies = e.filter("event_type = 'click'").select(F.col("user_id").alias("session_id"), "ts", F.concat(F.lit("reply "), F.col("event_id").cast("string")).alias("reply"))
+    found = state.first_replies(views.drained(spark, state.resumed(pauses, replies, "6 hours"), "append"))
+    newest = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 12 HOURS")).alias("settled"))
+    return found.crossJoin(newest).filter("paused_at < settled").select("session_id", "pause_id", "reply", "outcome")
+
+
 def _naive(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

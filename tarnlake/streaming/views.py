@@ -1,13 +1,15 @@
-"""Structured Streaming views (section 2.12): windows over events, step clocks, job states, document ingestion."""
+"""Structured Streaming views (section 2.12): windows over events, step clocks, document ingestion, streams run into tables."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tarnlake.storage import new_folder
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
@@ -22,12 +24,29 @@ def windowed(events: DataFrame, window: Column, late: str = "10 minutes") -> Dat
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its result table; for bounded checks."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete", key: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there into a table in the shared folder, and read it.
+
+    ``append`` writes rows once. The others write a folder for each micro-batch, a repeated one over itself: with ``complete`` the
+    newest holds the result, with ``update`` of each ``key`` the row of the newest batch that has one.
+    """
+    path, checkpoint = new_folder(spark, "stream-table"), new_folder(spark, "stream-checkpoint")
+    start = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        start.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    last = [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[0] = max(last[0], number)
+
+    start.foreachBatch(write).start().awaitTermination()
+    if mode == "complete" or last[0] < 0:
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}") if last[0] >= 0 else spark.createDataFrame([], stream.schema)
+    every = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+    rest = [c for c in stream.columns if c not in key]
+    return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(*key, "__row.*").select(*stream.columns)
 
 
 def step_clock(steps: DataFrame) -> DataFrame:
@@ -54,13 +73,6 @@ def step_clock(steps: DataFrame) -> DataFrame:
     return steps.withWatermark("ts", "10 minutes").groupBy("request_id").applyInPandasWithState(clock, f"request_id {kind}, seq long, elapsed_ms long, stage_elapsed_ms long", "first long, last long", "append", "EventTimeTimeout")
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """SM-02 as a stream (update mode): final states absorb what comes later."""
-    from tarnlake.operators.sessions import job_state
-
-    return job_state(events)
-
-
 def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """SM-05, SM-10: each micro-batch of documents is chunked and appended under its batch number as version; readers take the newest valid version."""
 

@@ -54,7 +54,8 @@ def test_pause_and_resume(spark):
     pending = {r.session_id: r for r in routing.pause(runs).collect()}
     assert set(pending) == {1, 2} and (pending[2].status, pending[2].options, pending[2].rewrites, pending[1].prompt) == ("needs_scope_selection", ["x"], 0, "")
     got = {r.session_id: r for r in routing.resume(routing.pause(runs), spark.createDataFrame([(1, " plan A "), (2, "  "), (9, "x")], "session_id int, reply string")).collect()}
-    assert set(got) == {1} and (got[1].query, got[1].rewrites, got[1].complexity, got[1].sub_questions, got[1].answers, got[1].hitl_resume_from_route) == ("plan A：limit?", 1, "complex", ["a"], ["plan A"], "clarify")
+    assert set(got) == {1, 2} and got[2].answers == ["old", ""] and got[2].query == "which"
+    assert (got[1].query, got[1].rewrites, got[1].complexity, got[1].sub_questions, got[1].answers, got[1].hitl_resume_from_route) == ("plan A：limit?", 1, "complex", ["a"], ["plan A"], "clarify")
 
 
 def test_trace_and_funnel(spark):
