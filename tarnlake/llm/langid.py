@@ -150,8 +150,9 @@ def fit(labelled: DataFrame, *, train_rows: int = TRAIN_ROWS, dimensions: int =
 def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray, *, keep: Sequence[str] | None = None, seed: int = 5) -> DataFrame:
     """``docs`` (its ``keep`` columns, or all) with ``lang_pred string, score double``."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    inner = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:])
+    # a text that is kept travels once
+    inner = docs.select(*[F.col("text").alias("__text")] * ("text" not in keep), *[F.col(f"`{c}`") for c in keep])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields if f.name in keep)
     dimensions = prototypes.shape[1]
 
     def judge(texts: Iterable[str | None], profiler: Profiler) -> tuple[list[str], list[float]]:
@@ -170,10 +171,10 @@ def classify(docs: DataFrame, names: list[str], prototypes: np.ndarray, *, keep:
         for batch in batches:
             pred, score = [], []
             for at in range(0, batch.num_rows, _BLOCK):
-                p, s = judge(batch.column(0).slice(at, _BLOCK).to_pylist(), profiler)
+                p, s = judge(batch.column("text" if "text" in keep else "__text").slice(at, _BLOCK).to_pylist(), profiler)
                 pred += p
                 score += s
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     return inner.mapInArrow(released(run), ", ".join(x for x in (kinds, "lang_pred string, score double") if x))
 
