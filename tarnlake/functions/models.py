@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.snapshots import Store
+from tarnlake.storage import stored
+
 DIMENSIONS = 64
 
 
@@ -99,6 +102,31 @@ def translation_key(text: Column, language: str, model: str = "identity", versio
     return F.sha2(F.concat_ws("\n", F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(language), F.lit(model), F.lit(version)), 256)
 
 
+CACHED = "key string, translation string"
+
+
+def translate_through(texts: DataFrame, path: str, language: str, call: Callable[[DataFrame], DataFrame], model: str = "identity", version: str = PROMPT_VERSION) -> DataFrame:
+    """UD-08: ``texts`` with ``key, translation, cached``, through a cache in ``path`` that keeps what it lacked.
+
+    ``call`` gets the missing texts (key, text), each once however often it is asked for, and gives ``key, translation``; without missing ones it
+    is not called. What it gives is written before it is read, so a model is asked once, and committed as an addition: several
+    writers may add at a time, and of two translations of one key the smaller one counts for every reader. A null text has none.
+    """
+    spark = texts.sparkSession
+    store = Store(spark, path)
+    snapshot = store.snapshot()
+    held = lambda s: store.read(s, "translations", "t", CACHED).groupBy("key").agg(F.min("translation").alias("translation"))
+    asked = texts.withColumn("key", translation_key(F.col("text"), language, model, version))
+    known = held(snapshot)
+    missing = asked.filter("text IS NOT NULL").groupBy("key").agg(F.min("text").alias("text")).join(known.select("key"), "key", "left_anti")
+    missing = stored(spark, missing, "missing")
+    if not missing.isEmpty():
+        name, note = store.stage(lambda at: call(missing).select("key", "translation").write.parquet(f"{at}/t"), "translations")
+        snapshot = store.commit(snapshot, {name: note}, again=8)
+    before = known.select("key", F.lit(True).alias("__was"))
+    return asked.join(held(snapshot), "key", "left").join(before, "key", "left").withColumn("cached", F.col("text").isNotNull() & F.coalesce("__was", F.lit(False))).withColumn("translation", F.when(F.col("text").isNotNull(), F.col("translation"))).drop("__was")
+
+
 def translate(texts: DataFrame, cache: DataFrame, language: str, model: str = "identity", version: str = PROMPT_VERSION) -> DataFrame:
     """UD-08: ``text, key, translation, cached``: from the cache (key, translation) by content and settings; what is missing goes to the stand-in, which leaves it as it is.
 

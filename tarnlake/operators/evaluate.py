@@ -5,12 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.storage import stored
+
 
 def nearest_rank(x: str, p: float) -> Column:
     """AG-03: the value at place ceil(n p); null for none."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").cast("double")
 
 
+#: Rows of a group from which its percentiles are found by narrowing, and buckets of a round.
+SORTED_ROWS = 100_000
+BUCKETS = 4096
+
+
+def _size(x: str) -> Column:
+    """Sign and power of two of a value, as a number that rises with it."""
+    return (F.signum(x) * F.when(F.col(x) == 0, 0).otherwise(F.floor(F.log2(F.abs(x))) + 1100)).cast("long")
+
+
+def large_percentiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
+    """AG-03 for groups of any size: ``by, share, value``, the value at place ceil(n p) of each group; groups without values are left out.
+
+    Each round counts the values of the interval that the place lies in by parts of it, before the shuffle, and goes on
+    with the part where it lies, from its least to its greatest value: parts are first the values of one sign and power of two, then
+    equal ones, so half a dozen rounds are the most. What is left of a group is sorted when it has ``SORTED_ROWS``
+    rows at most, and not at all when it is one value. Only groups above that are looked at again.
+    """
+    spark = df.sparkSession
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.select(*[F.struct(F.col(f"`{b}`").alias("v")).alias(k) for b, k in zip(by, keys, strict=True)], F.col(f"`{column}`").cast("double").alias("__x")).filter("__x IS NOT NULL")
+    total = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).filter("__n > 0")
+    place = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("share"), F.greatest(F.ceil(F.col("__n") * F.lit(float(p))), F.lit(1)).cast("long").alias("rank")) for p in shares]))
+    at = total.withColumn("__p", place).select(*keys, "__n", "__lo", "__hi", F.col("__p.share").alias("__share"), F.col("__p.rank").alias("__rank"))
+    at = stored(spark, at, "percentile-intervals")
+    met = lambda state: rows.join(state, keys) if keys else rows.crossJoin(F.broadcast(state))  # noqa: E731  without groups a row for each share
+    while not (wide := at.filter(f"__n > {SORTED_ROWS} AND __lo < __hi")).isEmpty():
+        inside = met(wide).filter("__x BETWEEN __lo AND __hi")
+        within = F.try_divide(F.col("__x") / 2 - F.col("__lo") / 2, F.col("__hi") / 2 - F.col("__lo") / 2)  # halves, as the width may have no double
+        even = F.coalesce(F.least(F.floor(within * BUCKETS), F.lit(BUCKETS - 1)), (F.col("__x") > F.col("__lo")).cast("long"))
+        part = F.when(_size("__lo") < _size("__hi"), _size("__x")).otherwise(even).alias("__part")
+        counted = inside.groupBy(*keys, "__share", "__rank", part).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        upto = F.sum("__n").over(Window.partitionBy(*keys, "__share").orderBy("__part"))
+        chosen = counted.withColumn("__upto", upto).filter("__rank <= __upto AND __rank > __upto - __n").withColumn("__rank", F.col("__rank") - (F.col("__upto") - F.col("__n")))
+        at = stored(spark, at.filter(f"NOT (__n > {SORTED_ROWS} AND __lo < __hi)").unionByName(chosen.select(*at.columns)), "percentile-intervals")
+    same = at.filter("__lo = __hi").withColumn("value", F.col("__lo"))
+    few = met(at.filter("__lo < __hi")).filter("__x BETWEEN __lo AND __hi").groupBy(*keys, "__share").agg(F.element_at(F.sort_array(F.collect_list("__x")), F.first("__rank").cast("int")).alias("value"))
+    found = same.select(*keys, "__share", "value").unionByName(few)
+    return found.select(*[F.col(f"{k}.v").alias(b) for b, k in zip(by, keys, strict=True)], F.col("__share").alias("share"), "value")
+
+
 def share(condition: Column) -> Column:
     """Share of rows for which it holds; an unknown one counts as no."""
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
@@ -255,9 +298,10 @@ def funnel(stage_table: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def latency_table(results: DataFrame, columns: list[str]) -> DataFrame:
-    """AG-18: p50 and p95 of each timing column."""
+    """AG-18: p50 and p95 of each timing column, however many rows there are."""
     long = results.unpivot([], columns, "part", "ms")
-    return long.groupBy("part").agg(nearest_rank("ms", 0.5).alias("p50"), nearest_rank("ms", 0.95).alias("p95"), F.count("ms").alias("n"))
+    found = large_percentiles(long, ["part"], "ms", [0.5, 0.95]).groupBy("part").agg(F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("share") == 0.95, F.col("value"))).alias("p95"))
+    return long.groupBy("part").agg(F.count("ms").alias("n")).join(found, "part", "left").select("part", "p50", "p95", "n")
 
 
 def _kept_gold(pool: DataFrame, k: int) -> DataFrame:

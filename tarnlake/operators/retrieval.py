@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tarnlake.config import BROADCAST_BYTES, BROADCAST_ROWS
 from tarnlake.functions.text import blank_to_null, tokens
 from tarnlake.operators.inverted import K1, B, Index, build_index, open_index, search
+from tarnlake.storage import stored
 
 __all__ = ["B", "Index", "K1", "build_index", "open_index", "search"]
 
@@ -145,24 +146,25 @@ def lexical(chunks: DataFrame | Index, queries: DataFrame, k: int) -> DataFrame:
 def retrieve(mode: str, chunks: DataFrame | Index | None, vectors: DataFrame | None, queries: DataFrame, k: int) -> DataFrame:
     """RT-04: dispatch by mode; ``retrieval_mode`` and ``retrieval_error`` say what was done.
 
-    ``hybrid`` whose lexical arm is not there or cannot be planned falls back to dense search alone and keeps the reason, as
+    Each arm runs on its own and its list is written, so an arm that cannot be planned or whose job fails (a lost file, a model
+    that raises) is known before anything is fused. ``hybrid`` whose lexical arm fails falls back to dense search alone and keeps the reason, as
     does a hybrid without vectors to lexical search. What fails as well is told by :func:`failed`.
     """
     if mode not in ("bm25", "dense", "hybrid"):
         raise ValueError(f"no such retrieval mode: {mode}")
     named = lambda df, how, why=None: df.withColumn("retrieval_mode", F.lit(how)).withColumn("retrieval_error", F.lit(why).cast("string"))
+    spark = queries.sparkSession
     try:
         if mode == "bm25":
-            return named(lexical(chunks, queries, k), "bm25")
+            return named(stored(spark, lexical(chunks, queries, k), "arm"), "bm25")
         if mode == "dense":
-            return named(dense(vectors, queries, k), "dense")
+            return named(stored(spark, dense(vectors, queries, k), "arm"), "dense")
     except Exception as e:  # noqa: BLE001  an arm that cannot run is a result, not a crash
         return failed(queries, mode, e)
     arms, why = {}, []
     for name, arm in (("dense", lambda n: dense(vectors, queries, n)), ("bm25", lambda n: lexical(chunks, queries, n))):
         try:
-            arms[name] = arm(2 * k)
-            arms[name].schema  # noqa: B018  plans it
+            arms[name] = stored(spark, arm(2 * k), "arm")
         except Exception as e:  # noqa: BLE001
             why.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:200]}")
     if len(arms) == 2:

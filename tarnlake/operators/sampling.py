@@ -9,6 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnlake.storage import stored
+
+#: Rows of a stratum that are put in order together, about.
+CELL_ROWS = 50_000
+#: Rounds in which cases settle go on while each settles this share of them.
+SETTLED_SHARE = 0.1
+
 
 def hash_rank(seed: str, key: Column) -> Column:
     """First 16 hex digits of a hash: their order as text is their order as 64-bit numbers."""
@@ -29,11 +36,27 @@ def largest_remainder(sizes: DataFrame, total: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, key: str, total: int, seed: str) -> DataFrame:
-    """SL-03, SL-04: in each stratum the quota's rows with the smallest hash rank. Quotas are a handful of rows beside the table."""
+    """SL-03, SL-04: in each stratum the quota's rows with the smallest hash rank. Quotas are a handful of rows beside the table.
+
+    Rows are counted by the first digits of their rank, so many that a stratum has about ``CELL_ROWS`` rows for each; cells below
+    the one in which the quota ends are taken whole, and only that one is put in order.
+    """
     quotas = largest_remainder(df.groupBy(F.col(stratum).alias("key")).agg(F.count("*").alias("n")), total)
-    by = Window.partitionBy(stratum).orderBy(hash_rank(seed, F.col(key)), key)
-    ranked = df.withColumn("__rank", F.row_number().over(by))
-    return ranked.join(quotas.select(F.col("key").alias(stratum), "quota"), stratum).filter("__rank <= quota").drop("__rank", "quota")
+    quotas = stored(df.sparkSession, quotas.select(F.col("key").alias(stratum), "n", "quota"), "quotas")
+    largest = quotas.agg(F.max("n")).first()[0] or 0
+    digits = 1
+    while largest > CELL_ROWS * 16**digits and digits < 15:
+        digits += 1
+    ranked = df.withColumn("__rank", hash_rank(seed, F.col(key))).withColumn("__cell", F.substring("__rank", 1, digits))
+    cells = ranked.groupBy(stratum, "__cell").agg(F.count("*").alias("__rows"))
+    upto = F.sum("__rows").over(Window.partitionBy(stratum).orderBy("__cell"))
+    # a row for each cell up to the quota: how many of its rows are wanted
+    wanted = cells.withColumn("__before", upto - F.col("__rows")).join(quotas.select(stratum, "quota"), stratum).filter("__before < quota")
+    wanted = wanted.select(stratum, "__cell", "__rows", F.least(F.col("quota") - F.col("__before"), F.col("__rows")).alias("__want"))
+    held = ranked.join(wanted, [stratum, "__cell"])
+    by = Window.partitionBy(stratum, "__cell").orderBy("__rank", key)
+    cut = held.filter("__want < __rows").withColumn("__n", F.row_number().over(by)).filter("__n <= __want")
+    return held.filter("__want = __rows").select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def split_cases(cases: DataFrame, kind: str, key: str, quota: int, seed: str) -> DataFrame:
@@ -104,13 +127,34 @@ def hard_negatives(top: DataFrame, per_case: int = 2, excluded: DataFrame | None
     """RT-21: ``case_pos, case_id, rank, doc`` lists in case order; each case takes its first ``per_case`` documents that are not
     ``excluded`` (doc) and that no earlier case took.
 
-    The rule looks at earlier cases only through documents that lists share: cases that hang together through such documents form a
+    Cases settle in rounds: of each document that is not taken the first open case that lists it has the word, and a case whose
+    next documents, as many as it still takes, are its own word each takes them. Rounds go on while they settle a good part of what is open; what is
+    left then hangs together in long chains, where each case waits for the one before. Those that share documents form a
     group, groups are independent, and each is passed through in case order as its rows stream by.
     """
     open_ = top.select("case_pos", "case_id", "rank", "doc")
     if excluded is not None:
         open_ = open_.join(excluded.select("doc").distinct(), "doc", "left_anti")
-    return _settled(open_, per_case)
+    spark, done = top.sparkSession, []
+    open_ = stored(spark, open_, "open-cases")
+    cases = open_.select("case_pos").distinct().count()
+    while cases:
+        first = open_.groupBy("doc").agg(F.min("case_pos").alias("__first"))
+        place = F.row_number().over(Window.partitionBy("case_pos").orderBy("rank"))
+        said = open_.join(first, "doc").withColumn("__place", place).filter(F.col("__place") <= per_case)
+        ready = said.groupBy("case_pos").agg(F.bool_and(F.col("__first") == F.col("case_pos")).alias("__ready")).filter("__ready").select("case_pos")
+        taken = stored(spark, said.join(ready, "case_pos").select("case_pos", "case_id", "doc", F.col("__place").cast("int").alias("place")), "settled-cases")
+        done.append(taken.select("case_id", "doc", "place"))
+        open_ = stored(spark, open_.join(taken.select("case_pos").distinct(), "case_pos", "left_anti").join(taken.select("doc"), "doc", "left_anti").select(*open_.columns), "open-cases")
+        before, cases = cases, open_.select("case_pos").distinct().count()
+        if before - cases < before * SETTLED_SHARE:
+            break
+    if cases:
+        done.append(_settled(open_, per_case))
+    out = done[0] if done else _settled(open_, per_case)
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _settled(lists: DataFrame, per_case: int) -> DataFrame:
@@ -145,17 +189,15 @@ def _settled(lists: DataFrame, per_case: int) -> DataFrame:
 
 def _groups(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, label`` with the smallest node reachable, by taking on smaller labels until none changes.
-
-    Each round is checkpointed where the cluster has a folder for it.
     """
-    both = edges.union(edges.select("b", "a")).toDF("node", "other").distinct().persist()
+    both = stored(spark, edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), "case-edges")
     label = nodes.withColumn("label", F.col("node"))
     while True:
         near = both.join(label.select(F.col("node").alias("other"), F.col("label").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
         low = label.join(near, "node", "left").select("node", F.least("label", "l").alias("low"), "label")
         up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
         new = low.join(up, "low").select("node", F.least("low", "up").alias("label"), F.col("label").alias("was"))
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
+        new = stored(spark, new, "case-labels")
         if new.filter("label <> was").isEmpty():
             return new.select("node", "label")
         label = new.select("node", "label")

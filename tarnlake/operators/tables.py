@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,12 @@ def append_missing(target: DataFrame, new: DataFrame, key: str = "chunk_id") ->
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
-    """SNK-03: the last version of each key, a change before what is there; blank keys are skipped."""
+    """SNK-03: the last version of each key, a change before what is there; blank keys are skipped.
+
+    Of two changes of one version the one with the larger hash of all its columns counts.
+    """
     own = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1))).filter(F.coalesce(F.trim(F.col(key)) != "", F.lit(False)))
-    by = Window.partitionBy(key).orderBy(F.col(version).desc(), F.col("__new").desc())
+    by = Window.partitionBy(key).orderBy(F.col(version).desc(), F.col("__new").desc(), F.xxhash64(*[F.col(f"`{c}`") for c in current.columns]).desc())
     return own.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n", "__new")
 
 
@@ -96,17 +99,61 @@ def drop_run(spark: SparkSession, path: str, run: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _level(start: Column, end: Column) -> Column:
+    """Smallest power of two that a span fits into, as an exponent."""
+    return F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int")
+
+
+def _bin(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _own_bins(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each bin of its own level that a span touches: two at most."""
+    last = F.greatest(F.col(end) - 1, F.col(start))
+    return df.withColumn("__bin", F.explode(F.sequence(_bin(F.col(start), F.col("__level")), _bin(last, F.col("__level")))))
+
+
+def _bins_above(df: DataFrame, levels: list[int], start: str, end: str, strictly: bool) -> DataFrame:
+    """A row for each bin, two at most on each of ``levels``, that a span touches and that is as wide as it or wider."""
+    own = F.col("__level")
+    every = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x > own if strictly else x >= own)
+    wide = df.withColumn("__level", F.explode(every))
+    return _own_bins(wide, start, end)
+
+
 def overlapping_spans(old: DataFrame, new: DataFrame) -> DataFrame:
-    """JN-01: leaves of two chunkings that share characters; the file is an equality key, so only its spans are compared."""
+    """JN-01: leaves of two chunkings that share characters, by bins of powers of two.
+
+    A span lies in one or two bins as wide as itself; a shorter one looks into the one or two bins that it touches on each
+    width that the other side has (63 at most). A pair is found where its later start lies, once. So spans of one file spread over
+    many keys, and what is compared grows with what is found and not with the square of a file.
+    """
+    a = old.select("filename", F.col("chunk_id").alias("old_id"), F.col("start").alias("old_start"), F.col("end").alias("old_end")).withColumn("__level", _level(F.col("old_start"), F.col("old_end")))
+    b = new.select("filename", F.col("chunk_id").alias("new_id"), F.col("start").alias("new_start"), F.col("end").alias("new_end")).withColumn("__level", _level(F.col("new_start"), F.col("new_end")))
+    widths = lambda df: sorted(r[0] for r in df.select("__level").filter("__level IS NOT NULL").distinct().collect())
+    longer_old = _own_bins(a, "old_start", "old_end").join(_bins_above(b, widths(a), "new_start", "new_end", False), ["filename", "__level", "__bin"])
+    longer_new = _bins_above(a, widths(b), "old_start", "old_end", True).join(_own_bins(b, "new_start", "new_end"), ["filename", "__level", "__bin"])
+    both = longer_old.unionByName(longer_new).filter(F.col("__bin") == _bin(F.greatest("old_start", "new_start"), F.col("__level")))
+    return both.filter("new_start < old_end AND new_end > old_start").select("filename", "old_id", "old_start", "old_end", "new_id", "new_start", "new_end")
+
+
+def overlapping_spans_plain(old: DataFrame, new: DataFrame) -> DataFrame:
+    """JN-01 by comparing all spans of a file: for few of them."""
     a = old.select("filename", F.col("chunk_id").alias("old_id"), F.col("start").alias("old_start"), F.col("end").alias("old_end"))
     b = new.select("filename", F.col("chunk_id").alias("new_id"), F.col("start").alias("new_start"), F.col("end").alias("new_end"))
     return a.join(b, "filename").filter("new_start < old_end AND new_end > old_start")
 
 
 def uncontained(atoms: DataFrame, leaves: DataFrame) -> DataFrame:
-    """JN-03: atoms that no single leaf holds."""
-    leaf = leaves.select(F.col("filename").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return atoms.join(leaf, (F.col("filename") == F.col("f")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_anti")
+    """JN-03: atoms that no single leaf holds. A leaf that holds an atom is at least as long and has a bin in which the atom starts."""
+    leaf = leaves.select(F.col("filename").alias("f"), F.col("start").alias("s"), F.col("end").alias("e")).withColumn("__level", _level(F.col("s"), F.col("e")))
+    levels = sorted(r[0] for r in leaf.select("__level").filter("__level IS NOT NULL").distinct().collect())
+    held = _own_bins(leaf, "s", "e").withColumnsRenamed({"__level": "l", "__bin": "b"})
+    places = atoms.select("filename", "start", "end").distinct().withColumn("__own", _level(F.col("start"), F.col("end")))
+    asked = places.withColumn("__level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("__own")))).withColumn("__bin", _bin(F.col("start"), F.col("__level")))
+    inside = asked.join(held, (F.col("filename") == F.col("f")) & (F.col("__level") == F.col("l")) & (F.col("__bin") == F.col("b")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")), "left_semi")
+    return atoms.join(inside.select("filename", "start", "end").distinct(), ["filename", "start", "end"], "left_anti").select(*atoms.columns)
 
 
 def audit(overlaps: DataFrame) -> DataFrame:

@@ -448,6 +448,12 @@ def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.funnel(s, gold(spark, sf_dir).select("query_id", "filename"))
 
 
+@query("value_percentiles", " UNION ALL ".join(f"SELECT event_type, {p}::DOUBLE AS share, quantile_disc(value, {p}) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type" for p in (0.5, 0.95, 0.99)))
+def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-03: percentiles of groups of any size."""
+    return evaluate.large_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
+
+
 @query("latency_table", "SELECT part, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, count(ms) AS n FROM (SELECT unnest(['total', 'rag', 'answer']) AS part, unnest([value, value / 2, value / 4]) AS ms FROM events) GROUP BY part")
 def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("value").alias("total"), (F.col("value") / 2).alias("rag"), (F.col("value") / 4).alias("answer"))
