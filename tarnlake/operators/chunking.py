@@ -26,6 +26,13 @@ def config_hash(config: ChunkingConfig, strategy: str) -> str:
     return hashlib.sha256(json.dumps({"strategy": strategy, "levels": {str(k): list(v) for k, v in config.levels().items()}}, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
 
 
+def config_hash_of(size: Column, overlap: Column, strategy: Column) -> Column:
+    """TX-19 for settings in columns (whole numbers): the hash that :func:`config_hash` gives."""
+    levels = ((1, 2000, 3, 400), (2, 1000, 2, 200), (3, 600, 1, 100))
+    parts = [F.concat(F.lit(f'"{n}":['), F.greatest(F.lit(least), size * k).cast("string"), F.lit(","), F.greatest(F.lit(low), overlap * k).cast("string"), F.lit("]")) for n, least, k, low in levels]
+    return F.sha2(F.concat(F.lit('{"levels":{'), F.concat_ws(",", *parts), F.lit('},"strategy":"'), strategy, F.lit('"}')), 256)
+
+
 @F.pandas_udf(T.StringType())
 def sanitize(text):
     return text.map(split.sanitize, na_action="ignore")

@@ -124,6 +124,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pair, schema), k)
 
 
+def pool_size(top_k: Column, candidate_k: Column, multiplier: int = 3) -> Column:
+    """RT-05 for settings in columns: struct ``pool, source`` as :meth:`tarnlake.config.RetrievalConfig.pool` gives."""
+    told = F.struct(F.greatest(candidate_k, top_k).alias("pool"), F.lit("explicit").alias("source"))
+    return F.when(candidate_k.isNotNull(), told).otherwise(F.struct(F.greatest(top_k * multiplier, top_k).alias("pool"), F.lit("multiplier").alias("source")))
+
+
 def rrf(arms: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """RT-03: sum of 1 / (constant + rank) over ranked arms, by union and grouping."""
     parts = [a.select("query_id", "chunk_id", (1.0 / (constant + F.col("rank"))).alias("part")) for a in arms]

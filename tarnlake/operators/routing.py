@@ -138,9 +138,9 @@ def refined_question(question: Column, reply: Column) -> Column:
     return F.when(q == "", a).when((a == "") | F.contains(q, a), q).otherwise(F.concat(a, F.lit("："), q))
 
 
-def follow_up_allowed(adjacent_run: bool) -> Column:
+def follow_up_allowed(adjacent_run: Column) -> Column:
     """DC-08: runs that expand neighbours neither rewrite nor split questions."""
-    return F.lit(not adjacent_run)
+    return ~F.coalesce(adjacent_run, F.lit(False))
 
 
 def usable_branches(branches: DataFrame) -> DataFrame:

@@ -49,19 +49,17 @@ def split_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.split_faults(s.unionByName(twice).unionByName(unknown), docs, "doc_id")
 
 
-FORMAL = "cases AS (SELECT i AS case_id, CASE WHEN i < 175 THEN 'basic' WHEN i < 300 THEN 'semantic' WHEN i < 340 THEN 'intra_document_reasoning' WHEN i < 380 THEN 'project_related' WHEN i < 410 THEN 'constrained' WHEN i < 430 THEN 'completeness' WHEN i < 450 THEN 'conflicting_info' WHEN i < 470 THEN 'info_not_found' WHEN i < 490 THEN 'miscellaneous' ELSE 'high_level' END AS question_type FROM range(500) r(i))"
-
-
-@query("formal_split", with_(FORMAL) + """
-SELECT case_id, question_type, CASE WHEN row_number() OVER (PARTITION BY question_type ORDER BY substr(sha256('20260813:case:' || case_id), 1, 16), case_id::VARCHAR) <= CASE question_type WHEN 'basic' THEN 105 WHEN 'semantic' THEN 75 WHEN 'intra_document_reasoning' THEN 24 WHEN 'project_related' THEN 24 WHEN 'constrained' THEN 18 WHEN 'high_level' THEN 6 ELSE 12 END THEN 'analysis' ELSE 'validation' END AS split FROM cases
+@query("formal_split", """
+WITH c AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 5 < 2 THEN 'basic' WHEN doc_id % 5 = 4 THEN 'constrained' ELSE 'semantic' END AS question_type FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY substr(sha256('20260813:case:' || case_id), 1, 16), case_id::VARCHAR) AS place, count(*) OVER (PARTITION BY question_type) AS n FROM c)
+SELECT case_id, question_type, CASE WHEN place <= n * 3 // 5 THEN 'analysis' ELSE 'validation' END AS split FROM r
 """)
 def formal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SL-05 on 500 numbered cases, as many of each type as the contract says."""
-    kind, edge = F.lit("high_level"), 500
-    for name, (a, v) in reversed(sampling.FORMAL_QUOTAS.items()):
-        edge -= a + v
-        kind = F.when(F.col("id") < edge + a + v, name).otherwise(kind) if name != "high_level" else kind
-    return sampling.formal_split(spark.range(500).select(F.col("id").alias("case_id"), kind.alias("question_type")), "question_type", "case_id", "20260813")
+    """SL-05: documents as cases of three types, three fifths of each for analysis; the contract names exactly as many as there are."""
+    i = F.col("doc_id")
+    cases = table(spark, sf_dir, "documents").select(i.alias("case_id"), F.when(i % 5 < 2, "basic").when(i % 5 == 4, "constrained").otherwise("semantic").alias("question_type"))
+    quotas = {r.question_type: (r["count"] * 3 // 5, r["count"] - r["count"] * 3 // 5) for r in cases.groupBy("question_type").count().collect()}  # three rows
+    return sampling.formal_split(cases, "question_type", "case_id", "20260813", quotas)
 
 
 ROLES = """
@@ -361,12 +359,15 @@ LINEAR = [(1, "# A\n\nlead\n\n## One\n\nfirst\n\n## Two \nsecond", "T"), (2, "pl
 
 
 @query("html_sections", """
-SELECT * FROM (VALUES (1, 1, 'A', '[章节: A]' || chr(10) || chr(10) || '# A' || chr(10) || chr(10) || 'lead'), (1, 2, 'One', '[章节: One]' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || 'first'), (1, 3, 'Two', '[章节: Two]' || chr(10) || chr(10) || '## Two ' || chr(10) || 'second'), (2, 1, 'Only', '[Only]' || chr(10) || chr(10) || 'plain'), (3, 1, '', 'plain too'),
-  (4, 1, '', 'no mark'), (4, 2, 'B', '[章节: B]' || chr(10) || chr(10) || '## B'), (6, 1, 'T', '[T]' || chr(10) || chr(10) || '## Alone' || chr(10) || 'x'), (7, 1, '', '##not' || chr(10) || '# x'), (7, 2, 'y', '[章节: y]' || chr(10) || chr(10) || '## y')) t(page_id, page_number, section_title, section)
+WITH t AS (SELECT * FROM (VALUES (1, 1, 'A', '[章节: A]' || chr(10) || chr(10) || '# A' || chr(10) || chr(10) || 'lead'), (1, 2, 'One', '[章节: One]' || chr(10) || chr(10) || '## One' || chr(10) || chr(10) || 'first'), (1, 3, 'Two', '[章节: Two]' || chr(10) || chr(10) || '## Two ' || chr(10) || 'second'), (2, 1, 'Only', '[Only]' || chr(10) || chr(10) || 'plain'), (3, 1, '', 'plain too'),
+  (4, 1, '', 'no mark'), (4, 2, 'B', '[章节: B]' || chr(10) || chr(10) || '## B'), (6, 1, 'T', '[T]' || chr(10) || chr(10) || '## Alone' || chr(10) || 'x'), (7, 1, '', '##not' || chr(10) || '# x'), (7, 2, 'y', '[章节: y]' || chr(10) || chr(10) || '## y')) t(shape, page_number, section_title, section))
+SELECT page_id, page_number, section_title, section FROM pages JOIN t ON page_id % 8 = shape
 """)
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-15 on literal pages; ``html_page_sections`` has the whole table."""
-    return chunking.html_sections(spark.createDataFrame(LINEAR, "page_id int, text string, title string")).select("page_id", "page_number", "section_title", "section")
+    """TX-15: every page takes the text and title of one of eight shapes, one of them empty; ``html_page_sections`` has the pages' own."""
+    shapes = F.array(*[F.struct(F.lit(x).alias("text"), F.lit(t).cast("string").alias("title")) for _, x, t in LINEAR])
+    held = table(spark, sf_dir, "pages").select("page_id", F.get(shapes, (F.col("page_id") % 8).cast("int") - 1).alias("s"))
+    return chunking.html_sections(held.select("page_id", F.coalesce("s.text", F.lit("")).alias("text"), "s.title")).select("page_id", "page_number", "section_title", "section")
 
 
 @query("html_page_sections")
@@ -431,9 +432,11 @@ def relevant_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.relevant_cases(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), qrels)
 
 
-@query("page_ranges", "SELECT i AS first, least(i + 199, 1234) AS last FROM range(1, 1235, 200) t(i)")
+@query("page_ranges", "SELECT doc_id, f AS first, least(f + 199, pages) AS last FROM (SELECT doc_id, pages, unnest(range(1, pages + 1, 200)) AS f FROM (SELECT doc_id, (coalesce(length(text), 0) + 4) // 5 AS pages FROM documents))")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.page_ranges(spark, 1234)
+    """SRC-05 for documents of a page for every five characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("(coalesce(length(text), 0) + 4) div 5").alias("pages"))
+    return readers.page_ranges(docs).select("doc_id", "first", "last")
 
 
 @query("scalar_query", with_(CHUNKS) + "SELECT chunk_id, chunk_level FROM chunk WHERE chunk_level = 2 ORDER BY chunk_id LIMIT 50 OFFSET 10")

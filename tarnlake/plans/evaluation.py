@@ -6,7 +6,7 @@ verdict, coverage and errors come from ``labels`` and document numbers by the ru
 
 from __future__ import annotations
 
-import itertools
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +27,6 @@ GRID = {
     "sub_agent": (True, False),
     "rewrites": (0, 1),
 }
-_values = lambda v: ", ".join(f"({x!r})" if isinstance(x, str) else f"({str(x).lower()})" for x in v)
-GRID_SQL = "grid AS (SELECT * FROM " + ", ".join(f"(VALUES {_values(v)}) t_{k}({k})" for k, v in GRID.items()) + ")"
 ROUTE_SQL = """
 CASE WHEN NOT has_docs OR relevance = 'none' THEN 'no_knowledge' WHEN ambiguity = 'missing_slot' THEN 'clarify' WHEN ambiguity = 'multiple_candidates' THEN 'scope_select'
   WHEN wished = 'answer' AND relevance = 'strong' AND answerability = 'sufficient' THEN 'answer'
@@ -38,16 +36,23 @@ CASE WHEN NOT has_docs OR relevance = 'none' THEN 'no_knowledge' WHEN ambiguity
 """
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(itertools.product(*GRID.values())), "has_docs boolean, relevance string, answerability string, ambiguity string, wished string, sub_agent boolean, rewrites int")
+def _digit(k: int, of: tuple) -> tuple[int, int]:
+    sizes = [len(v) for v in GRID.values()]
+    return math.prod(sizes[:k]), len(of)
 
 
-@query("route_truth_table", with_(GRID_SQL) + f"""
+#: A document is one row of the grid: its number's digits, of as many values as each column has.
+PICKED_SQL = "grid AS (SELECT doc_id, " + ", ".join(f"({list(v)!r})[1 + doc_id // {_digit(k, v)[0]} % {_digit(k, v)[1]}] AS {c}" for k, (c, v) in enumerate(GRID.items())).replace("True", "true").replace("False", "false") + " FROM documents)"
+
+
+@query("route_truth_table", with_(PICKED_SQL) + f"""
 SELECT *, CASE WHEN route = 'answer' AND answerability = 'partial' THEN 'partial' WHEN route = 'answer' THEN 'answerable' WHEN route = 'clarify' THEN 'needs_clarification' WHEN route = 'scope_select' THEN 'needs_scope_selection' WHEN route = 'rewrite' THEN 'needs_rewrite' ELSE 'no_knowledge' END AS status
 FROM (SELECT *, {ROUTE_SQL} AS route FROM grid)
 """)
 def route_truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid(spark)
+    i = F.col("doc_id")
+    pick = lambda k, v: F.get(F.array(*[F.lit(x) for x in v]), F.expr(f"(doc_id div {_digit(k, v)[0]}) % {_digit(k, v)[1]}").cast("int"))
+    g = table(spark, sf_dir, "documents").select(i, *[pick(k, v).alias(c) for k, (c, v) in enumerate(GRID.items())])
     out = g.withColumn("route", routing.route(*[F.col(c) for c in GRID]))
     return out.withColumn("status", routing.status(F.col("route"), F.col("answerability")))
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake import storage
-from tarnlake.config import ChunkingConfig, RetrievalConfig
-from tarnlake.operators import chunking, routing, tables, translation
+from tarnlake.operators import chunking, retrieval, routing, tables, translation
 from tarnlake.plans import corpus
 from tarnlake.plans.registry import CHUNKS, LEAF, query, table, with_
 from tarnlake.plans.sessions import event_stream
@@ -60,11 +59,10 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("multihop_cases", "SELECT row_number() OVER (ORDER BY conv_id, turn) AS case_no, trim(text) AS question, CASE WHEN turn % 2 = 0 THEN 'inference' ELSE 'null' END AS question_type, ['https://x.org/' || conv_id, 'plain ' || turn] AS evidence FROM conversations WHERE trim(text) <> ''")
 def multihop_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10: one document of many items, as the source is laid out."""
+    """SRC-10: items of many files, numbered through."""
     t = F.col("turn")
-    item = F.struct("conv_id", "turn", F.concat(F.lit(" "), "text", F.lit(" ")).alias("query"), F.when(t % 2 == 0, "inference_query").otherwise("null_query").alias("question_type"), F.array(F.concat(F.lit('{"url": "https://x.org/'), F.col("conv_id").cast("string"), F.lit('"}')), F.concat(F.lit("plain "), t.cast("string"))).alias("evidence_list"))
-    raw = table(spark, sf_dir, "conversations").filter("trim(text) <> ''").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return readers.multihop_cases(raw).withColumn("case_no", F.col("case_no").cast("long"))
+    items = table(spark, sf_dir, "conversations").filter("trim(text) <> ''").select("conv_id", "turn", F.concat(F.lit(" "), "text", F.lit(" ")).alias("query"), F.when(t % 2 == 0, "inference_query").otherwise("null_query").alias("question_type"), F.array(F.concat(F.lit('{"url": "https://x.org/'), F.col("conv_id").cast("string"), F.lit('"}')), F.concat(F.lit("plain "), t.cast("string"))).alias("evidence_list"))
+    return readers.multihop_cases(items, ["conv_id", "turn"])
 
 
 @query("json_lines", "SELECT doc_id, md5(text) AS text_md5, source FROM documents UNION ALL SELECT doc_id, md5(text), source FROM documents WHERE doc_id % 2 = 0")
@@ -141,24 +139,30 @@ def dropped_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, corpus_run_id string").parquet(path).groupBy("corpus_run_id").agg(F.count("*").alias("n"))
 
 
-@query("config_hashes", """SELECT * FROM (VALUES ('default', sha256('{"levels":{"1":[2400,400],"2":[1600,200],"3":[800,100]},"strategy":"default"}')), ('structured', sha256('{"levels":{"1":[2400,400],"2":[1600,200],"3":[800,100]},"strategy":"structured"}')), ('semantic', sha256('{"levels":{"1":[2400,400],"2":[1600,200],"3":[800,100]},"strategy":"semantic"}'))) t(strategy, config_hash)""")
+@query("config_hashes", """
+WITH c AS (SELECT doc_id, 200 + doc_id % 1000 AS size, doc_id % 300 AS overlap, (['default', 'structured', 'semantic'])[1 + doc_id % 3] AS strategy FROM documents)
+SELECT doc_id, strategy, sha256('{"levels":{"1":[' || greatest(2000, 3 * size) || ',' || greatest(400, 3 * overlap) || '],"2":[' || greatest(1000, 2 * size) || ',' || greatest(200, 2 * overlap) || '],"3":[' || greatest(600, size) || ',' || greatest(100, overlap) || ']},"strategy":"' || strategy || '"}') AS config_hash FROM c
+""")
 def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-19: a constant of each strategy."""
-    return spark.createDataFrame([(s, chunking.config_hash(ChunkingConfig(), s)) for s in ("default", "structured", "semantic")], "strategy string, config_hash string")
+    """TX-19: the settings of each document, hashed."""
+    i = F.col("doc_id")
+    c = table(spark, sf_dir, "documents").select("doc_id", (i % 1000 + 200).alias("size"), (i % 300).alias("overlap"), F.when(i % 3 == 0, "default").when(i % 3 == 1, "structured").otherwise("semantic").alias("strategy"))
+    return c.select("doc_id", "strategy", chunking.config_hash_of(F.col("size"), F.col("overlap"), F.col("strategy")).alias("config_hash"))
 
 
-@query("candidate_pools", "SELECT * FROM (VALUES (8, NULL, 24, 'multiplier'), (8, 3, 8, 'explicit'), (8, 100, 100, 'explicit'), (5, NULL, 15, 'multiplier')) t(top_k, candidate_k, pool, source)")
+@query("candidate_pools", "SELECT item_id, top_k, candidate_k, CASE WHEN candidate_k IS NULL THEN top_k * 3 ELSE greatest(candidate_k, top_k) END AS pool, CASE WHEN candidate_k IS NULL THEN 'multiplier' ELSE 'explicit' END AS source FROM (SELECT item_id, 1 + item_id % 10 AS top_k, CASE WHEN item_id % 3 > 0 THEN item_id % 40 END AS candidate_k FROM benchmark)")
 def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-05."""
-    asked = [(8, None), (8, 3), (8, 100), (5, None)]
-    return spark.createDataFrame([(k, c, *RetrievalConfig(top_k=k, candidate_k=c).pool()) for k, c in asked], "top_k int, candidate_k int, pool int, source string")
+    """RT-05 with the settings of each question."""
+    i = F.col("item_id")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", (i % 10 + 1).alias("top_k"), F.when(i % 3 > 0, i % 40).alias("candidate_k"))
+    return asked.select("*", retrieval.pool_size(F.col("top_k"), F.col("candidate_k")).alias("p")).select("item_id", "top_k", "candidate_k", "p.pool", "p.source")
 
 
-@query("follow_ups", "SELECT * FROM (VALUES (true, false), (false, true)) t(adjacent_run, allowed)")
+@query("follow_ups", "SELECT item_id, item_id % 2 = 0 AS adjacent_run, item_id % 2 <> 0 AS allowed FROM benchmark")
 def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DC-08."""
-    one = lambda run: spark.range(1).select(F.lit(run).alias("adjacent_run"), routing.follow_up_allowed(run).alias("allowed"))
-    return one(True).unionByName(one(False))
+    """DC-08 for questions half of which ran with neighbours."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 2 == 0).alias("adjacent_run"))
+    return asked.withColumn("allowed", routing.follow_up_allowed(F.col("adjacent_run")))
 
 
 @query("translation_segments", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, true AS fits, length(coalesce(text, '')) > 500 AS several FROM documents")

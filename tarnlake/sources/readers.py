@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.storage import numbered
 from tarnlake.functions import html
 from tarnlake.functions.text import file_type
 
@@ -51,9 +52,11 @@ def read_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good.select("filename", "file_path", "file_type", text.alias("text")), marked.filter("reason IS NOT NULL").select("filename", "file_path", "file_type", "reason")
 
 
-def page_ranges(spark: SparkSession, pages: int, most: int = 200) -> DataFrame:
-    """SRC-05: page ranges for a converter that takes ``most`` pages a request."""
-    return spark.range(0, max(pages, 0), most).select((F.col("id") + 1).alias("first"), F.least(F.col("id") + most, F.lit(pages)).alias("last"))
+def page_ranges(documents: DataFrame, pages: str = "pages", most: int = 200) -> DataFrame:
+    """SRC-05: ``documents`` with a row, ``first`` and ``last``, for each request to a converter that takes ``most`` pages; documents without pages have none."""
+    n = F.col(pages)
+    begins = F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"), F.lit(most).cast("long"))))
+    return documents.withColumn("first", begins).withColumn("last", F.least(F.col("first") + (most - 1), n.cast("long")))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -68,11 +71,15 @@ def relevant_cases(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(good, "query_id")
 
 
-def multihop_cases(raw: DataFrame) -> DataFrame:
-    """SRC-10: one row with an array ``items`` of query, question_type, evidence; numbers count all items, empty queries drop out after."""
-    one = raw.select(F.posexplode("items").alias("pos", "i"))
-    link = F.transform("i.evidence_list", lambda e: F.coalesce(F.get_json_object(e, "$.url"), e))
-    return one.select((F.col("pos") + 1).alias("case_no"), F.trim("i.query").alias("question"), F.regexp_replace("i.question_type", "_query$", "").alias("question_type"), link.alias("evidence")).filter(F.coalesce(F.col("question"), F.lit("")) != "")
+def multihop_cases(items: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """SRC-10: items (query, question_type, evidence_list, and the columns of their ``order``) as numbered cases; numbers count all items, empty queries drop out after."""
+    link = F.transform("evidence_list", lambda e: F.coalesce(F.get_json_object(e, "$.url"), e))
+    return numbered(items, order, "case_no").select("case_no", F.trim("query").alias("question"), F.regexp_replace("question_type", "_query$", "").alias("question_type"), link.alias("evidence")).filter(F.coalesce(F.col("question"), F.lit("")) != "")
+
+
+def items_of(raw: DataFrame) -> DataFrame:
+    """The items of documents with an array ``items``, as they are laid out in a source file."""
+    return raw.select(F.posexplode("items").alias("pos", "i")).select("pos", "i.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> DataFrame:

@@ -7,8 +7,10 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Folders of this process, oldest first.
 WRITTEN: list[str] = []
@@ -65,6 +67,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in an order, by a range sort and the row counts of its partitions."""
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    placed = stored(spark, placed, "in-order")
+    cells = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))  # a row for each partition
+    shift = cells.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n") - F.col("__first") + 1).alias("__shift"))
+    return placed.join(F.broadcast(shift), "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+
+
 def version_of(sources: DataFrame) -> str:
     """Changes when a file of the sources is added, removed or replaced."""
     files = spark_files(sources)

@@ -177,7 +177,7 @@ def test_readers(spark, tmp_path):
     with pytest.raises(Exception, match="no question"):
         readers.read_jsonl(spark, str(tmp_path / "q.jsonl"), "id string, question string", ["question"]).collect()
     raw = spark.createDataFrame([([("", "null_query", []), (" q ", "inference_query", ['{"url": "u"}', "plain"])],)], "items array<struct<query: string, question_type: string, evidence_list: array<string>>>")
-    r = readers.multihop_cases(raw).first()
+    r = readers.multihop_cases(readers.items_of(raw)).first()
     assert (r.case_no, r.question, r.question_type, r.evidence) == (2, "q", "inference", ["u", "plain"])
     texts = spark.createDataFrame([("a", "x"), ("b", " ")], "document_id string, text string")
     assert readers.canonical_markdown(texts, texts.filter("document_id = 'a'")).first().text == "x\n"

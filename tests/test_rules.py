@@ -298,3 +298,14 @@ def test_medians_are_values_and_refusals_have_their_own_column(spark):
 
 def test_title_query_keeps_case(spark):
     assert spark.range(1).select(T.fts_query(F.lit("Foo foo Foo-Bar")).alias("x")).first().x == '"Foo" OR "foo" OR "Bar"'
+
+
+def test_settings_in_columns_are_those_of_the_classes(spark):
+    from tarnlake.config import ChunkingConfig, RetrievalConfig
+    from tarnlake.operators import chunking
+
+    for size, overlap in ((800, 100), (100, 10), (3000, 900)):
+        got = one(spark, chunking.config_hash_of(F.lit(size), F.lit(overlap), F.lit("semantic"))).c0
+        assert got == chunking.config_hash(ChunkingConfig(size, overlap), "semantic")
+    for k, c in ((8, None), (8, 3), (8, 100), (5, None)):
+        assert tuple(one(spark, retrieval.pool_size(F.lit(k), F.lit(c).cast("int"))).c0) == RetrievalConfig(top_k=k, candidate_k=c).pool()
