@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake import storage
-from tarnlake.operators import chunking, retrieval, routing, tables, translation
+from tarnlake.operators import chunking, inverted, retrieval, routing, tables, translation
 from tarnlake.plans import corpus
 from tarnlake.plans.registry import CHUNKS, LEAF, query, table, with_
 from tarnlake.plans.sessions import event_stream
@@ -101,8 +101,8 @@ SELECT chunk_id, count(*) AS terms, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01: what the index holds of each leaf, read back."""
     i = corpus.index(spark, sf_dir, "leaves")
-    added = F.round(F.aggregate("impacts", F.lit(0.0), lambda a, x: a + x), 4)
-    return i.names.join(i.chunks, "chunk_no").select("chunk_id", F.size("terms").cast("long").alias("terms"), added.alias("impact"))
+    held = inverted.impacts(i).groupBy("segment", "chunk_no").agg(F.count("*").alias("terms"), F.round(F.sum("impact"), 4).alias("impact"))
+    return i.table("chunks", "segment string, chunk_no long, chunk_id string").join(held, ["segment", "chunk_no"]).select("chunk_id", "terms", "impact")
 
 
 @query("verified_leaves", with_(LEAF) + "SELECT count(*) AS leaves FROM leaf")
