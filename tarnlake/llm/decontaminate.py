@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import released, written
+from .shared import HELD, released, written
 
 WINDOW = 10
 #: Words of items in one automaton; with states of about 0.4 KB that is some 80 MB in a Python worker.
@@ -224,7 +224,7 @@ class Automaton:
         return spans, found, longest
 
 
-_BUILT: dict[str, Automaton] = {}
+_BUILT: dict[str, Automaton] = HELD.setdefault("automata", {})
 
 
 def _worker_automaton(name: str, items: list[tuple[object, bytes]], window: int) -> Automaton:
@@ -276,7 +276,7 @@ def _stream(docs: DataFrame, name: str, block, window: int, kind: str) -> DataFr
                 made = [pa.array(counts, pa.int64()), pa.array([[s if isinstance(s, dict) else dict(zip(("first", "end", "first_byte", "end_byte"), s, strict=True)) for s in x] for x in spans], pa.list_(_SPAN)), pa.array(items, batch.column("items").type), pa.array(longest, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "n_words", "spans", "items", "longest"])
 
-    return docs.mapInArrow(released(run), f"{schema}, n_words long, spans {_SPAN_SQL}, items array<{kind}>, longest long")
+    return docs.mapInArrow(released(run, keep="automata"), f"{schema}, n_words long, spans {_SPAN_SQL}, items array<{kind}>, longest long")
 
 
 def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import give_back
+from .shared import HELD, give_back
 
 LONGEST = 2048
 END_ID = 1
@@ -164,7 +164,7 @@ class ChunkTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[str, ChunkTokenizer] = HELD.setdefault("tokenizers", {})
 
 
 def worker_tokenizer(path: str, memo_bytes: int) -> ChunkTokenizer:

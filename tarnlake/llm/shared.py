@@ -15,10 +15,21 @@ from tarnlake.storage import WRITTEN, new_folder, remove, shared_folder, stored
 __all__ = ["new_folder", "remove", "scratch", "written"]
 
 
-def released(run: Callable) -> Callable:
-    """A batch function that gives its memory back when it ends: Python workers are used again and idle ones keep what they hold."""
+#: What a worker keeps from task to task, by operator.
+HELD: dict[str, dict] = {}
+
+
+def released(run: Callable, keep: str = "") -> Callable:
+    """A batch function that gives its memory back when it ends: Python workers are used again and idle ones keep what they hold.
+
+    What other operators than ``keep`` have left in the worker goes when it begins.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
+        if left := [k for k in HELD if k != keep and HELD[k]]:
+            for k in left:
+                HELD[k].clear()
+            give_back()
         try:
             yield from run(batches)
         finally:
