@@ -26,10 +26,7 @@ def released(run: Callable, keep: str = "") -> Callable:
     """
 
     def wrapped(batches: Iterator) -> Iterator:
-        if left := [k for k in HELD if k != keep and HELD[k]]:
-            for k in left:
-                HELD[k].clear()
-            give_back()
+        let_go(keep)  # of this module, as the function itself travels by value
         try:
             yield from run(batches)
         finally:
@@ -38,6 +35,13 @@ def released(run: Callable, keep: str = "") -> Callable:
     return wrapped
 
 
+def let_go(keep: str = "") -> None:
+    if left := [k for k in HELD if k != keep and HELD[k]]:
+        for k in left:
+            HELD[k].clear()
+        give_back()
+
+
 def give_back() -> None:
     import pyarrow as pa
 
