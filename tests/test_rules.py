@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import models, split
 from tarnlake.functions import text as T
-from tarnlake.operators import evaluate, merging, retrieval, routing, sampling, sessions, tables, translation
+from tarnlake.operators import evaluate, inverted, merging, retrieval, routing, sampling, sessions, tables, translation
 
 GRADE = routing.GRADE
 
@@ -282,9 +282,9 @@ def test_search_by_join_and_in_slices(spark, monkeypatch, tmp_path):
     key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
     want = key(retrieval.bm25(chunks, asked, 7))
     assert key(retrieval.search(index, asked, 7)) == want and len(want) == 30 * 7
-    monkeypatch.setattr(retrieval, "SCORES", 300)
+    monkeypatch.setattr(inverted, "GROUP_SPANS", 1)
     assert key(retrieval.search(index, asked, 7)) == want
-    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 640)
+    monkeypatch.setattr(inverted, "BROADCAST_BYTES", 64)
     assert key(retrieval.search(index, asked, 7)) == want
     assert retrieval.search(index, asked.filter("query_id = 99"), 7).count() == 0 and retrieval.search(index, asked.limit(0), 7).count() == 0
 
