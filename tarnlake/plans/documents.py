@@ -62,6 +62,13 @@ def formal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.formal_split(cases, "question_type", "case_id", "20260813", quotas)
 
 
+@query("twister_sample")
+def twister_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SL-06: a tenth of the questions by Python's generator, whose order SQL doesn't have; the tests draw it again."""
+    ids = [str(r.item_id) for r in table(spark, sf_dir, "benchmark").select("item_id").collect()]
+    return sampling.twister_sample(spark, ids, len(ids) // 10, 7)
+
+
 ROLES = """
 required AS (SELECT doc_id FROM labels WHERE quality > 0 AND doc_id % 4 = 0), free AS (SELECT doc_id, coalesce(source, 'unknown') AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM required)),
 sizes AS (SELECT source AS key, count(*) AS n FROM free GROUP BY source), q0 AS (SELECT key, n, (n * 60) // sum(n) OVER () AS base, (n * 60) % sum(n) OVER () AS rem FROM sizes),

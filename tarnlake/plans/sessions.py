@@ -152,7 +152,6 @@ SELECT job_id, coalesce(arg_min(state, seq) FILTER (state IN ('failed', 'complet
 """)
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-02: job states in keyed state, as a table of each job's newest row."""
-    state.configured(spark)
     return views.drained(spark, state.job_states(jobs_of(event_stream(spark, sf_dir))), "update", ["job_id"])
 
 
@@ -163,7 +162,6 @@ SELECT r.key, r.seq, CASE WHEN w1.ts IS NOT NULL AND epoch_us(r.ts) - epoch_us(w
 """)
 def stream_cache_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-04: writes and reads as one stream, writes in list state until a timer takes them."""
-    state.configured(spark)
     e = event_stream(spark, sf_dir).filter("user_id IS NOT NULL")
     value = F.when(F.col("event_type") == "error", None).when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("v"), F.col("event_id").cast("string")))
     return views.drained(spark, state.cache_lookups(e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 2 == 1).alias("asks"), value.alias("value")), 7200), "append")
@@ -172,7 +170,6 @@ def stream_cache_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_paced_calls")
 def stream_paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-03: the calls of :func:`paced_calls` as a stream; the tests hold it against the batch, which is held against a plain loop."""
-    state.configured(spark)
     calls = event_stream(spark, sf_dir).filter("user_id IS NOT NULL").select("user_id", F.col("event_id").alias("seq"), "ts", F.col("value").alias("tokens"))
     return views.drained(spark, state.paced(calls, "user_id", 6 * 3600.0, 3, 60.0), "append")
 

@@ -1,8 +1,8 @@
 """Keyed state over streams (SM-02 to SM-04): list and value state, event timers, time to live.
 
 Each of the three is the stream of a batch function of :mod:`tarnlake.operators.sessions` and gives its rows. A key's rows of a
-micro-batch are put in time order; a row that comes after a later one was handled counts from then on. State is kept by RocksDB, so
-:func:`configured` has to be called before a stream starts.
+micro-batch are put in time order; a row that comes after a later one was handled counts from then on. State is kept by RocksDB, the only
+store that has more than one kind of it, which each function sets for its session.
 """
 
 from __future__ import annotations
@@ -60,6 +60,7 @@ def job_states(events: DataFrame, days: int | None = None) -> DataFrame:
     ``days`` after its last event a job is forgotten, for streams that go on: Spark keeps such time by the clock, and a run
     over what is there would wait for it without end.
     """
+    configured(events.sparkSession)
     kind = dict(events.dtypes)["job_id"]
     schema = f"job_id {kind}, state string, percent double, events long"
     return events.groupBy("job_id").transformWithStateInPandas(_Jobs(days), schema, "Update", "ProcessingTime" if days else "None")
@@ -106,6 +107,7 @@ class _Pace(StatefulProcessor):
 
 def paced(calls: DataFrame, key: str, seconds: float = 60.0, requests: int = 2000, tokens: float = 500_000.0, late: str = "0 seconds") -> DataFrame:
     """SM-03 as a stream: when each call (key, ts, tokens, seq) may go and how long it waited (append mode)."""
+    configured(calls.sparkSession)
     kinds = dict(calls.dtypes)
     ready = calls.withWatermark("ts", late).select(F.col(key).alias("k"), "ts", "seq", F.coalesce(F.col("tokens").cast("double"), F.lit(0.0)).alias("tokens"), (F.unix_micros("ts") / 1e6).alias("at"))
     schema = f"k {kinds[key]}, seq {kinds['seq']}, start double, waited double"
@@ -161,6 +163,7 @@ def cache_lookups(operations: DataFrame, ttl: int = 300, late: str = "0 seconds"
     ``operations``: key, ts, seq, asks (a read, else a write) and value (null deletes, an empty one is a miss). Of writes at
     one moment the last by ``seq`` counts; a write counts for reads at the same moment.
     """
+    configured(operations.sparkSession)
     kinds = dict(operations.dtypes)
     ready = operations.withWatermark("ts", late).select("key", "ts", "seq", "asks", "value", F.unix_micros("ts").alias("at"))
     return ready.groupBy("key").transformWithStateInPandas(_Cache(ttl * 1_000_000), f"key {kinds['key']}, seq {kinds['seq']}, value string", "Append", "EventTime")

@@ -480,3 +480,10 @@ def test_config_hash():
     c = ChunkingConfig()
     text = json.dumps({"levels": {"1": [2400, 400], "2": [1600, 200], "3": [800, 100]}, "strategy": "structured"}, separators=(",", ":"))
     assert config_hash(c, "structured") == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_twister_sample(spark):
+    import random
+
+    ids = sorted(str(r.item_id) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())
+    assert sorted(r.id for r in QUERIES["twister_sample"](spark, SF).collect()) == sorted(random.Random(7).sample(ids, len(ids) // 10))

@@ -18,7 +18,6 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def arriving(spark, tmp_path_factory):
     """The events in four files by time, one for each micro-batch."""
-    state.configured(spark)
     at = tmp_path_factory.mktemp("events")
     events = spark.read.parquet(f"{SF}/events.parquet").toPandas().sort_values("ts")
     step = -(-len(events) // 4)
