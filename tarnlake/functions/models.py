@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.split import first_json_object
 from tarnlake.snapshots import Store
 from tarnlake.storage import stored
 
@@ -71,6 +73,31 @@ def grade(best: Column, ambiguity: Column) -> Column:
     )
 
 
+def structured(asked: DataFrame, call: Callable[[DataFrame], DataFrame], name: str, fields: Sequence[str]) -> DataFrame:
+    """UD-03: ``key, answer, attempts, error``: a model's reply to each prompt (``asked``: key, prompt) as a JSON object with all ``fields``.
+
+    ``call`` gives ``key, reply``. A reply may have text or a fence around its object; one without an object, or without some field, is asked for
+    once more with the format spelled out, and only such ones are. What fails again has a null answer and says so. Replies are
+    written before they are read, so no prompt is sent twice.
+    """
+    spark = asked.sparkSession
+    repair = f"上一条响应无法解析。请调用 {name}，或只输出一个合法 JSON 对象；必须包含这些字段：{', '.join(fields)}。不要解释，不要使用 Markdown。"
+    said = F.pandas_udf(lambda texts: texts.map(lambda t: json.dumps(first_json_object(t or ""), ensure_ascii=False)), "string")
+
+    def parsed(prompts: DataFrame) -> DataFrame:
+        told = stored(spark, call(prompts.select("key", "prompt")).select("key", said("reply").alias("answer")), "replies")
+        held = F.json_object_keys("answer")
+        whole = F.forall(F.array(*[F.lit(f) for f in fields]), lambda f: F.array_contains(held, f))
+        return prompts.select("key", "prompt").join(told, "key", "left").withColumn("answer", F.when(whole, F.col("answer")))
+
+    one = parsed(asked)
+    again = one.filter("answer IS NULL").select("key", F.concat("prompt", F.lit("\n"), F.lit(repair)).alias("prompt"))
+    two = parsed(again) if not again.isEmpty() else again.withColumn("answer", F.lit(None).cast("string"))
+    why = F.when(F.col("answer").isNull(), F.lit(f"{name} returned neither a tool call nor valid JSON after a format retry"))
+    good = one.filter("answer IS NOT NULL").select("key", "answer", F.lit(1).alias("attempts"))
+    return good.unionByName(two.select("key", "answer", F.lit(2).alias("attempts"))).withColumn("error", why)
+
+
 def split_question(question: Column) -> Column:
     """UD-04: two to four sub-questions at conjunctions, or none."""
     parts = F.filter(F.transform(F.split(question, r"(?i)\s+and\s+|[;；、]|以及|和"), lambda x: F.trim(x)), lambda x: x != "")

@@ -453,6 +453,23 @@ def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.funnel(s, gold(spark, sf_dir).select("query_id", "filename"))
 
 
+@query("structured_grades", """
+SELECT item_id AS key, CASE WHEN item_id % 4 < 3 THEN '{"relevance": "strong", "id": ' || item_id || '}' END AS answer, CASE WHEN item_id % 4 < 2 THEN 1 ELSE 2 END AS attempts,
+  CASE WHEN item_id % 4 = 3 THEN 'Grade returned neither a tool call nor valid JSON after a format retry' END AS error FROM benchmark
+""")
+def structured_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD-03: graders that answer at once, in a fence, after one repair, or never."""
+    i = F.col("key")
+    good = F.concat(F.lit('{"relevance": "strong", "id": '), i.cast("string"), F.lit("}"))
+
+    def call(prompts: DataFrame) -> DataFrame:
+        repaired = F.contains("prompt", F.lit("relevance, id"))
+        reply = F.when(i % 4 == 0, good).when(i % 4 == 1, F.concat(F.lit("Here:\n```json\n"), good, F.lit("\n```"))).when((i % 4 == 2) & repaired, good).when(i % 4 == 2, '{"relevance": "weak"}')
+        return prompts.select("key", reply.alias("reply"))
+
+    return models.structured(questions(spark, sf_dir).select(F.col("query_id").alias("key"), F.col("text").alias("prompt")), call, "Grade", ["relevance", "id"])
+
+
 @query("value_percentiles", " UNION ALL ".join(f"SELECT event_type, {p}::DOUBLE AS share, quantile_disc(value, {p}) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type" for p in (0.5, 0.95, 0.99)))
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-03: percentiles of groups of any size."""
