@@ -474,6 +474,20 @@ def test_fact_tokens_of_very_long_texts(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(F.size(fact_tokens(F.col("t"))).alias("n")).first().n >= 0
 
 
+def test_fact_tokens_are_those_of_the_twin(spark):
+    """Units that a digit or an underscore follows, quantities that touch, and numbers of any number of groups."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from tarnlake.functions.text import fact_tokens
+    from tarnlake.plans.documents import FACTS
+
+    texts = ["password=7d2970d48d1e", "60d222 5 d_ 5 dé 5 MB7 5MB_ 5% a 6%b", "5秒6秒 7 天x 8%9%", "1,,2 days 3.,4.5,, h 5., d a5,6 min", ",".join(["1"] * 200) + " ms", "1." * 90 + "5 GB", "5\x0bms 6\tms\n7 K 4 μs 4 Μs", ".5 h v1.2 h", ""]
+    want = duckdb.connect().execute("SELECT list_sort(" + FACTS.format(x="t") + ") FROM (SELECT unnest(?::VARCHAR[]) AS t)", [texts]).fetchall()
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.sort_array(fact_tokens(F.col("t"))).alias("f")).orderBy("i").collect()
+    assert [r.f for r in got] == [w[0] for w in want]
+
+
 def test_config_hash():
     from tarnlake.operators.chunking import config_hash
 
