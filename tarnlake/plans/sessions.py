@@ -120,9 +120,9 @@ def one_call_per_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.one_call_per_turn(c)
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = 64) -> DataFrame:
     # a pattern, as a streaming source takes a single file only by one
-    return views.read_events(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+    return views.read_events(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema, files_per_batch)
 
 
 _FIELDS = "event_type, count(*) AS n, round(sum(value), 4) AS total"

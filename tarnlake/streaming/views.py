@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tarnlake.storage import new_folder
 
 
-def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
-    """A folder of Parquet files as a stream; ``ts`` becomes a timestamp that watermarks understand."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_events(spark: SparkSession, path: str, schema, files_per_batch: int | None = 64) -> DataFrame:
+    """A folder of Parquet files as a stream, of all that are there at a time with None; ``ts`` becomes a timestamp that watermarks understand."""
+    stream = spark.readStream.schema(schema)
+    stream = (stream if files_per_batch is None else stream.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -49,28 +51,33 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "complete", key:
     return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(*key, "__row.*").select(*stream.columns)
 
 
-def step_clock(steps: DataFrame) -> DataFrame:
-    """SM-01: per request the time since its first step and since the last one, kept in keyed state until an hour of event time passes without a step."""
+def step_clock(steps: DataFrame, forget: bool = True) -> DataFrame:
+    """SM-01: per request the time since its first step and since the last one, kept in keyed state.
+
+    A request's steps are put in order within a micro-batch, of which two numbers a step are held; micro-batches bring them in order. With ``forget`` a
+    request is forgotten when an hour of event time passes without a step, and steps behind the watermark are left out. Without it
+    every step counts and every request is kept, as suits a stream over what is there.
+    """
 
     def clock(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first, last = state.get if state.exists else (None, None)
-        for b in batches:
-            out = []
-            for r in b.sort_values("seq").itertuples():
-                now = r.ts.value // 1000  # microseconds
-                first = now if first is None else first
-                last = now if last is None else last
-                out.append((key[0], r.seq, max(0, now - first) // 1000, max(0, now - last) // 1000))
-                last = now
-            yield pd.DataFrame(out, columns=["request_id", "seq", "elapsed_ms", "stage_elapsed_ms"])
-        state.update((first, last))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
+        held = [(b["seq"].to_numpy(np.int64), b["ts"].to_numpy("datetime64[us]")) for b in batches]  # Arrow may cut a request anywhere
+        seq, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, at = seq[order], at[order]
+        first, last = [np.datetime64("NaT" if v is None else v, "us") for v in state.get] if state.exists else (at[0], at[0])
+        since = lambda then: np.where(np.isnat(at - then), 0, np.maximum((at - then).astype(np.int64), 0) // 1000)
+        state.update(tuple(None if np.isnat(v) else int(v.astype(np.int64)) for v in (first, at[-1])))
+        if forget:
+            seen = at[~np.isnat(at)]
+            state.setTimeoutTimestamp(max(int(seen[-1].astype(np.int64)) // 1000 if len(seen) else 0, state.getCurrentWatermarkMs()) + 3_600_000)
+        yield pd.DataFrame({"request_id": key[0], "seq": seq, "elapsed_ms": since(first), "stage_elapsed_ms": since(np.concatenate([[last], at[:-1]]))})
 
     kind = dict(steps.dtypes)["request_id"]
-    return steps.withWatermark("ts", "10 minutes").groupBy("request_id").applyInPandasWithState(clock, f"request_id {kind}, seq long, elapsed_ms long, stage_elapsed_ms long", "first long, last long", "append", "EventTimeTimeout")
+    timed = steps.withWatermark("ts", "10 minutes") if forget else steps
+    return timed.groupBy("request_id").applyInPandasWithState(clock, f"request_id {kind}, seq long, elapsed_ms long, stage_elapsed_ms long", "first long, last long", "append", "EventTimeTimeout" if forget else "NoTimeout")
 
 
 def ingest(documents: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

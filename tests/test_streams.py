@@ -78,3 +78,33 @@ def test_late_and_missing_replies(spark, tmp_path):
     got = {x.pause_id: (x.outcome, x.reply) for x in state.first_replies(found).collect()}
     assert got == {10: ("timed_out", None), 11: ("resumed", "in time"), 12: ("timed_out", None)}  # the last two still wait
     assert found.count() == 4
+
+
+def test_step_clock_over_many_files_in_any_order(spark, tmp_path):
+    import duckdb
+
+    from tarnlake.plans.catalog import ORACLE_SQL, QUERIES
+
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas().sample(frac=1, random_state=5)
+    events.loc[events.index[:20], "ts"] = None
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(140):
+        events.iloc[k::140].to_parquet(f"{tmp_path}/events.parquet/{k:03d}.parquet", coerce_timestamps="us")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(tuple(r) for r in QUERIES["stream_step_clock"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(c.execute(ORACLE_SQL["stream_step_clock"]).fetchall()) and len(got) > 500
+
+
+def test_step_clock_goes_on_over_micro_batches(spark, arriving):
+    steps = lambda e: e.filter("user_id IS NOT NULL").select(F.col("user_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), "ts")
+    got = {(r.request_id, r.seq): (r.elapsed_ms, r.stage_elapsed_ms) for r in views.drained(spark, views.step_clock(steps(arriving()), forget=False), "append").collect()}
+    want, first, last = {}, {}, {}
+    for r in sorted(steps(spark.read.parquet(f"{SF}/events.parquet")).collect(), key=lambda r: r.seq):
+        a, b = first.setdefault(r.request_id, r.seq), last.get(r.request_id, r.seq)
+        want[r.request_id, r.seq], last[r.request_id] = ((r.seq - a) // 1000, (r.seq - b) // 1000), r.seq
+    assert got == want
