@@ -33,21 +33,23 @@ def config_hash_of(size: Column, overlap: Column, strategy: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"levels":{'), F.concat_ws(",", *parts), F.lit('},"strategy":"'), strategy, F.lit('"}')), 256)
 
 
-@F.pandas_udf(T.StringType())
-def sanitize(text):
-    return text.map(split.sanitize, na_action="ignore")
+#: Texts that are worked on at a time.
+TEXTS = 100
 
 
-def sanitized(text: Column) -> Column:
-    """TX-01. Plain ASCII without control characters is left to the JVM: see :func:`sanitize_column`."""
-    return sanitize(text)
+def _sanitized(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, TEXTS):
+            part = b.slice(i, TEXTS)
+            yield part.set_column(at, b.schema.field(at), pa.array([split.sanitize(t) for t in part.column(at).to_pylist()], b.schema.field(at).type))
 
 
 def sanitize_column(df: DataFrame, text: str = "text") -> DataFrame:
-    """TX-01: only rows that may change go through Python."""
+    """TX-01: only rows that may change go through Python, some at a time."""
     plain = F.col(text).isNull() | F.col(text).rlike(r"\A[\x20-\x7e\t\n\r]*\z")
     done = df.filter(F.coalesce(plain, F.lit(True)))
-    rest = df.filter(~F.coalesce(plain, F.lit(True))).withColumn(text, sanitized(F.col(text)))
+    at = df.columns.index(text)
+    rest = df.filter(~F.coalesce(plain, F.lit(True))).mapInArrow(lambda batches: _sanitized(batches, at), df.schema)
     return done.unionByName(rest)
 
 

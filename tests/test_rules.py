@@ -309,3 +309,15 @@ def test_settings_in_columns_are_those_of_the_classes(spark):
         assert got == chunking.config_hash(ChunkingConfig(size, overlap), "semantic")
     for k, c in ((8, None), (8, 3), (8, 100), (5, None)):
         assert tuple(one(spark, retrieval.pool_size(F.lit(k), F.lit(c).cast("int"))).c0) == RetrievalConfig(top_k=k, candidate_k=c).pool()
+
+
+def test_texts_are_sanitized_some_at_a_time(spark):
+    import pyarrow as pa
+
+    from tarnlake.operators import chunking
+
+    texts = ["e\u0301\x07" + str(i) for i in range(250)] + [None]
+    parts = list(chunking._sanitized(iter([pa.RecordBatch.from_arrays([pa.array(range(251)), pa.array(texts)], ["i", "text"])]), 1))
+    assert max(p.num_rows for p in parts) <= 100 and [x for p in parts for x in p.column(1).to_pylist()] == ["\u00e9" + str(i) for i in range(250)] + [None]
+    got = chunking.sanitize_column(spark.createDataFrame(list(enumerate([*texts, "plain"])), "i int, text string"))
+    assert {(r.i, r.text) for r in got.collect()} == {*((i, "\u00e9" + str(i)) for i in range(250)), (250, None), (251, "plain")}
