@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +204,22 @@ def test_jobs(spark):
     e = spark.createDataFrame([(1, 1, "running", 140.0), (1, 2, "failed", 50.0), (1, 3, "running", -5.0), (2, 1, "pending", None)], "job_id int, seq int, state string, percent double")
     got = {r.job_id: (r.state, r.percent) for r in sessions.job_state(e).collect()}
     assert got[1] == ("failed", 0.0) and got[2][0] == "pending"
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 10])
+def test_holders_of_passages(spark, monkeypatch, limit):
+    """Every text that holds a passage, however it is cut: in place for few passages, which shuffles nothing, and by a join for more."""
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", limit)
+    rng = random.Random(4)
+    words = ["a", "bé", "the", "of", "xyz", "Ñ", "q9"]
+    texts = [rng.choice([" ", "\n", "\t "]).join(rng.choice(words) for _ in range(rng.randrange(0, 80))) for _ in range(300)] + [None, "", " ", "\u00a0a of"]
+    whole = [t for t in texts if t]
+    passages = [t[a : a + rng.randrange(0, 60)] for t in whole[:120] for a in [rng.randrange(len(t))]] + ["", None, " a the ", "never in there at all, not once or twice", whole[0], " ".join(words)]
+    docs = spark.createDataFrame([(i, "de", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, passage string")
+    found = evaluate.holders(docs, asked)
+    want = sorted((q, i) for q, p in enumerate(passages) if p is not None for i, t in enumerate(texts) if t is not None and p in t)
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == want and len(want) > 500
+    assert {r.lang for r in found.collect()} == {"de"} and evaluate.holders(docs, asked.limit(0)).count() == 0
+    if limit > 10:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
