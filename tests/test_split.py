@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnlake.config import ChunkingConfig, SemanticConfig
-from tarnlake.functions import html, split
+from tarnlake.functions import html, models, split
 from tarnlake.operators.chunking import structured_levels, three_levels
 
 DOC = "lead\n\n# One\n\ntext a.\n\n- x\n- y\n  z\n\n## Two\n\n|a|b|\n|--|--|\n|1|2|\n\n~~~\n# no heading\n~~~\n\n# Three\n\nend"
@@ -99,3 +101,25 @@ def test_html():
     assert title == "A  title" and text.startswith("## Top\n\nOne two & three") and text.endswith("item") and "menu" not in text and "bad" not in text
     assert html.linearise("<p>tiny</p>")[0] == "tiny" and html.linearise(None) == ("", "")
     assert html.decode("<meta charset=gbk>页".encode("gbk")) == "<meta charset=gbk>页" and html.decode(b"\xef\xbb\xbfx") == "x" and html.decode("é".encode()) == "é" and html.decode("中文".encode("gb18030")) == "中文"
+
+
+def test_windows_of_sentences_are_read_once(monkeypatch):
+    """A plan by windows of counts is the plan by texts, to the last bit, and no sentence is cut into words twice."""
+    rng = random.Random(5)
+    words = ["alpha", "ΟΔΟΣ", "İx", "beta,", "Straße", "γ_1", "e\u0301", "x"]
+    for n in (5, 30, 200):
+        text = " ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) + rng.choice(".!?") for _ in range(n))
+        parts = [text[a:b] for a, b in split.sentences(text)]
+        for size in (1, 3, 7):
+            marks = range(1, len(parts))
+            vectors = models.hash_embedding([" ".join(parts[max(0, i - size) : i]) for i in marks] + [" ".join(parts[i : i + size]) for i in marks])
+            want = [sum(x * y for x, y in zip(a, b, strict=True)) for a, b in zip(vectors[: len(marks)], vectors[len(marks) :], strict=True)]
+            assert models.hash_embedding.likeness(parts, size) == want
+        assert split.plan_boundaries(text, models.hash_embedding) == split.plan_boundaries(text, lambda texts: models.hash_embedding(texts))  # noqa: PLW0108  a model without likeness
+    read = []
+    counts = models._counts
+    monkeypatch.setattr(models, "_counts", lambda texts: read.extend(texts) or counts(texts))
+    models._PARTS.clear()
+    split.plan_boundaries(text, models.hash_embedding)
+    split.plan_boundaries(text, models.hash_embedding)
+    assert sorted(read) == sorted(set(parts))
