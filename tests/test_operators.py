@@ -223,3 +223,22 @@ def test_holders_of_passages(spark, monkeypatch, limit):
     assert {r.lang for r in found.collect()} == {"de"} and evaluate.holders(docs, asked.limit(0)).count() == 0
     if limit > 10:
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_beginnings_of_passages(monkeypatch):
+    """Eight bytes are found at every place, also where two pieces meet, and nowhere else."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(evaluate, "LOOKED_THROUGH", 13)
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"ab") for _ in range(700))
+    keys = np.array(sorted({int(np.frombuffer(data[i : i + 8], np.uint64)[0]) for i in range(0, 60, 7)}), np.uint64)
+    may = np.zeros(1 << evaluate.BEGIN_BITS, bool)
+    may[evaluate._slot(keys)] = True
+    got = sorted((int(p), int(k)) for places, found in evaluate._begins(np.frombuffer(data, np.uint8), keys, may) for p, k in zip(places, found, strict=True))
+    every = [(i, int(np.frombuffer(data[i : i + 8], np.uint64)[0])) for i in range(len(data) - 7)]
+    assert got == [(i, k) for i, k in every if k in set(keys.tolist())] and len(got) > 10
+    texts = pa.array(["x", None, "abcdefgh tail", "", "abcdefgh"]).slice(1)
+    whole, bounds = evaluate._bytes(texts)
+    assert [whole[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == ["", "abcdefgh tail", "", "abcdefgh"]
