@@ -10,13 +10,13 @@ from tarnlake.functions import split
 from tarnlake.functions.text import fact_tokens
 
 
-def lost_facts(pairs: DataFrame, key: str, source: str = "source", target: str = "target") -> DataFrame:
+def lost_facts(pairs: DataFrame, key: str, source: str = "source", target: str = "target", empty: Column | None = None) -> DataFrame:
     """TX-26: ``key, fact, lost`` for each fact that ``target`` holds less often than ``source``; an empty target loses ``empty_translation``.
 
-    Facts are counted as multisets, source and target in one grouping.
+    Facts are counted as multisets, source and target in one grouping. ``empty`` says which targets count as empty, blank ones if it isn't given.
     """
     count = lambda name, n: pairs.select(key, F.explode(fact_tokens(F.col(name))).alias("fact")).withColumn("n", F.lit(n))
-    empty = F.trim(F.coalesce(F.col(target), F.lit(""))) == ""
+    empty = F.trim(F.coalesce(F.col(target), F.lit(""))) == "" if empty is None else empty
     both = count(source, 1).unionByName(count(target, -1)).join(pairs.filter(empty).select(key).distinct(), key, "left_anti")
     lost = both.groupBy(key, "fact").agg(F.sum("n").cast("long").alias("lost")).filter("lost > 0")
     return lost.unionByName(pairs.filter(empty).select(key, F.lit("empty_translation").alias("fact"), F.lit(1).cast("long").alias("lost")))

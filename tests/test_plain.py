@@ -488,6 +488,22 @@ def test_fact_tokens_are_those_of_the_twin(spark):
     assert [r.f for r in got] == [w[0] for w in want]
 
 
+def test_fact_preservation_of_odd_texts(spark, tmp_path):
+    """Blank and missing texts, characters beyond the basic plane before a number, letters that fold to s and k: all four kinds of translations."""
+    import duckdb
+
+    from tarnlake.plans.catalog import ORACLE_SQL
+
+    texts = ["", " ", None, "\n", "😀 a 1234 b 567", "😀😀12345", "100ſec 5 mſ 7 minuteſms 7 \u212aB ſ100kb \u212a5 h", "9 mın 9 mİn", "7 day"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(4 * i + r, t) for i, t in enumerate(texts) for r in range(4)] + [(None, "5 ms")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = c.execute(f"SELECT doc_id, fact, lost FROM ({ORACLE_SQL['fact_preservation']})").fetchall()
+    got = QUERIES["fact_preservation"](spark, str(tmp_path)).select("doc_id", "fact", "lost").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_config_hash():
     from tarnlake.operators.chunking import config_hash
 
