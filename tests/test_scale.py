@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import models
 from tarnlake.operators import evaluate, inverted, retrieval, sampling, tables
+from tarnlake.plans.catalog import QUERIES
 
 SPAN = "filename string, chunk_id string, start long, end long"
 
@@ -95,6 +96,16 @@ def test_an_arm_that_fails_while_it_runs(spark, tmp_path):
     assert [(r.chunk_id, r.retrieval_mode) for r in alone] == [(None, "failed")]
 
 
+@pytest.mark.parametrize("arm", ["lexical", "dense"])
+def test_hybrid_query_ends_when_an_arm_fails(spark, monkeypatch, arm):
+    def fails(*_):
+        return spark.range(1).select(F.raise_error(F.lit("no space left")).cast("long").alias("query_id"), F.lit("d0").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    monkeypatch.setattr(retrieval, arm, fails)
+    with pytest.raises(Exception, match="no space left"):
+        QUERIES["hybrid_rrf"](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_a_second_run_asks_no_model(spark, tmp_path):
     asked = []
 
